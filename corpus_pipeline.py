@@ -32,9 +32,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffixes.dedup_suffixes(docs, span=50, keep_text=True).where("n_removed > 0").groupBy("doc_id").agg(F.first("kept").alias("kept"))
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.try_validate_utf8(F.col("kept").cast("string")))
-    return docs.join(cut.select("doc_id", "kept"), "doc_id", "left").withColumn("text", text).select(docs.columns)
+    cut = suffixes.dedup_suffixes(docs, span=50, keep_text=True).where("n_removed > 0").select("doc_id", "n_bytes", "text_crc32", "kept").distinct()
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    keyed = docs.withColumns({"_bytes": F.octet_length(raw).cast("long"), "_crc": F.crc32(raw)})
+    on = [keyed["doc_id"].eqNullSafe(cut["doc_id"]), keyed["_bytes"] == cut["n_bytes"], keyed["_crc"] == cut["text_crc32"]]
+    text = F.coalesce(cut["kept"], keyed["text"]).alias("text")
+    return keyed.join(cut, on, "left").select(*[text if c == "text" else keyed[c] for c in docs.columns])
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 from pyspark.sql import DataFrame
 
@@ -86,7 +87,10 @@ def window_minima(texts: list[bytes], low, span: int, memory: int = 4_000_000):
 
 
 def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_crc32 (of the input's bytes) and, if asked for, kept.
+
+    ``kept`` is text; a character of which a part is cut goes as a whole (kept_sha256 is of the exact bytes).
+    """
     texts, total = blocked(docs)
     shards = max(1, math.ceil(total * 0.5 / SHARD_TEXT))
 
@@ -206,13 +210,13 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
                 kept.append(raw[at:a])
                 at = b
             kept = b"".join([*kept, raw[at:]])
-            rows.append((doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t, _ in zip(zip(*rows) if rows else [[]] * 6, kinds, names)], names=names)
+            rows.append((doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), zlib.crc32(raw), kept.decode(errors="ignore") if keep_text else None))
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_crc32", *["kept"] * keep_text]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        return pa.table([pa.array(c, t) for c, t, _ in zip(zip(*rows) if rows else [[]] * 7, kinds, names)], names=names)
 
     by_block = texts.groupBy("block")
     shared = shared_keys(texts, keys_of, shards)
     sent = by_block.cogroup(shared.groupBy("block")).applyInArrow(send, "shard int, block int, key binary, name binary, low binary, several binary, size binary, text binary")
     found = sent.groupBy("shard").applyInArrow(answer, "block int, key binary, name binary, first binary, n binary, low binary")
-    return by_block.cogroup(found.groupBy("block")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return by_block.cogroup(found.groupBy("block")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_crc32 long" + ", kept string" * keep_text)
