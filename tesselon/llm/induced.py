@@ -10,14 +10,17 @@ whose ranks form a text of at most half the length, sorted recursively.
 ``Queues`` is a monotone priority queue with a first-in first-out queue a symbol.
 Entries are moved as arrays; beyond ``memory`` entries all queues are written to an
 unlinked scratch file of the task (like a sort's spill: private to the task, gone with
-it) and read back a symbol at a time.  Byte texts go through it; the rank texts of the
-recursion have many symbols with few suffixes each, and use a plain queue a symbol.
+it) and read back a symbol at a time.  The recursion goes on as long as the rank text has
+at most ``BULK_SYMBOLS`` symbols; beyond that a queue holds so few entries that moving
+them as arrays gains nothing, and the rank text is sorted by prefix doubling instead.
 """
 
 from __future__ import annotations
 
 import tempfile
 
+BULK_SYMBOLS = 512
+
 
 class Queues:
     def __init__(self, memory: int = 4_000_000):
@@ -119,40 +122,34 @@ def _induce_bytes(text, seeds, memory: int):
     return np.concatenate(parts)
 
 
-def _induce_ranks(text, symbols: int, seeds):
+def _sort_ranks(names, depth: int):
+    """Suffixes of a rank text by their first ``depth`` ranks: several ranks packed into a word, sorted, ranked again."""
     import numpy as np
 
-    t, n = text.tolist(), len(text)
-    queue: list[list[int]] = [[] for _ in range(symbols)]
-    seed: list[list[int]] = [[] for _ in range(symbols)]
-    for i in seeds.tolist():
-        seed[t[i]].append(i)
-    queue[t[-1]].append(n - 1)
-    for c in range(symbols):
-        q = queue[c]
-        for i in q:  # the list grows while it is read
-            if i and t[i - 1] >= c:
-                queue[t[i - 1]].append(i - 1)
-        for i in seed[c]:
-            queue[t[i - 1]].append(i - 1)
-    larger: list[list[int]] = [[] for _ in range(symbols)]
-    for c in range(symbols - 1, -1, -1):
-        q = larger[c]
-        for i in q:
-            if i and t[i - 1] <= c:
-                larger[t[i - 1]].append(i - 1)
-        for i in reversed(queue[c]):
-            if i and t[i - 1] < c:
-                larger[t[i - 1]].append(i - 1)
-    out: list[int] = []
-    for c in range(symbols):
-        out += queue[c]
-        out += reversed(larger[c])
-    return np.array(out, dtype=np.int64)
-
-
-def suffix_array(text, symbols: int = 256, memory: int = 4_000_000):
-    """Places of all suffixes of an integer array in ascending order; the end counts as the smallest symbol."""
+    rank, m, h = names + 1, len(names), 1
+    while True:
+        bits = int(rank.max()).bit_length()
+        key = rank.astype(np.uint64)
+        for j in range(1, max(2, 63 // bits)):
+            nxt = np.zeros(m, dtype=np.uint64)
+            if j * h < m:
+                nxt[: m - j * h] = rank[j * h :]
+            key = key << np.uint64(bits) | nxt
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.concatenate(([1], (key[1:] != key[:-1]).astype(np.int64))).cumsum()
+        rank = np.empty(m, dtype=np.int64)
+        rank[order] = new
+        h *= max(2, 63 // bits)
+        if new[-1] == m or h >= depth:
+            return order
+
+
+def suffix_array(text, symbols: int = 256, memory: int = 4_000_000, depth: int | None = None):
+    """Places of all suffixes of an integer array in ascending order; the end counts as the smallest symbol.
+
+    With ``depth``, suffixes that agree in their first ``depth`` symbols may come in any order.
+    """
     import numpy as np
 
     n = len(text)
@@ -162,7 +159,7 @@ def suffix_array(text, symbols: int = 256, memory: int = 4_000_000):
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
 
     def induce(seeds):
-        return _induce_bytes(text, seeds, memory) if symbols <= 512 else _induce_ranks(text, symbols, seeds)
+        return _induce_bytes(text, seeds, memory)
 
     if len(lms) < 2:
         return induce(lms)
@@ -187,5 +184,9 @@ def suffix_array(text, symbols: int = 256, memory: int = 4_000_000):
     if rank[-1] + 1 < len(lms):
         names = np.zeros(n, dtype=np.int64)
         names[order] = rank
-        order = lms[suffix_array(names[lms], int(rank[-1]) + 1, memory)]
+        reduced, kinds = names[lms], int(rank[-1]) + 1
+        if kinds <= BULK_SYMBOLS:
+            order = lms[suffix_array(reduced, kinds, memory, depth)]
+        else:
+            order = lms[_sort_ranks(reduced, depth or len(lms))]
     return induce(order)

@@ -28,9 +28,9 @@ from .blocks import blocked, contains, in_order, joined_keys, shard_cuts, shared
 from .induced import suffix_array
 from .words import mix
 
-GRAM = 12
+GRAM = 18
 CHUNK = 1 << 20
-SHARD_TEXT = 6 << 20
+SHARD_TEXT = 2 << 20
 
 
 def runs_of(raw: bytes, span: int):
@@ -43,7 +43,11 @@ def runs_of(raw: bytes, span: int):
         n = len(part)
         u = np.ndarray((n - 7,), dtype="<u8", buffer=part, strides=(1,))
         m = n - gram + 1
-        h = mix(u[:m] * np.uint64(0x9E3779B97F4A7C15) + u[gram - 8 : gram - 8 + m])
+        h = u[:m].copy()
+        for k in [*range(8, gram - 7, 8), gram - 8]:
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += u[k : k + m]
+        h = mix(h)
         width, have = span - gram + 1, 1
         while have * 2 <= width:
             h = np.minimum(h[:-have], h[have:])
@@ -51,7 +55,7 @@ def runs_of(raw: bytes, span: int):
         if have < width:
             h = np.minimum(h[: len(h) - (width - have)], h[width - have :])
         first = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1))
-        out.append((first + at, np.diff(np.append(first, len(h))), h[first]))
+        out.append((first + at, np.diff(np.append(first, len(h))), mix(h[first] + np.uint64(1))))  # minima are small numbers: spread them
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64)
@@ -66,7 +70,7 @@ def window_minima(texts: list[bytes], low, span: int, memory: int = 4_000_000):
     starts = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
     joined = b"\xff".join(texts) + b"\xff" * 8  # no UTF-8 text holds this byte
     text = np.frombuffer(joined, dtype=np.uint8)[: int(sizes.sum()) + len(texts)]
-    order = suffix_array(text, 256, memory)
+    order = suffix_array(text, 256, memory, depth=span)
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     valid = np.arange(len(text)) - starts[owner] <= sizes[owner] - span
     order = order[valid[order]]
@@ -92,7 +96,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
     ``kept`` is text; a character of which a part is cut goes as a whole (kept_sha256 is of the exact bytes).
     """
     texts, total = blocked(docs)
-    shards = max(1, math.ceil(total * 0.5 / SHARD_TEXT))
+    shards = max(1, math.ceil(total / SHARD_TEXT))
 
     def keys_of(table):
         import numpy as np
@@ -138,20 +142,21 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
         several = low < np.array([seen[p][2] for p in pieces], dtype=np.int64)
         size = np.array([len(p) for p in pieces], dtype=np.int64)
         cut = shard_cuts(key, shards)
-        used, zipper = [s for s in range(shards) if cut[s] < cut[s + 1]], zstandard.ZstdCompressor(level=1)
-        part = lambda a: pa.array([a[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary())
-        return pa.table({"shard": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "key": part(key), "name": part(name), "low": part(low), "several": part(several), "size": part(size), "text": pa.array([zipper.compress(b"".join(pieces[cut[s] : cut[s + 1]])) for s in used], pa.binary())})
+        used, zipper = [s for s in range(shards) if cut[s] < cut[s + 1]], zstandard.ZstdCompressor(level=3)
+        packed = lambda a: pa.array([zipper.compress(a[cut[s] : cut[s + 1]].tobytes()) for s in used], pa.binary())
+        plain = pa.array([name[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary())
+        return pa.table({"shard": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "key": packed((key >> np.uint64(32)).astype(np.uint32)), "name": plain, "low": packed(low), "several": packed(several), "size": packed(size.astype(np.uint32)), "text": pa.array([zipper.compress(b"".join(pieces[cut[s] : cut[s + 1]])) for s in used], pa.binary())})
 
     def answer(table):
         import numpy as np
         import pyarrow as pa
         import zstandard
 
-        numbers, distinct, low_of, records, unzip = {}, [], [], [], zstandard.ZstdDecompressor()
+        numbers, distinct, low_of, records, unzip, zipper = {}, [], [], [], zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         cols = [table.column(c).to_pylist() for c in ("block", "key", "name", "low", "several", "size", "text")]
         for block, key, name, low, several, size, text in zip(*cols):
-            low, raw, at, mine = np.frombuffer(low, dtype=np.int64), unzip.decompress(text), 0, []
-            for x, n in zip(low.tolist(), np.frombuffer(size, dtype=np.int64).tolist()):
+            low, raw, at, mine = np.frombuffer(unzip.decompress(low), dtype=np.int64), unzip.decompress(text), 0, []
+            for x, n in zip(low.tolist(), np.frombuffer(unzip.decompress(size), dtype=np.uint32).tolist()):
                 piece = raw[at : at + n]
                 at += n
                 k = numbers.get(piece)
@@ -162,7 +167,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
                 elif x < low_of[k]:
                     low_of[k] = x
                 mine.append(k)
-            records.append((block, np.frombuffer(key, dtype=np.uint64), np.frombuffer(name, dtype=np.uint64), low, np.frombuffer(several, dtype=bool), np.array(mine)))
+            records.append((block, np.frombuffer(unzip.decompress(key), dtype=np.uint32), np.frombuffer(name, dtype=np.uint64), low, np.frombuffer(unzip.decompress(several), dtype=bool), np.array(mine)))
         numbers.clear()
         of, first, n, value = window_minima(distinct, np.array(low_of, dtype=np.int64), span)
         begin = np.searchsorted(of, np.arange(len(distinct) + 1))
@@ -176,17 +181,18 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
                 row, run = row[ok], run[ok]
                 out["block"].append(block)
                 for c, x in (("key", key[row]), ("name", name[row]), ("first", first[run]), ("n", n[run]), ("low", value[run])):
-                    out[c].append(x.tobytes())
+                    out[c].append(zipper.compress(x.tobytes()))
         return pa.table({c: pa.array(x, pa.int32() if c == "block" else pa.binary()) for c, x in out.items()})
 
     def remove(table, found):
         import numpy as np
         import pyarrow as pa
         import xxhash
+        import zstandard
 
-        known, notes = np.zeros(0, np.uint64), {}
+        known, notes, unzip = np.zeros(0, np.uint32), {}, zstandard.ZstdDecompressor()
         if found.num_rows:
-            key, name, first, n, low = (np.concatenate([np.frombuffer(x, dtype=k) for x in found.column(c).to_pylist()]) for c, k in (("key", np.uint64), ("name", np.uint64), ("first", np.int64), ("n", np.int64), ("low", np.int64)))
+            key, name, first, n, low = (np.concatenate([np.frombuffer(unzip.decompress(x), dtype=k) for x in found.column(c).to_pylist()]) for c, k in (("key", np.uint32), ("name", np.uint64), ("first", np.int64), ("n", np.int64), ("low", np.int64)))
             known = np.unique(key)
             for x, *note in zip(name.tolist(), first.tolist(), n.tolist(), low.tolist()):
                 notes.setdefault(x, []).append(note)
@@ -196,7 +202,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
             spans = []
             if len(known) and len(raw) >= span:
                 start, n, key = runs_of(raw, span)
-                on = contains(known, key)
+                on = contains(known, (key >> np.uint64(32)).astype(np.uint32))
                 for s, k in zip(start[on].tolist(), n[on].tolist()):
                     for first, m, low in notes.get(xxhash.xxh3_64_intdigest(raw[s : s + k + span - 1]), ()):
                         if low < doc:
