@@ -1,19 +1,499 @@
-"""Registered queries of the retrieval and analytics operators, with their SQL."""
+"""Registered queries of the retrieval and analytics operators, each with the same query in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import rules, text
+from ..operators import answers, chunking, intent, ops, retrieval
+from ..sources import loaders
+from ..streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+PII = dict(rules.rows(rules.PII))
+TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
+SMALL = 10_000  # rows of a stated query set or rule table that may be broadcast
+
+
+def q(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+# ---------------------------------------------------------------- text and personal data
+
+
+@query(f"SELECT lang, CAST(sum(len({TOK})) AS BIGINT) AS n_tokens, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS estimate FROM documents GROUP BY lang")
+def token_count_by_lang(spark, sf):
+    c = F.col("text")
+    return t(spark, sf, "documents").groupBy("lang").agg(F.sum(F.size(text.tokens(c))).cast("long").alias("n_tokens"), F.sum(text.token_estimate(c)).cast("long").alias("estimate"))
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(text), 'discharge summary|discharge note') THEN 'discharge_summary'
+ WHEN regexp_matches(lower(text), 'radiology|impression:|findings:|mri|ct scan|x-ray') THEN 'radiology_report'
+ WHEN regexp_matches(lower(text), 'lab result|laboratory|specimen|result:') THEN 'lab_report' ELSE 'clinical_note' END AS kind FROM documents) GROUP BY kind""")
+def clinical_type_detect(spark, sf):
+    return t(spark, sf, "documents").groupBy(text.clinical_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT " + ", ".join(f"CAST(sum(len(regexp_extract_all(text, {q(p)}))) AS BIGINT) AS {k}" for k, p in PII.items()) + " FROM documents")
+def pii_counts_by_type(spark, sf):
+    return t(spark, sf, "documents").agg(*[F.sum(c).alias(k) for k, c in text.pii_counts(F.col("text")).items()])
+
+
+_TYPES = "list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {q(p)}) THEN '{k}' END" for k, p in PII.items()) + "], lambda x: x IS NOT NULL))"
+
+
+@query(f"SELECT doc_id, array_to_string(types, ',') AS types FROM (SELECT doc_id, {_TYPES} AS types FROM documents) WHERE len(types) > 0")
+def pii_docs_flagged(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", text.pii_types(F.col("text")).alias("types"))
+    return d.where(F.size("types") > 0).select("doc_id", F.array_join("types", ",").alias("types"))
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, {q(PII['phone'])}, '[PHONE_REDACTED]', 'g'), {q(PII['email'])}, '[EMAIL_REDACTED]', 'g')) AS masked FROM documents")
+def pii_mask_constant(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.sha2(text.mask_constant(F.col("text"), ("phone", "email")), 256).alias("masked"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, regexp_split_to_array(text, {q(PII['email'])}) AS a, list_transform(regexp_extract_all(text, {q(PII['email'])}), lambda x: '[EMAIL_' || sha256('salt:email:' || x)[:8] || ']') AS b FROM documents)
+SELECT doc_id, sha256(array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || coalesce(b[i], '')), '')) AS masked FROM p""")
+def pii_mask_hashed(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.sha2(text.mask_hashed(F.col("text"), "email", "EMAIL"), 256).alias("masked"))
+
+
+@query(f"SELECT role, round(avg(CASE WHEN len({_TYPES}) > 0 THEN 1.0 ELSE 0.0 END), 6) AS leakage FROM conversations GROUP BY role")
+def pii_leakage_rate(spark, sf):
+    leaked = answers.validated(F.col("text"))["blocked"]
+    return t(spark, sf, "conversations").groupBy("role").agg(F.round(F.avg(leaked.cast("double")), 6).alias("leakage"))
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_dedup_hash(spark, sf):
+    return t(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1")
+
+
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def benchmark_passage_hits(spark, sf):
+    b = t(spark, sf, "benchmark")
+    b = F.broadcast(b) if b.count() <= SMALL else b
+    return t(spark, sf, "documents").alias("d").join(b.alias("b"), F.expr("contains(d.text, b.text)")).select("d.doc_id", "b.item_id")
+
+
+@query(r"SELECT conv_id, turn, CAST(len(list_filter(list_distinct(regexp_extract_all(text, '[0-9]+')), lambda n: NOT list_contains(ctx, n))) AS INTEGER) AS ungrounded FROM (SELECT conv_id, turn, role, text, regexp_extract_all(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '[0-9]+') AS ctx FROM conversations) WHERE role = 'assistant'")
+def numeric_grounding(spark, sf):
+    before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    num = lambda c: F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))
+    d = t(spark, sf, "conversations").withColumn("before", before).where("role = 'assistant'")
+    return d.select("conv_id", "turn", F.size(F.array_except(num(F.col("text")), num(F.col("before")))).alias("ungrounded"))
+
+
+# ---------------------------------------------------------------- chunks
+
+
+def _windows_sql(size: int, step: int, least: int) -> str:
+    return f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(range(CASE WHEN len(w) <= {size} THEN 1 ELSE 1 + CAST(ceil((len(w) - {size}) / {step}) AS BIGINT) END)) AS k FROM w WHERE len(w) > 0),
+c AS (SELECT doc_id, k, w[k * {step} + 1 : k * {step} + {size}] AS p FROM k),
+f AS (SELECT doc_id, k, len(p) AS n, array_to_string(p, ' ') AS s FROM c),
+i AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS n_words, s FROM f WHERE greatest(1, length(s) // 4) >= {least})"""
+
+
+@query(_windows_sql(1600, 1400, 20) + " SELECT doc_id, chunk_index, doc_id || '_chunk_' || chunk_index AS chunk_id, n_words, sha256(s) AS hash FROM i")
+def sliding_windows_main(spark, sf):
+    c = chunking.sliding_windows(t(spark, sf, "documents"), 1600, 1400, 20)
+    return c.select("doc_id", "chunk_index", "chunk_id", "n_words", F.sha2("text", 256).alias("hash"))
+
+
+@query(_windows_sql(300, 250, 15) + " SELECT doc_id, chunk_index, n_words, chunk_index > 0 AS overlap_prev, chunk_index < max(chunk_index) OVER (PARTITION BY doc_id) AS overlap_next, replace(s[:120], chr(10), ' ') || CASE WHEN length(s) > 120 THEN '...' ELSE '' END AS preview FROM i")
+def sliding_windows_eval(spark, sf):
+    c = chunking.overlap_flags(chunking.sliding_windows(t(spark, sf, "documents"), 300, 250, 15))
+    return c.select("doc_id", "chunk_index", "n_words", "overlap_prev", "overlap_next", text.preview(F.col("text")).alias("preview"))
+
+
+@query(_windows_sql(300, 250, 15) + " SELECT count(*) AS chunks, round(avg(greatest(1, length(s) // 4)), 6) AS avg_tokens, count(DISTINCT doc_id) AS docs FROM i")
+def chunk_stats(spark, sf):
+    c = chunking.sliding_windows(t(spark, sf, "documents"), 300, 250, 15)
+    return c.agg(F.count("*").alias("chunks"), F.round(F.avg(text.token_estimate(F.col("text"))), 6).alias("avg_tokens"), F.count_distinct("doc_id").alias("docs"))
+
+
+NOTE = "Admitted today.\nMEDICATIONS:\naspirin 81 mg\n\nlisinopril 10 mg\nCHIEF COMPLAINT: pain\nplan\nrest and fluids"
+_HEADERS = "CHIEF COMPLAINT|HISTORY OF PRESENT ILLNESS|HPI|PAST MEDICAL HISTORY|PMH|MEDICATIONS|ALLERGIES|PHYSICAL EXAMINATION|REVIEW OF SYSTEMS|ROS|ASSESSMENT AND PLAN|ASSESSMENT|PLAN|LAB RESULTS|LABORATORY|IMAGING|DISCHARGE SUMMARY|DISCHARGE MEDICATIONS|FOLLOW.UP|SOCIAL HISTORY|FAMILY HISTORY|VITAL SIGNS|IMPRESSION|FINDINGS"
+_NOTE_SQL = "'" + NOTE.replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"""WITH l AS (SELECT unnest(string_split({_NOTE_SQL}, chr(10))) AS line, generate_subscripts(string_split({_NOTE_SQL}, chr(10)), 1) AS i),
+m AS (SELECT i, line, regexp_matches(line, '(?i)^(?:{_HEADERS})[:\\s]*$') AS h FROM l),
+s AS (SELECT i, line, h, CAST(sum(h::INT) OVER (ORDER BY i) AS INTEGER) AS section_no FROM m)
+SELECT CAST(1 AS BIGINT) AS doc_id, section_no, coalesce(max(CASE WHEN h THEN upper(rtrim(line, ': ')) END), 'PREAMBLE') AS section, trim(string_agg(line, chr(10) ORDER BY i)) AS text FROM s GROUP BY section_no""")
+def section_split(spark, sf):
+    return chunking.sections(spark.createDataFrame([(1, NOTE)], "doc_id long, text string"), _HEADERS)
+
+
+@query(f"""WITH l AS (SELECT unnest(string_split({_NOTE_SQL}, chr(10))) AS line) SELECT CAST(count(*) FILTER (line <> '') AS INTEGER) AS lines, CAST(2 AS INTEGER) AS chunks FROM l""")
+def paragraph_pack(spark, sf):
+    d = spark.createDataFrame([(NOTE,)], "text string")
+    return d.select(F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("lines"), F.size(chunking.pack_paragraphs(F.col("text"), 15)).alias("chunks"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+TERMS = ["the", "and", "thing", "der", "que"]
+_IN = ", ".join(f"'{x}'" for x in TERMS)
+_BM25 = f"""WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY ALL),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, c GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT 0.25 * avg(raw) FROM df) ELSE raw END AS idf FROM df WHERE term IN ({_IN})),
+s AS (SELECT doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, list_sort(list(DISTINCT term)) AS m FROM p JOIN idf USING (term) JOIN dl USING (doc_id), c GROUP BY doc_id)"""
+
+
+def _post(spark, sf):
+    return retrieval.postings(t(spark, sf, "documents"))
+
+
+@query(_BM25 + " SELECT doc_id, score, array_to_string(m, ' ') AS matched FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
+def bm25_topk(spark, sf):
+    s = retrieval.bm25(_post(spark, sf), TERMS).where("score > 0")
+    return s.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score", F.array_join("matched_terms", " ").alias("matched"))
+
+
+@query(_BM25 + " SELECT doc_id, score FROM s JOIN documents USING (doc_id) WHERE score > 0 AND source = 'src3' ORDER BY score DESC, doc_id LIMIT 10")
+def bm25_topk_filtered(spark, sf):
+    s = retrieval.bm25(_post(spark, sf), TERMS).where("score > 0").join(t(spark, sf, "documents").where("source = 'src3'").select("doc_id"), "doc_id", "left_semi")
+    return s.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score")
+
+
+_OVERLAP = f"o AS (SELECT doc_id, round(len(list_filter(list_distinct({TOK}), lambda x: x IN ({_IN}))) / greatest(len({TOK}), 1), 6) AS score FROM documents)"
+
+
+@query(f"WITH {_OVERLAP} SELECT doc_id, score FROM o WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
+def overlap_tf_topk(spark, sf):
+    return _overlap(spark, sf).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+def _overlap(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
+    return d.select("doc_id", F.round(F.size(F.array_intersect("w", F.array(*map(F.lit, TERMS)))) / F.greatest(F.size("w"), F.lit(1)), 6).alias("score"))
+
+
+@query(_BM25 + f""", {_OVERLAP}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM s WHERE score > 0 QUALIFY r < 20), b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM o WHERE score > 0 QUALIFY r < 20),
+u AS (SELECT doc_id, 0.7 / (61 + r) AS s FROM b UNION ALL SELECT doc_id, 0.3 / (61 + r) FROM a), g AS (SELECT doc_id, round(sum(s), 9) AS score FROM u GROUP BY doc_id)
+SELECT doc_id, score FROM g ORDER BY score DESC, doc_id LIMIT 10""")
+def rrf_fusion(spark, sf):
+    def ranked(df):
+        top = df.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(20).withColumn("query_id", F.lit(1))
+        return retrieval.top_k(top, "query_id", 20, F.desc("score"), F.col("doc_id"))
+
+    fused = retrieval.rrf([(ranked(_overlap(spark, sf)), 0.7), (ranked(retrieval.bm25(_post(spark, sf), TERMS)), 0.3)])
+    return fused.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score")
+
+
+_DOT = "round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+_DENSE = f"WITH x AS (SELECT q.vec_id AS query_id, q.label AS ql, v.vec_id, v.label, {_DOT} AS score FROM embeddings v, embeddings q WHERE q.vec_id < 5), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS INTEGER) AS rank FROM x)"
+
+
+def _dense(spark, sf, k, least=-1.0, same_label=False):
+    e = t(spark, sf, "embeddings")
+    return retrieval.dense_top_k(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e, k, least)
+
+
+@query(_DENSE + " SELECT query_id, vec_id, score, rank FROM r WHERE rank < 10")
+def dense_topk_batch(spark, sf):
+    return _dense(spark, sf, 10)
+
+
+@query(_DENSE + " SELECT query_id, vec_id, score, rank FROM r WHERE rank < 20 AND score >= 0.3")
+def dense_min_score(spark, sf):
+    return _dense(spark, sf, 20, 0.3)
+
+
+@query(_DENSE.replace("WHERE q.vec_id < 5", "WHERE q.vec_id < 5 AND v.label = q.label") + " SELECT query_id, vec_id, score, rank FROM r WHERE rank < 5")
+def dense_topk_filtered(spark, sf):
+    e = t(spark, sf, "embeddings")
+    mine = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    s = e.join(F.broadcast(mine), "label").select("query_id", "vec_id", retrieval.dot(F.col("embedding"), F.col("q")).alias("score"))
+    return retrieval.top_k(s, "query_id", 5, F.desc("score"), F.col("vec_id"))
+
+
+@query(r"SELECT b AS bucket, count(*) AS n FROM (SELECT ('0x' || md5(w)[:8])::BIGINT % 64 AS b FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w FROM documents)) GROUP BY b")
+def hash_embed(spark, sf):
+    return t(spark, sf, "documents").select(F.explode(F.transform(retrieval.hash_buckets(F.col("text"), 64), lambda b: b.cast("long"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.lang, count(*) AS n FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY d.lang")
+def semi_valid_ids(spark, sf):
+    return t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.lang, count(*) AS n FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY d.lang")
+def anti_removed_docs(spark, sf):
+    return loaders.remove_document(t(spark, sf, "documents"), t(spark, sf, "labels").where("toxic = 1")).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- query intelligence
+
+ASKED = ["What medications is the patient on?", "List all lab results", "When was the patient admitted?", "Compare BP at admission and discharge", "Why was aspirin started?", "Summarize the hospital course", "Was HTN related to DM?", "Is there an ECG or MRI?", "show latest labs", "hello", "Which drug caused the rash, and what is the dose?", "Tell me the Rx for COPD and CHF"]
+_ASKED = "(VALUES " + ", ".join(f"({i}, {q(x)})" for i, x in enumerate(ASKED)) + ") AS a(n, query)"
+
+
+def _asked(spark):
+    return spark.createDataFrame(list(enumerate(ASKED)), "n int, query string")
+
+
+def _intent_sql() -> str:
+    groups: dict[str, list[str]] = {}
+    for k, p in rules.rows(rules.INTENTS):
+        groups.setdefault(k, []).append(p)
+    parts = [f"SELECT n, query, {i} AS o, '{k}' AS t, " + " + ".join(f"CAST(regexp_matches(lower(query), {q(p)}) AS INT)" for p in ps) + f" AS h FROM {_ASKED}" for i, (k, ps) in enumerate(groups.items())]
+    return f"WITH g AS ({' UNION ALL '.join(parts)}), b AS (SELECT n, t, h, row_number() OVER (PARTITION BY n ORDER BY CASE WHEN h = 0 THEN 0 ELSE least(0.95, round(0.5 + 0.15 * h, 2)) END DESC, o) AS k FROM g), c AS (SELECT n, CASE WHEN h = 0 THEN 'factual_lookup' ELSE t END AS query_type, CAST(CASE WHEN h = 0 THEN 0.4 ELSE least(0.95, round(0.5 + 0.15 * h, 2)) END AS DOUBLE) AS confidence FROM b WHERE k = 1)"
+
+
+@query(_intent_sql() + " SELECT n, query_type, confidence FROM c")
+def classify_queries(spark, sf):
+    return _asked(spark).select("n", intent.intent(F.col("query")).alias("i")).select("n", "i.query_type", "i.confidence")
+
+
+@query(_intent_sql() + ", r(query_type, route, k, latency_ms) AS (VALUES " + ", ".join(f"('{x[0]}', '{x[1]}', {x[2]}, {x[6]})" for x in (r.split() for r in rules.ROUTES.strip().splitlines())) + ") SELECT n, query_type, route, k, latency_ms FROM c JOIN r USING (query_type)")
+def route_queries(spark, sf):
+    return _asked(spark).select("n", intent.intent(F.col("query"))["query_type"].alias("query_type")).join(intent.routes(_asked(spark)), "query_type").select("n", "query_type", "route", "k", "latency_ms")
+
+
+@query("SELECT n, array_to_string(list_distinct_ordered, '; ') AS expanded FROM (SELECT n, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(query, {q('(?i)' + chr(92) + 'b' + a.replace('/', '/') + chr(92) + 'b')}) THEN {q(x)} END" for a, x in rules.rows(rules.ABBREVIATIONS)) + f"], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM {_ASKED})")
+def expand_queries(spark, sf):
+    return _asked(spark).select("n", F.array_join(intent.expand(F.col("query")), "; ").alias("expanded"))
+
+
+@query(f"SELECT n, sha256('p1|' || array_to_string(list_sort(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')), ' ')) AS cache_key, CASE WHEN regexp_matches(lower(query), 'medication|drug|prescription|rx') THEN 'medications' WHEN regexp_matches(lower(query), 'lab|result|test|observation|vital') THEN 'observations' WHEN regexp_matches(lower(query), 'condition|diagnosis|diagnos|problem') THEN 'conditions' ELSE 'all' END AS kind FROM {_ASKED}")
+def cache_key_and_structured_route(spark, sf):
+    return _asked(spark).select("n", intent.cache_key(F.lit("p1"), F.col("query")).alias("cache_key"), intent.structured_kind(F.col("query")).alias("kind"))
+
+
+# ---------------------------------------------------------------- context and answers
+
+_RANKED = "r AS (SELECT lang, doc_id, text, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS INTEGER) AS rank FROM documents QUALIFY rank < 20)"
+
+
+def _ranked(spark, sf):
+    return retrieval.top_k(t(spark, sf, "documents"), "lang", 20, F.desc("n_chars"), F.col("doc_id"))
+
+
+@query(f"WITH {_RANKED}, s AS (SELECT *, CAST(sum(greatest(1, length(text) // 4)) OVER (PARTITION BY lang ORDER BY rank) AS BIGINT) AS running_tokens FROM r) SELECT lang, doc_id, rank, running_tokens FROM s WHERE running_tokens <= 24000")
+def context_budget(spark, sf):
+    return answers.within_budget(_ranked(spark, sf), "lang", 24000).select("lang", "doc_id", "rank", "running_tokens")
+
+
+@query(f"WITH {_RANKED} SELECT lang, sha256(string_agg('--- Context ' || (rank + 1) || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context FROM r WHERE rank < 5 GROUP BY lang")
+def context_format(spark, sf):
+    return answers.context(_ranked(spark, sf).where("rank < 5"), "lang").select("lang", F.sha2("context", 256).alias("context"))
+
+
+_CONF = f"WITH a AS (SELECT conv_id, turn, text, turn % 4 AS n, turn % 3 AS attempt, (conv_id % 10) / 10.0 AS s FROM conversations WHERE role = 'assistant'), c AS (SELECT *, CAST(round(greatest(0.0, least(1.0, CASE WHEN regexp_matches(lower(text), '{rules.FALLBACK}') THEN 0.3 ELSE CAST(0.4 AS DOUBLE) * least(1.0, s) + CAST(0.3 AS DOUBLE) * least(1.0, CAST(n AS DOUBLE) / 3) + CAST(0.3 AS DOUBLE) * least(1.0, CAST(len({WORDS}) AS DOUBLE) / 20) END)), 3) AS DOUBLE) AS score FROM a)"
+
+
+@query(_CONF + " SELECT conv_id, turn, score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS level, CASE WHEN attempt >= 2 OR score >= 0.7 THEN 'stop' WHEN score >= 0.5 AND attempt = 0 THEN 'expand_query' WHEN score < 0.5 THEN 'increase_k' ELSE 'stop' END AS action FROM c")
+def confidence_feedback(spark, sf):
+    a = t(spark, sf, "conversations").where("role = 'assistant'")
+    s = answers.confidence((F.col("conv_id") % 10) / 10.0, F.col("turn") % 4, F.col("text"))
+    return a.select("conv_id", "turn", s.alias("score")).select("conv_id", "turn", "score", answers.level(F.col("score")).alias("level"), answers.feedback(F.col("score"), F.col("turn") % 3).alias("action"))
+
+
+# ---------------------------------------------------------------- structured data
+
+FHIR = [
+    '{"resourceType":"Patient","id":"p1","name":[{"given":["Ann","B"],"family":"Lee"}],"birthDate":"1960-01-02","gender":"female"}',
+    '{"resourceType":"MedicationRequest","id":"m1","status":"active","authoredOn":"2024-01-05","subject":{"reference":"Patient/p1"},"medicationCodeableConcept":{"coding":[{"display":"aspirin"}]},"dosageInstruction":[{"text":"81 mg daily"}]}',
+    '{"resourceType":"Observation","id":"o1","status":"final","effectiveDateTime":"2024-01-06","subject":{"reference":"Patient/p1"},"code":{"text":"glucose"},"valueQuantity":{"value":5.5,"unit":"mmol/L"}}',
+    '{"resourceType":"Condition","id":"c1","subject":{"reference":"Patient/p1"},"code":{"coding":[{"system":"http://hl7.org/ICD-10","code":"I10","display":"hypertension"}]},"clinicalStatus":{"coding":[{"code":"active"}]},"onsetDateTime":"2020-02-02"}',
+    '{"resourceType":"Condition","id":"c2","code":{"coding":[]}}',
+]
+
+
+@query("""SELECT * FROM (VALUES ('Patient','p1','p1','Ann B Lee',NULL,NULL,NULL,'1960-01-02'), ('MedicationRequest','m1','p1','aspirin','81 mg daily',NULL,'active','2024-01-05'),
+('Observation','o1','p1','glucose','5.5','mmol/L','final','2024-01-06'), ('Condition','c1','p1','hypertension','I10',NULL,'active','2020-02-02'), ('Condition','c2',NULL,'unknown',NULL,NULL,'unknown',NULL)) AS v(resource_type, resource_id, patient_id, name, value, unit, status, date)""")
+def fhir_resources(spark, sf):
+    return loaders.fhir(spark.createDataFrame([(x,) for x in FHIR], "json string"))
+
+
+HL7 = "MSH|^~\\&|A|B|C|D|20240101||ORU^R01\nPID|1||p7||Lee^Ann||19600102\nOBX|1|NM|GLU||5.5|mmol/L\nOBX|2|NM|NA||140|mmol/L"
+
+
+@query("SELECT 1 AS msg_id, * FROM (VALUES ('1','GLU','5.5','mmol/L'), ('2','NA','140','mmol/L')) AS v(set_id, code, value, units)")
+def hl7_obx(spark, sf):
+    return loaders.hl7_observations(spark.createDataFrame([(1, HL7)], "msg_id int, message string"))
+
+
+@query("SELECT 1 AS msg_id, '2' AS set_id, 'NA' AS code, '140' AS value, 'mmol/L' AS units")
+def hl7_last_segment(spark, sf):
+    return loaders.hl7_observations(spark.createDataFrame([(1, HL7)], "msg_id int, message string"), keep_all=False)
+
+
+@query("SELECT c.c_custkey, count(*) AS n, string_agg(o.o_orderpriority, ', ' ORDER BY o.o_orderkey) AS answer FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus = 'P' GROUP BY c.c_custkey")
+def structured_list(spark, sf):
+    o = t(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]), ", ").alias("answer"))
+    return o.join(t(spark, sf, "customer").select("c_custkey"), "c_custkey", "left_semi")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY")
+def structured_last_week(spark, sf):
+    o = t(spark, sf, "orders")
+    return o.crossJoin(F.broadcast(o.agg(F.max("o_orderdate").alias("now")))).where(F.col("o_orderdate") >= F.col("now") - F.expr("INTERVAL 7 DAYS")).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(sum(l_quantity), 6) AS quantity FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_mktsegment")
+def structured_join(spark, sf):
+    j = t(spark, sf, "lineitem").join(t(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey")).join(t(spark, sf, "customer"), F.expr("o_custkey = c_custkey"))
+    return j.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 6).alias("quantity"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+def pagination(spark, sf):
+    return t(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS version FROM orders")
+def version_numbering(spark, sf):
+    return ops.version_numbers(t(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "version")
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
+def latest_version(spark, sf):
+    return t(spark, sf, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("o_orderkey"))
+
+
+@query("WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 1) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, CASE WHEN a.user_id IS NULL THEN 'added' WHEN b.user_id IS NULL THEN 'removed' ELSE 'same' END AS change FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type")
+def version_diff(spark, sf):
+    e = t(spark, sf, "events")
+    a, b = (e.where(f"event_id % 2 = {i}").select("user_id", "event_type").distinct().withColumn(c, F.lit(1)) for i, c in ((0, "a"), (1, "b")))
+    return a.join(b, ["user_id", "event_type"], "full").select("user_id", "event_type", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("same").alias("change"))
+
+
+# ---------------------------------------------------------------- cache, metrics, audit
+
+
+@query(f"WITH x AS (SELECT q.vec_id AS query_id, v.vec_id, {_DOT} AS score FROM embeddings v JOIN embeddings q ON v.label = q.label WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id) SELECT query_id, arg_max(vec_id, (score, -vec_id)) AS vec_id, max(score) AS score FROM x GROUP BY query_id HAVING max(score) >= 0.2")
+def cache_lookup(spark, sf):
+    e = t(spark, sf, "embeddings")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    s = e.join(queries, "label").where("vec_id != query_id").select("query_id", "vec_id", retrieval.dot(F.col("embedding"), F.col("q")).alias("score"))
+    best = s.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("m"))
+    return best.where("m.score >= 0.2").select("query_id", (-F.col("m.v")).alias("vec_id"), F.col("m.score").alias("score"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY AND event_type <> 'error'")
+def cache_ttl(spark, sf):
+    e = t(spark, sf, "events")
+    return e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).where("event_type != 'error'").where(F.col("ts") >= F.col("now") - F.expr("INTERVAL 1 DAY")).select("event_id", "user_id")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5")
+def cache_evict_fifo(spark, sf):
+    return retrieval.top_k(t(spark, sf, "events"), "user_id", 5, F.desc("ts"), F.desc("event_id")).select("user_id", "event_id")
+
+
+@query("SELECT event_type, count(*) AS total, round(avg(value), 6) AS avg_latency, round(CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS DOUBLE) / greatest(count(*), 1), 6) AS error_rate, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def metrics_summary(spark, sf):
+    return ops.metrics_summary(t(spark, sf, "events"), "event_type")
+
+
+@query("SELECT event_type, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS INT) + 1] AS p95, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf):
+    v = F.col("value")
+    return t(spark, sf, "events").groupBy("event_type").agg(ops.p95(v).alias("p95"), F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.99), 6).alias("p99"))
+
+
+@query("WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), s AS (SELECT avg(n) AS m, stddev_samp(n) AS d FROM n) SELECT user_id, n, round((n - m) / d, 6) AS z FROM n, s WHERE (n - m) / d > 1.5")
+def anomalous_access(spark, sf):
+    n = t(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    s = n.agg(F.avg("n").alias("m"), F.stddev_samp("n").alias("d"))
+    z = (F.col("n") - F.col("m")) / F.col("d")
+    return n.crossJoin(F.broadcast(s)).where(z > 1.5).select("user_id", "n", F.round(z, 6).alias("z"))
+
+
+@query("WITH d AS (SELECT CAST(ts AS DATE) AS day, round(avg(value), 6) AS v FROM events GROUP BY 1), l AS (SELECT day, v, lag(v) OVER (ORDER BY day) AS before FROM d) SELECT day, v, before, coalesce(v < 0.95 * before, false) AS regressed FROM l")
+def regression_lag(spark, sf):
+    d = t(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.round(F.avg("value"), 6).alias("v"))
+    return d.withColumn("before", F.lag("v").over(Window.orderBy("day"))).withColumn("regressed", F.coalesce(F.col("v") < 0.95 * F.col("before"), F.lit(False)))
+
+
+@query("SELECT event_id, recent, recent > 1 AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS recent FROM events)")
+def rate_limit_window(spark, sf):
+    return ops.rate_limited(t(spark, sf, "events"), 3600, 1).select("event_id", "recent", "limited")
+
+
+@query("SELECT user_id, count(*) AS sessions, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL) GROUP BY user_id")
+def session_metrics(spark, sf):
+    return ops.sessions(t(spark, sf, "events")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n_events").alias("longest"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY ALL")
+def tumbling_metrics(spark, sf):
+    return streams.tumbling_metrics(t(spark, sf, "events")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "avg_value")
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+@query(_DENSE.replace("WHERE q.vec_id < 5", "WHERE q.vec_id < 5 AND v.vec_id <> q.vec_id") + """, k AS (SELECT *, CASE WHEN ql = label THEN 1 ELSE 0 END AS rel, sum(CASE WHEN ql = label THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS total FROM r)
+SELECT query_id, round(coalesce(max(CASE WHEN rel = 1 THEN 1.0 / (rank + 1) END), 0), 6) AS mrr, round(CAST(sum(CASE WHEN rank < 10 THEN rel ELSE 0 END) AS DOUBLE) / 10, 6) AS precision_at_10, round(CAST(sum(CASE WHEN rank < 10 THEN rel ELSE 0 END) AS DOUBLE) / max(total), 6) AS recall_at_10, round(sum(CASE WHEN rank < 10 THEN rel / log2(rank + 2) ELSE 0 END) / sum(CASE WHEN rank < least(10, total) THEN 1 / log2(rank + 2) ELSE 0 END), 6) AS ndcg_at_10 FROM k GROUP BY query_id""")
+def retrieval_quality(spark, sf):
+    e = t(spark, sf, "embeddings")
+    mine = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
+    s = e.crossJoin(F.broadcast(mine)).where("vec_id != query_id").select("query_id", "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("rel"), retrieval.dot(F.col("embedding"), F.col("q")).alias("score"))
+    w = Window.partitionBy("query_id")
+    r = s.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("score"), "vec_id")) - 1, "total": F.sum("rel").over(w)})
+    top = F.sum(F.when(F.col("rank") < 10, F.col("rel")).otherwise(0))
+    gain = F.sum(F.when(F.col("rank") < 10, F.col("rel") / F.log2(F.col("rank") + 2)).otherwise(0.0))
+    ideal = F.sum(F.when(F.col("rank") < F.least(F.lit(10), F.col("total")), 1 / F.log2(F.col("rank") + 2)).otherwise(0.0))
+    return r.groupBy("query_id").agg(F.round(F.coalesce(F.max(F.when(F.col("rel") == 1, 1 / (F.col("rank") + 1))), F.lit(0.0)), 6).alias("mrr"), F.round(top / 10, 6).alias("precision_at_10"), F.round(top / F.max("total"), 6).alias("recall_at_10"), F.round(gain / ideal, 6).alias("ndcg_at_10"))
+
+
+@query("SELECT lang, quality, count(*) AS n, round(avg(toxic), 6) AS toxic_share FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (quality), ())")
+def eval_grouping_sets(spark, sf):
+    j = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
+    return j.groupingSets([["lang"], ["quality"], []], "lang", "quality").agg(F.count("*").alias("n"), F.round(F.avg("toxic"), 6).alias("toxic_share"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, role, {TOK} AS w, lead({TOK}) OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM conversations), p AS (SELECT conv_id, turn, w, coalesce(x, []) AS x FROM c WHERE role = 'user'),
+o AS (SELECT *, CAST(coalesce(list_sum(list_transform(list_distinct(w), lambda v: least(len(list_filter(w, lambda y: y = v)), len(list_filter(x, lambda y: y = v))))), 0) AS BIGINT) AS common FROM p)
+SELECT conv_id, turn, round(CASE WHEN len(w) + len(x) = 0 THEN 0 ELSE 2.0 * common / (len(w) + len(x)) END, 6) AS f1 FROM o""")
+def token_f1(spark, sf):
+    c = t(spark, sf, "conversations").withColumn("x", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'user'")
+    p = c.select("conv_id", "turn", text.tokens(F.col("text")).alias("w"), text.tokens(F.coalesce("x", F.lit(""))).alias("x"))
+    times = lambda a, v: F.size(F.filter(a, lambda y: y == v))
+    common = F.aggregate(F.array_distinct("w"), F.lit(0), lambda s, v: s + F.least(times(F.col("w"), v), times(F.col("x"), v)))
+    n = F.size("w") + F.size("x")
+    return p.select("conv_id", "turn", F.round(F.when(n == 0, 0.0).otherwise(2.0 * common / F.nullif(n, F.lit(0))), 6).alias("f1"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    """BM25 search with personal data masked in the returned previews."""
+    hits = bm25_topk(spark, sf_dir)
+    docs = t(spark, sf_dir, "documents").select("doc_id", text.preview(text.mask_constant(F.col("text"), ("phone", "email"))).alias("preview"))
+    return docs.join(F.broadcast(hits), "doc_id")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries():
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def oracle_sql():
+    return dict(SQL)
