@@ -10,10 +10,11 @@ Candidates are confirmed on the full sets in two steps, so no bucket emits all i
 
 1. Each member of a bucket is compared with the bucket's smallest member.  Confirmed links
    give components.
-2. Only in buckets whose members still lie in several components, pairs across
-   components are compared, if their signatures allow the threshold (agreement below
-   ``threshold - 0.17`` has a probability under 1e-6 at the threshold).  Buckets of over
-   ``TILE`` members are cut into tiles and each pair of tiles is a task of its own.
+2. Only in buckets of three and more whose members still lie in several components, pairs
+   across components are compared, if their signatures allow the threshold (agreement
+   below ``threshold - 0.17`` has a probability under 1e-6 at the threshold), in place and
+   on their sets; only pairs that pass leave the task, to be confirmed on 64-bit hashes.
+   Buckets of over ``TILE`` members are cut into tiles, each pair of which is a group.
 
 Null or empty texts have empty sets and are linked with nothing.  Rows that share a
 doc_id count as one node.  An empty table gives an empty result.
@@ -96,7 +97,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(bucket, doc_id), a row a band."""
+    """(bucket, band, doc_id), a row a band."""
 
     def run(batches):
         import numpy as np
@@ -109,9 +110,10 @@ def _bands(reps: DataFrame) -> DataFrame:
                 sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(b.num_rows, BANDS, ROWS).astype(np.uint64)
                 key = mix((mix(sig + number[None, :, None]) * weights).sum(axis=2) + number)
                 ids = np.repeat(b.column(0).to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(ids)], ["bucket", "doc_id"])
+                bands = np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(bands), pa.array(ids)], ["bucket", "band", "doc_id"])
 
-    return reps.select("doc_id", "sig").mapInArrow(run, "bucket long, doc_id long")
+    return reps.select("doc_id", "sig").mapInArrow(run, "bucket long, band int, doc_id long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -129,11 +131,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose full sets meet 100 * intersection >= percent * union."""
-    pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = materialise(_sets(docs.join(wanted, "doc_id", "left_semi"), width), "sets")
     a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(a, "u").join(b, "v")
@@ -141,35 +140,47 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return both.where(shared * 100 >= (F.size("a") + F.size("b") - shared) * percent).select("u", "v")
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) of one bucket in different components whose signatures allow the threshold.
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of one bucket in different components that their sets' 32-bit hashes don't rule out.
 
-    members: bucket, doc_id, component, sig, n (members of the bucket).
+    members: bucket, band, doc_id, component, n (members of the bucket), sig, shingles.
+    A pair is compared only in the bucket of the first band that both agree on.
     """
-    need = int((threshold - 0.17) * BANDS * ROWS)
+    need = int((percent / 100 - 0.17) * BANDS * ROWS)
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), tiles).cast("int")
-    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).select("bucket", "i", "j", "mine", "doc_id", "component", "sig")
+    small = F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int"))
+    dealt = members.withColumns({"mine": mine, "short": small}).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).select("bucket", "i", "j", "band", "mine", "doc_id", "component", "sig", "short")
 
     def compare(table):
         import numpy as np
         import pyarrow as pa
 
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
         mine = table.column("mine").to_numpy()
         ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(len(ids), BANDS * ROWS)
+        short = [np.sort(x.values.to_numpy(zero_copy_only=False)) for x in table.column("short")]
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         us, vs = [], []
         for x in left.tolist():
             y = right[(comp[right] != comp[x]) & (ids[right] > ids[x] if i == j else ids[right] != ids[x])]
-            if len(y):
-                y = y[(sig[y] == sig[x]).sum(axis=1) >= need]
-                us.append(np.maximum(ids[y], ids[x]))
-                vs.append(np.minimum(ids[y], ids[x]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"u": pa.array(np.concatenate([empty, *us])), "v": pa.array(np.concatenate([empty, *vs]))})
+            if not len(y):
+                continue
+            equal = sig[y] == sig[x]
+            first = equal.reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            for k in y[(equal.sum(axis=1) >= need) & (first == band)].tolist():
+                a, b = short[x], short[k]
+                if len(a) > len(b):
+                    a, b = b, a
+                at = np.searchsorted(b, a)
+                at[at == len(b)] = 0
+                shared = int((b[at] == a).sum())  # never less than that of the full hashes
+                if shared * 100 >= (len(a) + len(b) - shared) * percent:
+                    us.append(max(int(ids[x]), int(ids[k])))
+                    vs.append(min(int(ids[x]), int(ids[k])))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
@@ -184,17 +195,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     bands = _bands(reps)
     pivots = bands.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = materialise(bands.join(pivots, "bucket"), "buckets")
+    sets = materialise(_sets(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), shingle), "sets")
     star = members.where("doc_id != pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct()
     star = star.join(reps.select(F.col("doc_id").alias("u"), F.col("sig").alias("a")), "u").join(reps.select(F.col("doc_id").alias("v"), F.col("sig").alias("b")), "v")
-    possible = materialise(_agreeing(star, int((percent / 100 - 0.17) * BANDS * ROWS)), "star")
-    links = materialise(confirm(possible, rows, shingle, percent), "links")
+    possible = _agreeing(star, int((percent / 100 - 0.17) * BANDS * ROWS))
+    links = materialise(confirm(possible, sets, percent), "links")
     first = components(links)
     label = F.coalesce(F.col("component"), F.col("doc_id")).alias("component")
-    named = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", label)
+    named = members.where("n > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "doc_id", "n", label)
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    rest = _across(named.join(mixed, "bucket", "left_semi").join(reps, "doc_id"), percent / 100)
-    more = confirm(rest.join(possible, ["u", "v"], "left_anti"), rows, shingle, percent)
-    final = components(links.union(more))
+    rest = _across(named.join(mixed, "bucket", "left_semi").join(reps, "doc_id").join(sets, "doc_id"), percent)
+    final = components(links.union(confirm(rest, sets, percent)))
     joined = every.join(classes, ["one", "two"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -68,6 +68,7 @@ def dedup_windows(docs: DataFrame, span: int = 13, shard_bytes: int = SHARD_BYTE
     def send(table, shared):
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
         kinds = {"shard": pa.int32(), "block": pa.int32(), "one": pa.binary(), "two": pa.binary(), "low": pa.binary(), "several": pa.binary()}
         if not table.num_rows or not shared.num_rows:
@@ -93,14 +94,20 @@ def dedup_windows(docs: DataFrame, span: int = 13, shard_bytes: int = SHARD_BYTE
         cut = shard_cuts(one, shards)
         used = [s for s in range(shards) if cut[s] < cut[s + 1]]
         part = lambda a: pa.array([a[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary())
-        return pa.table({"shard": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "one": part(one), "two": part(two), "low": part(low), "several": part(several)})
+        zipper = zstandard.ZstdCompressor(level=3)
+        packed = lambda a: pa.array([zipper.compress(a[cut[s] : cut[s + 1]].tobytes()) for s in used], pa.binary())
+        return pa.table({"shard": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "one": part(one), "two": part(two), "low": packed(low), "several": packed(several)})
 
     def answer(table):
         import numpy as np
         import pyarrow as pa
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor()
 
         def arrays(name, kind):
-            return [np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()]
+            raw = table.column(name).to_pylist()
+            return [np.frombuffer(x if name in ("one", "two") else unzip.decompress(x), dtype=kind) for x in raw]
 
         ones, twos, lows, sev = arrays("one", np.uint64), arrays("two", np.uint64), arrays("low", np.int64), arrays("several", bool)
         of = np.repeat(np.arange(len(ones)), [len(x) for x in ones])
