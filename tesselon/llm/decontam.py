@@ -8,8 +8,7 @@ the item), along which the whole item is laid over the document and compared tok
 token: the document is contaminated by the item if in some stretch of ``WINDOW`` tokens
 (the item's length if shorter) at least ``AGREE`` of them are equal.
 
-Items of fewer than ``SPAN`` tokens are found by a seed of their first token and all
-others (an exact match).  Null or empty texts and items match nothing.  Rows that share a doc_id are judged
+Items of fewer than ``SPAN`` tokens are found by a hash of all their tokens (an exact match).  Null or empty texts and items match nothing.  Rows that share a doc_id are judged
 by their own texts.  The benchmark's seeds are broadcast only if they number at most
 ``BROADCAST_SEEDS``; otherwise the join is a shuffle join.
 """
@@ -48,6 +47,12 @@ def _seeds(t: Column) -> Column:
     return F.concat(*[seeds(m, n) for n, m in enumerate(MASKS)])
 
 
+def _runs(t: Column, k: int) -> Column:
+    """array<struct(seed, at)> of all runs of k tokens."""
+    every = F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.struct(F.xxhash64(F.slice(t, i + 1, k)).alias("seed"), i.alias("at")))
+    return F.when(F.size(t) >= k, every).otherwise(F.array().cast("array<struct<seed:bigint,at:int>>"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, item_tokens, at: one row for each contaminated document and item.
 
@@ -66,7 +71,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if lengths:
         whole = short.select("item_id", F.xxhash64("item").alias("seed"))
         t = F.col("t")
-        runs = [F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i, k=k: F.struct(F.xxhash64(F.slice(t, i + 1, k)).alias("seed"), i.alias("at")))).otherwise(F.array().cast("array<struct<seed:bigint,at:int>>")) for k in lengths]
+        runs = [_runs(t, k) for k in lengths]
         short_hits = rows.select("doc_id", "copy", F.explode(F.concat(*runs)).alias("s")).select("doc_id", "copy", F.col("s.seed").alias("seed"), F.col("s.at").alias("line"))
         small = whole.count() <= BROADCAST_SEEDS
         lines = lines.union(short_hits.join(F.broadcast(whole) if small else whole, "seed").select("doc_id", "copy", "item_id", "line").distinct())
