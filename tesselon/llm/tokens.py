@@ -24,17 +24,16 @@ class PartEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     ``spaces`` tells whether a space belongs to the part after it (byte-level
-    vocabularies) or is dropped (word vocabularies).  The cache is emptied when it
-    holds ``cache`` entries, so memory is bounded; most entries are words that
-    occur once, so little is lost.
+    vocabularies) or is dropped (word vocabularies).  When the cache holds
+    ``cache`` entries, all but those of the texts at hand are dropped, so memory is
+    bounded; most entries are words that occur once, so little is lost.
     """
 
-    def __init__(self, path: str, spaces: bool, cache: int = 500_000):
+    def __init__(self, path: str, spaces: bool, cache: int = 250_000):
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaces, self.limit = spaces, cache
         self.parts: dict[str, bytes] = {}
         if spaces:
@@ -57,7 +56,8 @@ class PartEncoder:
 
         for i in range(0, len(pieces), 5000):
             some = pieces[i : i + 5000]
-            ids = np.asarray(self.tokenizer.encode(self.between.join(some), add_special_tokens=False).ids, dtype="<u4")
+            (got,) = self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)
+            ids = np.asarray(got.ids, dtype="<u4")
             if self.spaces:
                 stops = np.append(np.flatnonzero(ids == self.end), len(ids))
                 starts = np.append(0, stops[:-1] + 1)
@@ -72,14 +72,9 @@ class PartEncoder:
 
     def _learn(self, missing: set[str]) -> None:
         rule = _PIECE_SPACE if self.spaces else _PIECE_WORD
-        if len(self.parts) + len(missing) > self.limit:
-            self.parts.clear()
-        parts, single, several = self.parts, set(), {}
-        for p in missing:
-            if p.isalpha() or (p[0] == " " and p[1:].isalpha()):
-                single.add(p)
-            else:
-                several[p] = rule.findall(p)
+        parts = self.parts
+        single = {p for p in missing if p.removeprefix(" ").isalpha()}
+        several = {p: rule.findall(p) for p in missing - single}
         blank = set()
         for xs in several.values():
             for x in xs:
@@ -106,16 +101,14 @@ class PartEncoder:
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """One bytes value a text; null counts as empty."""
         cut = [self._cut(t) for t in texts]
-        get = self.parts.get
-        got = [None if c is None else list(map(get, c)) for c in cut]
-        missing = {p for c, g in zip(cut, got) if g is not None and None in g for p, x in zip(c, g) if x is None}
+        used = set().union(*[c for c in cut if c])
+        missing = used.difference(self.parts)
         if missing:
+            if len(self.parts) + len(missing) > self.limit:  # what these texts use stays
+                self.parts = {p: self.parts[p] for p in used - missing}
             self._learn(missing)
-            parts = self.parts
-            for i, (c, g) in enumerate(zip(cut, got)):
-                if g is not None and None in g:
-                    got[i] = [parts[p] if x is None else x for p, x in zip(c, g)]
-        return [self.whole(t) if g is None else b"".join(g) for t, g in zip(texts, got)]
+        get = self.parts.__getitem__
+        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
 _ENCODERS: dict[tuple, PartEncoder] = {}

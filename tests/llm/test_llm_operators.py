@@ -77,7 +77,6 @@ def test_token_files(docs, empty, planes):
 
     path = queries.vocabulary(queries.WORD_VOCABULARY)
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     got = {r.doc_id: r for r in token_files.token_files(docs, path, False, 2, planes=planes, block=100, file_ids=900).collect()}
     at = 0
     for d, t in sorted(known()):
