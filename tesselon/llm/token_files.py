@@ -209,10 +209,11 @@ def read_token_files(manifest: DataFrame, out: str) -> DataFrame:
     Only the token total of each writing task goes to the driver (a row a task).
     """
     spark = manifest.sparkSession
-    base, at = [], 0
-    for r in manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
+    base, at, n_files = [], 0, 0
+    for r in manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("files")).orderBy("part").collect():
         base.append((r["part"], at))
         at += r["n"]
+        n_files += r["files"]
     bases = spark.createDataFrame(base, "part int, base long")
     from pyspark.sql import Window
 
@@ -239,7 +240,8 @@ def read_token_files(manifest: DataFrame, out: str) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
-    return files.repartition("file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    # a stated number of tasks: the manifest is too small for adaptive planning to keep it apart
+    return files.repartition(max(1, n_files), "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def token_files(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, out: str | None = None, **how) -> DataFrame:
