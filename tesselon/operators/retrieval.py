@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, whitespace_words
 
+QUERY_BLOCK, VECTOR_PARTS, VECTOR_SLICE = 4096, 16, 512
+
 
 def postings(docs: DataFrame) -> DataFrame:
     """doc_id, term, tf: write it once and reuse it."""
@@ -42,6 +46,135 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float = -
     return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).where(F.col("score") >= least)
 
 
+def in_blocks(queries: DataFrame, vectors: DataFrame, start, fold, finish, schema: str) -> DataFrame:
+    """Each block of queries meets all vectors, dealt over VECTOR_PARTS streams: no task or broadcast holds a whole side.
+
+    start(queries) gives a state, fold(state, vectors) takes a slice of a stream, in order of vec_id, and
+    finish(state) gives an Arrow table; arguments are Arrow tables.
+    """
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    more = [c for c in queries.columns if c not in ("query_id", "q", "ql")]
+    q = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb")).select("*", every(VECTOR_PARTS).alias("vb"))
+    q = q.select("qb", "vb", F.lit(0).alias("kind"), F.col("query_id").alias("id"), F.col("q").alias("v"), F.col("ql").alias("label"), *more)
+    v = vectors.select("vec_id", "embedding", "label", F.pmod(F.xxhash64("vec_id"), F.lit(VECTOR_PARTS)).cast("int").alias("vb")).select("*", every(blocks).alias("qb"))
+    v = v.select("qb", "vb", F.lit(1).alias("kind"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    dealt = q.unionByName(v, allowMissingColumns=True).repartition(blocks * VECTOR_PARTS, "qb", "vb").sortWithinPartitions("qb", "vb", "kind", "id")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def done(asked, state):
+            out = finish(start(asked) if state is None else state)
+            return out.to_batches()
+
+        now, asked, state = None, None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            key = np.stack([table.column(c).to_numpy() for c in ("qb", "vb", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for x, y in zip(cuts, cuts[1:]):
+                part, (qb, vb, kind) = table.slice(x, y - x), key[x].tolist()
+                if (qb, vb) != now:
+                    if asked is not None:
+                        yield from done(asked, state)
+                    now, asked, state = (qb, vb), None, None
+                if kind == 0:
+                    asked = part if asked is None else pa.concat_tables([asked, part])
+                elif asked is not None:
+                    state = start(asked) if state is None else state
+                    for at in range(0, part.num_rows, VECTOR_SLICE):
+                        state = fold(state, part.slice(at, VECTOR_SLICE))
+        if asked is not None:
+            yield from done(asked, state)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def matrix(table):
+    import numpy as np
+
+    return np.array(table.column("v").to_pylist(), dtype=np.float64)
+
+
+def block_scores(q, a, v, same_label: bool, others: bool):
+    """Scores of all queries, of matrix a, with a slice of vectors (-inf where a vector may not be found)."""
+    import numpy as np
+
+    s = np.round(a @ matrix(v).T, 6) + 0.0
+    column = lambda t, c: t.column(c).to_numpy()
+    if same_label:
+        s[column(q, "label")[:, None] != column(v, "label")[None, :]] = -np.inf
+    if others:
+        s[column(q, "id")[:, None] == column(v, "id")[None, :]] = -np.inf
+    return s
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int, same_label: bool = False, others: bool = False) -> DataFrame:
+    """query_id, vec_id, score, rel, rank (0-based): the k best of all vectors for each of (query_id, q, ql).
+
+    rel: the labels agree.  same_label: only such vectors are found; others: a query does not find itself.
+    Each stream gives its k best of a query, and these are ranked.
+    """
+
+    def start(q):
+        import numpy as np
+
+        none = lambda x, t: np.full((q.num_rows, k), x, dtype=t)
+        return q, matrix(q), none(-np.inf, np.float64), none(-1, np.int64), none(0, np.int32)
+
+    def fold(state, v):
+        import numpy as np
+
+        q, a, score, found, rel = state
+        new = block_scores(q, a, v, same_label, others)
+        hit = np.flatnonzero((new > score[:, -1:]).any(axis=1))  # equal scores stay with the smaller ids, which came before
+        s = np.concatenate([score[hit], new[hit]], axis=1)
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        wide = lambda old, x: np.take_along_axis(np.concatenate([old[hit], x], axis=1), order, axis=1)
+        same = q.column("label").to_numpy()[hit][:, None] == v.column("label").to_numpy()[None, :]
+        found[hit] = wide(found, np.broadcast_to(v.column("id").to_numpy(), (len(hit), v.num_rows)))
+        rel[hit] = wide(rel, same.astype(np.int32))
+        score[hit] = np.take_along_axis(s, order, axis=1)
+        return q, a, score, found, rel
+
+    def finish(state):
+        import numpy as np
+        import pyarrow as pa
+
+        q, _, score, found, rel = state
+        i, j = np.nonzero(np.isfinite(score))
+        return pa.table({"query_id": pa.array(q.column("id").to_numpy()[i], pa.int64()), "vec_id": pa.array(found[i, j], pa.int64()), "score": score[i, j], "rel": pa.array(rel[i, j], pa.int32())})
+
+    best = in_blocks(queries, vectors, start, fold, finish, "query_id long, vec_id long, score double, rel int")
+    return top_k(best, "query_id", k, F.desc("score"), F.col("vec_id"))
+
+
+def first_relevant(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query_id, rank: the place of the best other vector of the query's label among all other vectors."""
+    best = dense_search(queries, vectors, 1, same_label=True, others=True).select("query_id", F.col("vec_id").alias("best_id"), F.col("score").alias("best"))
+
+    def start(q):
+        import numpy as np
+
+        return q, matrix(q), np.zeros(q.num_rows, dtype=np.int64)
+
+    def fold(state, v):
+        q, a, n = state
+        s = block_scores(q, a, v, False, True)
+        best, best_id = (q.column(c).to_numpy()[:, None] for c in ("best", "best_id"))
+        return q, a, n + ((s > best) | ((s == best) & (v.column("id").to_numpy()[None, :] < best_id))).sum(axis=1)
+
+    def finish(state):
+        import pyarrow as pa
+
+        return pa.table({"query_id": state[0].column("id"), "ahead": pa.array(state[2], pa.int64())})
+
+    counted = in_blocks(queries.join(best, "query_id"), vectors, start, fold, finish, "query_id long, ahead long")
+    return counted.groupBy("query_id").agg(F.sum("ahead").alias("rank"))
+
+
 def hash_buckets(text: Column, dim: int) -> Column:
     return F.transform(whitespace_words(F.lower(text)), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
 

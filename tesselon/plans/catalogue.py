@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -234,6 +235,30 @@ def dense_topk_filtered(spark, sf):
     return retrieval.top_k(s, "query_id", 5, F.desc("score"), F.col("vec_id"))
 
 
+_DENSE_ALL = _DENSE.replace("WHERE q.vec_id < 5", "WHERE q.vec_id % 20 = 0")
+
+
+def _asking(spark, sf):
+    """The stated query set, every row whose id is divisible by 20, and all rows."""
+    e = t(spark, sf, "embeddings")
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql")), e
+
+
+@query(_DENSE_ALL + " SELECT query_id, vec_id, score, rank FROM r WHERE rank < 10")
+def dense_topk_batch_all(spark, sf):
+    return retrieval.dense_search(*_asking(spark, sf), 10).drop("rel")
+
+
+@query(_DENSE_ALL + " SELECT query_id, vec_id, score, rank FROM r WHERE rank < 20 AND score >= 0.3")
+def dense_min_score_all(spark, sf):
+    return retrieval.dense_search(*_asking(spark, sf), 20).where("score >= 0.3").drop("rel")
+
+
+@query(_DENSE_ALL.replace("% 20 = 0", "% 20 = 0 AND v.label = q.label") + " SELECT query_id, vec_id, score, rank FROM r WHERE rank < 5")
+def dense_topk_filtered_all(spark, sf):
+    return retrieval.dense_search(*_asking(spark, sf), 5, same_label=True).drop("rel")
+
+
 @query(r"SELECT b AS bucket, count(*) AS n FROM (SELECT ('0x' || md5(w)[:8])::BIGINT % 64 AS b FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w FROM documents)) GROUP BY b")
 def hash_embed(spark, sf):
     return t(spark, sf, "documents").select(F.explode(F.transform(retrieval.hash_buckets(F.col("text"), 64), lambda b: b.cast("long"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
@@ -466,6 +491,18 @@ def retrieval_quality(spark, sf):
     return r.groupBy("query_id").agg(F.round(F.coalesce(F.max(F.when(F.col("rel") == 1, 1 / (F.col("rank") + 1))), F.lit(0.0)), 6).alias("mrr"), F.round(top / 10, 6).alias("precision_at_10"), F.round(top / F.max("total"), 6).alias("recall_at_10"), F.round(gain / ideal, 6).alias("ndcg_at_10"))
 
 
+@query(_DENSE_ALL.replace("% 20 = 0", "% 20 = 0 AND v.vec_id <> q.vec_id") + """, k AS (SELECT *, CASE WHEN ql = label THEN 1 ELSE 0 END AS rel, sum(CASE WHEN ql = label THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS total FROM r)
+ SELECT query_id, round(coalesce(max(CASE WHEN rel = 1 THEN 1.0 / (rank + 1) END), 0), 6) AS mrr, round(CAST(sum(CASE WHEN rank < 10 THEN rel ELSE 0 END) AS DOUBLE) / 10, 6) AS precision_at_10, round(CAST(sum(CASE WHEN rank < 10 THEN rel ELSE 0 END) AS DOUBLE) / nullif(max(total), 0), 6) AS recall_at_10, round(sum(CASE WHEN rank < 10 THEN rel / log2(rank + 2) ELSE 0 END) / nullif(sum(CASE WHEN rank < least(10, total) THEN 1 / log2(rank + 2) ELSE 0 END), 0), 6) AS ndcg_at_10 FROM k GROUP BY query_id""")
+def retrieval_quality_all(spark, sf):
+    mine, e = _asking(spark, sf)
+    top = retrieval.dense_search(mine, e, 10, others=True).groupBy("query_id").agg(F.sum("rel").alias("hits"), F.sum(F.col("rel") / F.log2(F.col("rank") + 2)).alias("gain"))
+    total = mine.select("query_id", F.col("ql").alias("label")).join(e.groupBy("label").agg((F.count("*") - 1).alias("total")), "label").drop("label")
+    ideal = F.element_at(F.array(*[F.lit(sum(1 / math.log2(i + 2) for i in range(n))) for n in range(1, 11)]), F.greatest(F.lit(1), F.least(F.lit(10), F.col("total"))).cast("int"))
+    r = top.join(total, "query_id").join(retrieval.first_relevant(mine, e), "query_id", "left")
+    some = F.col("total") > 0
+    return r.select("query_id", F.round(F.coalesce(1 / (F.col("rank") + 1), F.lit(0.0)), 6).alias("mrr"), F.round(F.col("hits") / 10, 6).alias("precision_at_10"), F.round(F.when(some, F.col("hits") / F.col("total")), 6).alias("recall_at_10"), F.round(F.when(some, F.col("gain") / ideal), 6).alias("ndcg_at_10"))
+
+
 @query("SELECT lang, quality, count(*) AS n, round(avg(toxic), 6) AS toxic_share FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (quality), ())")
 def eval_grouping_sets(spark, sf):
     j = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")

@@ -43,3 +43,18 @@ def test_stream_metrics_equal_batch(spark):
     run.stop()
     batch = streams.tumbling_metrics(spark.read.parquet(f"{path}/events.parquet"))
     assert spark.table("hourly").exceptAll(batch).count() == 0 == batch.exceptAll(spark.table("hourly")).count()
+
+
+def test_dense_search_takes_every_twentieth_row(spark, tmp_path, monkeypatch):
+    from tesselon.operators import retrieval
+    from tesselon.plans import catalogue
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "VECTOR_SLICE", 3)
+    rows = [(i, [float(i), 1.0], i % 2) for i in range(101)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalogue.queries()["dense_topk_batch_all"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in found} == {0, 20, 40, 60, 80, 100} and len(found) == 60
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == 20] == list(range(100, 90, -1))
+    quality = {r.query_id: r for r in catalogue.queries()["retrieval_quality_all"](spark, str(tmp_path)).collect()}
+    assert len(quality) == 6 and quality[100].mrr == 0.5 and quality[20].precision_at_10 == 0.5
