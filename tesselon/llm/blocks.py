@@ -19,6 +19,7 @@ from .common import texts_of
 
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 16 << 20
+LIGHT = 512
 
 
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -60,10 +61,12 @@ def in_order(table):
 # ---------------------------------------------------------------- which keys occur in several documents
 
 
-def shared_keys(texts: DataFrame, keys_of, shards: int) -> DataFrame:
+def shared_keys(texts: DataFrame, keys_of, shards: int, most: int | None = None) -> DataFrame:
     """(block, keys): for each block, its keys that also occur in another document (8 bytes a key).
 
-    ``keys_of(table)`` gives two arrays for a block: 64-bit keys and document numbers.
+    ``keys_of(table)`` gives two arrays for a block: 64-bit keys and document numbers.  With ``most``, it also
+    gives the keys that bring LIGHT bytes or more from the block, sorted, and these bytes; then ``hot`` has those of
+    the block's keys that bring over ``most`` bytes from all blocks, and ``bytes`` how many at most.
     """
 
     def send(table):
@@ -71,7 +74,7 @@ def shared_keys(texts: DataFrame, keys_of, shards: int) -> DataFrame:
         import pyarrow as pa
 
         block = table.column("block")[0].as_py()
-        keys, owner = keys_of(table)
+        keys, owner, *heavy = keys_of(table)
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -79,7 +82,11 @@ def shared_keys(texts: DataFrame, keys_of, shards: int) -> DataFrame:
         several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first) if len(first) else np.zeros(0, bool)
         cut = shard_cuts(uniq, shards)
         used = [s for s in range(shards) if cut[s] < cut[s + 1]]
-        return pa.table({"shard": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "keys": pa.array([uniq[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary()), "several": pa.array([np.packbits(several[cut[s] : cut[s + 1]]).tobytes() for s in used], pa.binary())})
+        more = {}
+        if most is not None:
+            part = shard_cuts(heavy[0], shards)
+            more = {c: pa.array([x[part[s] : part[s + 1]].tobytes() for s in used], pa.binary()) for c, x in zip(("heavy", "weight"), heavy)}
+        return pa.table(more | {"shard": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "keys": pa.array([uniq[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary()), "several": pa.array([np.packbits(several[cut[s] : cut[s + 1]]).tobytes() for s in used], pa.binary())})
 
     def answer(table):
         import numpy as np
@@ -89,16 +96,27 @@ def shared_keys(texts: DataFrame, keys_of, shards: int) -> DataFrame:
         several = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("several").to_pylist(), lists)]
         every = np.sort(np.concatenate(lists))
         again = np.unique(every[1:][every[1:] == every[:-1]])
-        blocks, out = [], []
+        hot, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if most is not None:
+            heavy, weight = (np.concatenate([np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()]) for c, t in (("heavy", np.uint64), ("weight", np.int64)))
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+            uniq, total = every[first], np.diff(np.append(first, len(every))) * LIGHT
+            np.add.at(total, np.searchsorted(uniq, heavy), weight)
+            hot, total = uniq[total > most], total[total > most]
+        blocks, out, hots, sizes = [], [], [], []
         for b, k, m in zip(table.column("block").to_pylist(), lists, several):
             got = k[m | contains(again, k)]
             if len(got):
                 blocks.append(b)
                 out.append(got.tobytes())
-        return pa.table({"block": pa.array(blocks, pa.int32()), "keys": pa.array(out, pa.binary())})
-
-    sent = texts.groupBy("block").applyInArrow(send, "shard int, block int, keys binary, several binary")
-    return sent.groupBy("shard").applyInArrow(answer, "block int, keys binary")
+                mine = contains(got, hot)
+                hots.append(hot[mine].tobytes())
+                sizes.append(total[mine].tobytes())
+        more = {"hot": pa.array(hots, pa.binary()), "bytes": pa.array(sizes, pa.binary())} if most is not None else {}
+        return pa.table({"block": pa.array(blocks, pa.int32()), "keys": pa.array(out, pa.binary())} | more)
+
+    sent = texts.groupBy("block").applyInArrow(send, ("" if most is None else "heavy binary, weight binary, ") + "shard int, block int, keys binary, several binary")
+    return sent.groupBy("shard").applyInArrow(answer, "block int, keys binary" + ("" if most is None else ", hot binary, bytes binary"))
 
 
 def joined_keys(table):

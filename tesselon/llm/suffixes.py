@@ -9,6 +9,11 @@ text once a block.  A shard sorts the suffixes of its texts (see ``induced``); s
 next to each other whose common prefix reaches ``span`` bytes are equal windows, and each
 such group learns the smallest doc_id that holds it.
 
+A key may be hot: a frequent phrase has one key in all its contexts.  If the distinct
+texts of a key pass ``HOT_TEXT`` bytes, its windows are sent one by one and dealt over
+several shards by a second content key, the hash of the window, so that no shard grows
+with the documents that hold a phrase.
+
 The common prefix is taken by comparing neighbours in the sorted order, up to ``span``
 bytes, rather than carried through the queues: only whether it reaches ``span`` counts.
 
@@ -24,13 +29,15 @@ import zlib
 
 from pyspark.sql import DataFrame
 
-from .blocks import blocked, contains, in_order, joined_keys, shard_cuts, shared_keys
+from .blocks import LIGHT, blocked, contains, in_order, joined_keys, shard_cuts, shared_keys
 from .induced import suffix_array
 from .words import mix
 
 GRAM = 18
 CHUNK = 1 << 20
 SHARD_TEXT = 2 << 20
+HOT_TEXT = 1 << 20
+HOT_WINDOWS = 200_000
 
 
 def runs_of(raw: bytes, span: int):
@@ -101,13 +108,29 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
     def keys_of(table):
         import numpy as np
 
-        keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for doc, t in in_order(table):
-            _, _, k = runs_of((t or "").encode(), span)
+        keys, owner, runs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        raw = [(t or "").encode() for _, t in in_order(table)]
+        for i, doc in enumerate(table.column("doc_id").to_pylist()):
+            start, n, k = runs_of(raw[i], span)
+            runs.append((np.full(len(k), i), start, n + span - 1, k))
             k = np.unique(k)
             keys.append(k)
             owner.append(np.full(len(k), doc))
-        return np.concatenate(keys), np.concatenate(owner)
+        return np.concatenate(keys), np.concatenate(owner), *heavy_of(raw, *(np.concatenate(x) for x in zip(*runs)))
+
+    def heavy_of(raw, of, start, size, key):
+        """The keys whose distinct texts in the block have LIGHT bytes or more, and these bytes."""
+        import numpy as np
+
+        uniq, at = np.unique(key, return_inverse=True)
+        on = np.flatnonzero((np.bincount(at, weights=size, minlength=len(uniq)) >= LIGHT)[at])
+        total, seen = np.zeros(len(uniq), np.int64), set()
+        for k, d, s, n in zip(at[on].tolist(), of[on].tolist(), start[on].tolist(), size[on].tolist()):
+            piece = raw[d][s : s + n]
+            if piece not in seen:
+                seen.add(piece)
+                total[k] += n
+        return uniq[total >= LIGHT], total[total >= LIGHT]
 
     def send(table, shared):
         import numpy as np
@@ -115,15 +138,45 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
         import xxhash
         import zstandard
 
-        kinds = {"shard": pa.int32(), "block": pa.int32(), "key": pa.binary(), "name": pa.binary(), "low": pa.binary(), "several": pa.binary(), "size": pa.binary(), "text": pa.binary()}
+        kinds = {"shard": pa.int64(), "block": pa.int32(), "hot": pa.bool_(), "key": pa.binary(), "name": pa.binary(), "low": pa.binary(), "several": pa.binary(), "size": pa.binary(), "text": pa.binary()}
         if not table.num_rows or not shared.num_rows:
             return pa.table({k: pa.array([], v) for k, v in kinds.items()})
-        block, known, seen = table.column("block")[0].as_py(), joined_keys(shared), {}
+        block, known, seen, zipper = table.column("block")[0].as_py(), joined_keys(shared), {}, zstandard.ZstdCompressor(level=3)
+        hot = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in shared.column("hot").to_pylist()])
+        parts = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in shared.column("bytes").to_pylist()])
+        parts = dict(zip(hot.tolist(), (-(-parts * span // SHARD_TEXT)).tolist()))
+        rows, windows = {c: [] for c in kinds}, {}
+
+        def row(shard, is_hot, key, name, low, several, pieces):
+            size = np.fromiter(map(len, pieces), np.uint32, len(pieces))
+            packed = [zipper.compress(x.tobytes()) for x in ((key >> np.uint64(32)).astype(np.uint32), low, several, size)]
+            for c, x in zip(kinds, (shard, block, is_hot, packed[0], name.tobytes(), *packed[1:], zipper.compress(b"".join(pieces)))):
+                rows[c].append(x)
+
+        def deal():
+            """The windows of hot keys, by the hash of each."""
+            dealt = {}
+            for (x, w), (least, last) in windows.items():
+                name = xxhash.xxh3_64_intdigest(w)
+                dealt.setdefault((x, name % parts[x]), []).append((name, least, least < last, w))
+            for (x, part), found in dealt.items():
+                name, low, several, texts = zip(*found)
+                to = shards + (xxhash.xxh3_64_intdigest(b"%d %d" % (x, part)) >> 2)
+                row(to, True, np.full(len(found), x, np.uint64), np.array(name, np.uint64), np.array(low, np.int64), np.array(several, bool), texts)
+            windows.clear()
+
         for doc, t in in_order(table):
             raw = (t or "").encode()
             start, n, key = runs_of(raw, span)
             on = contains(known, key)
             for s, k, x in zip(start[on].tolist(), n[on].tolist(), key[on].tolist()):
+                if x in parts:
+                    for i in range(s, s + k):
+                        old = windows.setdefault((x, raw[i : i + span]), [doc, doc])
+                        old[:] = min(old[0], doc), max(old[1], doc)
+                    if len(windows) > HOT_WINDOWS:
+                        deal()
+                    continue
                 piece = raw[s : s + k + span - 1]
                 old = seen.get(piece)
                 if old is None:
@@ -140,12 +193,13 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
         name = np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], dtype=np.uint64)
         low = np.array([seen[p][1] for p in pieces], dtype=np.int64)
         several = low < np.array([seen[p][2] for p in pieces], dtype=np.int64)
-        size = np.array([len(p) for p in pieces], dtype=np.int64)
         cut = shard_cuts(key, shards)
-        used, zipper = [s for s in range(shards) if cut[s] < cut[s + 1]], zstandard.ZstdCompressor(level=3)
-        packed = lambda a: pa.array([zipper.compress(a[cut[s] : cut[s + 1]].tobytes()) for s in used], pa.binary())
-        plain = pa.array([name[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary())
-        return pa.table({"shard": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "key": packed((key >> np.uint64(32)).astype(np.uint32)), "name": plain, "low": packed(low), "several": packed(several), "size": packed(size.astype(np.uint32)), "text": pa.array([zipper.compress(b"".join(pieces[cut[s] : cut[s + 1]])) for s in used], pa.binary())})
+        for i in range(shards):
+            a, b = cut[i : i + 2]
+            if a < b:
+                row(i, False, key[a:b], name[a:b], low[a:b], several[a:b], pieces[a:b])
+        deal()
+        return pa.table({c: pa.array(rows[c], k) for c, k in kinds.items()})
 
     def answer(table):
         import numpy as np
@@ -153,8 +207,8 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
         import zstandard
 
         numbers, distinct, low_of, records, unzip, zipper = {}, [], [], [], zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        cols = [table.column(c).to_pylist() for c in ("block", "key", "name", "low", "several", "size", "text")]
-        for block, key, name, low, several, size, text in zip(*cols):
+        cols = [table.column(c).to_pylist() for c in ("block", "hot", "key", "name", "low", "several", "size", "text")]
+        for block, hot, key, name, low, several, size, text in zip(*cols):
             low, raw, at, mine = np.frombuffer(unzip.decompress(low), dtype=np.int64), unzip.decompress(text), 0, []
             for x, n in zip(low.tolist(), np.frombuffer(unzip.decompress(size), dtype=np.uint32).tolist()):
                 piece = raw[at : at + n]
@@ -167,12 +221,12 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
                 elif x < low_of[k]:
                     low_of[k] = x
                 mine.append(k)
-            records.append((block, np.frombuffer(unzip.decompress(key), dtype=np.uint32), np.frombuffer(name, dtype=np.uint64), low, np.frombuffer(unzip.decompress(several), dtype=bool), np.array(mine)))
+            records.append((block, hot, np.frombuffer(unzip.decompress(key), dtype=np.uint32), np.frombuffer(name, dtype=np.uint64), low, np.frombuffer(unzip.decompress(several), dtype=bool), np.array(mine)))
         numbers.clear()
         of, first, n, value = window_minima(distinct, np.array(low_of, dtype=np.int64), span)
         begin = np.searchsorted(of, np.arange(len(distinct) + 1))
-        out = {"block": [], "key": [], "name": [], "first": [], "n": [], "low": []}
-        for block, key, name, low, several, mine in records:
+        out = {"block": [], "hot": [], "key": [], "name": [], "first": [], "n": [], "low": []}
+        for block, hot, key, name, low, several, mine in records:
             count = begin[mine + 1] - begin[mine]
             row = np.repeat(np.arange(len(mine)), count)
             run = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begin[mine][row]
@@ -180,9 +234,10 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
             if ok.any():
                 row, run = row[ok], run[ok]
                 out["block"].append(block)
+                out["hot"].append(hot)
                 for c, x in (("key", key[row]), ("name", name[row]), ("first", first[run]), ("n", n[run]), ("low", value[run])):
                     out[c].append(zipper.compress(x.tobytes()))
-        return pa.table({c: pa.array(x, pa.int32() if c == "block" else pa.binary()) for c, x in out.items()})
+        return pa.table({c: pa.array(x, {"block": pa.int32(), "hot": pa.bool_()}.get(c, pa.binary())) for c, x in out.items()})
 
     def remove(table, found):
         import numpy as np
@@ -190,10 +245,11 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
         import xxhash
         import zstandard
 
-        known, notes, unzip = np.zeros(0, np.uint32), {}, zstandard.ZstdDecompressor()
+        known, hot, notes, unzip = np.zeros(0, np.uint32), set(), {}, zstandard.ZstdDecompressor()
         if found.num_rows:
             key, name, first, n, low = (np.concatenate([np.frombuffer(unzip.decompress(x), dtype=k) for x in found.column(c).to_pylist()]) for c, k in (("key", np.uint32), ("name", np.uint64), ("first", np.int64), ("n", np.int64), ("low", np.int64)))
             known = np.unique(key)
+            hot = set(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(unzip.decompress(x), dtype=np.uint32) for x, h in zip(found.column("key").to_pylist(), found.column("hot").to_pylist()) if h)]).tolist())
             for x, *note in zip(name.tolist(), first.tolist(), n.tolist(), low.tolist()):
                 notes.setdefault(x, []).append(note)
         rows = []
@@ -203,10 +259,13 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
             if len(known) and len(raw) >= span:
                 start, n, key = runs_of(raw, span)
                 on = contains(known, (key >> np.uint64(32)).astype(np.uint32))
-                for s, k in zip(start[on].tolist(), n[on].tolist()):
-                    for first, m, low in notes.get(xxhash.xxh3_64_intdigest(raw[s : s + k + span - 1]), ()):
+                for s, k, x in zip(start[on].tolist(), n[on].tolist(), (key[on] >> np.uint64(32)).tolist()):
+                    hits = [(s + first, m, low) for first, m, low in notes.get(xxhash.xxh3_64_intdigest(raw[s : s + k + span - 1]), ())]
+                    if x in hot:
+                        hits = sorted([*hits, *((i + first, m, low) for i in range(s, s + k) for first, m, low in notes.get(xxhash.xxh3_64_intdigest(raw[i : i + span]), ()))])
+                    for first, m, low in hits:
                         if low < doc:
-                            a, b = s + first, s + first + m + span - 1
+                            a, b = first, first + m + span - 1
                             if spans and a <= spans[-1][1]:
                                 spans[-1][1] = max(spans[-1][1], b)
                             else:
@@ -222,7 +281,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
         return pa.table([pa.array(c, t) for c, t, _ in zip(zip(*rows) if rows else [[]] * 7, kinds, names)], names=names)
 
     by_block = texts.groupBy("block")
-    shared = shared_keys(texts, keys_of, shards)
-    sent = by_block.cogroup(shared.groupBy("block")).applyInArrow(send, "shard int, block int, key binary, name binary, low binary, several binary, size binary, text binary")
-    found = sent.groupBy("shard").applyInArrow(answer, "block int, key binary, name binary, first binary, n binary, low binary")
+    shared = shared_keys(texts, keys_of, shards, HOT_TEXT)
+    sent = by_block.cogroup(shared.groupBy("block")).applyInArrow(send, "shard long, block int, hot boolean, key binary, name binary, low binary, several binary, size binary, text binary")
+    found = sent.groupBy("shard").applyInArrow(answer, "block int, hot boolean, key binary, name binary, first binary, n binary, low binary")
     return by_block.cogroup(found.groupBy("block")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_crc32 long" + ", kept string" * keep_text)

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tesselon.llm import decontam, gif, induced, minhash, packing, queries, shards, substrings, suffixes, token_files, toxicity, urls
+from tesselon.llm import blocks, decontam, gif, induced, minhash, packing, queries, shards, substrings, suffixes, token_files, toxicity, urls
 
 random.seed(5)
 VOCAB = ["w" + "".join(random.choice("abcdeéß") for _ in range(random.randint(1, 7))) for _ in range(300)]
@@ -186,6 +186,30 @@ def test_near_duplicates_chain(spark):
     assert got == {i: find(i) for i in range(30)}
 
 
+def test_suffix_dedup_splits_a_hot_key(spark, monkeypatch):
+    random.seed(5)
+    phrase = "one very common phrase of the corpus"
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(60))
+    rows = [(i, f"{word()} {phrase} {word()}") for i in range(300)]
+    rows += [(1000 + i, rows[i][1][5:]) for i in range(0, 300, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r.doc_id: tuple(r) for r in suffixes.dedup_suffixes(docs).collect()}
+    texts, _ = blocks.blocked(docs, 4096)
+    monkeypatch.setattr(suffixes, "blocked", lambda d: (texts, 1 << 20))
+    monkeypatch.setattr(suffixes, "SHARD_TEXT", 16384)
+    monkeypatch.setattr(suffixes, "HOT_TEXT", 4096, raising=False)
+    monkeypatch.setattr(suffixes, "HOT_WINDOWS", 500, raising=False)
+    sort = suffixes.window_minima
+
+    def bounded(texts, low, span):
+        assert sum(map(len, texts)) <= 16384, "a shard's text"
+        return sort(texts, low, span)
+
+    monkeypatch.setattr(suffixes, "window_minima", bounded)
+    got = {r.doc_id: tuple(r) for r in suffixes.dedup_suffixes(docs).collect()}
+    assert got == want and all(want[1000 + i][2] == len(rows[i][1]) - 5 for i in range(0, 300, 3))
+
+
 def test_decontamination_tolerates_substitutions(spark):
     item = prose(30)
     w = item.split()
