@@ -312,6 +312,46 @@ def cache_key_and_structured_route(spark, sf):
     return _asked(spark).select("n", intent.cache_key(F.lit("p1"), F.col("query")).alias("cache_key"), intent.structured_kind(F.col("query")).alias("kind"))
 
 
+# The same over every user turn of the conversations.
+_EDGE = r"(?i)(?:^|[^\p{{L}}\p{{N}}_]){}(?:$|[^\p{{L}}\p{{N}}_])"  # in DuckDB \b knows ASCII letters only
+_TURNS = "a AS (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user')"
+
+
+def _turns(spark, sf):
+    return t(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
+
+
+def _intent_all_sql() -> str:
+    groups: dict[str, list[str]] = {}
+    for k, p in rules.rows(rules.INTENTS):
+        groups.setdefault(k, []).append(p)
+    hits = ", ".join("least(3, " + " + ".join(f"coalesce(CAST(regexp_matches(lower(query), {q(p)}) AS INT), 0)" for p in ps) + f") AS h{i}" for i, ps in enumerate(groups.values()))
+    most = f"greatest({', '.join(f'h{i}' for i in range(len(groups)))})"
+    kind = " ".join(f"WHEN h{i} = m THEN '{k}'" for i, k in enumerate(groups))
+    return f"WITH {_TURNS}, h AS (SELECT *, {hits} FROM a), b AS (SELECT *, {most} AS m FROM h), c AS (SELECT conv_id, turn, CASE WHEN m = 0 THEN 'factual_lookup' {kind} END AS query_type, CAST(CASE WHEN m = 0 THEN 0.4 ELSE least(0.95, round(0.5 + 0.15 * m, 2)) END AS DOUBLE) AS confidence FROM b)"
+
+
+@query(_intent_all_sql() + " SELECT conv_id, turn, query_type, confidence FROM c")
+def classify_queries_all(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", intent.intent(F.col("query")).alias("i")).select("conv_id", "turn", "i.query_type", "i.confidence")
+
+
+@query(_intent_all_sql() + ", r(query_type, route, k, latency_ms) AS (VALUES " + ", ".join(f"('{x[0]}', '{x[1]}', {x[2]}, {x[6]})" for x in (r.split() for r in rules.ROUTES.strip().splitlines())) + ") SELECT conv_id, turn, query_type, route, k, latency_ms FROM c JOIN r USING (query_type)")
+def route_queries_all(spark, sf):
+    turns = _turns(spark, sf)
+    return turns.select("conv_id", "turn", intent.intent(F.col("query"))["query_type"].alias("query_type")).join(intent.routes(turns), "query_type").select("conv_id", "turn", "query_type", "route", "k", "latency_ms")
+
+
+@query(f"WITH {_TURNS}, l AS (SELECT *, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(query, {q(_EDGE.format(a))}) THEN {q(x)} END" for a, x in rules.rows(rules.ABBREVIATIONS)) + "], lambda x: x IS NOT NULL) AS l FROM a) SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:10], '; ') AS expanded FROM l")
+def expand_queries_all(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", F.array_join(intent.expand(F.col("query")), "; ").alias("expanded"))
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn, sha256('p1|' || array_to_string(list_sort(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')), ' ')) AS cache_key, CASE WHEN regexp_matches(lower(query), 'medication|drug|prescription|rx') THEN 'medications' WHEN regexp_matches(lower(query), 'lab|result|test|observation|vital') THEN 'observations' WHEN regexp_matches(lower(query), 'condition|diagnosis|diagnos|problem') THEN 'conditions' ELSE 'all' END AS kind FROM a")
+def cache_key_and_structured_route_all(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", intent.cache_key(F.lit("p1"), F.col("query")).alias("cache_key"), intent.structured_kind(F.col("query")).alias("kind"))
+
+
 # ---------------------------------------------------------------- context and answers
 
 _RANKED = "r AS (SELECT lang, doc_id, text, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS INTEGER) AS rank FROM documents QUALIFY rank < 20)"

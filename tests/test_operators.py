@@ -58,3 +58,15 @@ def test_dense_search_takes_every_twentieth_row(spark, tmp_path, monkeypatch):
     assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == 20] == list(range(100, 90, -1))
     quality = {r.query_id: r for r in catalogue.queries()["retrieval_quality_all"](spark, str(tmp_path)).collect()}
     assert len(quality) == 6 and quality[100].mrr == 0.5 and quality[20].precision_at_10 == 0.5
+
+
+def test_every_user_turn_is_asked(spark, tmp_path):
+    from tesselon.plans import catalogue
+
+    rows = [(1, 0, "user", "Is there an ECG or EKG of last week?"), (1, 1, "assistant", "why"), (2, 0, "user", None), (2, 2, "user", "list the labs " * 3000), (2, 2, "user", "why")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: sorted(tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).collect())
+    assert run("classify_queries_all") == [(1, 0, "temporal", 0.65), (2, 0, "factual_lookup", 0.4), (2, 2, "explanation", 0.65), (2, 2, "structured_query", 0.65)]
+    assert [r[3] for r in run("route_queries_all")] == ["hybrid_retrieval", "hybrid_retrieval", "hybrid_retrieval", "structured_query"]
+    assert run("expand_queries_all") == [(1, 0, "electrocardiogram"), (2, 0, ""), (2, 2, ""), (2, 2, "")]
+    assert [r[3] for r in catalogue.queries()["cache_key_and_structured_route_all"](spark, str(tmp_path)).orderBy("conv_id", "turn", "kind").collect()] == ["all", "all", "all", "observations"]
