@@ -34,20 +34,36 @@ def sections(docs: DataFrame, headers: str, keep_header: bool = True, default: s
     marked = lines.withColumn("h", is_header).withColumn("section_no", F.sum(F.col("h").cast("int")).over(w))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.lit(keep_header) | ~F.col("h"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
     name = F.max(F.when(F.col("h"), F.upper(F.regexp_replace("line", r"[:\s]+$", ""))))
-    out = marked.groupBy("doc_id", "section_no").agg(F.coalesce(name, F.lit(default)).alias("section"), F.trim(body).alias("text"))
+    out = marked.groupBy("doc_id", "section_no").agg(F.coalesce(name, F.lit(default)).alias("section"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("text"))
     return out.where("text != ''").withColumn("section_no", F.col("section_no").cast("int"))
 
 
-def pack_paragraphs(text: Column, max_tokens: int) -> Column:
-    """Paragraphs packed greedily up to max_tokens; a new chunk begins with the last paragraph of the one before."""
+def word_windows(text: Column, size: int, step: int) -> Column:
+    """The text itself if it has up to ``size`` words, else its overlapping windows of words."""
+    w = whitespace_words(text)
+    n = F.size(w)
+    parts = F.transform(F.sequence(F.lit(0), F.ceil((n - size) / step).cast("int")), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+    return F.when(n <= size, F.array(text)).otherwise(parts)
+
+
+def pack_paragraphs(text: Column, max_tokens: int, size: int = 1600, step: int = 1400) -> Column:
+    """Paragraphs packed greedily up to max_tokens; a new chunk begins with the last paragraph of the one before.
+
+    A single paragraph, and one over max_tokens, goes in windows of ``size`` words; the chunk after it has no overlap.
+    """
     paras = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("done"), none.alias("now"), F.lit(0).alias("n"))
+    join = lambda xs: F.array_join(xs, "\n\n")
 
-    def step(a, p):
-        size = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + token_estimate(x))
-        full = (F.size(a["now"]) > 0) & (size(a["now"]) + token_estimate(p) > max_tokens)
-        done = F.when(full, F.array_append(a["done"], F.array_join(a["now"], "\n\n"))).otherwise(a["done"])
-        now = F.when(full, F.array(F.element_at(a["now"], -1), p)).otherwise(F.array_append(a["now"], p))
-        return F.struct(done.alias("done"), now.alias("now"))
+    def step_to(a, p):
+        tokens = token_estimate(p)
+        closed = F.when(F.size(a["now"]) > 0, F.array_append(a["done"], join(a["now"]))).otherwise(a["done"])
+        again = F.array(F.element_at(a["now"], -1), p)
+        alone = F.struct(F.concat(closed, word_windows(p, size, step)).alias("done"), none.alias("now"), F.lit(0).alias("n"))
+        new = F.struct(closed.alias("done"), again.alias("now"), token_estimate(join(again)).alias("n"))
+        more = F.struct(a["done"].alias("done"), F.array_append(a["now"], p).alias("now"), (a["n"] + tokens).alias("n"))
+        return F.when(tokens > max_tokens, alone).when((F.size(a["now"]) > 0) & (a["n"] + tokens > max_tokens), new).otherwise(more)
 
-    return F.aggregate(paras, start, step, lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["done"], F.array_join(a["now"], "\n\n"))).otherwise(a["done"]))
+    packed = F.aggregate(paras, start, step_to, lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["done"], join(a["now"]))).otherwise(a["done"]))
+    return F.when(F.size(paras) == 1, word_windows(F.element_at(paras, 1), size, step)).otherwise(packed)

@@ -156,6 +156,21 @@ def paragraph_pack(spark, sf):
     return d.select(F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("lines"), F.size(chunking.pack_paragraphs(F.col("text"), 15)).alias("chunks"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+m AS (SELECT doc_id, i, line, regexp_matches(line, '(?i)^(?:{_HEADERS})[:\\s]*$') AS h FROM l),
+s AS (SELECT *, CAST(sum(h::INT) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS section_no FROM m),
+x AS (SELECT doc_id, section_no, coalesce(max(CASE WHEN h THEN upper(rtrim(line, ': ')) END), 'PREAMBLE') AS section, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS text FROM s GROUP BY doc_id, section_no)
+SELECT doc_id, section_no, section, sha256(text) AS hash FROM x WHERE text <> ''""")
+def section_split_all(spark, sf):
+    return chunking.sections(t(spark, sf, "documents"), _HEADERS).select("doc_id", "section_no", "section", F.sha2("text", 256).alias("hash"))
+
+
+@query()
+def paragraph_pack_all(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", F.posexplode(chunking.pack_paragraphs(F.col("text"), 800)).alias("chunk_index", "text"))
+    return d.select("doc_id", "chunk_index", text.token_estimate(F.col("text")).alias("n_tokens"), F.sha2("text", 256).alias("hash"))
+
+
 # ---------------------------------------------------------------- retrieval
 
 TERMS = ["the", "and", "thing", "der", "que"]

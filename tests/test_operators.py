@@ -1,5 +1,8 @@
 """Literal cases of operators that the tables hold no instance of."""
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from tesselon.functions import text
@@ -70,3 +73,48 @@ def test_every_user_turn_is_asked(spark, tmp_path):
     assert [r[3] for r in run("route_queries_all")] == ["hybrid_retrieval", "hybrid_retrieval", "hybrid_retrieval", "structured_query"]
     assert run("expand_queries_all") == [(1, 0, "electrocardiogram"), (2, 0, ""), (2, 2, ""), (2, 2, "")]
     assert [r[3] for r in catalogue.queries()["cache_key_and_structured_route_all"](spark, str(tmp_path)).orderBy("conv_id", "turn", "kind").collect()] == ["all", "all", "all", "observations"]
+
+
+def packed(t, most, size, step):
+    """The packing as plain Python."""
+    paras = [p.strip() for p in re.split(r"\n\s*\n", t or "") if p.strip()]
+    tokens = lambda x: max(1, len(x) // 4)
+
+    def windows(p):
+        w = p.split()
+        return [p] if len(w) <= size else [" ".join(w[i : i + size]) for i in range(0, len(w) - size + step, step)]
+
+    if len(paras) == 1:
+        return windows(paras[0])
+    out, now, n = [], [], 0
+    for p in paras:
+        if tokens(p) > most:
+            out += ["\n\n".join(now)] * bool(now) + windows(p)
+            now, n = [], 0
+        elif now and n + tokens(p) > most:
+            out.append("\n\n".join(now))
+            now = [now[-1], p]
+            n = tokens("\n\n".join(now))
+        else:
+            now, n = [*now, p], n + tokens(p)
+    return out + ["\n\n".join(now)] * bool(now)
+
+
+def test_oversize_paragraphs_go_in_windows(spark):
+    big = " ".join(f"w{i}" for i in range(50))
+    texts = [big, f"one\n\n{big}\n\ntwo\n\nthree", "a" * 200 + "\n\nb", "", "x\n\ny", "\n\n".join("abcd" * 4 for _ in range(9))]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", chunking.pack_paragraphs(F.col("t"), 12, 20, 15).alias("c"))
+    got = {r.i: r.c for r in d.collect()}
+    assert got == {i: packed(x, 12, 20, 15) for i, x in enumerate(texts)} and len(got[0]) == 3
+
+
+def test_every_document_is_chunked(spark):
+    from tesselon.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    got = {}
+    for r in catalogue.queries()["paragraph_pack_all"](spark, sf).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append(r.hash)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = {r.doc_id: [hashlib.sha256(c.encode()).hexdigest() for c in packed(r.text, 800, 1600, 1400)] for r in docs}
+    assert got == {k: v for k, v in want.items() if v}
