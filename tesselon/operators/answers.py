@@ -1,4 +1,4 @@
-"""Context budgets, prompts, mock answers, confidence, feedback and output validation."""
+"""Context budgets, confidence, feedback and output validation."""
 
 from __future__ import annotations
 

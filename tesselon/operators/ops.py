@@ -1,4 +1,4 @@
-"""Metrics, alerts, rate limits, sessions, versions, cache maintenance and structured reports."""
+"""Metrics, rate limits, sessions and versions."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""BM25 postings, dense vectors, hash embeddings, fusion and reranking over sets of queries."""
+"""BM25 postings, dense vectors over sets of queries, hash embeddings and fusion."""
 
 from __future__ import annotations
 
@@ -179,6 +179,25 @@ def hash_buckets(text: Column, dim: int) -> Column:
     return F.transform(whitespace_words(F.lower(text)), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
 
 
+def hash_vectors(docs: DataFrame, dim: int) -> DataFrame:
+    """doc_id, vector: the word counts of each document by bucket, over their L2 norm; zeros without words."""
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists, n = batch.column("b"), batch.num_rows
+            row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+            m = np.bincount(row * dim + lists.flatten().to_numpy(zero_copy_only=False), minlength=n * dim).reshape(n, dim).astype(np.float64)
+            m = np.round(m / np.maximum(1.0, np.sqrt((m * m).sum(axis=1)))[:, None], 6)
+            vector = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), vector], names=["doc_id", "vector"])
+
+    buckets = docs.select("doc_id", hash_buckets(F.coalesce("text", F.lit("")), dim).alias("b"))
+    return buckets.mapInArrow(count, "doc_id long, vector array<double>")
+
+
 def rrf(lists: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
     """Weighted reciprocal-rank fusion of (query_id, doc_id, rank) lists: query_id, doc_id, score."""
     every = None

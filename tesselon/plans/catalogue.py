@@ -279,6 +279,13 @@ def hash_embed(spark, sf):
     return t(spark, sf, "documents").select(F.explode(F.transform(retrieval.hash_buckets(F.col("text"), 64), lambda b: b.cast("long"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> ''), lambda w: ('0x' || md5(w)[:8])::BIGINT % 64) AS b FROM documents),
+c AS (SELECT doc_id, list_transform(range(64), lambda k: len(list_filter(b, lambda x: x = k))) AS c FROM w)
+SELECT doc_id, list_transform(c, lambda x: round(x / greatest(1.0::DOUBLE, sqrt(list_sum(list_transform(c, lambda y: y * y))::DOUBLE)), 6)) AS vector FROM c""")
+def hash_embed_all(spark, sf):
+    return retrieval.hash_vectors(t(spark, sf, "documents"), 64)
+
+
 @query("SELECT d.lang, count(*) AS n FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY d.lang")
 def semi_valid_ids(spark, sf):
     return t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("n"))

@@ -118,3 +118,12 @@ def test_every_document_is_chunked(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = {r.doc_id: [hashlib.sha256(c.encode()).hexdigest() for c in packed(r.text, 800, 1600, 1400)] for r in docs}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_hash_vector_of_each_document(spark):
+    from tesselon.operators import retrieval
+
+    rows = [(1, "a a a a"), (2, ""), (3, None), (4, "A a b")]
+    got = {r.doc_id: r.vector for r in retrieval.hash_vectors(spark.createDataFrame(rows, "doc_id long, text string"), 64).collect()}
+    assert sorted(got[1])[-2:] == [0.0, 1.0] and got[2] == got[3] == [0.0] * 64
+    assert sorted(got[4])[-2:] == [0.447214, 0.894427]
