@@ -83,6 +83,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, siz
                             c.append(x)
                 kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        enc.forget()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long" + ", ids binary" * with_ids
     rows = texts_of(docs)
