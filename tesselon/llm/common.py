@@ -45,9 +45,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def open_output(uri: str):
-    """(filesystem, path) for a shared folder, usable on executors."""
+    """(filesystem, path) for a shared folder, usable on executors; Hadoop spellings of a scheme are understood."""
     from pyarrow import fs
 
-    if "://" not in uri:
+    scheme, colon, rest = uri.partition(":")
+    if not colon:
         uri = "file://" + os.path.abspath(uri)
+    elif scheme == "file":
+        uri = "file:///" + rest.lstrip("/")
+    elif scheme in ("s3a", "s3n"):
+        uri = "s3:" + rest
     return fs.FileSystem.from_uri(uri)
+
+
+def replace_file(store, source: str, target: str) -> None:
+    """Renames; some stores don't rename onto the file that an earlier attempt left."""
+    try:
+        store.move(source, target)
+    except OSError:
+        store.delete_file(target)
+        store.move(source, target)
+
+
+def free_names(wanted: int, taken: list[str], stem: str = "held") -> list[str]:
+    """Column names that clash with none of ``taken`` in any case."""
+    low = {t.lower() for t in taken}
+    while any(f"{stem}_{i}" in low for i in range(wanted)):
+        stem += "_"
+    return [f"{stem}_{i}" for i in range(wanted)]

@@ -13,7 +13,9 @@ holds byte b (``planes="byte"``) or bit b (``planes="bit"``) of every id.  A pla
 zeros has length 0 and no frame.  Any range of ids needs only the chunks that it meets.
 
 Nulls and empty texts give a document with the end id only; repeated doc_ids keep one
-entry a row, ordered by (doc_id, text); an empty table gives no file.
+entry a row, ordered by (doc_id, hash of the text, text); a text of any length is encoded
+whole and cut into blocks as it is written; columns other than doc_id and text play no
+part, whatever their names; an empty table gives no file.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, open_output, shared_dir, texts_of
+from .common import materialise, open_output, replace_file, shared_dir, texts_of
 from .tokens import encoder
 
 MAGIC = b"TSPL1\0\0\0"
@@ -142,16 +144,15 @@ class PlaneReader:
 
     def documents(self) -> Iterator[tuple[int, int, int, bytes]]:
         """(doc_id, start in the file, n_tokens, ids as bytes), one chunk in memory beside the document."""
-        start, k, rest = 0, 0, b""
+        start, k, held, at = 0, 0, b"", 0
         for doc, n in zip(self.doc_ids.tolist(), self.sizes.tolist()):
-            parts, have = [rest], len(rest)
-            while have < 4 * n:
-                parts.append(self.chunk(k).tobytes())
-                have += len(parts[-1])
-                k += 1
-            raw = b"".join(parts)
-            yield doc, start, n, raw[: 4 * n]
-            rest = raw[4 * n :]
+            parts, need = [held[at : at + 4 * n]], 4 * n - (len(held) - at)
+            at += 4 * n
+            while need > 0:
+                held, k = self.chunk(k).tobytes(), k + 1
+                parts.append(held[:need])
+                at, need = need, need - len(held)
+            yield doc, start, n, b"".join(parts)
             start += n
 
 
@@ -177,7 +178,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int
             w, f, tmp, name = now
             w.close()
             f.close()
-            store.move(tmp, f"{folder}/{name}")
+            replace_file(store, tmp, f"{folder}/{name}")
             rows.append((part, len(rows), name, len(w.docs), sum(w.sizes)))
 
         for b in batches:
@@ -197,9 +198,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int
                         now = None
         if now is not None:
             finish()
+        enc.forget()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "seq", "file", "n_docs", "n_tokens"])
 
-    ordered = texts_of(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    name = F.xxhash64("text")  # range bounds are sampled to the driver: no texts among them
+    ordered = texts_of(docs).repartitionByRange("doc_id", name).sortWithinPartitions("doc_id", name, "text")
     return materialise(ordered.mapInArrow(write, "part int, seq int, file string, n_docs long, n_tokens long"), "manifest")
 
 
