@@ -86,15 +86,12 @@ FROM p LEFT JOIN m ON m.n = p.n AND m.k = 1
 OP2_SQL = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS i FROM benchmark),
-dp AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS p, t FROM d),
-bp AS (SELECT item_id, generate_subscripts(i, 1) - 1 AS q, i FROM b),
-ds AS (SELECT doc_id, p, unnest([{'m': 0, 'w': [t[p+1], t[p+2], t[p+4], t[p+6], t[p+8], t[p+9]]}, {'m': 1, 'w': [t[p+1], t[p+3], t[p+4], t[p+5], t[p+8], t[p+9]]}]) AS s FROM dp WHERE p + 9 <= len(t)),
-bs AS (SELECT item_id, q, unnest([{'m': 0, 'w': [i[q+1], i[q+2], i[q+4], i[q+6], i[q+8], i[q+9]]}, {'m': 1, 'w': [i[q+1], i[q+3], i[q+4], i[q+5], i[q+8], i[q+9]]}]) AS s FROM bp WHERE q + 9 <= len(i)),
-l AS (SELECT DISTINCT doc_id, item_id, p - q AS line FROM ds JOIN bs USING (s)),
-e AS (SELECT l.doc_id, l.item_id, l.line, len(b.i) AS n, list_transform(range(len(b.i)), lambda j: CASE WHEN j + l.line >= 0 AND d.t[j + l.line + 1] = b.i[j + 1] THEN 1 ELSE 0 END) AS e
-      FROM l JOIN d USING (doc_id) JOIN b USING (item_id)),
-w AS (SELECT *, list_max(list_transform(range(n - least(n, 13) + 1), lambda k: list_sum(e[k+1 : k+least(n, 13)]))) AS best FROM e),
-r AS (SELECT *, list_sum(e) AS matched, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY list_sum(e) DESC, line) AS k FROM w WHERE best >= ceil(least(n, 13) * 0.8))
+dt AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM d),
+bt AS (SELECT item_id, len(i) AS n, unnest(i) AS w, generate_subscripts(i, 1) AS q FROM b),
+m AS (SELECT doc_id, item_id, n, p - q AS line, list(q ORDER BY q) AS qs FROM dt JOIN bt USING (w)
+      GROUP BY ALL HAVING count(*) >= ceil(least(n, 13) * 0.8)),
+r AS (SELECT *, len(qs) AS matched, row_number() OVER (PARTITION BY doc_id, item_id, n ORDER BY len(qs) DESC, line) AS k FROM m
+      WHERE len(list_filter(range(1, len(qs) - CAST(ceil(least(n, 13) * 0.8) AS BIGINT) + 2), lambda x: qs[x + CAST(ceil(least(n, 13) * 0.8) AS BIGINT) - 1] - qs[x] < least(n, 13))) > 0)
 SELECT doc_id, item_id, CAST(matched AS INTEGER) AS matched, CAST(n AS INTEGER) AS item_tokens, CAST(line AS INTEGER) AS "at" FROM r WHERE k = 1
 """
 
