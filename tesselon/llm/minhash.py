@@ -17,7 +17,9 @@ Candidates are confirmed on the full sets in two steps, so no bucket emits all i
    Buckets of over ``TILE`` members are cut into tiles, each pair of which is a group.
 
 Null or empty texts have empty sets and are linked with nothing.  Rows that share a
-doc_id count as one node.  An empty table gives an empty result.
+doc_id count as one node, which has the links of all its texts.  Texts of any length are
+shingled whole.  Other columns play no part, whatever their names.  Rows without doc_id are
+left out (``keep_one`` lets them stay).  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts_of
+from .common import free_names, materialise, texts_of
 from .components import components
 from .words import WordHashes, hash_words, mix, split_words, windows
 
@@ -189,28 +191,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """doc_id, n_shingles, component_id, kept; a link is 100 * intersection >= percent * union."""
     rows = texts_of(docs)
     every = materialise(signatures(rows, shingle), "signatures")
-    classes = materialise(every.where("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("rep")), "classes")
+    full = every.where("n_shingles > 0")
+    classes = materialise(full.groupBy("one", "two").agg(F.min("doc_id").alias("rep")), "classes")
+    # a document's node is its smallest class; the classes of a doc_id with several texts are linked through it
+    nodes = materialise(full.select("doc_id", "one", "two").join(classes, ["one", "two"]).groupBy("doc_id").agg(F.min("rep").alias("node"), F.max("rep").alias("last")), "nodes")
+    several = full.select("doc_id", "one", "two").join(nodes.where("node != last").select("doc_id"), "doc_id", "left_semi")
+    shared = several.join(classes, ["one", "two"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u != v").distinct()
     picked = classes.select(F.col("rep").alias("doc_id"), "one", "two")
-    reps = materialise(every.where("n_shingles > 0").join(picked, ["doc_id", "one", "two"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig"), "reps")
+    reps = materialise(full.join(picked, ["doc_id", "one", "two"], "left_semi").dropDuplicates(["doc_id", "one", "two"]).select("doc_id", "sig"), "reps")
     bands = _bands(reps)
     pivots = bands.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = materialise(bands.join(pivots, "bucket"), "buckets")
+    # merge joins: adaptive execution splits a hot bucket there, which it can't in a broadcast join after the shuffle
+    members = materialise(bands.join(pivots.hint("merge"), "bucket"), "buckets")
     sets = materialise(_sets(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), shingle), "sets")
     star = members.where("doc_id != pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct()
     star = star.join(reps.select(F.col("doc_id").alias("u"), F.col("sig").alias("a")), "u").join(reps.select(F.col("doc_id").alias("v"), F.col("sig").alias("b")), "v")
     possible = _agreeing(star, int((percent / 100 - 0.17) * BANDS * ROWS))
-    links = materialise(confirm(possible, sets, percent), "links")
+    links = materialise(confirm(possible, sets, percent).union(shared), "links")
     first = components(links)
     label = F.coalesce(F.col("component"), F.col("doc_id")).alias("component")
     named = members.where("n > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "doc_id", "n", label)
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    rest = _across(named.join(mixed, "bucket", "left_semi").join(reps, "doc_id").join(sets, "doc_id"), percent)
+    rest = _across(named.join(mixed.hint("merge"), "bucket", "left_semi").join(reps, "doc_id").join(sets, "doc_id"), percent)
     final = components(links.union(confirm(rest, sets, percent)))
-    joined = every.join(classes, ["one", "two"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    joined = every.select("doc_id", "n_shingles").join(nodes.drop("last"), "doc_id", "left").join(final, "node", "left")
+    component = F.coalesce("component", "node", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one document (the smallest doc_id) of each component.
+
+    Rows that repeat a doc_id are one document: they stay or go together.  Rows without
+    doc_id stay.  Only the doc_ids that go are joined with the documents.
+    """
+    (name,) = free_names(1, docs.columns)
+    gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+
+
 def _agreeing(pairs: DataFrame, need: int) -> DataFrame:
     def run(batches):
         import numpy as np
