@@ -22,9 +22,12 @@ SHARD_BYTES = 16 << 20
 LIGHT = 512
 
 
-def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text, block) and the bytes of all texts."""
+def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> tuple[DataFrame, int]:
+    """(doc_id, text, block) and the bytes of all texts; with ``carry``, also all columns of docs, by position, as held_0, held_1 and so on."""
     rows = texts_of(docs)
+    if carry:
+        fields = [F.col(f"`{c}`").alias(f"held_{i}") for i, c in enumerate(docs.columns) if c != "text"]
+        rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *fields)
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, math.ceil(total / block_bytes))
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), total

@@ -103,7 +103,24 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
     ``kept`` is text; a character of which a part is cut goes as a whole (kept_sha256 is of the exact bytes).
     """
     texts, total = blocked(docs)
+    return _plan(texts, total, span, keep_text, None)
+
+
+def cut_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
+    """``docs`` with its columns, but texts without what ``dedup_suffixes`` removes.
+
+    Columns of any other name come through as they are.  Rows without doc_id have no
+    place in the order of documents: they stay as they are and are no source.
+    """
+    texts, total = blocked(docs, carry=True)
+    whole = docs.where("doc_id is null")
+    return _plan(texts, total, span, True, docs).unionByName(whole.withColumn("text", whole["text"].cast("string")))
+
+
+def _plan(texts: DataFrame, total: int, span: int, keep_text: bool, like: DataFrame | None) -> DataFrame:
+    """The exchange; with ``like``, rows in its columns, else the digests."""
     shards = max(1, math.ceil(total / SHARD_TEXT))
+    columns = like.columns if like is not None else []
 
     def keys_of(table):
         import numpy as np
@@ -252,7 +269,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
             hot = set(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(unzip.decompress(x), dtype=np.uint32) for x, h in zip(found.column("key").to_pylist(), found.column("hot").to_pylist()) if h)]).tolist())
             for x, *note in zip(name.tolist(), first.tolist(), n.tolist(), low.tolist()):
                 notes.setdefault(x, []).append(note)
-        rows = []
+        rows, cut = [], []
         for doc, t in in_order(table):
             raw = (t or "").encode()
             spans = []
@@ -275,7 +292,12 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
                 kept.append(raw[at:a])
                 at = b
             kept = b"".join([*kept, raw[at:]])
+            if columns:
+                cut.append(t if not spans else kept.decode(errors="ignore"))
+                continue
             rows.append((doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), zlib.crc32(raw), kept.decode(errors="ignore") if keep_text else None))
+        if columns:
+            return pa.table([pa.array(cut, pa.string()) if c == "text" else table.column(f"held_{i}") for i, c in enumerate(columns)], names=columns)
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_crc32", *["kept"] * keep_text]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
         return pa.table([pa.array(c, t) for c, t, _ in zip(zip(*rows) if rows else [[]] * 7, kinds, names)], names=names)
@@ -284,4 +306,6 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> D
     shared = shared_keys(texts, keys_of, shards, HOT_TEXT)
     sent = by_block.cogroup(shared.groupBy("block")).applyInArrow(send, "shard long, block int, hot boolean, key binary, name binary, low binary, several binary, size binary, text binary")
     found = sent.groupBy("shard").applyInArrow(answer, "block int, hot boolean, key binary, name binary, first binary, n binary, low binary")
+    if like is not None:
+        return by_block.cogroup(found.groupBy("block")).applyInArrow(remove, like.withColumn("text", like["text"].cast("string")).schema)
     return by_block.cogroup(found.groupBy("block")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_crc32 long" + ", kept string" * keep_text)

@@ -252,25 +252,43 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return Model(lexicon, fit_logistic(np.array([x for x, _ in got]), np.array([y for _, y in got], dtype=float)))
 
 
-def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted, patterns (feature values); ``columns`` of docs are carried along."""
-    extra = [c for c in columns or [] if c not in ("doc_id", "text")]
+class Judge:
+    """(score, pattern features) of a text."""
+
+    def __init__(self, model: Model):
+        self.grammar, (*self.weights, self.bias) = Grammar(model.lexicon), model.coefficients
+
+    def __call__(self, text: str | None) -> tuple[float, list[float]]:
+        x = self.grammar.features(text)
+        z = self.bias + sum(a * c for a, c in zip(self.weights, x))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), x
+
+
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows that the model predicts to be toxic; all columns, whatever their names, and rows without doc_id are judged by their text alone."""
+    at = docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
-        g, (*ws, bias) = Grammar(model.lexicon), model.coefficients
+        judge = Judge(model)
         for b in batches:
-            scores, marks = [], []
-            for t in b.column("text").to_pylist():
-                x = g.features(t)
-                z = bias + sum(a * c for a, c in zip(ws, x))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                marks.append(x)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in keep], pa.array(scores, pa.float64()), pa.array(marks, pa.list_(pa.float64()))], ["doc_id", *keep, "score", "patterns"])
-
-    keep = ["text", *extra] if columns else []
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
-    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    out = rows.mapInArrow(run, f"doc_id long{kinds}, score double, patterns array<double>")
+            kept = pa.array([judge(t)[0] < THRESHOLD for t in b.column(at).cast(pa.string()).to_pylist()], pa.bool_())
+            yield b.filter(kept)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted, patterns (feature values); a row for each row that has a doc_id."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        judge = Judge(model)
+        for b in batches:
+            found = [judge(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.list_(pa.float64()))], ["doc_id", "score", "patterns"])
+
+    out = texts_of(docs).mapInArrow(run, "doc_id long, score double, patterns array<double>")
     return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

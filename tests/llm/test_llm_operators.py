@@ -278,3 +278,111 @@ def test_pipeline_stages_take_effect(spark):
     assert decontam.contaminated(d, spark.read.parquet(f"{sf}/benchmark.parquet")).count() == 0
     ids = {r.doc_id for r in cp.STAGES[4][1](spark, d, sf).collect()}
     assert ids == {r.doc_id for r in d.collect()}
+
+
+def test_part_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    from tesselon.llm.tokens import PartEncoder
+
+    rnd = random.Random(3)
+    every = [chr(c) for c in range(0x250)]
+    usual = [*"abcXYZ'  \n.,!019éÉßżŽ×÷ªµ", "'s", "'LL", " , ", ". ", ".\n", "don't", "İ", "ı", "ſ", "ŉ", "ǅ", "<|endoftext|>", "日"]
+    texts = [w for c in every for w in (c, "a" + c, c + "a", "'" + c, f" {c} ", f"x{c}.{c}, y")]
+    texts += ["".join(rnd.choice(usual if rnd.random() < 0.8 else every) for _ in range(rnd.randint(1, 30))) for _ in range(6000)]
+    for name, spaces in ((queries.WORD_VOCABULARY, False), (queries.BYTE_VOCABULARY, True)):
+        path = queries.vocabulary(name)
+        own, library = PartEncoder(path, spaces, cache=3000), Tokenizer.from_file(path)
+        got = [x for i in range(0, len(texts), 200) for x in own.encode_many(texts[i : i + 200])]
+        wrong = [t for t, x in zip(texts, got) if x != np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()]
+        assert not wrong, wrong[:5]
+
+
+def test_repeated_doc_ids_in_token_files(spark):
+    docs = spark.createDataFrame([(1, "b b"), (1, "a"), (1, "b b"), (0, None), (2, "x " * 200_000)], "doc_id long, text string")
+    rows = sorted(token_files.token_files(docs, queries.vocabulary(queries.WORD_VOCABULARY), False, 2).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [0, 1, 1, 1, 2] and sorted(r.n_tokens for r in rows[1:4]) == [2, 3, 3] and rows[4].n_tokens == 200_001
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
+
+
+def test_packed_ids_equal_the_library(docs):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary(queries.BYTE_VOCABULARY)
+    tok, texts = Tokenizer.from_file(path), dict(known())
+    for r in packing.pack_documents(docs, path, size=64, with_ids=True).collect():
+        ids = [*tok.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
+        piece = np.array(ids[r.start : r.start + r.length], dtype="<u4").tobytes()
+        assert (r.ids, r.ids_crc32, r.doc_tokens) == (piece, zlib.crc32(piece), len(ids))
+
+
+def test_decontamination_misses_no_substitutions(spark):
+    """Every set of substitutions that the rule accepts, for items of 3 to 13 tokens, against the rule itself."""
+    import itertools
+    import math
+
+    items, texts = [], []
+    for n in range(3, 14):
+        w = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(w)))
+        for m in range(n - math.ceil(0.8 * n) + 2):
+            for gone in itertools.combinations(range(n), m):
+                texts.append((n, m <= n - math.ceil(0.8 * n), " ".join(["pre", "lude", *("zz" if k in gone else x for k, x in enumerate(w)), "end"])))
+    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(texts)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(i, n) for i, (n, ok, _) in enumerate(texts) if ok}
+
+
+def test_decontamination_odd_rows(spark):
+    item = prose(30)
+    rows = [(1, item, "k"), (1, item, "k"), (1, "other " + prose(20), "k"), (2, (prose(5000) + " ") * 10 + item, "k"), (None, item, "k"), (None, "clean", "k"), (3, None, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    bench = spark.createDataFrame([(7, item, "s"), (7, item, "s"), (None, "never seen anywhere at all", "s")], "item_id long, text string, seed string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()) == [(1, 7), (2, 7)]
+    left = decontam.without_leaks(docs, bench)
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "None"]
+
+
+def test_near_duplicates_of_shared_doc_ids(spark):
+    a, b = prose(80), prose(80)
+    rows = [(2, a), (5, a), (5, b), (7, b + " tail"), (2, b + " another"), (9, prose(80)), (9, ""), (5, None), (None, a)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, bucket string, component int")
+    got = minhash.near_duplicates(docs, percent=80).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(2, 2, True), (5, 2, False), (7, 2, False), (9, 9, True)} and len(got) == 8
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "2", "9", "9", "None"]
+
+
+def test_near_duplicates_equal_brute_force_on_a_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    sets = {}
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    label = {i: i for i in sets}
+    for x in sorted(sets):
+        for y in sorted(sets):
+            if x < y and sets[x] and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]) and label[x] != label[y]:
+                low, high = sorted((label[x], label[y]))
+                label = {i: low if c == high else c for i, c in label.items()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows), percent=85).collect()}
+    assert got == {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as cp
+
+    extra = ["score", "patterns", "predicted", "held_out", "_crc", "_bytes", "block", "key", "component_id", "held_0", "bucket"]
+    texts = [None, "", "short", BASE, BASE, BASE + " tail", SHARED + " " + prose(30), prose(30) + " " + SHARED, "y " * 60_000]
+    rows = [(i if i < 8 else None, t, "en", "s", 1, *[f"{c}{i}" for c in extra]) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.where("false"), "/root/testdata/sf0.001").count() == 0, name
+        docs = spark.createDataFrame(out.collect(), schema)
+        assert all(r[c][len(c) :] == r.score[5:] for r in docs.collect() for c in extra), name
+    left = {r.score: r.text for r in docs.collect()}
+    assert set(left) == {f"score{i}" for i in (0, 1, 2, 3, 6, 7, 8)} and left["score3"] == BASE and SHARED not in left["score7"] and left["score8"] == texts[8]
+    assert {r.doc_id for r in cp.STAGES[4][1](spark, docs, "").collect()} == {r.doc_id for r in docs.collect() if r.doc_id is not None}
