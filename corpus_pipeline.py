@@ -22,27 +22,19 @@ from tesselon.llm.queries import BYTE_VOCABULARY, vocabulary
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, docs.columns).where("predicted = 0").select(docs.columns)
+    return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return minhash.keep_one(docs, shingle=5, percent=80)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffixes.dedup_suffixes(docs, span=50, keep_text=True).where("n_removed > 0").select("doc_id", "n_bytes", "text_crc32", "kept").distinct()
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    keyed = docs.withColumns({"_bytes": F.octet_length(raw).cast("long"), "_crc": F.crc32(raw)})
-    on = [keyed["doc_id"].eqNullSafe(cut["doc_id"]), keyed["_bytes"] == cut["n_bytes"], keyed["_crc"] == cut["text_crc32"]]
-    text = F.coalesce(cut["kept"], keyed["text"]).alias("text")
-    return keyed.join(cut, on, "left").select(*[text if c == "text" else keyed[c] for c in docs.columns])
+    return suffixes.cut_repeats(docs, span=50)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
