@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+ARROW_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
@@ -20,8 +22,13 @@ def session(app: str = "tesselon", cpus: str | int = "*", **conf: str) -> SparkS
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once for each application."""
+    """Make this package importable in Python workers, once for each application.
+
+    Rows hold whole documents: Arrow batches are kept at ARROW_ROWS rows where the session says nothing else.
+    """
     sc = spark.sparkContext
+    if sc.getConf().get(_BATCH) is None and spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(ARROW_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
