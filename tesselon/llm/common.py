@@ -73,3 +73,16 @@ def free_names(wanted: int, taken: list[str], stem: str = "held") -> list[str]:
     while any(f"{stem}_{i}" in low for i in range(wanted)):
         stem += "_"
     return [f"{stem}_{i}" for i in range(wanted)]
+
+
+def tidy() -> None:
+    """Gives memory that a task of this Python worker no longer uses back to the system; idle workers would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -94,6 +94,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                         two.append(None)
                         sig.append(None)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "one", "two", "sig"])
+        _WORDS.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, sig binary")
 
@@ -129,6 +130,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "shingles"])
+        _WORDS.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 

@@ -48,7 +48,9 @@ def dedup_windows(docs: DataFrame, span: int = 13, shard_bytes: int = SHARD_BYTE
     def read(table):
         docs = list(in_order(table))
         lists = [split_words(t) for _, t in docs]
-        return [d for d, _ in docs], lists, *hash_words(lists, _WORDS)
+        out = [d for d, _ in docs], lists, *hash_words(lists, _WORDS)
+        _WORDS.forget()
+        return out
 
     def anchors(ids, flat, starts):
         import numpy as np

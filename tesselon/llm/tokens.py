@@ -17,6 +17,8 @@ from __future__ import annotations
 import re
 from struct import Struct, pack
 
+from .common import tidy
+
 #: Characters for which the split rules below hold.
 _OTHER = re.compile("[^\n -~À-įı-žƀ-ɏ]|<\\|")
 _BREAK = re.compile("(?<=[^ \n]) (?=[^ \n])")
@@ -73,6 +75,7 @@ class PartEncoder:
 
     def forget(self) -> None:
         self.parts = _Parts(self._learn, {})
+        tidy()
 
     def whole(self, text: str) -> bytes:
         import numpy as np

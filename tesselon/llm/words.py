@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .common import tidy
+
 
 class WordHashes(dict):
     """64-bit hash of a word (bytes); emptied when it holds ``limit`` words."""
@@ -9,6 +11,11 @@ class WordHashes(dict):
     def __init__(self, limit: int = 400_000):
         self.limit = limit
 
+    def forget(self) -> None:
+        """For the end of a task: idle workers hold no words."""
+        self.clear()
+        tidy()
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
