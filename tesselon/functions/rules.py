@@ -1,6 +1,6 @@
 """Rule tables as text, one rule a line, in order.  They must stay as they are for results to stay the same."""
 
-# Personal-data types and their patterns (a leading ~ ignores case).
+# Personal-data types and their patterns.
 PII = r"""
 ssn ~ \b\d{3}-\d{2}-\d{4}\b
 phone ~ \(?\d{3}\)?[\s\-.]\d{3}[\s\-.]\d{4}\b
@@ -28,6 +28,41 @@ device_id ~ [DEVICE_#]
 person_name ~ [PERSON_#]
 """
 
+# Personal-data rules of the evaluation variant, in the order they are applied.
+EVALUATION_PII = r"""
+ssn ~ \b\d{3}-\d{2}-\d{4}\b
+phone ~ \(?\d{3}\)?[\s\-\.]\d{3}[\s\-\.]\d{4}\b
+email ~ \b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b
+mrn ~ (?i)\bMRN[:\s]+\d{5,10}\b
+dob ~ (?i)\b(?:DOB|Date of Birth)[:\s]+\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b
+spec_date ~ (?i)\b(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},?\s+\d{4}\b
+date_num ~ \b\d{1,2}/\d{1,2}/\d{2,4}\b
+age_over_89 ~ (?i)\b(?:9\d|1[01]\d)\s*(?:year|yr)s?\s*old\b
+device_id ~ (?i)\bSerial\s*(?:No|#)[:\s]+[A-Z0-9\-]{6,20}\b
+name_context ~ \b(?:Dr\.|Patient|Pt\.?)[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})
+"""
+
+# What replaces them; # stands for the first 8 hex digits of the hash.
+EVALUATION_PSEUDONYMS = """
+ssn ~ [SSN_REDACTED]
+phone ~ [PHONE_REDACTED]
+email ~ [EMAIL_REDACTED]
+mrn ~ [MRN_#]
+dob ~ [DOB_REDACTED]
+spec_date ~ [DATE_REDACTED]
+date_num ~ [DATE_REDACTED]
+age_over_89 ~ [AGE>89]
+device_id ~ [DEVICE_#]
+name_context ~ [PERSON_#]
+"""
+
+# Quasi-identifiers (rules of this library).
+QUASI_IDENTIFIERS = r"""
+age ~ (?i)\b\d{1,3}[ -](?:year|yr)s?[ -]old\b
+date ~ \b\d{1,2}/\d{1,2}/\d{2,4}\b
+place ~ (?i)\b(?:street|avenue|road|clinic|hospital) of [A-Z][a-z]+
+"""
+
 # Query types in the order of precedence, their patterns.
 INTENTS = r"""
 structured_query ~ \ball\b.*(medication|lab|result|test|value|vital)
@@ -130,6 +165,10 @@ H&P ~ history and physical
 HPI ~ history of present illness
 """
 
+# Section headers of the main and of the evaluation chunker.
+HEADERS = "CHIEF COMPLAINT|HISTORY OF PRESENT ILLNESS|HPI|PAST MEDICAL HISTORY|PMH|MEDICATIONS|ALLERGIES|PHYSICAL EXAMINATION|REVIEW OF SYSTEMS|ROS|ASSESSMENT AND PLAN|ASSESSMENT|PLAN|LAB RESULTS|LABORATORY|IMAGING|DISCHARGE SUMMARY|DISCHARGE MEDICATIONS|FOLLOW.UP|SOCIAL HISTORY|FAMILY HISTORY|VITAL SIGNS|IMPRESSION|FINDINGS"
+EVALUATION_HEADERS = "CHIEF COMPLAINT|HISTORY OF PRESENT ILLNESS|HPI|PAST MEDICAL HISTORY|MEDICATIONS?(?: ON ADMISSION| AT DISCHARGE)?|ALLERGIES|PHYSICAL EXAMINATION(?: ON ADMISSION)?|VITAL SIGNS?|INVESTIGATIONS?|LABORATORY|LAB(ORATORY)? RESULTS?|HAEMATOLOGY|BIOCHEMISTRY|COAGULATION|HOSPITAL COURSE|ASSESSMENT AND PLAN|ASSESSMENT|PLAN|DISCHARGE CONDITION|DISCHARGE MEDICATIONS?|FOLLOW.UP(?: PLAN)?|DIAGNOS[EI]S|FINDINGS|IMPRESSION|RECOMMENDATION|SUBJECTIVE|OBJECTIVE|NOTES?|EDUCATION TODAY"
+
 
 def rows(table: str) -> list[tuple[str, str]]:
     return [tuple(x.split(" ~ ", 1)) for x in table.strip().splitlines()]

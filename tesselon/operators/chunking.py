@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.text import token_estimate, whitespace_words
 
 
-def sliding_windows(docs: DataFrame, size: int, step: int, least_tokens: int = 0) -> DataFrame:
-    """doc_id, chunk_index, chunk_id, n_words, text: overlapping windows of words; no shuffle but for the index."""
-    words = docs.select("doc_id", whitespace_words(F.col("text")).alias("w"))
+def sliding_windows(docs: DataFrame, size: int, step: int, least_tokens: int = 0, keep_short: bool = False) -> DataFrame:
+    """doc_id, chunk_index, chunk_id, n_words, text: overlapping windows of words; no shuffle but for the index.
+
+    ``keep_short``: a text of at most ``size`` words stays as it is, white space included.
+    """
+    words = docs.select("doc_id", "text", whitespace_words(F.col("text")).alias("w"))
     n = F.size("w")
+    whole = F.when(F.lit(keep_short) & (n <= size), F.col("text"))
     count = F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("w", i * step + 1, size))
-    every = words.where(n > 0).select("doc_id", F.posexplode(parts).alias("k", "part"))
-    text = F.array_join("part", " ")
+    every = words.where(n > 0).select("doc_id", whole.alias("whole"), F.posexplode(parts).alias("k", "part"))
+    text = F.coalesce("whole", F.array_join("part", " "))
     kept = every.select("doc_id", "k", F.size("part").alias("n_words"), text.alias("text")).where(token_estimate(text) >= least_tokens)
     index = (F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) - 1).cast("int")
     return kept.withColumn("chunk_index", index).select("doc_id", "chunk_index", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "n_words", "text")
@@ -38,32 +42,114 @@ def sections(docs: DataFrame, headers: str, keep_header: bool = True, default: s
     return out.where("text != ''").withColumn("section_no", F.col("section_no").cast("int"))
 
 
-def word_windows(text: Column, size: int, step: int) -> Column:
-    """The text itself if it has up to ``size`` words, else its overlapping windows of words."""
-    w = whitespace_words(text)
-    n = F.size(w)
-    parts = F.transform(F.sequence(F.lit(0), F.ceil((n - size) / step).cast("int")), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
-    return F.when(n <= size, F.array(text)).otherwise(parts)
+def word_windows(text: Column, size: int, step: int, keep_short: bool = True) -> Column:
+    """Overlapping windows of words; with ``keep_short``, a text of up to ``size`` words stays as it is."""
+
+    def cut(w):
+        n = F.size(w)
+        windows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+        return F.when(F.lit(keep_short) & (n <= size), F.array(text)).otherwise(windows)
+
+    return let(whitespace_words(text), cut)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def pack_paragraphs(text: Column, max_tokens: int, size: int = 1600, step: int = 1400) -> Column:
+def pack_paragraphs(text: Column, max_tokens: int, size: int = 1600, step: int = 1400, evaluation: bool = False) -> Column:
     """Paragraphs packed greedily up to max_tokens; a new chunk begins with the last paragraph of the one before.
 
-    A single paragraph, and one over max_tokens, goes in windows of ``size`` words; the chunk after it has no overlap.
+    A paragraph over max_tokens goes in windows of ``size`` words, and so does a single one; the chunk after it has no
+    overlap.  A chunk's size is the estimate of its joined text when it begins with an overlap.  The ``evaluation``
+    variant has no rule for single paragraphs, cuts white space in windows always, and sums estimates.
     """
-    paras = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    paras = F.filter(F.transform(F.split(text, r"\n\s*\n"), trimmed), lambda p: p != "")
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), none.alias("now"), F.lit(0).alias("n"))
     join = lambda xs: F.array_join(xs, "\n\n")
+    windows = lambda p: word_windows(p, size, step, not evaluation)
 
     def step_to(a, p):
         tokens = token_estimate(p)
         closed = F.when(F.size(a["now"]) > 0, F.array_append(a["done"], join(a["now"]))).otherwise(a["done"])
         again = F.array(F.element_at(a["now"], -1), p)
-        alone = F.struct(F.concat(closed, word_windows(p, size, step)).alias("done"), none.alias("now"), F.lit(0).alias("n"))
-        new = F.struct(closed.alias("done"), again.alias("now"), token_estimate(join(again)).alias("n"))
+        both = token_estimate(F.element_at(a["now"], -1)) + tokens if evaluation else token_estimate(join(again))
+        alone = F.struct(F.concat(closed, windows(p)).alias("done"), none.alias("now"), F.lit(0).alias("n"))
+        new = F.struct(closed.alias("done"), again.alias("now"), both.alias("n"))
         more = F.struct(a["done"].alias("done"), F.array_append(a["now"], p).alias("now"), (a["n"] + tokens).alias("n"))
         return F.when(tokens > max_tokens, alone).when((F.size(a["now"]) > 0) & (a["n"] + tokens > max_tokens), new).otherwise(more)
 
-    packed = F.aggregate(paras, start, step_to, lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["done"], join(a["now"]))).otherwise(a["done"]))
-    return F.when(F.size(paras) == 1, word_windows(F.element_at(paras, 1), size, step)).otherwise(packed)
+    def pack(ps):
+        packed = F.aggregate(ps, start, step_to, lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["done"], join(a["now"]))).otherwise(a["done"]))
+        return packed if evaluation else F.when(F.size(ps) == 1, windows(trimmed(text))).otherwise(packed)
+
+    return let(paras, pack)
+
+
+def section_list(text: Column, headers: str, keep_header: bool, default: str) -> Column:
+    """array<struct(section, char_start, text)> of a text, without a shuffle; the whole text as DOCUMENT if there is none.
+
+    A header stands alone on its line; ``char_start`` is where its line begins.
+    """
+    header = lambda line: trimmed(line).rlike(rf"(?i)^(?:{headers})[:\s]*$")
+    name = lambda line: F.upper(trimmed(F.regexp_replace(trimmed(line), ":+$", "")))
+
+    def cut(lines):
+        def build(heads):
+            def one(h, k):
+                end = F.coalesce(F.get(heads, k + 1), F.size(lines))
+                first = h + F.when(F.lit(not keep_header) & header(lines[h]), 1).otherwise(0)
+                body = trimmed(F.array_join(F.slice(lines, first + 1, end - first), "\n"))
+                before = F.length(F.array_join(F.slice(lines, 1, h), "\n")) + F.when(h > 0, 1).otherwise(0)
+                return F.struct(F.when(header(lines[h]), name(lines[h])).otherwise(default).alias("section"), before.alias("char_start"), body.alias("text"))
+
+            return F.filter(F.transform(heads, one), lambda s: s["text"] != "")
+
+        heads = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | header(lines[i]))
+        return let(heads, build)
+
+    whole = F.array(F.struct(F.lit("DOCUMENT").alias("section"), F.lit(0).alias("char_start"), text.alias("text")))
+    return let(let(F.split(text, r"\r\n|[\n\r]"), cut), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """A row a chunk with its index and neighbour flags, from an array a document: no shuffle."""
+    out = rows.select("doc_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("chunk_index", "c")).select("doc_id", "n", "chunk_index", "c.*")
+    return out.withColumns({"overlap_prev": F.col("chunk_index") > 0, "overlap_next": F.col("chunk_index") < F.col("n") - 1}).drop("n")
+
+
+def chunk_documents(docs: DataFrame, headers: str, max_tokens: int = 800, size: int = 1600, step: int = 1400, least_tokens: int = 20) -> DataFrame:
+    """doc_id, chunk_index, section, n_tokens, text, overlap_prev, overlap_next: sections, packed paragraphs, windows, minimum size.
+
+    Blank and null texts give no chunk.
+    """
+    text = F.col("text")
+    pieces = lambda s: F.transform(pack_paragraphs(s["text"], max_tokens, size, step), lambda p: F.struct(s["section"].alias("section"), token_estimate(p).alias("n_tokens"), p.alias("text")))
+    every = F.filter(F.flatten(F.transform(section_list(text, headers, True, "PREAMBLE"), pieces)), lambda c: c["n_tokens"] >= least_tokens)
+    return _numbered(docs.where(trimmed(text) != "").select("doc_id", every.alias("chunks")))
+
+
+def chunk_for_evaluation(docs: DataFrame, headers: str, max_tokens: int = 600, size: int = 300, step: int = 250, least_tokens: int = 15, overlap: int = 50) -> DataFrame:
+    """doc_id, chunk_index, section, char_start, n_tokens, text, overlap_prev: each piece after the last words of the one before in its section."""
+    text = F.col("text")
+    piece = "struct<section:string,char_start:int,n_tokens:int,text:string,overlapped:boolean>"
+
+    def overlapped(s):
+        start = F.struct(F.lit(None).cast("string").alias("before"), F.array().cast(f"array<{piece}>").alias("out"))
+
+        def step_to(a, p):
+            tail = let(whitespace_words(a["before"]), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - overlap + 1, F.lit(1)), overlap), " "))
+            full = F.when(a["before"].isNotNull() & (a["before"] != ""), F.concat(tail, F.lit("\n"), p)).otherwise(p)
+            made = F.struct(s["section"].alias("section"), s["char_start"].alias("char_start"), token_estimate(full).alias("n_tokens"), trimmed(full).alias("text"), a["before"].isNotNull().alias("overlapped"))
+            return F.when(token_estimate(p) < least_tokens, F.struct(p.alias("before"), a["out"].alias("out"))).otherwise(F.struct(full.alias("before"), F.array_append(a["out"], made).alias("out")))
+
+        return F.aggregate(pack_paragraphs(s["text"], max_tokens, size, step, True), start, step_to, lambda a: a["out"])
+
+    every = F.flatten(F.transform(section_list(text, headers, False, "HEADER"), overlapped))
+    return _numbered(docs.where(text.isNotNull()).select("doc_id", every.alias("chunks"))).drop("overlap_prev", "overlap_next").withColumnRenamed("overlapped", "overlap_prev")

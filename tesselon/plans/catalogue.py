@@ -111,17 +111,17 @@ def numeric_grounding(spark, sf):
 # ---------------------------------------------------------------- chunks
 
 
-def _windows_sql(size: int, step: int, least: int) -> str:
-    return f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents),
-k AS (SELECT doc_id, w, unnest(range(CASE WHEN len(w) <= {size} THEN 1 ELSE 1 + CAST(ceil((len(w) - {size}) / {step}) AS BIGINT) END)) AS k FROM w WHERE len(w) > 0),
-c AS (SELECT doc_id, k, w[k * {step} + 1 : k * {step} + {size}] AS p FROM k),
-f AS (SELECT doc_id, k, len(p) AS n, array_to_string(p, ' ') AS s FROM c),
+def _windows_sql(size: int, step: int, least: int, keep_short: bool = False) -> str:
+    return f"""WITH w AS (SELECT doc_id, text, {WORDS} AS w FROM documents),
+k AS (SELECT doc_id, CASE WHEN {keep_short} AND len(w) <= {size} THEN text END AS whole, w, unnest(range(CASE WHEN len(w) <= {size} THEN 1 ELSE 1 + CAST(ceil((len(w) - {size}) / {step}) AS BIGINT) END)) AS k FROM w WHERE len(w) > 0),
+c AS (SELECT doc_id, k, whole, w[k * {step} + 1 : k * {step} + {size}] AS p FROM k),
+f AS (SELECT doc_id, k, len(p) AS n, coalesce(whole, array_to_string(p, ' ')) AS s FROM c),
 i AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS n_words, s FROM f WHERE greatest(1, length(s) // 4) >= {least})"""
 
 
-@query(_windows_sql(1600, 1400, 20) + " SELECT doc_id, chunk_index, doc_id || '_chunk_' || chunk_index AS chunk_id, n_words, sha256(s) AS hash FROM i")
+@query(_windows_sql(1600, 1400, 20, True) + " SELECT doc_id, chunk_index, doc_id || '_chunk_' || chunk_index AS chunk_id, n_words, sha256(s) AS hash FROM i")
 def sliding_windows_main(spark, sf):
-    c = chunking.sliding_windows(t(spark, sf, "documents"), 1600, 1400, 20)
+    c = chunking.sliding_windows(t(spark, sf, "documents"), 1600, 1400, 20, keep_short=True)
     return c.select("doc_id", "chunk_index", "chunk_id", "n_words", F.sha2("text", 256).alias("hash"))
 
 
@@ -138,7 +138,7 @@ def chunk_stats(spark, sf):
 
 
 NOTE = "Admitted today.\nMEDICATIONS:\naspirin 81 mg\n\nlisinopril 10 mg\nCHIEF COMPLAINT: pain\nplan\nrest and fluids"
-_HEADERS = "CHIEF COMPLAINT|HISTORY OF PRESENT ILLNESS|HPI|PAST MEDICAL HISTORY|PMH|MEDICATIONS|ALLERGIES|PHYSICAL EXAMINATION|REVIEW OF SYSTEMS|ROS|ASSESSMENT AND PLAN|ASSESSMENT|PLAN|LAB RESULTS|LABORATORY|IMAGING|DISCHARGE SUMMARY|DISCHARGE MEDICATIONS|FOLLOW.UP|SOCIAL HISTORY|FAMILY HISTORY|VITAL SIGNS|IMPRESSION|FINDINGS"
+_HEADERS = rules.HEADERS
 _NOTE_SQL = "'" + NOTE.replace("\n", "' || chr(10) || '") + "'"
 
 
