@@ -55,6 +55,124 @@ def hl7_observations(messages: DataFrame, column: str = "message", keep_all: boo
     return seg.select("msg_id", F.get("f", 1).alias("set_id"), F.get("f", 3).alias("code"), F.get("f", 5).alias("value"), F.get("f", 6).alias("units"))
 
 
+_CODED = "struct<text:string,coding:array<struct<system:string,code:string,display:string>>>"
+_REF = "struct<reference:string>"
+FHIR_ALL = f"resourceType string, id string, status string, date string, authoredOn string, effectiveDateTime string, onsetDateTime string, recordedDate string, birthDate string, gender string, active boolean, name array<struct<given:array<string>,family:string>>, subject {_REF}, patient {_REF}, code {_CODED}, medicationCodeableConcept {_CODED}, dosageInstruction array<struct<text:string,route:struct<text:string>,timing:struct<code:struct<text:string>>>>, valueQuantity struct<value:double,unit:string>, valueString string, interpretation array<struct<text:string>>, severity struct<text:string>, clinicalStatus struct<coding:array<struct<code:string>>>"
+KINDS = ("Patient", "MedicationRequest", "Observation", "Condition")
+
+
+def _person() -> Column:
+    given = F.coalesce(F.concat_ws(" ", F.get("r.name", 0)["given"]), F.lit(""))
+    return F.trim(F.concat(given, F.lit(" "), F.coalesce(F.get("r.name", 0)["family"], F.lit(""))))
+
+
+def fhir_parsed(resources: DataFrame, column: str = "json") -> DataFrame:
+    """resource_type, resource_id, patient_id, date, and the fields of each kind of resource; raw_summary for any other kind.
+
+    Broken JSON gives a row of nulls.  ``value`` is text, ``value_numeric`` the number where there is one.
+    """
+    r = resources.select(F.col(column).alias("raw"), F.from_json(column, FHIR_ALL).alias("r"))
+    kind, of = F.col("r.resourceType"), lambda k: F.col("r.resourceType") == k
+    patient = lambda c: F.replace(F.col(f"r.{c}.reference"), F.lit("Patient/"), F.lit(""))
+    named = lambda c: _named(f"r.{c}")
+    dose = F.get("r.dosageInstruction", 0)
+    quantity = F.col("r.valueQuantity.value")
+    return r.select(
+        kind.alias("resource_type"),
+        F.col("r.id").alias("resource_id"),
+        F.when(of("Patient"), F.col("r.id")).when(kind.isin(*KINDS), F.coalesce(patient("subject"), F.lit(""))).otherwise(F.coalesce(patient("subject"), patient("patient"), F.lit(""))).alias("patient_id"),
+        F.when(of("Patient"), F.col("r.birthDate")).when(of("MedicationRequest"), F.col("r.authoredOn")).when(of("Observation"), F.col("r.effectiveDateTime")).when(of("Condition"), F.coalesce("r.onsetDateTime", "r.recordedDate")).otherwise(F.coalesce("r.date", "r.effectiveDateTime", "r.authoredOn")).alias("date"),
+        F.when(of("Patient"), _person()).when(of("MedicationRequest"), named("medicationCodeableConcept")).when(kind.isin("Observation", "Condition"), named("code")).alias("name"),
+        F.when(of("Condition"), F.coalesce(F.get("r.clinicalStatus.coding", 0)["code"], F.lit("unknown"))).when(kind.isin("MedicationRequest", "Observation"), F.col("r.status")).alias("status"),
+        F.when(of("Patient"), F.col("r.gender")).alias("gender"),
+        F.when(of("Patient"), F.coalesce("r.active", F.lit(True))).alias("active"),
+        F.when(of("MedicationRequest"), dose["text"]).alias("dosage"),
+        F.when(of("MedicationRequest"), dose["route"]["text"]).alias("route"),
+        F.when(of("MedicationRequest"), dose["timing"]["code"]["text"]).alias("frequency"),
+        F.when(of("Observation"), F.coalesce(quantity.cast("string"), "r.valueString", F.lit(""))).alias("value"),
+        F.when(of("Observation"), quantity).alias("value_numeric"),
+        F.when(of("Observation"), F.col("r.valueQuantity.unit")).alias("unit"),
+        F.when(of("Observation"), F.get("r.interpretation", 0)["text"]).alias("interpretation"),
+        F.when(of("Condition"), F.col("r.severity.text")).alias("severity"),
+        F.when(of("Condition"), F.get(F.filter("r.code.coding", lambda c: F.lower(c["system"]).contains("icd")), 0)["code"]).alias("icd10"),
+        F.when(~kind.isin(*KINDS), F.substring("raw", 1, 200)).alias("raw_summary"),
+    )
+
+
+def fhir_text(json: Column) -> Column:
+    """A resource as readable lines; kinds without a template give the first 500 characters of their JSON."""
+    r = F.from_json(json, FHIR_ALL)
+    get = lambda *path: F.coalesce(_path(r, path), F.lit("unknown"))
+    head = F.concat(F.lit("FHIR "), F.coalesce(r["resourceType"], F.lit("Resource")), F.lit(":"))
+    name = F.get(r["name"], 0)
+    person = F.concat(F.lit("Name: "), F.concat_ws(" ", name["given"]), F.lit(" "), F.coalesce(name["family"], F.lit("")))
+    lines = {
+        "Patient": [F.trim(person), F.concat(F.lit("Birth Date: "), get("birthDate"))],
+        "MedicationRequest": [F.concat(F.lit("Medication: "), get("medicationCodeableConcept", "text")), F.concat(F.lit("Dosage: "), F.coalesce(F.get(r["dosageInstruction"], 0)["text"], F.lit("unknown")))],
+        "Observation": [F.concat(F.lit("Observation: "), get("code", "text")), F.concat(F.lit("Value: "), F.coalesce(r["valueQuantity"]["value"].cast("string"), F.lit("")), F.lit(" "), F.coalesce(r["valueQuantity"]["unit"], F.lit("")))],
+        "Condition": [F.concat(F.lit("Condition: "), get("code", "text")), F.concat(F.lit("Status: "), F.coalesce(F.get(r["clinicalStatus"]["coding"], 0)["code"], F.lit("unknown")))],
+    }
+    out = F.concat_ws("\n", head, F.substring(json, 1, 500))
+    for kind, xs in lines.items():
+        out = F.when(r["resourceType"] == kind, F.concat_ws("\n", head, *xs)).otherwise(out)
+    return out
+
+
+def _path(r: Column, path: tuple[str, ...]) -> Column:
+    for p in path:
+        r = r[p]
+    return r
+
+
+def hl7_segments(messages: DataFrame, column: str = "message") -> DataFrame:
+    """msg_id, segments: array of field arrays, in order; blank lines left out."""
+    lines = F.filter(F.transform(F.split(column, r"\r\n|[\n\r]"), F.trim), lambda x: x != "")
+    return messages.select("msg_id", F.transform(lines, lambda x: F.split(x, r"\|")).alias("segments"))
+
+
+def _last(kind: str) -> Column:
+    return F.try_element_at(F.filter("segments", lambda f: f[0] == kind), F.lit(-1))
+
+
+def hl7_basic(messages: DataFrame, column: str = "message") -> DataFrame:
+    """msg_id, message_type, patient_id, patient_name, birth_date, observations (all of them): the loader's parser.
+
+    A header of fewer than ten fields is ignored; missing fields of other segments are empty.
+    """
+    msh, pid, field = _last("MSH"), _last("PID"), lambda f, i: F.coalesce(F.get(f, i), F.lit(""))
+    obx = F.transform(F.filter("segments", lambda f: f[0] == "OBX"), lambda f: F.struct(field(f, 3).alias("type"), field(f, 5).alias("value"), field(f, 6).alias("units")))
+    long = F.size(F.get(F.filter("segments", lambda f: f[0] == "MSH"), 0)) > 9
+    return hl7_segments(messages, column).select("msg_id", F.when(long, F.get(msh, 8)).alias("message_type"), F.when(long, F.get(msh, 3)).alias("patient_id"), F.when(pid.isNotNull(), field(pid, 5)).alias("patient_name"), F.when(pid.isNotNull(), field(pid, 7)).alias("birth_date"), obx.alias("observations"))
+
+
+def hl7_full(messages: DataFrame, column: str = "message", keep_all: bool = False) -> DataFrame:
+    """msg_id, message_type, date, patient_id, patient_name, observations, medications.
+
+    Of repeated segments the last counts; ``keep_all`` keeps all observations and medications.
+    """
+    msh, pid, field = _last("MSH"), _last("PID"), lambda f, i: F.coalesce(F.get(f, i), F.lit(""))
+
+    def items(kind: str, names: dict[str, int]) -> Column:
+        every = F.filter("segments", lambda f: f[0] == kind)
+        picked = every if keep_all else F.slice(every, F.greatest(F.size(every), F.lit(1)), 1)
+        return F.transform(picked, lambda f: F.struct(*[field(f, i).alias(n) for n, i in names.items()]))
+
+    obx = items("OBX", {"set_id": 1, "type": 3, "value": 5, "units": 6, "reference_range": 7, "abnormal_flag": 8, "status": 11})
+    rxa = items("RXA", {"medication": 5, "dose": 6, "units": 7, "route": 12})
+    empty = lambda f, i: F.coalesce(F.get(f, i), F.lit(""))
+    return hl7_segments(messages, column).select("msg_id", empty(msh, 8).alias("message_type"), empty(msh, 6).alias("date"), F.get(pid, 3).alias("patient_id"), F.get(pid, 5).alias("patient_name"), obx.alias("observations"), rxa.alias("medications"))
+
+
+def hl7_to_fhir(full: DataFrame) -> DataFrame:
+    """resource_type, resource_id, patient_id, code, display, system, value: results as Observations, admissions as Encounters."""
+    kind = F.split("message_type", r"\^")[0]
+    part = lambda i: F.get(F.split("o.type", r"\^"), i)
+    none = F.lit(None).cast("string")
+    observations = full.where(kind == "ORU").select("*", F.posexplode("observations").alias("k", "o")).select(F.lit("Observation").alias("resource_type"), F.concat_ws("-", "msg_id", F.col("k") + 1).alias("resource_id"), "patient_id", part(0).alias("code"), part(1).alias("display"), part(2).alias("system"), F.col("o.value").alias("value"))
+    encounters = full.where(kind == "ADT").select(F.lit("Encounter").alias("resource_type"), F.col("msg_id").cast("string").alias("resource_id"), "patient_id", none.alias("code"), none.alias("display"), none.alias("system"), none.alias("value"))
+    return observations.unionByName(encounters)
+
+
 def append_audit(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
