@@ -203,8 +203,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = materialise(full.join(picked, ["doc_id", "one", "two"], "left_semi").dropDuplicates(["doc_id", "one", "two"]).select("doc_id", "sig"), "reps")
     bands = _bands(reps)
     pivots = bands.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    # merge joins: adaptive execution splits a hot bucket there, which it can't in a broadcast join after the shuffle
-    members = materialise(bands.join(pivots.hint("merge"), "bucket"), "buckets")
+    # merge joins of tables: adaptive execution splits a hot bucket there, but neither in a broadcast join after the
+    # shuffle nor where one side is still to be aggregated
+    members = materialise(bands.join(materialise(pivots, "pivots").hint("merge"), "bucket"), "buckets")
     sets = materialise(_sets(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), shingle), "sets")
     star = members.where("doc_id != pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct()
     star = star.join(reps.select(F.col("doc_id").alias("u"), F.col("sig").alias("a")), "u").join(reps.select(F.col("doc_id").alias("v"), F.col("sig").alias("b")), "v")
@@ -214,7 +215,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     label = F.coalesce(F.col("component"), F.col("doc_id")).alias("component")
     named = members.where("n > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "doc_id", "n", label)
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    rest = _across(named.join(mixed.hint("merge"), "bucket", "left_semi").join(reps, "doc_id").join(sets, "doc_id"), percent)
+    rest = _across(named.join(materialise(mixed, "mixed").hint("merge"), "bucket", "left_semi").join(reps, "doc_id").join(sets, "doc_id"), percent)
     final = components(links.union(confirm(rest, sets, percent)))
     joined = every.select("doc_id", "n_shingles").join(nodes.drop("last"), "doc_id", "left").join(final, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
