@@ -56,6 +56,56 @@ device_id ~ [DEVICE_#]
 name_context ~ [PERSON_#]
 """
 
+# What a prompt asks for by query type.
+TEMPLATES = """
+factual_lookup ~ Provide a direct, factual answer.
+explanation ~ Explain the reasoning and clinical rationale.
+comparison ~ Compare the values/findings, noting changes over time.
+multi_hop ~ This requires synthesizing information from multiple documents. Connect the relevant facts logically.
+summarization ~ Provide a comprehensive but concise summary organized chronologically.
+temporal ~ Focus on events within the specified time period.
+"""
+
+# Terms, their synonyms, abbreviations and related terms (two of each are used).
+SYNONYMS = """
+myocardial infarction ~ heart attack, cardiac infarction ~ MI, AMI ~ chest pain, troponin
+heart attack ~ myocardial infarction, cardiac infarction ~ MI, AMI ~ chest pain, troponin
+diabetes ~ diabetes mellitus, diabetic ~ DM, T2DM ~ glucose, insulin
+hypertension ~ high blood pressure, elevated blood pressure ~ HTN, BP ~ blood pressure, systolic
+blood pressure ~ arterial pressure, bp reading ~ BP, SBP ~ hypertension, hypotension
+medication ~ drug, medicine ~ med, rx ~ dosage, dose
+discharge ~ discharged from hospital, release from hospital ~ d/c ~ discharge summary, discharge medications
+lab ~ laboratory, lab result ~ labs ~ specimen, serum
+vital signs ~ vitals, vital measurements ~ VS ~ blood pressure, heart rate
+heart rate ~ pulse, cardiac rate ~ HR, pulse rate ~ bradycardia, tachycardia
+oxygen saturation ~ o2 saturation, spo2 ~ SpO2, O2 sat ~ hypoxia, oxygen therapy
+ecg ~ electrocardiogram, ekg ~ EKG, ECG ~ rhythm, qrs
+pneumonia ~ lung infection, pulmonary infection ~ PNA ~ chest xray, infiltrate
+surgery ~ operation, surgical procedure ~ OR, procedure ~ anesthesia, incision
+allergy ~ allergic reaction, hypersensitivity ~ NKDA, NKA ~ anaphylaxis, adverse reaction
+"""
+
+# The search analyzer's stop words and synonym groups (the first word stands for a group).
+STOPWORDS = "the is at which"
+SYNONYM_GROUPS = """
+mi, myocardial infarction, heart attack
+bp, blood pressure
+hr, heart rate
+"""
+
+# Seconds a cached answer lives, by query type.
+TTL = {"factual_lookup": 3600, "summarization": 1800, "temporal": 900}
+TTL_DEFAULT = 3600
+
+# Metric, threshold above (>) or below (<) which an alert is raised, severity.
+ALERTS = """
+p95_latency_ms > 2000 WARN
+pii_leakage_count > 0 CRITICAL
+cache_hit_rate < 0.2 INFO
+retry_rate > 0.2 WARN
+validation_failure_rate > 0.1 ERROR
+"""
+
 # Quasi-identifiers (rules of this library).
 QUASI_IDENTIFIERS = r"""
 age ~ (?i)\b\d{1,3}[ -](?:year|yr)s?[ -]old\b

@@ -1,10 +1,11 @@
-"""Context budgets, confidence, feedback and output validation."""
+"""Context budgets, prompts, template answers, confidence, the feedback loop and output validation."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pii
 from ..functions import rules
 from ..functions.text import pii_types, token_estimate
 
@@ -39,3 +40,117 @@ def feedback(score: Column, attempt: Column) -> Column:
 def validated(answer: Column) -> Column:
     types = pii_types(answer)
     return F.when(F.size(types) > 0, F.struct(F.lit(True).alias("blocked"), types.alias("types"))).otherwise(F.struct(F.lit(False).alias("blocked"), types.alias("types")))
+
+
+NO_CONTEXT = "No relevant context found."
+NOT_AVAILABLE = "The information is not available in the provided records."
+
+
+def source_label(kind: Column, section: Column, score: Column) -> Column:
+    return F.concat(F.lit("["), F.coalesce(kind, F.lit("document")), F.lit(" | "), F.coalesce(section, F.lit("general")), F.lit(" | score: "), F.format_string("%.2f", score.cast("double")), F.lit("]"))
+
+
+def ordered_text(parts: Column, between: str) -> Column:
+    """An aggregate: ``parts`` of a group in rank order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", parts.alias("p")))), lambda x: x["p"]), between)
+
+
+def prompts(questions: DataFrame, chunks: DataFrame, budget: int = 6000) -> DataFrame:
+    """query_id, user_message, n_context, tokens.
+
+    questions: query_id, question, patient_id (or null).  chunks: query_id, rank, text, kind, section, score.  Chunks
+    are taken in rank order as long as their tokens stay in the budget.
+    """
+    fit = within_budget(chunks.where("text is not null"), "query_id", budget)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("string")
+    part = F.concat(F.lit("--- Context "), F.col("place"), F.lit(" "), source_label(F.col("kind"), F.col("section"), F.col("score")), F.lit(" ---\n"), F.col("text"))
+    made = fit.withColumn("place", place).groupBy("query_id").agg(ordered_text(part, "\n\n").alias("context"), F.count("*").cast("int").alias("n_context"), F.max("running_tokens").alias("used"))
+    question = F.coalesce("question", F.lit(""))
+    body = F.concat(F.lit("PATIENT CONTEXT:\n"), F.coalesce("context", F.lit(NO_CONTEXT)), F.lit("\n\nQUESTION: "), question, F.lit("\n\nPlease answer based solely on the context above."))
+    head = F.when(F.col("patient_id").isNotNull(), F.concat(F.lit("Patient ID: "), "patient_id", F.lit("\n\n"))).otherwise("")
+    return questions.join(made, "query_id", "left").select("query_id", F.concat(head, body).alias("user_message"), F.coalesce("n_context", F.lit(0)).alias("n_context"), (F.coalesce("used", F.lit(0)) + F.floor(F.length(question) / 4)).cast("int").alias("tokens"))
+
+
+def template_answer(message: Column) -> Column:
+    """struct(answer, input_tokens, output_tokens): what stands in for a language model, a pure function of the prompt."""
+    context, question = F.instr(message, "--- Context"), F.instr(message, "QUESTION:")
+    until = F.when(question > 1, F.greatest(question - context, F.lit(0))).otherwise(F.length(message))
+    snippet = F.regexp_replace(F.substring(F.substr(message, context, until), 1, 300), r"^\s+|\s+$", "")
+    answer = F.when(context == 0, NOT_AVAILABLE).otherwise(F.concat(F.lit("Based on the clinical records: "), F.substring(snippet, 1, 200), F.lit("...\n\n[Mock response]")))
+    quarter = lambda c: F.floor(F.length(c) / 4).cast("int")
+    return F.struct(answer.alias("answer"), quarter(message).alias("input_tokens"), quarter(answer).alias("output_tokens"))
+
+
+def broader(query: Column) -> Column:
+    """A wider query: short ones ask for related information, others lose the words exact and only."""
+    words = F.size(F.filter(F.split(query, r"\s+"), lambda w: w != ""))
+    return F.when(words < 10, F.concat(query, F.lit(" related information"))).otherwise(F.replace(F.replace(query, F.lit(" exact "), F.lit(" ")), F.lit(" only "), F.lit(" ")))
+
+
+def with_warning(answer: Column, score: Column) -> Column:
+    share = F.concat(F.round(score * 100).cast("int").cast("string"), F.lit("%"))
+    low = F.concat(answer, F.lit("\n\n[Note: Low confidence ("), share, F.lit("). The retrieved records may not fully address this query. Please verify with the original clinical records.]"))
+    fair = F.concat(answer, F.lit("\n\n[Note: Moderate confidence ("), share, F.lit("). Consider reviewing source records for complete information.]"))
+    return F.when(score < 0.5, low).when(score < 0.7, fair).otherwise(answer)
+
+
+def feedback_loop(questions: DataFrame, attempt_at, k: int, more: int = 20, passes: int = 3) -> DataFrame:
+    """query_id, answer, score, attempts, action: answered again with a broader query or more chunks as long as that may help.
+
+    ``attempt_at(open)`` takes (query_id, question, k) and adds answer and score.  Each pass runs over the questions
+    still open, all at once; there are at most ``passes``.
+    """
+    open_, done = questions.withColumn("k", F.lit(k)), None
+    for attempt in range(passes):
+        tried = attempt_at(open_).withColumns({"attempts": F.lit(attempt), "action": feedback(F.col("score"), F.lit(attempt))})
+        ended = tried.where("action = 'stop'").select("query_id", "answer", "score", "attempts", "action")
+        done = ended if done is None else done.unionByName(ended)
+        again = F.col("action") == "expand_query"
+        open_ = tried.where("action != 'stop'").select("query_id", F.when(again, broader(F.col("question"))).otherwise(F.col("question")).alias("question"), F.when(again, F.col("k")).otherwise(more).alias("k"))
+    return done
+
+
+def evaluation_prompts(questions: DataFrame, chunks: DataFrame, budget: int = 7424) -> DataFrame:
+    """query_id, user_message, n_context, context_tokens, utilisation: the evaluation variant, texts cleaned first."""
+    cleaned = chunks.where("text is not null").withColumn("text", pii.clean(F.col("text")))
+    tokens = F.floor(F.length("text") / 4)
+    used = F.sum(tokens).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    label = F.concat(F.lit("[Source: "), F.coalesce("kind", F.lit("record")), F.lit(" | Section: "), F.coalesce("section", F.lit("None")), F.lit(" | RRF score: "), F.format_string("%.4f", F.col("score").cast("double")), F.lit("]\n"), "text")
+    made = cleaned.withColumn("used", used).where(F.col("used") <= budget).groupBy("query_id").agg(ordered_text(label, "\n\n---\n\n").alias("context"), F.count("*").cast("int").alias("n_context"), F.max("used").alias("context_tokens"))
+    body = F.concat(F.lit("CLINICAL RECORDS CONTEXT:\n\n"), F.coalesce("context", F.lit("No relevant context retrieved.")), F.lit("\n\n---\n\nQUESTION: "), F.coalesce("question", F.lit("")), F.lit("\n\nAnswer based solely on the context above. Cite source sections."))
+    n = F.coalesce("context_tokens", F.lit(0)).cast("int")
+    return questions.join(made, "query_id", "left").select("query_id", body.alias("user_message"), F.coalesce("n_context", F.lit(0)).alias("n_context"), n.alias("context_tokens"), F.round(n / budget, 6).alias("utilisation"))
+
+
+def keyword_answer(message: Column, section: Column, keywords: Column) -> Column:
+    """The first line that holds each of the first five keywords found in the prompt."""
+    low = F.lower(message)
+    found = F.filter(keywords, lambda k: low.contains(F.lower(k)))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+
+    def made(lines):
+        line = lambda k: F.get(F.filter(lines, lambda x: F.lower(x).contains(F.lower(k)) & (F.length(strip(x)) > 5)), 0)
+        hits = F.array_compact(F.transform(F.slice(found, 1, 5), lambda k: F.concat(F.lit("  - "), F.substring(strip(line(k)), 1, 100))))
+        full = F.array_join(F.concat(F.array(F.concat(F.lit("Based on ["), section, F.lit("]:"))), hits), "\n")
+        return F.when(F.size(hits) > 0, full).otherwise(F.concat(F.lit("Found: "), F.array_join(found, ", ")))
+
+    return F.when(F.size(found) == 0, "Not found in the provided records.").otherwise(F.transform(F.array(F.split(message, "\n")), made)[0])
+
+
+def coverage(text: Column, keywords: Column) -> Column:
+    """Share of the keywords that occur in a text, 1 if there are none."""
+    low = F.lower(text)
+    return F.when(F.size(keywords) == 0, 1.0).otherwise(F.size(F.filter(keywords, lambda k: low.contains(F.lower(k)))) / F.size(keywords))
+
+
+def keyword_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, recall, precision: keywords found in any chunk, and chunks that hold any keyword.  questions: query_id, keywords."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    both = questions.join(chunks, "query_id", "left")
+    held = F.transform("keywords", lambda k: F.coalesce(low.contains(F.lower(k)), F.lit(False)))
+    per = both.select("query_id", "keywords", F.col("rank").isNotNull().alias("chunk"), held.alias("held")).select("query_id", "keywords", "chunk", F.exists("held", lambda x: x).alias("relevant"), F.posexplode_outer("held").alias("k", "hit"))
+    words = per.groupBy("query_id", "k").agg(F.max("hit").alias("hit")).groupBy("query_id").agg(F.count("k").alias("n"), F.sum(F.col("hit").cast("int")).alias("hits"))
+    chunks_ = per.where("chunk and coalesce(k, 0) = 0").groupBy("query_id").agg(F.count("*").alias("m"), F.sum(F.coalesce(F.col("relevant"), F.lit(False)).cast("int")).alias("relevant"))
+    recall = F.when(F.col("n") == 0, 1.0).otherwise(F.round(F.col("hits") / F.col("n"), 6))
+    precision = F.when((F.col("n") == 0) | F.col("m").isNull(), 0.0).otherwise(F.round(F.col("relevant") / F.col("m"), 6))
+    return words.join(chunks_, "query_id", "left").select("query_id", recall.alias("recall"), precision.alias("precision"))

@@ -34,6 +34,36 @@ def expand(query: Column) -> Column:
     return F.slice(F.array_distinct(F.array_compact(F.array(*found))), 1, 10)
 
 
+def expansion_terms(query: Column) -> Column:
+    """array<struct(term, weight, kind)>: the query, abbreviations, then synonyms; distinct without regard to case, ten at most."""
+    item = lambda term, weight, kind: F.struct(F.lit(term).alias("term"), F.lit(weight).alias("weight"), F.lit(kind).alias("kind"))
+    found = [F.when(query.rlike(rf"(?i)\b\Q{a}\E\b"), item(x, 0.85, "abbreviation")) for a, x in rules.rows(rules.ABBREVIATIONS)]
+    for line in rules.SYNONYMS.strip().splitlines():
+        term, *lists = line.split(" ~ ")
+        on = F.lower(query).contains(term)
+        found += [F.when(on, item(x, w, k)) for xs, w, k in zip(lists, (0.9, 0.85, 0.7), ("synonym", "abbreviation", "related")) for x in xs.split(", ")]
+    first = F.struct(query.alias("term"), F.lit(1.0).alias("weight"), F.lit("original").alias("kind"))
+    every = F.concat(F.array(first), F.array_compact(F.array(*found)))
+    once = lambda ts: F.filter(ts, lambda x, i: F.array_position(F.transform(ts, lambda y: F.lower(y["term"])), F.lower(x["term"])) == i + 1)
+    return F.slice(F.transform(F.array(every), once)[0], 1, 10)
+
+
+def expanded_query(query: Column, terms: Column) -> Column:
+    """The query and its terms of weight 0.7 and more that aren't only related, each once."""
+    strong = F.filter(terms, lambda x: (x["weight"] >= 0.7) & (x["kind"] != "related"))
+    return F.array_join(F.array_distinct(F.concat(F.array(query), F.transform(strong, lambda x: x["term"]))), " ")
+
+
+def reasoning(query: Column) -> Column:
+    """Of each query type that matches, its first two patterns."""
+    groups: dict[str, list[str]] = {}
+    for k, p in rules.rows(rules.INTENTS):
+        groups.setdefault(k, []).append(p)
+    q = F.lower(query)
+    per = [F.struct(F.lit(k).alias("query_type"), F.slice(F.array_compact(F.array(*[F.when(q.rlike(p), F.lit(p)) for p in ps])), 1, 2).alias("patterns")) for k, ps in groups.items()]
+    return F.filter(F.array(*per), lambda x: F.size(x["patterns"]) > 0)
+
+
 def cache_key(scope: Column, query: Column) -> Column:
     """Scope and sorted terms: the same words in another order hit, another scope never does."""
     return F.sha2(F.concat(scope, F.lit("|"), F.array_join(F.array_sort(tokens(query)), " ")), 256)
