@@ -54,6 +54,17 @@ def expanded_query(query: Column, terms: Column) -> Column:
     return F.array_join(F.array_distinct(F.concat(F.array(query), F.transform(strong, lambda x: x["term"]))), " ")
 
 
+def analyzed(text: Column) -> Column:
+    """Search terms: synonyms of a group become its first word, stop words go."""
+    out = F.lower(text)
+    for line in rules.SYNONYM_GROUPS.strip().splitlines():
+        head, *others = line.split(", ")
+        for x in sorted(others, key=len, reverse=True):
+            out = F.regexp_replace(out, rf"\b{x}\b", head)
+    stop = F.array(*map(F.lit, rules.STOPWORDS.split()))
+    return F.filter(tokens(out), lambda w: ~F.array_contains(stop, w))
+
+
 def reasoning(query: Column) -> Column:
     """Of each query type that matches, its first two patterns."""
     groups: dict[str, list[str]] = {}

@@ -1,4 +1,4 @@
-"""BM25 postings, dense vectors over sets of queries, hash embeddings and fusion."""
+"""Dense vectors over sets of queries, hash embeddings, fusion of lists and reranking (BM25 is in ``index``)."""
 
 from __future__ import annotations
 
@@ -7,33 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, whitespace_words
+from ..functions.text import whitespace_words
 
 QUERY_BLOCK, VECTOR_PARTS, VECTOR_SLICE = 4096, 16, 512
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf: write it once and reuse it."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(post: DataFrame, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """doc_id, score, matched_terms.
-
-    Corpus statistics come from one aggregate over the postings by document and one by
-    term; the query terms, a handful, filter the postings before the join.
-    """
-    lengths = post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))
-    idf = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = idf.agg((0.25 * F.avg("raw")).alias("floor"))
-    weights = idf.where(F.col("term").isin(terms)).crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    hits = post.where(F.col("term").isin(terms)).join(F.broadcast(weights), "term").join(lengths, "doc_id").crossJoin(F.broadcast(corpus.select("avgdl")))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
-
-
 def dot(a: Column, b: Column) -> Column:
     d = lambda x: F.transform(x, lambda v: v.cast("double"))
     return F.round(F.aggregate(F.zip_with(d(a), d(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6)
@@ -42,8 +20,7 @@ def dot(a: Column, b: Column) -> Column:
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0) -> DataFrame:
     """query_id, vec_id, score, rank (0-based).  queries (query_id, q) is a stated set, broadcast; each scores all vectors."""
     scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", dot(F.col("embedding"), F.col("q")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).where(F.col("score") >= least)
+    return top_k(scored, "query_id", k, F.desc("score"), F.col("vec_id")).where(F.col("score") >= least)
 
 
 def in_blocks(queries: DataFrame, vectors: DataFrame, start, fold, finish, schema: str) -> DataFrame:
@@ -208,4 +185,56 @@ def rrf(lists: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
 
 
 def top_k(df: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).where(F.col("rank") < k)
+    """Adds rank (0-based).  The limit is on the row number itself, so that each task keeps k rows of a key before the exchange."""
+    numbered = df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
+    return numbered.withColumn("rank", F.col("rank") - 1)
+
+
+def fuse(dense: DataFrame, sparse: DataFrame, k: int, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
+    """query_id, doc_id, score, rank: reciprocal ranks of two lists (query_id, doc_id, score, rank); of a query with one list only, that one, raw scores kept."""
+    both = rrf([(dense, weights[0]), (sparse, weights[1])])
+    here = lambda d, n: d.select("query_id").distinct().withColumn(n, F.lit(True))
+    held = here(dense, "d").join(here(sparse, "s"), "query_id", "full_outer")
+    single = held.where("d is null or s is null").select("query_id")
+    raw = dense.select("query_id", "doc_id", "score").union(sparse.select("query_id", "doc_id", "score")).join(single, "query_id", "left_semi")
+    return top_k(both.join(single, "query_id", "left_anti").unionByName(raw), "query_id", k, F.desc("score"), F.col("doc_id"))
+
+
+def fuse_lists(lists: dict[str, tuple[DataFrame, float]], k: int) -> DataFrame:
+    """query_id, doc_id, score, rank, sources, and the rank in each list: reciprocal ranks of any number of lists."""
+    every = None
+    for name, (df, weight) in lists.items():
+        x = df.select("query_id", "doc_id", (F.lit(weight) / (61 + F.col("rank"))).alias("s"), F.lit(name).alias("source"), F.col("rank").alias("r"))
+        every = x if every is None else every.union(x)
+    ranks = [F.max(F.when(F.col("source") == n, F.col("r"))).alias(f"{n}_rank") for n in lists]
+    return top_k(every.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"), F.array_sort(F.collect_set("source")).alias("sources"), *ranks), "query_id", k, F.desc("score"), F.col("doc_id"))
+
+
+def weighted_sum(lists: list[tuple[DataFrame, float]], k: int) -> DataFrame:
+    """query_id, doc_id, score, rank: scores scaled to 0..1 within each list and query, weighted and added."""
+    every = None
+    for df, weight in lists:
+        w = Window.partitionBy("query_id")
+        low, high = F.min("score").over(w), F.max("score").over(w)
+        x = df.select("query_id", "doc_id", (F.lit(weight) * F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0)).alias("s"))
+        every = x if every is None else every.union(x)
+    return top_k(every.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score")), "query_id", k, F.desc("score"), F.col("doc_id"))
+
+
+def rerank(results: DataFrame, k: int = 5, threshold: float | None = None) -> DataFrame:
+    """query_id, doc_id, rank of the k best by ``rerank_score``; below the threshold a query keeps its order by ``score``."""
+    best = F.max("rerank_score").over(Window.partitionBy("query_id"))
+    key = F.col("rerank_score") if threshold is None else F.when(best >= threshold, F.col("rerank_score")).otherwise(F.col("score"))
+    return top_k(results.withColumn("key", key), "query_id", k, F.desc("key"), F.desc("score"), F.col("doc_id")).drop("key")
+
+
+def without_near_copies(results: DataFrame, words: DataFrame, most: float = 0.8) -> DataFrame:
+    """Results (query_id, doc_id, rank) without those that share more than ``most`` of the smaller word set with a better one.
+
+    Lists are top-k lists: pairs are formed within them only.  words: doc_id, w (distinct words).
+    """
+    own = results.join(words, "doc_id")
+    a, b = own.alias("a"), own.alias("b")
+    shared = F.size(F.array_intersect("a.w", "b.w")) / F.greatest(F.least(F.size("a.w"), F.size("b.w")), F.lit(1))
+    worse = a.join(b, F.expr("a.query_id = b.query_id and a.rank > b.rank")).where(shared > most).select("a.query_id", "a.doc_id").distinct()
+    return results.join(worse, ["query_id", "doc_id"], "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import answers, chunking, intent, ops, retrieval
+from ..operators import answers, chunking, index, intent, ops, retrieval, service
 from ..sources import loaders
 from ..streaming import streams
 
@@ -95,9 +95,18 @@ def exact_dedup_hash(spark, sf):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_passage_hits(spark, sf):
-    b = t(spark, sf, "benchmark")
-    b = F.broadcast(b) if b.count() <= SMALL else b
-    return t(spark, sf, "documents").alias("d").join(b.alias("b"), F.expr("contains(d.text, b.text)")).select("d.doc_id", "b.item_id")
+    """Items of six words and more are found by four words that lie inside them, shorter ones by a scan; then the texts are compared."""
+    b = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"), text.whitespace_words(F.col("text")).alias("w"))
+    four = lambda at: F.xxhash64(*[F.col("w")[at + k] for k in range(4)])
+    long = b.where(F.size("w") >= 6).select("item_id", "item", four(F.lit(1)).alias("h"))
+    d = t(spark, sf, "documents").select("doc_id", "text")
+    places = F.explode(F.when(F.size("w") >= 4, F.sequence(F.lit(0), F.size("w") - 4)))
+    grams = d.select("doc_id", text.whitespace_words(F.col("text")).alias("w")).select("doc_id", "w", places.alias("i")).select("doc_id", four(F.col("i")).alias("h"))
+    hits = grams.join(F.broadcast(long.drop("item")) if long.count() <= SMALL else long.drop("item"), "h").select("doc_id", "item_id").distinct()
+    held = hits.join(b.select("item_id", "item"), "item_id").join(d, "doc_id")
+    short = b.where(F.size("w") < 6)
+    few = F.broadcast(short) if short.count() <= SMALL else short
+    return held.where("contains(text, item)").select("doc_id", "item_id").union(d.join(few, F.expr("contains(text, item)")).select("doc_id", "item_id"))
 
 
 @query(r"SELECT conv_id, turn, CAST(len(list_filter(list_distinct(regexp_extract_all(text, '[0-9]+')), lambda n: NOT list_contains(ctx, n))) AS INTEGER) AS ungrounded FROM (SELECT conv_id, turn, role, text, regexp_extract_all(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '[0-9]+') AS ctx FROM conversations) WHERE role = 'assistant'")
@@ -137,23 +146,7 @@ def chunk_stats(spark, sf):
     return c.agg(F.count("*").alias("chunks"), F.round(F.avg(text.token_estimate(F.col("text"))), 6).alias("avg_tokens"), F.count_distinct("doc_id").alias("docs"))
 
 
-NOTE = "Admitted today.\nMEDICATIONS:\naspirin 81 mg\n\nlisinopril 10 mg\nCHIEF COMPLAINT: pain\nplan\nrest and fluids"
 _HEADERS = rules.HEADERS
-_NOTE_SQL = "'" + NOTE.replace("\n", "' || chr(10) || '") + "'"
-
-
-@query(f"""WITH l AS (SELECT unnest(string_split({_NOTE_SQL}, chr(10))) AS line, generate_subscripts(string_split({_NOTE_SQL}, chr(10)), 1) AS i),
-m AS (SELECT i, line, regexp_matches(line, '(?i)^(?:{_HEADERS})[:\\s]*$') AS h FROM l),
-s AS (SELECT i, line, h, CAST(sum(h::INT) OVER (ORDER BY i) AS INTEGER) AS section_no FROM m)
-SELECT CAST(1 AS BIGINT) AS doc_id, section_no, coalesce(max(CASE WHEN h THEN upper(rtrim(line, ': ')) END), 'PREAMBLE') AS section, trim(string_agg(line, chr(10) ORDER BY i)) AS text FROM s GROUP BY section_no""")
-def section_split(spark, sf):
-    return chunking.sections(spark.createDataFrame([(1, NOTE)], "doc_id long, text string"), _HEADERS)
-
-
-@query(f"""WITH l AS (SELECT unnest(string_split({_NOTE_SQL}, chr(10))) AS line) SELECT CAST(count(*) FILTER (line <> '') AS INTEGER) AS lines, CAST(2 AS INTEGER) AS chunks FROM l""")
-def paragraph_pack(spark, sf):
-    d = spark.createDataFrame([(NOTE,)], "text string")
-    return d.select(F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("lines"), F.size(chunking.pack_paragraphs(F.col("text"), 15)).alias("chunks"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
@@ -182,19 +175,21 @@ idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT 0.25 * avg(raw) FROM df) ELS
 s AS (SELECT doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, list_sort(list(DISTINCT term)) AS m FROM p JOIN idf USING (term) JOIN dl USING (doc_id), c GROUP BY doc_id)"""
 
 
-def _post(spark, sf):
-    return retrieval.postings(t(spark, sf, "documents"))
+def _bm25(spark, sf):
+    """doc_id, score, matched_terms of the five terms, from the written index."""
+    asked = spark.createDataFrame([(1, x) for x in TERMS], "query_id int, term string")
+    return index.search(spark, index.built(t(spark, sf, "documents"), f"{sf}/documents"), asked).where("score > 0")
 
 
 @query(_BM25 + " SELECT doc_id, score, array_to_string(m, ' ') AS matched FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, sf):
-    s = retrieval.bm25(_post(spark, sf), TERMS).where("score > 0")
+    s = _bm25(spark, sf)
     return s.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score", F.array_join("matched_terms", " ").alias("matched"))
 
 
 @query(_BM25 + " SELECT doc_id, score FROM s JOIN documents USING (doc_id) WHERE score > 0 AND source = 'src3' ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk_filtered(spark, sf):
-    s = retrieval.bm25(_post(spark, sf), TERMS).where("score > 0").join(t(spark, sf, "documents").where("source = 'src3'").select("doc_id"), "doc_id", "left_semi")
+    s = _bm25(spark, sf).join(t(spark, sf, "documents").where("source = 'src3'").select("doc_id"), "doc_id", "left_semi")
     return s.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score")
 
 
@@ -219,7 +214,7 @@ def rrf_fusion(spark, sf):
         top = df.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(20).withColumn("query_id", F.lit(1))
         return retrieval.top_k(top, "query_id", 20, F.desc("score"), F.col("doc_id"))
 
-    fused = retrieval.rrf([(ranked(_overlap(spark, sf)), 0.7), (ranked(retrieval.bm25(_post(spark, sf), TERMS)), 0.3)])
+    fused = retrieval.rrf([(ranked(_overlap(spark, sf)), 0.7), (ranked(_bm25(spark, sf)), 0.3)])
     return fused.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score")
 
 
@@ -227,29 +222,6 @@ _DOT = "round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]),
 _DENSE = f"WITH x AS (SELECT q.vec_id AS query_id, q.label AS ql, v.vec_id, v.label, {_DOT} AS score FROM embeddings v, embeddings q WHERE q.vec_id < 5), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS INTEGER) AS rank FROM x)"
 
 
-def _dense(spark, sf, k, least=-1.0, same_label=False):
-    e = t(spark, sf, "embeddings")
-    return retrieval.dense_top_k(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e, k, least)
-
-
-@query(_DENSE + " SELECT query_id, vec_id, score, rank FROM r WHERE rank < 10")
-def dense_topk_batch(spark, sf):
-    return _dense(spark, sf, 10)
-
-
-@query(_DENSE + " SELECT query_id, vec_id, score, rank FROM r WHERE rank < 20 AND score >= 0.3")
-def dense_min_score(spark, sf):
-    return _dense(spark, sf, 20, 0.3)
-
-
-@query(_DENSE.replace("WHERE q.vec_id < 5", "WHERE q.vec_id < 5 AND v.label = q.label") + " SELECT query_id, vec_id, score, rank FROM r WHERE rank < 5")
-def dense_topk_filtered(spark, sf):
-    e = t(spark, sf, "embeddings")
-    mine = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    s = e.join(F.broadcast(mine), "label").select("query_id", "vec_id", retrieval.dot(F.col("embedding"), F.col("q")).alias("score"))
-    return retrieval.top_k(s, "query_id", 5, F.desc("score"), F.col("vec_id"))
-
-
 _DENSE_ALL = _DENSE.replace("WHERE q.vec_id < 5", "WHERE q.vec_id % 20 = 0")
 
 
@@ -298,41 +270,6 @@ def anti_removed_docs(spark, sf):
 
 # ---------------------------------------------------------------- query intelligence
 
-ASKED = ["What medications is the patient on?", "List all lab results", "When was the patient admitted?", "Compare BP at admission and discharge", "Why was aspirin started?", "Summarize the hospital course", "Was HTN related to DM?", "Is there an ECG or MRI?", "show latest labs", "hello", "Which drug caused the rash, and what is the dose?", "Tell me the Rx for COPD and CHF"]
-_ASKED = "(VALUES " + ", ".join(f"({i}, {q(x)})" for i, x in enumerate(ASKED)) + ") AS a(n, query)"
-
-
-def _asked(spark):
-    return spark.createDataFrame(list(enumerate(ASKED)), "n int, query string")
-
-
-def _intent_sql() -> str:
-    groups: dict[str, list[str]] = {}
-    for k, p in rules.rows(rules.INTENTS):
-        groups.setdefault(k, []).append(p)
-    parts = [f"SELECT n, query, {i} AS o, '{k}' AS t, " + " + ".join(f"CAST(regexp_matches(lower(query), {q(p)}) AS INT)" for p in ps) + f" AS h FROM {_ASKED}" for i, (k, ps) in enumerate(groups.items())]
-    return f"WITH g AS ({' UNION ALL '.join(parts)}), b AS (SELECT n, t, h, row_number() OVER (PARTITION BY n ORDER BY CASE WHEN h = 0 THEN 0 ELSE least(0.95, round(0.5 + 0.15 * h, 2)) END DESC, o) AS k FROM g), c AS (SELECT n, CASE WHEN h = 0 THEN 'factual_lookup' ELSE t END AS query_type, CAST(CASE WHEN h = 0 THEN 0.4 ELSE least(0.95, round(0.5 + 0.15 * h, 2)) END AS DOUBLE) AS confidence FROM b WHERE k = 1)"
-
-
-@query(_intent_sql() + " SELECT n, query_type, confidence FROM c")
-def classify_queries(spark, sf):
-    return _asked(spark).select("n", intent.intent(F.col("query")).alias("i")).select("n", "i.query_type", "i.confidence")
-
-
-@query(_intent_sql() + ", r(query_type, route, k, latency_ms) AS (VALUES " + ", ".join(f"('{x[0]}', '{x[1]}', {x[2]}, {x[6]})" for x in (r.split() for r in rules.ROUTES.strip().splitlines())) + ") SELECT n, query_type, route, k, latency_ms FROM c JOIN r USING (query_type)")
-def route_queries(spark, sf):
-    return _asked(spark).select("n", intent.intent(F.col("query"))["query_type"].alias("query_type")).join(intent.routes(_asked(spark)), "query_type").select("n", "query_type", "route", "k", "latency_ms")
-
-
-@query("SELECT n, array_to_string(list_distinct_ordered, '; ') AS expanded FROM (SELECT n, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(query, {q('(?i)' + chr(92) + 'b' + a.replace('/', '/') + chr(92) + 'b')}) THEN {q(x)} END" for a, x in rules.rows(rules.ABBREVIATIONS)) + f"], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM {_ASKED})")
-def expand_queries(spark, sf):
-    return _asked(spark).select("n", F.array_join(intent.expand(F.col("query")), "; ").alias("expanded"))
-
-
-@query(f"SELECT n, sha256('p1|' || array_to_string(list_sort(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')), ' ')) AS cache_key, CASE WHEN regexp_matches(lower(query), 'medication|drug|prescription|rx') THEN 'medications' WHEN regexp_matches(lower(query), 'lab|result|test|observation|vital') THEN 'observations' WHEN regexp_matches(lower(query), 'condition|diagnosis|diagnos|problem') THEN 'conditions' ELSE 'all' END AS kind FROM {_ASKED}")
-def cache_key_and_structured_route(spark, sf):
-    return _asked(spark).select("n", intent.cache_key(F.lit("p1"), F.col("query")).alias("cache_key"), intent.structured_kind(F.col("query")).alias("kind"))
-
 
 # The same over every user turn of the conversations.
 _EDGE = r"(?i)(?:^|[^\p{{L}}\p{{N}}_]){}(?:$|[^\p{{L}}\p{{N}}_])"  # in DuckDB \b knows ASCII letters only
@@ -478,11 +415,8 @@ def version_diff(spark, sf):
 
 @query(f"WITH x AS (SELECT q.vec_id AS query_id, v.vec_id, {_DOT} AS score FROM embeddings v JOIN embeddings q ON v.label = q.label WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id) SELECT query_id, arg_max(vec_id, (score, -vec_id)) AS vec_id, max(score) AS score FROM x GROUP BY query_id HAVING max(score) >= 0.2")
 def cache_lookup(spark, sf):
-    e = t(spark, sf, "embeddings")
-    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    s = e.join(queries, "label").where("vec_id != query_id").select("query_id", "vec_id", retrieval.dot(F.col("embedding"), F.col("q")).alias("score"))
-    best = s.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("m"))
-    return best.where("m.score >= 0.2").select("query_id", (-F.col("m.v")).alias("vec_id"), F.col("m.score").alias("score"))
+    best = retrieval.dense_search(*_asking(spark, sf), 1, same_label=True, others=True)
+    return best.where("score >= 0.2").select("query_id", "vec_id", "score")
 
 
 @query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY AND event_type <> 'error'")
@@ -503,8 +437,9 @@ def metrics_summary(spark, sf):
 
 @query("SELECT event_type, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS INT) + 1] AS p95, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf):
-    v = F.col("value")
-    return t(spark, sf, "events").groupBy("event_type").agg(ops.p95(v).alias("p95"), F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.99), 6).alias("p99"))
+    v, e = F.col("value"), t(spark, sf, "events")
+    p95 = service.discrete_percentiles(e, ["event_type"], "value", {"p95": 0.95})
+    return e.groupBy("event_type").agg(F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.99), 6).alias("p99")).join(p95, "event_type")
 
 
 @query("WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), s AS (SELECT avg(n) AS m, stddev_samp(n) AS d FROM n) SELECT user_id, n, round((n - m) / d, 6) AS z FROM n, s WHERE (n - m) / d > 1.5")
@@ -539,20 +474,6 @@ def tumbling_metrics(spark, sf):
 # ---------------------------------------------------------------- evaluation
 
 
-@query(_DENSE.replace("WHERE q.vec_id < 5", "WHERE q.vec_id < 5 AND v.vec_id <> q.vec_id") + """, k AS (SELECT *, CASE WHEN ql = label THEN 1 ELSE 0 END AS rel, sum(CASE WHEN ql = label THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS total FROM r)
-SELECT query_id, round(coalesce(max(CASE WHEN rel = 1 THEN 1.0 / (rank + 1) END), 0), 6) AS mrr, round(CAST(sum(CASE WHEN rank < 10 THEN rel ELSE 0 END) AS DOUBLE) / 10, 6) AS precision_at_10, round(CAST(sum(CASE WHEN rank < 10 THEN rel ELSE 0 END) AS DOUBLE) / max(total), 6) AS recall_at_10, round(sum(CASE WHEN rank < 10 THEN rel / log2(rank + 2) ELSE 0 END) / sum(CASE WHEN rank < least(10, total) THEN 1 / log2(rank + 2) ELSE 0 END), 6) AS ndcg_at_10 FROM k GROUP BY query_id""")
-def retrieval_quality(spark, sf):
-    e = t(spark, sf, "embeddings")
-    mine = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    s = e.crossJoin(F.broadcast(mine)).where("vec_id != query_id").select("query_id", "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("rel"), retrieval.dot(F.col("embedding"), F.col("q")).alias("score"))
-    w = Window.partitionBy("query_id")
-    r = s.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("score"), "vec_id")) - 1, "total": F.sum("rel").over(w)})
-    top = F.sum(F.when(F.col("rank") < 10, F.col("rel")).otherwise(0))
-    gain = F.sum(F.when(F.col("rank") < 10, F.col("rel") / F.log2(F.col("rank") + 2)).otherwise(0.0))
-    ideal = F.sum(F.when(F.col("rank") < F.least(F.lit(10), F.col("total")), 1 / F.log2(F.col("rank") + 2)).otherwise(0.0))
-    return r.groupBy("query_id").agg(F.round(F.coalesce(F.max(F.when(F.col("rel") == 1, 1 / (F.col("rank") + 1))), F.lit(0.0)), 6).alias("mrr"), F.round(top / 10, 6).alias("precision_at_10"), F.round(top / F.max("total"), 6).alias("recall_at_10"), F.round(gain / ideal, 6).alias("ndcg_at_10"))
-
-
 @query(_DENSE_ALL.replace("% 20 = 0", "% 20 = 0 AND v.vec_id <> q.vec_id") + """, k AS (SELECT *, CASE WHEN ql = label THEN 1 ELSE 0 END AS rel, sum(CASE WHEN ql = label THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS total FROM r)
  SELECT query_id, round(coalesce(max(CASE WHEN rel = 1 THEN 1.0 / (rank + 1) END), 0), 6) AS mrr, round(CAST(sum(CASE WHEN rank < 10 THEN rel ELSE 0 END) AS DOUBLE) / 10, 6) AS precision_at_10, round(CAST(sum(CASE WHEN rank < 10 THEN rel ELSE 0 END) AS DOUBLE) / nullif(max(total), 0), 6) AS recall_at_10, round(sum(CASE WHEN rank < 10 THEN rel / log2(rank + 2) ELSE 0 END) / nullif(sum(CASE WHEN rank < least(10, total) THEN 1 / log2(rank + 2) ELSE 0 END), 0), 6) AS ndcg_at_10 FROM k GROUP BY query_id""")
 def retrieval_quality_all(spark, sf):

@@ -179,3 +179,83 @@ def append_audit(events: DataFrame, path: str) -> None:
 
 def remove_document(chunks: DataFrame, removed: DataFrame) -> DataFrame:
     return chunks.join(removed, "doc_id", "left_anti")
+
+
+def dispatch(path: Column) -> Column:
+    """struct(document_id, kind, requires_structured_path, load_error) by the extension of a path."""
+    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    kind = F.when(ext.isin("txt", "rtf"), "text").when(ext == "pdf", "pdf").when(ext == "dcm", "dicom").when(ext == "hl7", "hl7_message").when(ext == "json", "fhir_resource")
+    error = F.when(kind.isNull(), F.concat(F.lit("Unsupported file type: ."), ext))
+    return F.struct(document_id(path).alias("document_id"), kind.alias("kind"), F.coalesce(kind.isin("hl7_message", "fhir_resource"), F.lit(False)).alias("requires_structured_path"), error.alias("load_error"))
+
+
+def patient_and_type(name: Column) -> Column:
+    """struct(patient, kind) from a file name."""
+    kind = F.when(name.contains("discharge"), "discharge_summary").when(name.contains("lab"), "lab_report").when(name.contains("radiology"), "radiology_report").otherwise("progress_note")
+    return F.struct(F.when(name.contains("patient_A"), "patient_A").otherwise("patient_B").alias("patient"), kind.alias("kind"))
+
+
+def evaluation_set(json: DataFrame, column: str = "json") -> DataFrame:
+    """A row a question of an evaluation set: id, patient, query_type, query, expected_keywords, difficulty, requires_docs."""
+    question = "struct<id:string,patient:string,query_type:string,query:string,expected_keywords:array<string>,expected_section:string,gold_answer:string,difficulty:string,requires_docs:array<string>>"
+    return json.select(F.inline(F.from_json(column, f"description string, version string, questions array<{question}>")["questions"]))
+
+
+def pdf_text(content: bytes, name: str) -> str:
+    """Text of a PDF by whichever reader is installed, else a placeholder."""
+    import io
+
+    for module in ("pypdf", "PyPDF2"):
+        try:
+            reader = __import__(module).PdfReader(io.BytesIO(content))
+        except ImportError:
+            continue
+        return "\n".join(p.extract_text() or "" for p in reader.pages)
+    return f"[PDF content of {name}: no reader installed]"
+
+
+#: Tags of the header fields that are read.
+DICOM_TAGS = {(0x0010, 0x0020): "patient_id", (0x0008, 0x0020): "study_date", (0x0008, 0x0060): "modality", (0x0008, 0x1030): "study_description", (0x0018, 0x0015): "body_part", (0x0008, 0x0080): "institution"}
+
+
+def dicom_header(content: bytes) -> dict[str, str]:
+    """Header fields of an explicit little-endian file, up to the pixels; other encodings give none."""
+    import struct
+
+    if content[128:132] != b"DICM":
+        raise ValueError("not a DICOM file")
+    at, out = 132, {}
+    while at + 8 <= len(content):
+        group, element, kind = *struct.unpack_from("<HH", content, at), content[at + 4 : at + 6]
+        if (group, element) == (0x7FE0, 0x0010) or not kind.isalpha():
+            break
+        if kind in (b"OB", b"OW", b"OF", b"SQ", b"UN", b"UT"):
+            size, head = struct.unpack_from("<I", content, at + 8)[0], 12
+        else:
+            size, head = struct.unpack_from("<H", content, at + 6)[0], 8
+        if size == 0xFFFFFFFF:
+            break
+        if (group, element) in DICOM_TAGS:
+            out[DICOM_TAGS[group, element]] = content[at + head : at + head + size].decode("latin-1").rstrip("\0 ")
+        at += head + size
+    return out
+
+
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, text_content, header, load_error of PDF and DICOM files; one that can't be read is a row with its error."""
+
+    def read(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for p, content in zip(b["path"], b["content"]):
+                try:
+                    header = dicom_header(content) if p.endswith(".dcm") else {}
+                    rows.append((p, pdf_text(content, p.rsplit("/", 1)[-1]) if p.endswith(".pdf") else "", header, None))
+                except Exception as e:  # a broken file never ends the scan
+                    rows.append((p, "", {}, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "text_content", "header", "load_error"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,dcm}").load(path).select("path", "content")
+    return files.mapInPandas(read, "path string, text_content string, header map<string,string>, load_error string")

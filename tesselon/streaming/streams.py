@@ -1,4 +1,4 @@
-"""Streams: continuous ingestion, audit sink, windowed metrics with watermarks."""
+"""Streams: continuous ingestion, audit sink, windowed metrics with watermarks, state with a lifetime."""
 
 from __future__ import annotations
 
@@ -23,3 +23,43 @@ def audit_sink(events: DataFrame, path: str, checkpoint: str):
 def ingest(docs: DataFrame, checkpoint: str, write):
     """Micro-batches handed to ``write(batch, id)``, the same transformations as in a batch."""
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def sliding_counts(events: DataFrame, window: str = "1 hour", slide: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    ts = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    ts = ts.withWatermark("ts", late) if ts.isStreaming else ts
+    return ts.groupBy(F.window("ts", window, slide).alias("w"), "event_type").agg(F.count("*").alias("n"))
+
+
+def seen_counts(events: DataFrame, key: str, ttl_ms: int, late: str = "10 minutes") -> DataFrame:
+    """key, n: events of each key so far; a key that stays away for ``ttl_ms`` of event time is forgotten."""
+
+    def count(k, batches, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, last = (state.get[0] if state.exists else 0), 0
+        for b in batches:
+            n += len(b)
+            last = max(last, int(b["ts"].max().timestamp() * 1000))
+        state.update((n,))
+        state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]], "n": [n]})
+
+    timed = events.select(key, F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return timed.groupBy(key).applyInPandasWithState(count, f"{key} long, n long", "n long", "update", "EventTimeTimeout")
+
+
+def run_to_end(stream: DataFrame, path: str, mode: str = "append", write=None) -> DataFrame:
+    """Runs a stream over what is there, into parquet below ``path``, and reads it; ``write`` may change each batch first."""
+    spark, out = stream.sparkSession, f"{path}/out"
+
+    def batch(df, n):
+        made = df if write is None else write(df)
+        made.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+
+    q = stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out)
