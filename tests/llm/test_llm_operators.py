@@ -386,3 +386,24 @@ def test_stages_keep_columns_of_any_name(spark):
     left = {r.score: r.text for r in docs.collect()}
     assert set(left) == {f"score{i}" for i in (0, 1, 2, 3, 6, 7, 8)} and left["score3"] == BASE and SHARED not in left["score7"] and left["score8"] == texts[8]
     assert {r.doc_id for r in cp.STAGES[4][1](spark, docs, "").collect()} == {r.doc_id for r in docs.collect() if r.doc_id is not None}
+
+
+def test_toxicity_composes_negation_reports_quotes_and_targets():
+    g = toxicity.Grammar({"idiot": 3.0})
+    feature = lambda t: [n for n, x in zip(toxicity.FEATURES, g.features(t)) if x]
+    assert feature("I will never hurt you") == ["negated_threat"] and feature("he said I will hurt you") == ["reported_threat"]
+    assert feature("he said: you are an idiot") == ["reported"] and feature('"Hello". You idiot') == ["targeted"]
+    assert feature("The plan will beat the market") == [] and feature("I will hurt you") == ["threat"]
+    assert feature('He wrote "so what. you idiot" and left. you idiot') == ["targeted", "reported"]
+    assert feature("«toi idiot» fin. toi idiot") == ["targeted", "reported"] and feature('an open " quote\nyou idiot') == ["targeted"]
+    assert g.features("such an idiot")[0] > g.features("an idiot")[0] < g.features("idiot idiot")[0]
+
+
+def test_toxicity_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "you idiot " + prose(5), "s"), (1, "you idiot " + prose(5), "s"), (2, prose(60_000) + " you moron", "s"), (None, "you idiot", "s"), (None, "fine", "s"), (3, None, "s")], "doc_id long, text string, score string")
+    rows = [(i, prose(30) + (" you moron" if i % 4 == 1 else "")) for i in range(100, 500)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 1)) for i, _ in rows], "doc_id long, toxic int"))
+    assert sorted((r.doc_id, r.predicted) for r in toxicity.score(docs, model).collect()) == [(1, 1), (1, 1), (2, 1), (3, 0)]
+    left = toxicity.reject(docs, model)
+    assert left.columns == docs.columns and sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == [("3", "None"), ("None", "fine")]
+    assert toxicity.score(docs.where("false"), model).count() == 0 == toxicity.reject(docs.where("false"), model).count()
