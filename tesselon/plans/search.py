@@ -124,7 +124,7 @@ def rerank_pass_through(spark, sf):
 
 
 @query(f"""WITH {_scored_sql()}, {_OVERLAPS}, {_ranked_sql('bm', 20, 'rs')}, k AS (SELECT rs.*, overlap, max(overlap) OVER (PARTITION BY query_id) AS best FROM rs JOIN ov USING (query_id, doc_id)),
-r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN best >= 0.6 THEN overlap ELSE score END DESC, score DESC, doc_id) - 1 AS rank FROM k QUALIFY rank < 5) SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM r""")
+r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN best >= 0.6 THEN overlap ELSE score END DESC, score DESC, doc_id) - 1 AS place FROM k QUALIFY place < 5) SELECT query_id, doc_id, CAST(place AS INTEGER) AS rank FROM r""")
 def rerank_threshold(spark, sf):
     return retrieval.rerank(_overlap(_sparse(spark, sf, 20), spark, sf), 5, 0.6).select("query_id", "doc_id", "rank")
 
