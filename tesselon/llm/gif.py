@@ -1,13 +1,18 @@
 """GIF columns: LZW code streams, palettes, disposal, transparency, timed frames, colour histograms.
 
-``decode_gif`` reads any GIF87a/89a; ``encode_samples`` stores bytes as the palette
-indexes of 24 x 24 pixel frames of an animation with a grey palette, so that the red
-channel of the composed frames gives the bytes back.  ``gif_frames`` and
-``media_digest`` apply them to DataFrame columns without a shuffle; a row is held in
-memory with its frames, nothing else is.
-
-Null and empty values: a null or unreadable GIF gives no frame row and an ``error``;
-a null text is stored as an empty one.
+``decode_gif`` reads any GIF87a/89a and composes its frames; ``gif_frames`` applies it to a
+column, a row a frame.  ``encode_samples`` stores bytes as an animation of 24 x 24 pixels:
+each block of 576 bytes is what the red channel shows at one frame.  Frames take turns: a
+whole one that stays; one whose unchanged pixels are transparent, after which the canvas
+goes back; the part that differs, cleared afterwards; and a whole one with a palette of its
+own.  ``text_media`` stores texts so and reads them back through the composed frames, with
+time, disposal and histogram of each frame.
+
+Streams are decoded and composed ``GROUP`` frames at a time, so a long text needs little
+more memory than itself.  A null or unreadable GIF, or one whose canvas has over
+``MOST_PIXELS`` pixels, gives no frame row and an ``error``; a null text is stored as an
+empty one.  Rows without doc_id are left out; equal rows give equal results, each its own;
+other columns play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +30,8 @@ from .common import texts_of
 
 SIDE = 24
 FRAME = SIDE * SIDE
+GROUP = 256
+MOST_PIXELS = 1 << 26
 
 
 # ---------------------------------------------------------------- LZW
@@ -71,10 +79,10 @@ def lzw_decode(data: bytes, min_size: int, limit: int) -> bytes:
     return b"".join(out)[:limit]
 
 
-def _decode_all(streams: list[bytes], size: int) -> list[bytes] | None:
+def _decode_all(streams: list[bytes], size) -> list[bytes] | None:
     """Many 8-bit streams with one leading clear code each, by array steps; None if a stream isn't so.
 
-    A code that names entry j stands for the output of code j and one byte more, which
+    ``size``: the bytes of each stream.  A code that names entry j stands for the output of code j and one byte more, which
     lie in a row in the output.  Lengths follow by pointer doubling over codes, the bytes
     by pointer doubling over output places.
     """
@@ -142,7 +150,8 @@ def _decode_all(streams: list[bytes], size: int) -> list[bytes] | None:
     lit = ~named
     value[place[:-1][lit]] = code[lit]
     flat = value[source].tobytes()
-    return [flat[i : i + size] for i in range(0, len(flat), size)]
+    cut = np.concatenate(([0], np.cumsum(size))).tolist()
+    return [flat[x:y] for x, y in zip(cut, cut[1:])]
 
 
 def _lzw_codes(data: bytes) -> list[int]:
@@ -186,18 +195,53 @@ def _pack_codes(codes: list[list[int]]) -> list[bytes]:
 # ---------------------------------------------------------------- container
 
 
+_GREY = bytes(x for i in range(256) for x in (i, i, i))
+_TURNED = bytes(x for i in range(255, -1, -1) for x in (i, i, i))
+_TURN = bytes(range(255, -1, -1))
+
+
+def _plan(payload: bytes) -> list[tuple[tuple[int, int, int, int], bytes, int, int | None, bool]]:
+    """(box, indexes, disposal, transparent index, own palette) of each frame."""
+    import numpy as np
+
+    blocks = np.frombuffer(payload, dtype=np.uint8).reshape(-1, SIDE, SIDE)
+    whole, out = (0, 0, SIDE, SIDE), []
+    kept = blocks[0]  # what the canvas shows before the frame, in the first three turns
+    for n, block in enumerate(blocks):
+        turn = n % 4
+        if turn == 0:
+            out.append((whole, block.tobytes(), 1, None, False))
+            kept = block
+        elif turn == 3:
+            out.append((whole, block.tobytes().translate(_TURN), 1, None, True))
+        else:
+            differs = block != kept
+            if turn == 1:
+                raw = block.tobytes()
+                free = next((v for v in range(254, -2, -1) if v & 255 not in raw), None)
+                if free is None:  # every value occurs: none can be transparent
+                    out.append((whole, raw, 3, None, False))
+                else:
+                    out.append((whole, np.where(differs, block, np.uint8(free & 255)).tobytes(), 3, free & 255, False))
+            else:
+                ys, xs = np.flatnonzero(differs.any(axis=1)), np.flatnonzero(differs.any(axis=0))
+                x, y, right, low = (int(xs[0]), int(ys[0]), int(xs[-1]) + 1, int(ys[-1]) + 1) if len(ys) else (0, 0, 1, 1)
+                out.append(((x, y, right - x, low - y), block[y:low, x:right].tobytes(), 2, None, False))
+    return out
+
+
 def encode_samples(payload: bytes, delay: int = 4) -> bytes:
-    """An animation whose frames hold the payload (a positive multiple of 576 bytes) as palette indexes."""
-    frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
-    if not frames or len(frames[-1]) != FRAME:
+    """An animation whose composed frames show the payload (a positive multiple of 576 bytes) in their red channel."""
+    if not payload or len(payload) % FRAME:
         raise ValueError(f"the payload must be a positive multiple of {FRAME} bytes")
-    grey = bytes(x for i in range(256) for x in (i, i, i))
-    out = [b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + grey]
-    head = b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay, 0) + b"\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
-    for s in _pack_codes([_lzw_codes(f) for f in frames]):
-        out.append(head)
-        out += [bytes([len(s[i : i + 255])]) + s[i : i + 255] for i in range(0, len(s), 255)]
-        out.append(b"\0")
+    out = [b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + _GREY]
+    group = GROUP // 4 * 4
+    for at in range(0, len(payload), group * FRAME):
+        plan = _plan(payload[at : at + group * FRAME])
+        for ((x, y, w, h), _, disposal, clear, own), s in zip(plan, _pack_codes([_lzw_codes(f[1]) for f in plan])):
+            out.append(b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), delay, clear or 0) + b"\0\x2c" + struct.pack("<HHHHB", x, y, w, h, 0x87 if own else 0) + (_TURNED if own else b"") + b"\x08")
+            out += [bytes([len(s[i : i + 255])]) + s[i : i + 255] for i in range(0, len(s), 255)]
+            out.append(b"\0")
     out.append(b"\x3b")
     return b"".join(out)
 
@@ -244,60 +288,77 @@ def _parse(data: bytes) -> tuple[tuple[int, int], list[dict]]:
             raise ValueError("bad GIF block")
 
 
-def decode_gif(data: bytes) -> Iterator[dict]:
-    """Composed frames: ``rgba`` (height, width, 4), ``indexes``, ``delay_ms``, ``start_ms``, ``disposal``."""
+def _samples(frames: list[dict]) -> Iterator[bytes]:
+    """Palette indexes of each frame, a group of frames at a time."""
+    for i in range(0, len(frames), GROUP):
+        some = frames[i : i + GROUP]
+        sizes = [f["box"][2] * f["box"][3] for f in some]
+        fast = _decode_all([f["data"] for f in some], sizes) if all(f["min_size"] == 8 and n for f, n in zip(some, sizes)) else None
+        yield from fast or (lzw_decode(f["data"], f["min_size"], n) for f, n in zip(some, sizes))
+
+
+def _composed(data: bytes) -> Iterator[tuple]:
+    """(canvas as shown, indexes, frame, start in ms) of each frame."""
     import numpy as np
 
     (w, h), frames = _parse(data)
-    fast = None
-    if frames and all(f["min_size"] == 8 and f["box"][2:] == frames[0]["box"][2:] for f in frames):
-        fast = _decode_all([f["data"] for f in frames], frames[0]["box"][2] * frames[0]["box"][3])
-    canvas, clock = np.zeros((h, w, 4), dtype=np.uint8), 0
-    for i, f in enumerate(frames):
+    if w * h > MOST_PIXELS:
+        raise ValueError(f"a canvas of {w} x {h} pixels")
+    palettes: dict[bytes, object] = {}
+    canvas, clock = np.zeros((h, w), dtype="<u4"), 0  # a pixel: red, green, blue, alpha from the lowest byte up
+    for f, raw in zip(frames, _samples(frames)):
         x, y, fw, fh = f["box"]
-        raw = fast[i] if fast else lzw_decode(f["data"], f["min_size"], fw * fh)
         index = np.frombuffer(raw.ljust(fw * fh, b"\0"), dtype=np.uint8).reshape(fh, fw)
         if f["interlaced"]:
             order = [*range(0, fh, 8), *range(4, fh, 8), *range(2, fh, 4), *range(1, fh, 2)]
             rows = np.empty_like(index)
             rows[order] = index
             index = rows
-        palette = np.frombuffer(f["palette"] or bytes(768), dtype=np.uint8).reshape(-1, 3)
+        colours = f["palette"] or bytes(768)
+        colour = palettes.get(colours)
+        if colour is None:
+            rgba = np.full((256, 4), 255, dtype=np.uint8)
+            own = np.frombuffer(colours, dtype=np.uint8).reshape(-1, 3)
+            rgba[:, :3] = own[np.minimum(np.arange(256), len(own) - 1)]
+            colour = palettes[colours] = rgba.view("<u4").ravel()
         before = canvas.copy() if f["disposal"] == 3 else None
-        fresh = np.empty((fh, fw, 4), dtype=np.uint8)
-        fresh[..., :3] = palette[np.minimum(index, len(palette) - 1)]
-        fresh[..., 3] = 255
-        cut = fresh[: max(0, h - y), : max(0, w - x)]
+        region = canvas[y : y + fh, x : x + fw]
+        seen = index[: region.shape[0], : region.shape[1]]
         if f["clear"] is None:
-            canvas[y : y + fh, x : x + fw] = cut
+            region[...] = colour[seen]
         else:
-            seen = (index != f["clear"])[: cut.shape[0], : cut.shape[1]]
-            canvas[y : y + fh, x : x + fw][seen] = cut[seen]
-        yield {"rgba": canvas.copy(), "indexes": index, "delay_ms": f["delay"] * 10, "start_ms": clock, "disposal": f["disposal"], "transparent": f["clear"]}
+            np.copyto(region, colour[seen], where=seen != f["clear"])
+        yield canvas.copy(), index, f, clock
         clock += f["delay"] * 10
         if f["disposal"] == 2:
-            canvas[y : y + fh, x : x + fw] = 0
+            region[...] = 0
         elif f["disposal"] == 3:
             canvas = before
 
 
-def read_samples(data: bytes) -> tuple[bytes, list[int], int]:
-    """Payload, 8-bin grey histogram over all frames, and duration in ms, all from the composed frames."""
+def decode_gif(data: bytes) -> Iterator[dict]:
+    """Composed frames: ``rgba`` (height, width, 4), ``indexes``, ``delay_ms``, ``start_ms``, ``disposal``, ``transparent``."""
+    for canvas, index, f, clock in _composed(data):
+        yield {"rgba": canvas.view("u1").reshape(*canvas.shape, 4), "indexes": index, "delay_ms": f["delay"] * 10, "start_ms": clock, "disposal": f["disposal"], "transparent": f["clear"]}
+
+
+def read_frames(data: bytes) -> tuple[bytes, list[dict]]:
+    """Payload (the red channel of all composed frames) and start_ms, delay_ms, disposal and 8-bin grey histogram of each frame."""
     import numpy as np
 
-    (w, h), frames = _parse(data)
-    size, plain = w * h, None
-    if all(f["min_size"] == 8 and f["box"] == (0, 0, w, h) and not f["interlaced"] and f["clear"] is None and f["disposal"] in (0, 1) and f["palette"] == frames[0]["palette"] for f in frames):
-        plain = _decode_all([f["data"] for f in frames], size)
-    if plain:  # frames cover the canvas: a composed frame is its own palette lookup
-        red = np.frombuffer(frames[0]["palette"], dtype=np.uint8)[::3]
-        flat = red[np.frombuffer(b"".join(plain), dtype=np.uint8)]
-        payload, duration = flat.tobytes(), 10 * sum(f["delay"] for f in frames)
-    else:
-        shown = list(decode_gif(data))
-        flat = np.concatenate([f["rgba"][..., 0].ravel() for f in shown])
-        payload, duration = flat.tobytes(), sum(f["delay_ms"] for f in shown)
-    return payload, np.bincount(flat >> 5, minlength=8).tolist(), duration
+    parts, notes, shown = [], [], _composed(data)
+    while some := list(islice(shown, GROUP)):
+        red = np.stack([x.ravel() for x, *_ in some]).astype(np.uint8)  # the lowest byte
+        bins = np.bincount((np.arange(len(some))[:, None] * 8 + (red >> 5)).ravel(), minlength=8 * len(some)).reshape(-1, 8).tolist()
+        parts.append(red.tobytes())
+        notes += [{"start_ms": clock, "delay_ms": f["delay"] * 10, "disposal": f["disposal"], "hist_grey": b} for (_, _, f, clock), b in zip(some, bins)]
+    return b"".join(parts), notes
+
+
+def read_samples(data: bytes) -> tuple[bytes, list[int], int]:
+    """Payload, 8-bin grey histogram over all frames, and duration in ms."""
+    payload, notes = read_frames(data)
+    return payload, [sum(x) for x in zip(*(n["hist_grey"] for n in notes))], sum(n["delay_ms"] for n in notes)
 
 
 # ---------------------------------------------------------------- DataFrames
@@ -322,7 +383,7 @@ def gif_frames(media: DataFrame, key: str, column: str) -> DataFrame:
                         p = f["rgba"]
                         seen = p[..., 3] > 0
                         rows.append((k, i, f["start_ms"], f["delay_ms"], f["disposal"], p.shape[1], p.shape[0], p.tobytes(), *[np.bincount(p[..., c][seen] >> 5, minlength=8).tolist() for c in range(3)], None))
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, struct.error, MemoryError) as e:
                     rows.append((k, None, None, None, None, None, None, None, None, None, None, str(e)))
             kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), hist, hist, hist, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 12, kinds)], names)
@@ -332,23 +393,25 @@ def gif_frames(media: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """Texts stored as GIF animations and read back: sizes, hashes of payload and media, histogram features."""
+    """Texts stored as GIF animations and read back: sizes, hashes of payload and media, features, and timed frames with histograms."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", *["media"] * keep_media]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        frames = pa.list_(pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("hist_grey", pa.list_(pa.int32()))]))
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "frames", *["media"] * keep_media]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), frames, pa.binary()]
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 rows = []
                 for doc, text in zip(b.column(0).slice(i, 200).to_pylist(), b.column(1).slice(i, 200).to_pylist()):
                     raw = (text or "").encode()
                     media = encode_samples(raw + b"\xff" * (-len(raw) % FRAME if raw else FRAME))
-                    payload, hist, ms = read_samples(media)
-                    feature = f"ms={ms};grey={','.join(map(str, hist))}"
-                    rows.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(payload) // FRAME, media))
+                    payload, notes = read_frames(media)
+                    hist = [sum(x) for x in zip(*(n["hist_grey"] for n in notes))]
+                    feature = f"ms={sum(n['delay_ms'] for n in notes)};grey={','.join(map(str, hist))}"
+                    rows.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(notes), notes, media))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t, _ in zip(zip(*rows), kinds, names)], names)
 
     rows = texts_of(docs)
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long" + ", media binary" * keep_media)
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, frames array<struct<start_ms:long,delay_ms:int,disposal:int,hist_grey:array<int>>>" + ", media binary" * keep_media)

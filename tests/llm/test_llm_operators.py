@@ -54,7 +54,8 @@ def test_gif_random_bytes_both_decoders():
     for p in (os.urandom(576 * 4), bytes(576 * 2), bytes(range(256)) * 9):
         media = gif.encode_samples(p)
         _, frames = gif._parse(media)
-        assert gif.read_samples(media)[0] == p == b"".join(gif.lzw_decode(f["data"], 8, 576) for f in frames)
+        assert gif.read_samples(media)[0] == p
+        assert list(gif._samples(frames)) == [gif.lzw_decode(f["data"], 8, f["box"][2] * f["box"][3]) for f in frames]
 
 
 def test_gif_disposal_and_transparency():
@@ -407,3 +408,28 @@ def test_toxicity_odd_rows(spark):
     left = toxicity.reject(docs, model)
     assert left.columns == docs.columns and sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == [("3", "None"), ("None", "fine")]
     assert toxicity.score(docs.where("false"), model).count() == 0 == toxicity.reject(docs.where("false"), model).count()
+
+
+def test_gif_query_stores_timed_frames(spark):
+    texts = ["", "é" * 700, "".join(chr(32 + i % 90) for i in range(576 * 9)), "z" * 576 * 5, prose(200_000)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(2, texts[2], "x"), (None, "none", "x")]
+    got = gif.text_media(spark.createDataFrame(rows, "doc_id long, text string, feature string"), keep_media=True).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2, 2, 3, 4]
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        shown = list(gif.decode_gif(bytes(r.media)))
+        assert b"".join(f["rgba"][..., 0].tobytes() for f in shown) == payload and r.n_frames == len(payload) // 576 == len(r.frames)
+        assert [f.start_ms for f in r.frames] == [40 * i for i in range(r.n_frames)]
+        assert all(f.hist_grey == np.bincount(np.frombuffer(payload[576 * i : 576 * i + 576], np.uint8) >> 5, minlength=8).tolist() for i, f in enumerate(r.frames))
+    _, frames = gif._parse(bytes(next(r.media for r in got if r.doc_id == 2)))
+    assert {f["disposal"] for f in frames} == {1, 2, 3} and any(f["clear"] is not None for f in frames) and len({f["palette"] for f in frames}) == 2
+    assert any(f["box"] != (0, 0, 24, 24) for f in frames)
+
+
+def test_gif_frames_of_a_column(spark):
+    media = gif.encode_samples(bytes(range(256)) * 9)
+    odd = [(1, media), (2, None), (3, b"GIF89a"), (4, b"nothing"), (5, b"GIF89a\xff\xff\xff\xff\0\0\0" + media[13 + 768 :]), (6, media[:-40])]
+    got = gif.gif_frames(spark.createDataFrame(odd, "key long, media binary"), "key", "media").collect()
+    assert [r.frame for r in got if r.key == 1] == [0, 1, 2, 3] and all(sum(r.hist_red) == 576 for r in got if r.key == 1)
+    assert all(r.error and r.frame is None for r in got if r.key > 1) and {r.key for r in got} == {1, 2, 3, 4, 5, 6}
