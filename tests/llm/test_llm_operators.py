@@ -424,6 +424,7 @@ def test_gif_query_stores_timed_frames(spark):
         assert all(f.hist_grey == np.bincount(np.frombuffer(payload[576 * i : 576 * i + 576], np.uint8) >> 5, minlength=8).tolist() for i, f in enumerate(r.frames))
     _, frames = gif._parse(bytes(next(r.media for r in got if r.doc_id == 2)))
     assert {f["disposal"] for f in frames} == {1, 2, 3} and any(f["clear"] is not None for f in frames) and len({f["palette"] for f in frames}) == 2
+    _, frames = gif._parse(bytes(next(r.media for r in got if r.doc_id == 3)))
     assert any(f["box"] != (0, 0, 24, 24) for f in frames)
 
 
