@@ -1,30 +1,50 @@
-"""Suffix sorting by induced sorting with bulk, disk-backed queues.
+"""External suffix sorting by recursive induced sorting with disk-backed monotone priority queues.
 
 A suffix is L if it is larger than the one after it and S otherwise; a leftmost S suffix
 (LMS) follows an L suffix.  The order of the LMS suffixes gives all others: taking sorted
 suffixes by ascending first symbol, each puts the suffix one place to its left, if that is
 L, at the end of the queue of that one's first symbol; then likewise for S by descending
 symbol.  The LMS suffixes themselves are sorted by the same induction over LMS substrings,
-whose ranks form a text of at most half the length, sorted recursively.
-
-``Queues`` is a monotone priority queue with a first-in first-out queue a symbol.
-Entries are moved as arrays; beyond ``memory`` entries all queues are written to an
-unlinked scratch file of the task (like a sort's spill: private to the task, gone with
-it) and read back a symbol at a time.  The recursion goes on as long as the rank text has
-at most ``BULK_SYMBOLS`` symbols; beyond that a queue holds so few entries that moving
-them as arrays gains nothing, and the rank text is sorted by prefix doubling instead.
+whose ranks form a text of at most half the length, sorted recursively until all ranks
+differ.
+
+``Queues`` is the monotone priority queue.  Its keys are ranges of symbols with about
+``BATCH`` suffixes each (a frequent symbol has a range of its own), its entries come in the
+order of the suffixes that induced them, and a range is taken out as a whole: entries that
+induce others of the same range are followed to their end, and the whole range is sorted by
+(symbol, place of the inducing suffix) in arrays.  Beyond ``memory`` entries all queues are
+written to an unlinked scratch file of the task (like a sort's spill: private to the task,
+gone with it) and read back a range at a time.  Arrays over all places (text, ranks, orders)
+are mapped files of that kind too where they have more than ``memory`` entries.
 """
 
 from __future__ import annotations
 
 import tempfile
 
-BULK_SYMBOLS = 512
+BATCH = 1 << 14
+
+
+def _places(n: int):
+    """The type of places in a text of n symbols."""
+    import numpy as np
+
+    return np.int32 if n < 1 << 31 else np.int64
+
+
+def _array(n: int, kind, memory: int):
+    """An array of n entries; a mapped scratch file beyond ``memory``."""
+    import numpy as np
+
+    if n <= memory:
+        return np.empty(n, dtype=kind)
+    with tempfile.TemporaryFile() as f:
+        return np.memmap(f, dtype=kind, mode="w+", shape=(n,))
 
 
 class Queues:
-    def __init__(self, memory: int = 4_000_000):
-        self.memory, self.held = memory, 0
+    def __init__(self, memory: int = 4_000_000, kind="int64"):
+        self.memory, self.kind, self.held, self.spilled = memory, kind, 0, 0
         self.now: dict[int, list] = {}
         self.disk: dict[int, list[tuple[int, int]]] = {}
         self.file = None
@@ -38,6 +58,7 @@ class Queues:
     def _spill(self) -> None:
         if self.file is None:
             self.file = tempfile.TemporaryFile()
+        self.spilled += self.held
         for symbol, parts in self.now.items():
             for p in parts:
                 at = self.file.seek(0, 2)
@@ -52,7 +73,7 @@ class Queues:
         parts = []
         for at, n in self.disk.pop(symbol, ()):
             self.file.seek(at)
-            parts.append(np.frombuffer(self.file.read(8 * n), dtype=np.int64))
+            parts.append(np.frombuffer(self.file.read(np.dtype(self.kind).itemsize * n), dtype=self.kind))
         mine = self.now.pop(symbol, [])
         self.held -= sum(map(len, mine))
         parts += mine
@@ -76,73 +97,136 @@ def _types(text):
     return sign[nearest] > 0
 
 
-def _push_by_symbol(queues: Queues, text, items) -> None:
+def _stable(values):
+    """A stable argsort of numbers from 0 up; short ones are sorted by their digits."""
     import numpy as np
 
-    if not len(items):
-        return
-    symbol = text[items]
-    order = np.argsort(symbol, kind="stable")
-    symbol, items = symbol[order], items[order]
-    cut = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
-    for s, part in zip(symbol[np.concatenate(([0], cut))].tolist(), np.split(items, cut)):
-        queues.push(s, part)
+    if len(values) and values.max() < 1 << 16:
+        values = values.astype(np.uint16)
+    return np.argsort(values, kind="stable")
 
 
-def _induce_bytes(text, seeds, memory: int):
+def _ranges(key, counts):
+    """The range of each symbol: ascending numbers, about BATCH suffixes a range, and a range of its own for a frequent symbol."""
     import numpy as np
 
-    n, symbols = len(text), np.unique(text).tolist()
-    queues, larger, out_l, out_s = Queues(memory), Queues(memory), {}, {}
-    first = text[seeds]
-    lo, hi = np.searchsorted(first, symbols), np.searchsorted(first, symbols, side="right")
-    queues.push(int(text[-1]), np.array([n - 1]))
-    for c, a, b in zip(symbols, lo.tolist(), hi.tolist()):
-        while (items := queues.pop(c)) is not None:
-            out_l.setdefault(c, []).append(items)
-            left = items[items > 0] - 1
-            _push_by_symbol(queues, text, left[text[left] >= c])
-        _push_by_symbol(queues, text, seeds[a:b] - 1)
-    for c in reversed(symbols):
-        while (items := larger.pop(c)) is not None:
-            out_s.setdefault(c, []).append(items)
-            left = items[items > 0] - 1
-            _push_by_symbol(larger, text, left[text[left] <= c])
-        if c in out_l:
-            items = np.concatenate(out_l[c])[::-1]
-            left = items[items > 0] - 1
-            _push_by_symbol(larger, text, left[text[left] < c])
-    queues.close()
-    larger.close()
-    parts = []
-    for c in symbols:
-        parts += out_l.get(c, [])
-        if c in out_s:
-            parts.append(np.concatenate(out_s[c])[::-1])
-    return np.concatenate(parts)
+    upto = np.cumsum(counts)
+    number = (upto - 1) // BATCH
+    large = counts > BATCH // 4
+    mark = np.ones(len(counts), dtype=bool)
+    mark[1:] = (number[1:] != number[:-1]) | large[1:] | large[:-1]
+    return np.cumsum(mark) - 1
+
+
+def _closure(key, b, of, start, seeds):
+    """Entries of range b that begin with ``start`` and what follows from them and the seeds within the range, and what goes to later ranges.
+
+    Returns places, parents (numbers among the entries, -1 for none), whether an entry is a seed, and places, parents
+    and ranges of later entries.
+    """
+    import numpy as np
 
+    now = np.concatenate([start, seeds])
+    strict = np.arange(len(now)) >= len(start)
+    number = np.arange(len(now))
+    places, parents, later, held = [now], [np.full(len(now), -1)], [], len(now)
+    while len(now):
+        on = now > 0
+        now, strict, number = now[on], strict[on], number[on]
+        left = now - 1
+        mine, its = key[left], key[now]
+        good = mine > its
+        good |= (mine == its) & ~strict
+        left, number, to = left[good], number[good], of[mine[good]]
+        here = to == b
+        later.append((left[~here], number[~here], to[~here]))
+        now = left[here]
+        places.append(now)
+        parents.append(number[here])
+        strict = np.zeros(len(now), dtype=bool)
+        number = np.arange(held, held + len(now))
+        held += len(now)
+    is_seed = np.zeros(held, dtype=bool)
+    is_seed[len(start) : len(start) + len(seeds)] = True
+    return np.concatenate(places), np.concatenate(parents), is_seed, [np.concatenate(x) for x in zip(*later)]
 
-def _sort_ranks(names, depth: int):
-    """Suffixes of a rank text by their first ``depth`` ranks: several ranks packed into a word, sorted, ranked again."""
+
+def _ranked(symbol, parents, is_seed):
+    """Numbers of a range's entries in order: by symbol, seeds last, then by the place of the parent; those from earlier ranges come first, as they are."""
     import numpy as np
 
-    rank, m, h = names + 1, len(names), 1
-    while True:
-        bits = int(rank.max()).bit_length()
-        key = rank.astype(np.uint64)
-        for j in range(1, max(2, 63 // bits)):
-            nxt = np.zeros(m, dtype=np.uint64)
-            if j * h < m:
-                nxt[: m - j * h] = rank[j * h :]
-            key = key << np.uint64(bits) | nxt
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate(([1], (key[1:] != key[:-1]).astype(np.int64))).cumsum()
-        rank = np.empty(m, dtype=np.int64)
-        rank[order] = new
-        h *= max(2, 63 // bits)
-        if new[-1] == m or h >= depth:
+    child = parents >= 0
+    group = (symbol - symbol.min()) * 3 + np.where(is_seed, 2, child)
+    order = _stable(group)
+    if not child.any():
+        return order
+    some, every = np.flatnonzero(child), np.arange(len(group))
+    place = np.empty(len(group), dtype=np.int64)
+    place[order] = every
+    sub = every.copy()
+    while True:  # one round settles entries one step further from their origin
+        sub[some] = place[parents[some]]
+        order = _stable(sub)
+        order = order[_stable(group[order])]
+        new = np.empty_like(place)
+        new[order] = every
+        if (new == place).all():
             return order
+        place = new
+
+
+def _induce(key, counts, seeds, first, memory: int):
+    """Places that the sorted seeds induce (and ``first``), in ascending order of ``key``."""
+    import numpy as np
+
+    of = _ranges(key, counts)
+    queues, n_out = Queues(memory, _places(len(key))), 0
+    kind = _places(len(key))
+    out = _array(len(key), kind, memory)
+    cut = np.searchsorted(of[key[seeds]], np.arange(int(of[-1]) + 2))
+    if first is not None:
+        queues.push(int(of[key[first]]), np.array([first], dtype=kind))
+    none = np.zeros(0, dtype=kind)
+    for b in range(int(of[-1]) + 1):
+        start, mine = queues.pop(b), seeds[cut[b] : cut[b + 1]]
+        if start is None and not len(mine):
+            continue
+        places, parents, is_seed, (later, its, to) = _closure(key, b, of, none if start is None else start, np.asarray(mine))
+        order = _ranked(key[places].astype(np.int64), parents, is_seed)
+        found = places[order][~is_seed[order]]
+        out[n_out : n_out + len(found)] = found
+        n_out += len(found)
+        if len(later):
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            by = _stable(place[its])
+            by = by[_stable(to[by] - b)]
+            later, to = later[by], to[by]
+            at = np.flatnonzero(to[1:] != to[:-1]) + 1
+            for r, part in zip(to[np.concatenate(([0], at))].tolist(), np.split(later, at)):
+                queues.push(r, part)
+    queues.close()
+    return out[:n_out]
+
+
+def _all_from(text, seeds, memory: int):
+    """All suffixes in order, from the order of the LMS suffixes (or, for LMS substrings, from their first symbols)."""
+    import numpy as np
+
+    n = len(text)
+    counts = np.bincount(text)
+    larger = _induce(text, counts, seeds, n - 1, memory)
+    turned = _array(n, text.dtype, memory)
+    np.subtract(len(counts) - 1, text, out=turned, dtype=text.dtype, casting="unsafe")
+    smaller = _induce(turned, counts[::-1], larger[::-1], None, memory)[::-1]
+    begin = np.concatenate(([0], np.cumsum(counts)))
+    few = np.bincount(text[larger], minlength=len(counts))
+    out = _array(n, _places(n), memory)
+    for part, skip in ((larger, None), (smaller, few)):
+        c = text[part]
+        own = np.concatenate(([0], np.cumsum(np.bincount(c, minlength=len(counts)))))
+        out[begin[c] + (0 if skip is None else skip[c]) + np.arange(len(part)) - own[c]] = part
+    return out
 
 
 def suffix_array(text, symbols: int = 256, memory: int = 4_000_000, depth: int | None = None):
@@ -155,11 +239,13 @@ def suffix_array(text, symbols: int = 256, memory: int = 4_000_000, depth: int |
     n = len(text)
     if n < 2:
         return np.arange(n)
+    if depth is not None and depth < 2:
+        return np.argsort(text, kind="stable")
     small = _types(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(_places(n))
 
     def induce(seeds):
-        return _induce_bytes(text, seeds, memory)
+        return _all_from(text, seeds, memory)
 
     if len(lms) < 2:
         return induce(lms)
@@ -168,7 +254,7 @@ def suffix_array(text, symbols: int = 256, memory: int = 4_000_000, depth: int |
     order = induce(lms[np.argsort(text[lms], kind="stable")])
     order = order[is_lms[order]]
     # names of LMS substrings, equal for equal ones; a substring ends with the next LMS place
-    size = np.zeros(n, dtype=np.int64)
+    size = np.zeros(n, dtype=_places(n))
     size[lms] = np.append(np.diff(lms), n - lms[-1]) + 1
     a, b = order[:-1], order[1:]
     same = size[a] == size[b]
@@ -182,11 +268,10 @@ def suffix_array(text, symbols: int = 256, memory: int = 4_000_000, depth: int |
         step += 1
     rank = np.concatenate(([0], np.cumsum(~same)))
     if rank[-1] + 1 < len(lms):
-        names = np.zeros(n, dtype=np.int64)
+        names = _array(n, _places(n), memory)
         names[order] = rank
-        reduced, kinds = names[lms], int(rank[-1]) + 1
-        if kinds <= BULK_SYMBOLS:
-            order = lms[suffix_array(reduced, kinds, memory, depth)]
-        else:
-            order = lms[_sort_ranks(reduced, depth or len(lms))]
+        reduced = names[lms]
+        del names
+        # a rank stands for two symbols and more, so half the depth is enough among ranks
+        order = lms[suffix_array(reduced, int(rank[-1]) + 1, memory, None if depth is None else depth // 2 + 1)]
     return induce(order)

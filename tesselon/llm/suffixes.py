@@ -18,7 +18,9 @@ The common prefix is taken by comparing neighbours in the sorted order, up to ``
 bytes, rather than carried through the queues: only whether it reaches ``span`` counts.
 
 Null and empty texts have no bytes; shorter texts than ``span`` keep all; documents with
-one doc_id are no source for each other; an empty table gives an empty result.
+one doc_id are no source for each other, repeated rows have a result each; texts of any
+length are read whole; other columns play no part, whatever their names; rows without
+doc_id are left out (``cut_repeats`` lets them stay); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -97,13 +100,14 @@ def window_minima(texts: list[bytes], low, span: int, memory: int = 4_000_000):
     return of[i], at[i] - starts[of[i]], np.diff(np.append(i, len(at))), value[i]
 
 
-def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, span: int = 50, keep_text: bool = True, memory: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_crc32 (of the input's bytes) and, if asked for, kept.
 
+    ``memory``: entries that a sort keeps in memory; beyond that, its queues and arrays are on disk.
     ``kept`` is text; a character of which a part is cut goes as a whole (kept_sha256 is of the exact bytes).
     """
     texts, total = blocked(docs)
-    return _plan(texts, total, span, keep_text, None)
+    return _plan(texts, total, span, keep_text, None, memory)
 
 
 def cut_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
@@ -117,10 +121,11 @@ def cut_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     return _plan(texts, total, span, True, docs).unionByName(whole.withColumn("text", whole["text"].cast("string")))
 
 
-def _plan(texts: DataFrame, total: int, span: int, keep_text: bool, like: DataFrame | None) -> DataFrame:
+def _plan(texts: DataFrame, total: int, span: int, keep_text: bool, like: DataFrame | None, memory: int | None = None) -> DataFrame:
     """The exchange; with ``like``, rows in its columns, else the digests."""
     shards = max(1, math.ceil(total / SHARD_TEXT))
     columns = like.columns if like is not None else []
+    sort = window_minima if memory is None else partial(window_minima, memory=memory)
 
     def keys_of(table):
         import numpy as np
@@ -240,7 +245,7 @@ def _plan(texts: DataFrame, total: int, span: int, keep_text: bool, like: DataFr
                 mine.append(k)
             records.append((block, hot, np.frombuffer(unzip.decompress(key), dtype=np.uint32), np.frombuffer(name, dtype=np.uint64), low, np.frombuffer(unzip.decompress(several), dtype=bool), np.array(mine)))
         numbers.clear()
-        of, first, n, value = window_minima(distinct, np.array(low_of, dtype=np.int64), span)
+        of, first, n, value = sort(distinct, np.array(low_of, dtype=np.int64), span)
         begin = np.searchsorted(of, np.arange(len(distinct) + 1))
         out = {"block": [], "hot": [], "key": [], "name": [], "first": [], "n": [], "low": []}
         for block, hot, key, name, low, several, mine in records:

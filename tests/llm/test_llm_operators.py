@@ -434,3 +434,35 @@ def test_gif_frames_of_a_column(spark):
     got = gif.gif_frames(spark.createDataFrame(odd, "key long, media binary"), "key", "media").collect()
     assert [r.frame for r in got if r.key == 1] == [0, 1, 2, 3] and all(sum(r.hist_red) == 576 for r in got if r.key == 1)
     assert all(r.error and r.frame is None for r in got if r.key > 1) and {r.key for r in got} == {1, 2, 3, 4, 5, 6}
+
+
+def test_suffix_sort_spills_and_recurses(spark, docs, monkeypatch):
+    """A shard larger than the sort's memory: queues go to disk, recursion goes on until all ranks differ, results stay the same."""
+    spilled, sizes = [], []
+    close, sort = induced.Queues.close, induced.suffix_array
+    monkeypatch.setattr(induced.Queues, "close", lambda q: (spilled.append(q.spilled), close(q))[1])
+    monkeypatch.setattr(induced, "suffix_array", lambda text, *a: (sizes.append(len(text)), sort(text, *a))[1])
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh ") for _ in range(9)) for _ in range(60)]
+    texts = list({"".join(rnd.choice(words) for _ in range(rnd.randint(8, 200))).encode() for _ in range(120)})
+    low = np.array([rnd.randint(0, 99) for _ in texts])
+    few = suffixes.window_minima(texts, low, 50, memory=700)
+    assert max(spilled) > 10_000 and len(sizes) >= 3 and all(b <= a / 2 for a, b in zip(sizes, sizes[1:]))
+    assert all((a == b).all() for a, b in zip(few, suffixes.window_minima(texts, low, 50)))
+    rows = lambda m: sorted(map(tuple, suffixes.dedup_suffixes(docs, memory=m).collect()))
+    assert rows(500) == rows(None)
+
+
+def test_suffix_array_of_large_alphabets_and_runs():
+    rnd = random.Random(4)
+    for kinds, n in ((2, 3000), (700, 5000), (50_000, 30_000)):
+        t = np.array([rnd.randrange(kinds) for _ in range(n)], dtype=np.int32)
+        t[n // 3 : n // 2] = kinds // 2
+        want = sorted(range(n), key=lambda i: t[i : i + 400].tolist()) if kinds > 2 else None
+        got = induced.suffix_array(t, kinds, rnd.choice((300, 10**6)))
+        if want is None:
+            raw = t.astype(np.uint8).tobytes()
+            want = sorted(range(n), key=lambda i: raw[i:])
+            assert got.tolist() == want
+        else:
+            assert sorted(got.tolist()) == list(range(n)) and all(t[a : a + 400].tolist() <= t[b : b + 400].tolist() for a, b in zip(got[:-1].tolist(), got[1:].tolist()))
