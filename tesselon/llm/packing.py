@@ -7,8 +7,10 @@ pack that still has room; a pack kind (pattern) and its count stand for all pack
 There are at most 2 * ``size`` patterns, as a length splits one pattern and opens two at
 most.  Patterns are joined back to pieces by the rank of a piece among those of its length.
 
-Nulls and empty texts give one piece of the end id alone.  Repeated rows are packed
-once a row.  An empty table gives an empty result.
+Nulls and empty texts give one piece of the end id alone.  Repeated rows and doc_ids are
+packed once a row.  A text of any length is encoded whole, one at a time.  Rows without
+doc_id are left out; other columns play no part, whatever their names.  Pieces of one
+length are ranked by task and place.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

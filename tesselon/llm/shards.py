@@ -5,17 +5,19 @@ ranges of each shard are narrow in all of them and files can be pruned on any.
 All work is done by built-in expressions.  The order is total (curve index, then the
 doc_id, then the text's crc32), hence shards are the same in every run.
 
-Strings are quantised by the leading bits of their hash, which keeps equal values
-together; sizes by the base-2 logarithm; null counts as the lowest cell.  An empty table
-gives an empty result; repeated rows get slots of their own.
+Strings are quantised by their hash modulo the number of cells, which keeps equal values
+together (values may share a cell; more ``bits`` part them); sizes by the base-2
+logarithm; null counts as the lowest cell.  An empty table gives an empty result; repeated
+rows get slots of their own, as equal neighbours; rows without doc_id are left out; texts
+count by their bytes, whatever their length; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_names, materialise
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
@@ -95,8 +97,13 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 5) -> DataFram
 
 
 def write_shards(docs: DataFrame, out: str, shards: int = 16) -> None:
-    """The documents themselves, one folder a shard, ordered by slot."""
+    """The documents themselves, one folder a shard, ordered by slot; no column of docs may be named ``shard``."""
     placed = hilbert_shards(docs, shards).select("doc_id", "text_crc32", "shard", "slot")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("text_crc32", F.crc32(F.encode(text, "UTF-8")))
-    keyed.join(placed.dropDuplicates(["doc_id", "text_crc32"]), ["doc_id", "text_crc32"]).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(out)
+    doc, crc, nth, shard, slot = free_names(5, docs.columns)
+    # repeated rows are equal in both tables: the n-th of one takes the n-th place of the other
+    order = lambda *by: F.row_number().over(Window.partitionBy(doc, crc).orderBy(*by))
+    keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), crc: F.crc32(F.encode(text, "UTF-8"))}).withColumn(nth, order(F.xxhash64("text")))
+    named = placed.select(F.col("doc_id").alias(doc), F.col("text_crc32").alias(crc), F.col("shard").alias(shard), F.col("slot").alias(slot)).withColumn(nth, order(slot))
+    both = keyed.join(named, [doc, crc, nth]).drop(doc, crc, nth)
+    both.repartition(shard).sortWithinPartitions(shard, slot).drop(slot).withColumnRenamed(shard, "shard").write.partitionBy("shard").parquet(out)

@@ -9,7 +9,9 @@ each learns the smallest doc_id that holds it.
 
 A word goes if a window that covers it also starts in a document with a smaller doc_id.
 Null and empty texts have no words; texts shorter than a window keep all; documents of
-the same doc_id are no source for each other; an empty table gives an empty result.
+the same doc_id are no source for each other, repeated rows have a result each; texts of
+any length are read whole; rows without doc_id are left out; other columns play no part,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

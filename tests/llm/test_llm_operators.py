@@ -466,3 +466,34 @@ def test_suffix_array_of_large_alphabets_and_runs():
             assert got.tolist() == want
         else:
             assert sorted(got.tolist()) == list(range(n)) and all(t[a : a + 400].tolist() <= t[b : b + 400].tolist() for a, b in zip(got[:-1].tolist(), got[1:].tolist()))
+
+
+def test_url_rules_by_pattern_and_by_join(spark):
+    assert urls.literal_tokens(r"^(?:[^/]*\.)?shop\.com/a/(b|c)") == ("u:com", "u:a") and urls.literal_tokens("^ads") == () and urls.literal_tokens("(?i)^x/y/") == ()
+    rules = [urls.prefix_rule(*r) for r in queries.URL_RULES] + [urls.regex_rule("block", r"(?:[^/]*\.)?shop\.com/a/[0-9]+"), urls.regex_rule("allow", r".*\.gif$")]
+    seen = ["https://A.Example.com/en/70?x", "http://com/en/", "http://xcom/en/", None, "nourl", "ftp://example.net/de/8#a", "http://w.shop.com/a/77/b", "http://shop.com/a/x", "http://q.org/pic.gif", "http://b.com/en/" + "x" * 100_000, "http://b.com/en/" + "x" * 100_000, "://"]
+    pages = spark.createDataFrame([(i % 5, u, "r", "h") for i, u in enumerate(seen)], "page_id long, url string, rule string, host string")
+    rows = lambda d: sorted(map(str, d.collect()))
+    plain = rows(urls.judge_urls(pages, rules))
+    assert plain == rows(urls.judge_urls(pages, rules, most=2)) and len(plain) == len(seen)
+    brute = []
+    for i, u in enumerate(seen):
+        host, path = urls._parts(u)
+        fit = [r for r in rules if host and re.match(r.pattern, host + path)]
+        best = max(fit, key=lambda r: (len(r.text), r.text), default=None)
+        brute.append(str(type(pages.first())(page_id=i % 5, host=host, path=path, rule=best and best.text, verdict=best.verdict if best else "allow")))
+    assert plain == sorted(brute) and sum("gif" in x for x in plain) and sum("block" in x for x in plain) == 5
+    assert urls.judge_urls(pages.where("false"), rules).count() == 0 and {r.verdict for r in urls.judge_urls(pages, []).collect()} == {"allow"}
+
+
+def test_shards_are_written_and_pruned(spark, tmp_path):
+    rows = [(i, "t" * (1 + (i * 37) % 5000), ["en", "de", "fr", "es"][i % 4], f"s{i % 9}", "x") for i in range(800)] + [(5, "same", "en", "s1", "x")] * 3 + [(None, "no", "en", "s1", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot string")
+    shards.write_shards(docs, f"{tmp_path}/out", 8)
+    back = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.doc_id, r.text, r.slot) for r in back) == sorted((r[0], r[1], r[4]) for r in rows if r[0] is not None)
+    sizes = collections.Counter(r["shard"] for r in back)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    touched = lambda key: sum(len({r["shard"] for r in back if key(r) == k}) for k in {key(r) for r in back}) / len({key(r) for r in back})
+    # a filter on any of the three dimensions reads fewer shards than all, on average
+    assert touched(lambda r: r.source) < 6 and touched(lambda r: r.lang) < 8 and touched(lambda r: len(r.text).bit_length()) < 8
