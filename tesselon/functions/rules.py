@@ -56,6 +56,20 @@ device_id ~ [DEVICE_#]
 name_context ~ [PERSON_#]
 """
 
+# Document types by phrases of the lower-cased text, in the order they are tried; any other is a clinical_note.
+DOCUMENT_TYPES = """
+discharge_summary ~ discharge summary|discharge note
+radiology_report ~ radiology|impression:|findings:|mri|ct scan|x-ray
+lab_report ~ lab result|laboratory|specimen|result:
+"""
+
+# Kinds of structured records by words of a question, in the order they are tried; any other asks for all.
+STRUCTURED_KINDS = """
+medications ~ medication|drug|prescription|rx
+observations ~ lab|result|test|observation|vital
+conditions ~ condition|diagnosis|diagnos|problem
+"""
+
 # What a prompt asks for by query type.
 TEMPLATES = """
 factual_lookup ~ Provide a direct, factual answer.

@@ -53,10 +53,17 @@ def mask_hashed(text: Column, kind: str, label: str, salt: str = "salt") -> Colu
     return F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(text, p, -1).alias("a"), found.alias("b")), lambda z: F.array(z["a"], F.coalesce(z["b"], F.lit(""))))), "")
 
 
+def first_match(text: Column, table: str, default: str) -> Column:
+    """The name of the first rule of a table that the lower-cased text matches."""
+    low = F.lower(text)
+    out = F.lit(default)
+    for name, pattern in reversed(rules.rows(table)):
+        out = F.when(low.rlike(pattern), name).otherwise(out)
+    return out
+
+
 def clinical_type(text: Column) -> Column:
-    t = F.lower(text)
-    has = lambda ws: t.rlike("|".join(ws))
-    return F.when(has(["discharge summary", "discharge note"]), "discharge_summary").when(has(["radiology", "impression:", "findings:", "mri", "ct scan", "x-ray"]), "radiology_report").when(has(["lab result", "laboratory", "specimen", "result:"]), "lab_report").otherwise("clinical_note")
+    return first_match(text, rules.DOCUMENT_TYPES, "clinical_note")
 
 
 def preview(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import tokens
+from ..functions.text import first_match, tokens
 
 
 def intent(query: Column) -> Column:
@@ -81,5 +81,4 @@ def cache_key(scope: Column, query: Column) -> Column:
 
 
 def structured_kind(query: Column) -> Column:
-    q = F.lower(query)
-    return F.when(q.rlike("medication|drug|prescription|rx"), "medications").when(q.rlike("lab|result|test|observation|vital"), "observations").when(q.rlike("condition|diagnosis|diagnos|problem"), "conditions").otherwise("all")
+    return first_match(query, rules.STRUCTURED_KINDS, "all")
