@@ -497,3 +497,19 @@ def test_shards_are_written_and_pruned(spark, tmp_path):
     touched = lambda key: sum(len({r["shard"] for r in back if key(r) == k}) for k in {key(r) for r in back}) / len({key(r) for r in back})
     # a filter on any of the three dimensions reads fewer shards than all, on average
     assert touched(lambda r: r.source) < 6 and touched(lambda r: r.lang) < 8 and touched(lambda r: len(r.text).bit_length()) < 8
+
+
+def test_near_duplicates_in_tiles(spark, monkeypatch):
+    """A bucket of many members in several components, cut into tiles, gives the same components."""
+    rnd = random.Random(6)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in rnd.sample(range(160), 1 + i % 4):
+            w[k] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, minhash.near_duplicates(docs, percent=85).collect()))
+    monkeypatch.setattr(minhash, "TILE", 7)
+    assert sorted(map(tuple, minhash.near_duplicates(docs, percent=85).collect())) == want
