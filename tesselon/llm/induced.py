@@ -121,46 +121,58 @@ def _ranges(key, counts):
 def _closure(key, b, of, start, seeds):
     """Entries of range b that begin with ``start`` and what follows from them and the seeds within the range, and what goes to later ranges.
 
-    Returns places, parents (numbers among the entries, -1 for none), whether an entry is a seed, and places, parents
-    and ranges of later entries.
+    Returns places, their symbols, parents (numbers among the entries, -1 for none), whether an entry is a seed, and
+    places, parents and ranges of later entries.
     """
     import numpy as np
 
     now = np.concatenate([start, seeds])
     strict = np.arange(len(now)) >= len(start)
-    number = np.arange(len(now))
-    places, parents, later, held = [now], [np.full(len(now), -1)], [], len(now)
+    number, its = np.arange(len(now), dtype=np.int32), key[now]  # a range fits 32 bits
+    places, symbols, parents, later, held = [now], [its], [np.full(len(now), -1, dtype=np.int32)], [], len(now)
     while len(now):
-        on = now > 0
-        now, strict, number = now[on], strict[on], number[on]
         left = now - 1
-        mine, its = key[left], key[now]
+        mine = key[left]
         good = mine > its
-        good |= (mine == its) & ~strict
-        left, number, to = left[good], number[good], of[mine[good]]
+        same = mine == its
+        if strict is not None:
+            same &= ~strict
+        good |= same
+        good &= now > 0
+        left, number, mine = left[good], number[good], mine[good]
+        to = of[mine]
         here = to == b
-        later.append((left[~here], number[~here], to[~here]))
-        now = left[here]
+        away = ~here
+        later.append((left[away], number[away], to[away]))
+        now, its = left[here], mine[here]
         places.append(now)
+        symbols.append(its)
         parents.append(number[here])
-        strict = np.zeros(len(now), dtype=bool)
-        number = np.arange(held, held + len(now))
+        strict = None
+        number = np.arange(held, held + len(now), dtype=np.int32)
         held += len(now)
     is_seed = np.zeros(held, dtype=bool)
     is_seed[len(start) : len(start) + len(seeds)] = True
-    return np.concatenate(places), np.concatenate(parents), is_seed, [np.concatenate(x) for x in zip(*later)]
+    return np.concatenate(places), np.concatenate(symbols), np.concatenate(parents), is_seed, [np.concatenate(x) for x in zip(*later)]
 
 
 def _ranked(symbol, parents, is_seed):
-    """Numbers of a range's entries in order: by symbol, seeds last, then by the place of the parent; those from earlier ranges come first, as they are."""
+    """Numbers of a range's entries in order: by symbol, seeds last, then by the place of the parent; those from earlier ranges come first, as they are.
+
+    None if they are in order already.
+    """
     import numpy as np
 
     child = parents >= 0
+    some = np.flatnonzero(child)
+    if not len(some) and (symbol == symbol[0]).all():  # start, then seeds
+        return None
+    symbol = symbol.astype(np.int64)
     group = (symbol - symbol.min()) * 3 + np.where(is_seed, 2, child)
     order = _stable(group)
-    if not child.any():
+    if not len(some):
         return order
-    some, every = np.flatnonzero(child), np.arange(len(group))
+    every = np.arange(len(group))
     place = np.empty(len(group), dtype=np.int64)
     place[order] = every
     sub = every.copy()
@@ -191,16 +203,18 @@ def _induce(key, counts, seeds, first, memory: int):
         start, mine = queues.pop(b), seeds[cut[b] : cut[b + 1]]
         if start is None and not len(mine):
             continue
-        places, parents, is_seed, (later, its, to) = _closure(key, b, of, none if start is None else start, np.asarray(mine))
-        order = _ranked(key[places].astype(np.int64), parents, is_seed)
-        found = places[order][~is_seed[order]]
+        places, symbols, parents, is_seed, (later, its, to) = _closure(key, b, of, none if start is None else start, np.asarray(mine))
+        order = _ranked(symbols, parents, is_seed)
+        found = places[: len(places) - len(mine)] if order is None else places[order][~is_seed[order]]
         out[n_out : n_out + len(found)] = found
         n_out += len(found)
         if len(later):
-            place = np.empty(len(order), dtype=np.int64)
-            place[order] = np.arange(len(order))
-            by = _stable(place[its])
-            by = by[_stable(to[by] - b)]
+            if order is not None:
+                place = np.empty(len(order), dtype=np.int32)
+                place[order] = np.arange(len(order), dtype=np.int32)
+                by = _stable(place[its])
+                later, to = later[by], to[by]
+            by = _stable(to - b)
             later, to = later[by], to[by]
             at = np.flatnonzero(to[1:] != to[:-1]) + 1
             for r, part in zip(to[np.concatenate(([0], at))].tolist(), np.split(later, at)):
