@@ -7,7 +7,8 @@ keys wherever they stand.  Successive windows with one key form a run.  Only run
 key also occurs in another document are sent, as text, to the key's shard, each distinct
 text once a block.  A shard sorts the suffixes of its texts (see ``induced``); suffixes
 next to each other whose common prefix reaches ``span`` bytes are equal windows, and each
-such group learns the smallest doc_id that holds it.
+such group learns the smallest doc_id that holds it.  A text that is alone with its key in
+the shard has no window in common with another and is not sorted.
 
 A key may be hot: a frequent phrase has one key in all its contexts.  If the distinct
 texts of a key pass ``HOT_TEXT`` bytes, its windows are sent one by one and dealt over
@@ -37,39 +38,83 @@ from .induced import suffix_array
 from .words import mix
 
 GRAM = 18
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 SHARD_TEXT = 2 << 20
 HOT_TEXT = 1 << 20
 HOT_WINDOWS = 200_000
 
 
+def _key_minima(part: bytes, span: int):
+    """Of each window of ``span`` bytes, the smallest hash of its grams."""
+    import numpy as np
+
+    u = np.ndarray((len(part) - 7,), dtype="<u8", buffer=part, strides=(1,))
+    m = len(part) - GRAM + 1
+    h = u[:m].copy()
+    for k in [*range(8, GRAM - 7, 8), GRAM - 8]:
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += u[k : k + m]
+    h = mix(h)
+    width, have = span - GRAM + 1, 1
+    while have * 2 <= width:
+        h = np.minimum(h[:-have], h[have:])
+        have *= 2
+    if have < width:
+        h = np.minimum(h[: len(h) - (width - have)], h[width - have :])
+    return h
+
+
 def runs_of(raw: bytes, span: int):
     """(start, windows, key) of the runs of one byte string."""
+    return runs_of_many([raw], span)[0]
+
+
+def runs_of_many(raws: list[bytes], span: int) -> list[tuple]:
+    """(start, windows, key) of the runs of each byte string; short ones are hashed together, long ones in pieces of CHUNK."""
     import numpy as np
 
-    gram, out = GRAM, []
-    for at in range(0, len(raw) - span + 1, CHUNK):
-        part = raw[at : at + CHUNK + span - 1]
-        n = len(part)
-        u = np.ndarray((n - 7,), dtype="<u8", buffer=part, strides=(1,))
-        m = n - gram + 1
-        h = u[:m].copy()
-        for k in [*range(8, gram - 7, 8), gram - 8]:
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h += u[k : k + m]
-        h = mix(h)
-        width, have = span - gram + 1, 1
-        while have * 2 <= width:
-            h = np.minimum(h[:-have], h[have:])
-            have *= 2
-        if have < width:
-            h = np.minimum(h[: len(h) - (width - have)], h[width - have :])
-        first = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1))
-        out.append((first + at, np.diff(np.append(first, len(h))), mix(h[first] + np.uint64(1))))  # minima are small numbers: spread them
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*out))
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    out, group, held = [none] * len(raws), [], 0
+
+    def several() -> None:
+        size = np.array([len(raws[i]) for i in group])
+        begin = np.concatenate(([0], np.cumsum(size)))
+        h = _key_minima(b"".join([raws[i] for i in group]), span)
+        valid = np.zeros(int(begin[-1]) + 1, dtype=np.int64)
+        valid[begin[:-1]] += 1
+        np.add.at(valid, begin[1:] - span + 1, -1)
+        valid = np.cumsum(valid)[: len(h)] > 0
+        first = np.ones(len(h), dtype=bool)
+        first[1:] = h[1:] != h[:-1]
+        first[begin[:-1]] = True
+        at = np.flatnonzero(first & valid)
+        before = np.concatenate(([0], np.cumsum(valid)))
+        n = np.diff(np.append(before[at], before[-1]))
+        key = mix(h[at] + np.uint64(1))  # minima are small numbers: spread them
+        cut = np.searchsorted(at, begin)
+        for k, i in enumerate(group):
+            x, y = cut[k], cut[k + 1]
+            out[i] = at[x:y] - begin[k], n[x:y], key[x:y]
+
+    for i, raw in enumerate(raws):
+        if len(raw) < span:
+            continue
+        if len(raw) > CHUNK:
+            parts = []
+            for at in range(0, len(raw) - span + 1, CHUNK):
+                h = _key_minima(raw[at : at + CHUNK + span - 1], span)
+                first = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1))
+                parts.append((first + at, np.diff(np.append(first, len(h))), mix(h[first] + np.uint64(1))))
+            out[i] = tuple(np.concatenate(x) for x in zip(*parts))
+            continue
+        group.append(i)
+        held += len(raw)
+        if held > CHUNK // 2:
+            several()
+            group, held = [], 0
+    if group:
+        several()
+    return out
 
 
 def window_minima(texts: list[bytes], low, span: int, memory: int = 4_000_000):
@@ -132,8 +177,7 @@ def _plan(texts: DataFrame, total: int, span: int, keep_text: bool, like: DataFr
 
         keys, owner, runs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
         raw = [(t or "").encode() for _, t in in_order(table)]
-        for i, doc in enumerate(table.column("doc_id").to_pylist()):
-            start, n, k = runs_of(raw[i], span)
+        for (i, doc), (start, n, k) in zip(enumerate(table.column("doc_id").to_pylist()), runs_of_many(raw, span)):
             runs.append((np.full(len(k), i), start, n + span - 1, k))
             k = np.unique(k)
             keys.append(k)
@@ -187,9 +231,8 @@ def _plan(texts: DataFrame, total: int, span: int, keep_text: bool, like: DataFr
                 row(to, True, np.full(len(found), x, np.uint64), np.array(name, np.uint64), np.array(low, np.int64), np.array(several, bool), texts)
             windows.clear()
 
-        for doc, t in in_order(table):
-            raw = (t or "").encode()
-            start, n, key = runs_of(raw, span)
+        raws = [(t or "").encode() for _, t in in_order(table)]
+        for doc, raw, (start, n, key) in zip(table.column("doc_id").to_pylist(), raws, runs_of_many(raws, span)):
             on = contains(known, key)
             for s, k, x in zip(start[on].tolist(), n[on].tolist(), key[on].tolist()):
                 if x in parts:
@@ -223,16 +266,32 @@ def _plan(texts: DataFrame, total: int, span: int, keep_text: bool, like: DataFr
         deal()
         return pa.table({c: pa.array(rows[c], k) for c, k in kinds.items()})
 
+    def minima(distinct, low, key):
+        """Of all texts of a shard what ``window_minima`` says; equal windows have equal keys, so a text alone with its key needs no sorting."""
+        import numpy as np
+
+        _, at, count = np.unique(key, return_inverse=True, return_counts=True)
+        together, alone = np.flatnonzero(count[at] > 1), np.flatnonzero(count[at] == 1)
+        size = np.fromiter((len(distinct[i]) for i in alone.tolist()), np.int64, len(alone))
+        parts = [(alone, np.zeros(len(alone), np.int64), size - span + 1, low[alone])]
+        if len(together):
+            of, *rest = sort([distinct[i] for i in together.tolist()], low[together], span)
+            parts.append((together[of], *rest))
+        found = [np.concatenate(x) for x in zip(*parts)]
+        order = np.argsort(found[0], kind="stable")
+        return [x[order] for x in found]
+
     def answer(table):
         import numpy as np
         import pyarrow as pa
         import zstandard
 
-        numbers, distinct, low_of, records, unzip, zipper = {}, [], [], [], zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        numbers, distinct, low_of, key_of, records, unzip, zipper = {}, [], [], [], [], zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         cols = [table.column(c).to_pylist() for c in ("block", "hot", "key", "name", "low", "several", "size", "text")]
         for block, hot, key, name, low, several, size, text in zip(*cols):
             low, raw, at, mine = np.frombuffer(unzip.decompress(low), dtype=np.int64), unzip.decompress(text), 0, []
-            for x, n in zip(low.tolist(), np.frombuffer(unzip.decompress(size), dtype=np.uint32).tolist()):
+            key = np.frombuffer(unzip.decompress(key), dtype=np.uint32)
+            for x, n, short in zip(low.tolist(), np.frombuffer(unzip.decompress(size), dtype=np.uint32).tolist(), key.tolist()):
                 piece = raw[at : at + n]
                 at += n
                 k = numbers.get(piece)
@@ -240,12 +299,13 @@ def _plan(texts: DataFrame, total: int, span: int, keep_text: bool, like: DataFr
                     k = numbers[piece] = len(distinct)
                     distinct.append(piece)
                     low_of.append(x)
+                    key_of.append(short)
                 elif x < low_of[k]:
                     low_of[k] = x
                 mine.append(k)
-            records.append((block, hot, np.frombuffer(unzip.decompress(key), dtype=np.uint32), np.frombuffer(name, dtype=np.uint64), low, np.frombuffer(unzip.decompress(several), dtype=bool), np.array(mine)))
+            records.append((block, hot, key, np.frombuffer(name, dtype=np.uint64), low, np.frombuffer(unzip.decompress(several), dtype=bool), np.array(mine)))
         numbers.clear()
-        of, first, n, value = sort(distinct, np.array(low_of, dtype=np.int64), span)
+        of, first, n, value = minima(distinct, np.array(low_of, dtype=np.int64), np.array(key_of))
         begin = np.searchsorted(of, np.arange(len(distinct) + 1))
         out = {"block": [], "hot": [], "key": [], "name": [], "first": [], "n": [], "low": []}
         for block, hot, key, name, low, several, mine in records:
@@ -275,11 +335,10 @@ def _plan(texts: DataFrame, total: int, span: int, keep_text: bool, like: DataFr
             for x, *note in zip(name.tolist(), first.tolist(), n.tolist(), low.tolist()):
                 notes.setdefault(x, []).append(note)
         rows, cut = [], []
-        for doc, t in in_order(table):
-            raw = (t or "").encode()
+        raws = [(t or "").encode() for _, t in in_order(table)]
+        for (doc, t), raw, (start, n, key) in zip(in_order(table), raws, runs_of_many(raws, span) if len(known) else [(None, None, ())] * len(raws)):
             spans = []
-            if len(known) and len(raw) >= span:
-                start, n, key = runs_of(raw, span)
+            if len(key):
                 on = contains(known, (key >> np.uint64(32)).astype(np.uint32))
                 for s, k, x in zip(start[on].tolist(), n[on].tolist(), (key[on] >> np.uint64(32)).tolist()):
                     hits = [(s + first, m, low) for first, m, low in notes.get(xxhash.xxh3_64_intdigest(raw[s : s + k + span - 1]), ())]
