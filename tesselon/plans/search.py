@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import index, intent, retrieval
-from .catalogue import TOK, query, t
+from ..operators import index, intent, ivf, retrieval
+from .catalogue import TOK, _asking, query, t
 from .service import _VERSIONS, _versions
 
 _POSTINGS = f"""pt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY ALL),
@@ -189,3 +189,12 @@ def filtered_latest(spark, sf):
     o = t(spark, sf, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(F.col("o_orderkey").alias("document_id"))
     v = _versions(spark, sf).where("status = 'active' and to_date(l_shipdate) between date'1995-01-01' and date'1996-12-31'")
     return v.join(o, "document_id", "left_semi").select("document_id", "version")
+
+
+@query()
+def ivf_search(spark, sf):
+    """Approximate: no SQL.  Two thirds of the cells are read, as these vectors hardly cluster; a test measures recall against the exact search."""
+    queries, vectors = _asking(spark, sf)
+    centroids = ivf.fit(vectors)
+    filed = ivf.build(vectors, centroids, f"{index.shared_folder(spark)}-ivf")
+    return ivf.search(queries, filed, centroids, 10, max(1, -(-2 * len(centroids) // 3)))

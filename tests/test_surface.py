@@ -113,3 +113,13 @@ def test_audit_stream_appends(spark, tmp_path):
         run.processAllAvailable()
         run.stop()
     assert sorted(r.event_id for r in spark.read.schema(schema).json(f"{tmp_path}/out").collect()) == [0, 1]
+
+
+def test_approximate_search_finds_nine_of_ten(spark):
+    from tesselon.plans import catalogue, search
+
+    for sf in ("sf0.01", "sf0.1"):
+        path = f"/root/testdata/{sf}"
+        exact = {(r.query_id, r.vec_id) for r in catalogue.queries()["dense_topk_batch_all"](spark, path).collect()}
+        found = {(r.query_id, r.vec_id) for r in search.ivf_search(spark, path).collect()}
+        assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)
