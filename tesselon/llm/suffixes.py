@@ -34,6 +34,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 
 from .blocks import LIGHT, blocked, contains, in_order, joined_keys, shard_cuts, shared_keys
+from .common import tidy
 from .induced import suffix_array
 from .words import mix
 
@@ -360,6 +361,8 @@ def _plan(texts: DataFrame, total: int, span: int, keep_text: bool, like: DataFr
                 cut.append(t if not spans else kept.decode(errors="ignore"))
                 continue
             rows.append((doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), zlib.crc32(raw), kept.decode(errors="ignore") if keep_text else None))
+        del raws, notes
+        tidy()
         if columns:
             return pa.table([pa.array(cut, pa.string()) if c == "text" else table.column(f"held_{i}") for i, c in enumerate(columns)], names=columns)
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_crc32", *["kept"] * keep_text]

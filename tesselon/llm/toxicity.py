@@ -34,7 +34,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts_of
+from .common import materialise, texts_of, tidy
 
 FIT_ROWS = 12_000
 THRESHOLD = 0.3
@@ -308,6 +308,8 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             kept = pa.array([judge(t)[0] < THRESHOLD for t in b.column(at).cast(pa.string()).to_pylist()], pa.bool_())
             yield b.filter(kept)
+        del judge
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
 
