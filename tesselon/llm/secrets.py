@@ -12,7 +12,7 @@ are counted over all documents, one table of 2 * 66 * 66 sums a task, so what re
 of each random transition is the uniform one over the alphabet, so that alphabets that no sample shows are known at any
 size of the corpus; ordinary runs count as they stand, in capitals, and joined to the next one of their document as camel,
 snake, kebab case and path, an eighth each; a character's transitions are smoothed
-by one of weight spread over the alphabet.  Weights are whole thousandths, so a score doesn't depend on the batch.
+by one, dealt as characters follow any other.  Weights are whole thousandths, so a score doesn't depend on the batch.
 
 A batch is read as one byte buffer: byte classes, runs and their scores are numpy over all rows; only rows in which a
 pattern for all rules matches are searched rule by rule.  Start and end are code points of the whole text, whatever its
@@ -153,7 +153,8 @@ def _model(counts: DataFrame) -> Model:
         return Model([0] * (N * N))
     seen = c[0].sum(axis=1, keepdims=True)
     random = np.where(seen > 0, c[0] / np.maximum(seen, 1e-9), 1 / N) / 2 + 0.5 / N
-    ordinary = (c[1] + 1 / N) / (c[1].sum(axis=1, keepdims=True) + 1)
+    letters = (c[1].sum(axis=0) + 1 / N) / (c[1].sum() + 1)
+    ordinary = (c[1] + letters) / (c[1].sum(axis=1, keepdims=True) + 1)
     return Model(np.rint(1000 * np.log(random / ordinary)).astype(int).ravel().tolist())
 
 
