@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from tesselon.functions import rules
 from tesselon.operators import answers, chunking, index, intent, pii, retrieval
-from tesselon.session import session, ship
+from tesselon.session import session, shared_folder, ship
 
 NOTES = [
     ("A1", "DISCHARGE SUMMARY\nPatient: Ann Lee, DOB: 01/02/1950\n\nMEDICATIONS:\naspirin 81 mg daily and lisinopril 10 mg daily for hypertension\n\nASSESSMENT:\nstable after myocardial infarction, follow up in two weeks"),
@@ -24,7 +24,7 @@ def main() -> None:
     ship(spark)
     notes = pii.detect(spark.createDataFrame(NOTES, "doc_id string, text string"))
     chunks = chunking.chunk_documents(notes.select("doc_id", "text"), rules.HEADERS, least_tokens=5).withColumn("doc_id", F.concat_ws("_", "doc_id", "chunk_index"))
-    path = index.build(chunks, f"{index.shared_folder(spark)}-index")
+    path = index.build(chunks, f"{shared_folder(spark)}-index")
     asked = spark.createDataFrame([(f"{p}{n}", p, q) for p in "AB" for n, q in enumerate(ASKED)], "query_id string, patient_id string, question string")
     asked = asked.withColumn("wide", intent.expanded_query(F.col("question"), intent.expansion_terms(F.col("question"))))
     terms = asked.select("query_id", "patient_id", F.explode(F.regexp_extract_all(F.lower("wide"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("term"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import whitespace_words
 
-QUERY_BLOCK, VECTOR_PARTS, VECTOR_SLICE = 4096, 16, 512
+QUERY_BLOCK, VECTOR_PARTS, VECTOR_SLICE, STREAM_ROWS = 4096, 16, 512, 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -17,14 +17,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.round(F.aggregate(F.zip_with(d(a), d(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """query_id, vec_id, score, rank (0-based).  queries (query_id, q) is a stated set, broadcast; each scores all vectors."""
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", dot(F.col("embedding"), F.col("q")).alias("score"))
-    return top_k(scored, "query_id", k, F.desc("score"), F.col("vec_id")).where(F.col("score") >= least)
+def streams_for(rows: int) -> int:
+    """Streams over which so many vectors are dealt."""
+    return max(VECTOR_PARTS, math.ceil(rows / STREAM_ROWS))
 
 
-def in_blocks(queries: DataFrame, vectors: DataFrame, start, fold, finish, schema: str) -> DataFrame:
-    """Each block of queries meets all vectors, dealt over VECTOR_PARTS streams: no task or broadcast holds a whole side.
+def in_blocks(queries: DataFrame, vectors: DataFrame, start, fold, finish, schema: str, parts: int = VECTOR_PARTS) -> DataFrame:
+    """Each block of queries meets all vectors, dealt over ``parts`` streams: no task or broadcast holds a whole side.
 
     start(queries) gives a state, fold(state, vectors) takes a slice of a stream, in order of vec_id, and
     finish(state) gives an Arrow table; arguments are Arrow tables.
@@ -32,11 +31,11 @@ def in_blocks(queries: DataFrame, vectors: DataFrame, start, fold, finish, schem
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     more = [c for c in queries.columns if c not in ("query_id", "q", "ql")]
-    q = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb")).select("*", every(VECTOR_PARTS).alias("vb"))
+    q = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb")).select("*", every(parts).alias("vb"))
     q = q.select("qb", "vb", F.lit(0).alias("kind"), F.col("query_id").alias("id"), F.col("q").alias("v"), F.col("ql").alias("label"), *more)
-    v = vectors.select("vec_id", "embedding", "label", F.pmod(F.xxhash64("vec_id"), F.lit(VECTOR_PARTS)).cast("int").alias("vb")).select("*", every(blocks).alias("qb"))
+    v = vectors.select("vec_id", "embedding", "label", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("vb")).select("*", every(blocks).alias("qb"))
     v = v.select("qb", "vb", F.lit(1).alias("kind"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    dealt = q.unionByName(v, allowMissingColumns=True).repartition(blocks * VECTOR_PARTS, "qb", "vb").sortWithinPartitions("qb", "vb", "kind", "id")
+    dealt = q.unionByName(v, allowMissingColumns=True).repartition(blocks * parts, "qb", "vb").sortWithinPartitions("qb", "vb", "kind", "id")
 
     def run(batches):
         import numpy as np
@@ -88,7 +87,7 @@ def block_scores(q, a, v, same_label: bool, others: bool):
     return s
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int, same_label: bool = False, others: bool = False) -> DataFrame:
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int, same_label: bool = False, others: bool = False, parts: int = VECTOR_PARTS) -> DataFrame:
     """query_id, vec_id, score, rel, rank (0-based): the k best of all vectors for each of (query_id, q, ql).
 
     rel: the labels agree.  same_label: only such vectors are found; others: a query does not find itself.
@@ -124,7 +123,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int, same_label: boo
         i, j = np.nonzero(np.isfinite(score))
         return pa.table({"query_id": pa.array(q.column("id").to_numpy()[i], pa.int64()), "vec_id": pa.array(found[i, j], pa.int64()), "score": score[i, j], "rel": pa.array(rel[i, j], pa.int32())})
 
-    best = in_blocks(queries, vectors, start, fold, finish, "query_id long, vec_id long, score double, rel int")
+    best = in_blocks(queries, vectors, start, fold, finish, "query_id long, vec_id long, score double, rel int", parts)
     return top_k(best, "query_id", k, F.desc("score"), F.col("vec_id"))
 
 

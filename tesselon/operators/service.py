@@ -125,20 +125,3 @@ def alerts(metrics: DataFrame) -> DataFrame:
     rules_ = F.broadcast(metrics.sparkSession.createDataFrame(table, "metric string, op string, threshold double, severity string"))
     broken = F.when(F.col("op") == ">", F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
     return metrics.join(rules_, "metric").where(broken).select("metric", "value", "severity")
-
-
-def rouge_l(a: Column, b: Column) -> Column:
-    """F-measure of the longest common subsequence of two word arrays, by one row of the table at a time."""
-    zero = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
-
-    def next_row(row, word):
-        # cell j = max(above, left, diagonal + 1 if equal); left-to-right dependence as a fold
-        def cell(acc, j):
-            above, left = F.get(row, j), F.element_at(acc, -1)
-            equal = F.get(b, j - 1) == word
-            return F.array_append(acc, F.when(equal, F.get(row, j - 1) + 1).otherwise(F.greatest(above, left)))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
-
-    lcs = F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, zero, next_row), -1))
-    return F.when(lcs == 0, 0.0).otherwise(F.round(2 * lcs / (F.size(a) + F.size(b)), 6))

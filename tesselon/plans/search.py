@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import index, intent, ivf, retrieval
+from ..operators import hops, index, intent, ivf, pq, retrieval
+from ..session import shared_folder
 from .catalogue import TOK, _asking, query, t
 from .service import _VERSIONS, _versions
 
@@ -51,7 +52,7 @@ def _dense(spark, sf, k):
     docs = retrieval.hash_vectors(t(spark, sf, "documents"), 64).select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("embedding"), F.lit(0).alias("label"))
     b = t(spark, sf, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("doc_id"), "text")
     queries = retrieval.hash_vectors(b, 64).select(F.col("doc_id").alias("query_id"), F.col("vector").alias("q"), F.lit(0).alias("ql"))
-    return retrieval.dense_search(queries, docs, k).where("score > 0").select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
+    return retrieval.dense_search(queries, docs, k, parts=retrieval.streams_for(t(spark, sf, "documents").count())).where("score > 0").select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
 
 
 @query(f"WITH {_scored_sql()}, {_ranked_sql('bm', 10, 'r')} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r")
@@ -65,6 +66,51 @@ def bm25_post_filter(spark, sf):
     return _sparse(spark, sf, 30).join(valid, "doc_id", "left_semi").select("query_id", "doc_id", "score")
 
 
+_KEPT = "WITH docs AS (SELECT * FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 14 = 0)"
+
+
+def _of_kept(sql: str) -> str:
+    return f"{_KEPT}, {sql.replace('FROM documents', 'FROM docs')}"
+
+
+def _updated(spark, sf, compacted=False):
+    """An index of all documents in three appends, with a removal, documents that come again, and stale texts that are replaced."""
+    d = t(spark, sf, "documents").select("doc_id", "text")
+    path = f"{shared_folder(spark)}-updated"
+    index.append(d.where("doc_id % 3 = 0").withColumn("text", F.when(F.expr("doc_id % 9 = 0"), F.concat(F.lit("stale zzqx "), "text")).otherwise(F.col("text"))), path)
+    index.append(d.where("doc_id % 3 = 1 or doc_id % 9 = 0"), path)
+    index.delete(d.where("doc_id % 7 = 0").select("doc_id"), path)
+    index.append(d.where("doc_id % 3 = 2 and (doc_id % 7 <> 0 or doc_id % 14 = 0) or doc_id % 14 = 0"), path)
+    if compacted:
+        index.compact(spark, path)
+        index.vacuum(spark, path)
+    return path
+
+
+def _best(spark, sf, path):
+    found = index.search(spark, path, _asked(spark, sf)).where("score > 0")
+    return retrieval.top_k(found, "query_id", 10, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id", "score", "rank", F.array_join("matched_terms", " ").alias("matched"))
+
+
+_MATCHED = "m AS (SELECT query_id, doc_id, string_agg(DISTINCT term, ' ' ORDER BY term) AS matched FROM qt JOIN pt USING (term) GROUP BY ALL) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank, matched FROM r JOIN m USING (query_id, doc_id)"
+
+
+@query(f"{_of_kept(_scored_sql())}, {_ranked_sql('bm', 10, 'r')}, {_MATCHED}")
+def index_after_updates(spark, sf):
+    return _best(spark, sf, _updated(spark, sf))
+
+
+@query(f"{_of_kept(_scored_sql())}, {_ranked_sql('bm', 10, 'r')}, {_MATCHED}")
+def index_after_compaction(spark, sf):
+    return _best(spark, sf, _updated(spark, sf, compacted=True))
+
+
+@query(f"{_of_kept(_POSTINGS)} SELECT term, count(*) AS df, round(any_value(idf), 6) AS idf, any_value(n) AS n, round(any_value(avgdl), 6) AS avgdl FROM pt JOIN idf USING (term), cp GROUP BY term")
+def index_statistics(spark, sf):
+    s = index.statistics(spark, _updated(spark, sf))
+    return s.select("term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
+
+
 @query(f"WITH {_scored_sql('(1 + length(qt.term) % 3 / 10.0::DOUBLE)')}, {_ranked_sql('bm', 10, 'r')} SELECT query_id, doc_id, score FROM r")
 def bm25_term_boost(spark, sf):
     boosted = _asked(spark, sf).withColumn("weight", 1 + F.length("term") % 3 / 10)
@@ -196,5 +242,44 @@ def ivf_search(spark, sf):
     """Approximate: no SQL.  Two thirds of the cells are read, as these vectors hardly cluster; a test measures recall against the exact search."""
     queries, vectors = _asking(spark, sf)
     centroids = ivf.fit(vectors)
-    filed = ivf.build(vectors, centroids, f"{index.shared_folder(spark)}-ivf")
+    filed = ivf.build(vectors, centroids, f"{shared_folder(spark)}-ivf")
     return ivf.search(queries, filed, centroids, 10, max(1, -(-2 * len(centroids) // 3)))
+
+
+@query()
+def pq_search(spark, sf):
+    """Approximate: no SQL; ``pq_quality`` measures it."""
+    queries, vectors = _asking(spark, sf)
+    books = pq.fit(vectors)
+    return pq.search(queries, vectors, pq.encode(vectors, books, f"{shared_folder(spark)}-codes"), books, 10)[0]
+
+
+@query("""SELECT count(DISTINCT q.vec_id) AS queries, count(DISTINCT q.vec_id) * least(10, (SELECT count(*) FROM embeddings)) AS exact_pairs, true AS recall_of_nine_tenths, true AS reads_a_tenth
+FROM embeddings q WHERE q.vec_id % 20 = 0""")
+def pq_quality(spark, sf):
+    """Coded search held against the exact search of the same queries: recall, and the share of vectors compared in full."""
+    queries, vectors = _asking(spark, sf)
+    books = pq.fit(vectors)
+    found, most = pq.search(queries, vectors, pq.encode(vectors, books, f"{shared_folder(spark)}-codes"), books, 10)
+    exact = retrieval.dense_search(queries, vectors, 10).select("query_id", "vec_id")
+    both = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    rows = vectors.agg(F.count("*").alias("rows"))
+    measured = both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("exact_pairs"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall")).crossJoin(rows)  # a row each
+    return measured.select("queries", "exact_pairs", (F.col("recall") >= 0.9).alias("recall_of_nine_tenths"), (F.lit(most) <= 0.1 * F.col("rows")).alias("reads_a_tenth"))
+
+
+def _hop_sql(n: int) -> str:
+    seen = " UNION ALL ".join(f"SELECT query_id, doc_id FROM h{i}" for i in range(1, n))
+    used = " UNION ALL ".join(["SELECT query_id, term FROM qt", *(f"SELECT query_id, term FROM b{i}" for i in range(2, n))])
+    return f"""b{n} AS (SELECT query_id, doc_id, term FROM h{n - 1} JOIN pt USING (doc_id) JOIN tdf USING (term) WHERE df >= 2 AND (query_id, term) NOT IN ({used})
+ QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY df, term) <= 2),
+g{n} AS (SELECT b.query_id, b.doc_id AS via, pt.doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS gain FROM b{n} b JOIN pt USING (term) JOIN idf USING (term) JOIN dl ON dl.doc_id = pt.doc_id, cp GROUP BY ALL),
+k{n} AS (SELECT g.query_id, g.doc_id, g.via, h.path, round(h.score + {0.5 ** (n - 1)} * gain, 6) AS score FROM g{n} g JOIN h{n - 1} h ON h.query_id = g.query_id AND h.doc_id = g.via WHERE gain > 0 AND (g.query_id, g.doc_id) NOT IN ({seen})
+ QUALIFY row_number() OVER (PARTITION BY g.query_id, g.doc_id ORDER BY round(h.score + {0.5 ** (n - 1)} * gain, 6) DESC, g.via) = 1),
+h{n} AS (SELECT query_id, {n} AS hop, doc_id, via, path || '>' || doc_id AS path, score FROM k{n} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3)"""
+
+
+@query(f"WITH {_scored_sql()}, tdf AS (SELECT term, count(*) AS df FROM pt GROUP BY term), {_ranked_sql('bm', 3, 'r')}, h1 AS (SELECT query_id, 1 AS hop, doc_id, CAST(NULL AS BIGINT) AS via, CAST(doc_id AS VARCHAR) AS path, score FROM r), {_hop_sql(2)}, {_hop_sql(3)} SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3")
+def multi_hop_retrieval(spark, sf):
+    docs = t(spark, sf, "documents")
+    return hops.multi_hop(docs, index.built(docs, f"{sf}/documents"), _asked(spark, sf))

@@ -10,7 +10,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import service
+from ..functions.text import whitespace_words
+from ..operators import service, similarity
 from .catalogue import query, t
 
 _NOW = "TIMESTAMP '1998-08-02 00:20:00'"
@@ -200,19 +201,40 @@ def identifiers_and_formats(spark, sf):
     return t(spark, sf, "conversations").select("conv_id", "turn", F.substring(F.sha2(F.concat_ws("|", F.lit("q"), "conv_id", "turn"), 256), 1, 16).alias("query_id"), F.format_string("%05d", "turn").alias("padded"), at.alias("at"))
 
 
-_WORDS8 = "list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> '')[1:12]"
+_PAIR = """p AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS b,
+ list_filter(regexp_split_to_array(lower(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')), '\\s+'), lambda w: w <> '') AS a FROM conversations)"""
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT conv_id, turn, {_WORDS8.format('text')} AS b, {_WORDS8.format("coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')")} AS a FROM conversations),
-r AS (SELECT conv_id, turn, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0) AS row FROM p
- UNION ALL SELECT conv_id, turn, a, b, i + 1, list_reduce(list_prepend([0], list_transform(range(1, len(b) + 1), lambda j: [CAST(j AS INTEGER)])), lambda acc, x: list_append(acc, CASE WHEN b[x[1]] = a[i + 1] THEN row[x[1]] + 1 ELSE greatest(row[x[1] + 1], acc[len(acc)]) END)) FROM r WHERE i < len(a)),
-l AS (SELECT conv_id, turn, a, b, row[len(row)] AS lcs FROM r WHERE i = len(a))
-SELECT conv_id, turn, a = b AS exact_match, CASE WHEN lcs = 0 THEN 0.0 ELSE round(2 * lcs / (len(a) + len(b)), 6) END AS rouge_l FROM l""")
-def rouge_l_turns(spark, sf):
-    words = lambda c: F.slice(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""), 1, 12)
+def _turn_pairs(spark, sf):
+    """Each turn (b) with the turn before it in its conversation (a), as words."""
     before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
-    d = t(spark, sf, "conversations").select("conv_id", "turn", words(F.col("text")).alias("b"), words(before).alias("a"))
-    return d.select("conv_id", "turn", (F.col("a") == F.col("b")).alias("exact_match"), service.rouge_l(F.col("a"), F.col("b")).alias("rouge_l"))
+    words = lambda c: whitespace_words(F.lower(c))
+    return t(spark, sf, "conversations").select("conv_id", "turn", words(F.col("text")).alias("b"), words(before).alias("a"))
+
+
+@query(f"""WITH RECURSIVE {_PAIR}, aw AS (SELECT conv_id, turn, generate_subscripts(a, 1) AS i, unnest(a) AS w FROM p),
+r AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS i, generate_subscripts(b, 1) AS j, unnest(b) AS w, CAST(0 AS INTEGER) AS v FROM p
+ UNION ALL SELECT conv_id, turn, i, j, w, CAST(max(c) OVER (PARTITION BY conv_id, turn ORDER BY j) AS INTEGER) FROM (
+  SELECT r.conv_id, r.turn, aw.i, r.j, r.w, CASE WHEN r.w = aw.w THEN coalesce(lag(r.v) OVER (PARTITION BY r.conv_id, r.turn ORDER BY r.j), 0) + 1 ELSE r.v END AS c
+  FROM r JOIN aw ON aw.conv_id = r.conv_id AND aw.turn = r.turn AND aw.i = r.i + 1)),
+l AS (SELECT conv_id, turn, max(v) AS lcs FROM r GROUP BY ALL)
+SELECT p.conv_id, p.turn, a = b AS exact_match, CASE WHEN coalesce(lcs, 0) = 0 THEN 0.0 ELSE round(2 * lcs / (len(a) + len(b)), 6) END AS rouge_l FROM p LEFT JOIN l USING (conv_id, turn)""")
+def rouge_l_turns(spark, sf):
+    return similarity.rouge_l(_turn_pairs(spark, sf)).select("conv_id", "turn", "exact_match", "rouge_l")
+
+
+@query(f"""WITH {_PAIR}, n AS (SELECT count(*) AS n FROM p), df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(b)) AS token FROM p) GROUP BY token),
+c AS (SELECT conv_id, turn, side, token, count(*) AS n FROM (SELECT conv_id, turn, 'a' AS side, unnest(a) AS token FROM p UNION ALL SELECT conv_id, turn, 'b', unnest(b) FROM p) GROUP BY ALL),
+w AS (SELECT c.*, c.n * ln((n.n + 1.0) / (coalesce(df, 0) + 1)) AS weight FROM c LEFT JOIN df USING (token), n),
+g AS (SELECT token, ('0x' || md5(('#' || token || '#')[i : i + 2])[:8])::BIGINT % 64 AS bucket FROM (SELECT token, unnest(range(1, length(token) + 1)) AS i FROM (SELECT DISTINCT token FROM c))),
+h AS (SELECT token, list(bucket) AS h FROM g GROUP BY token), k AS (SELECT token, list_transform(range(64), lambda x: CAST(len(list_filter(h, lambda y: y = x)) AS DOUBLE)) AS v FROM h),
+s AS (SELECT token, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM k),
+m AS (SELECT x.conv_id, x.turn, x.side, x.token, max(list_inner_product(sx.v, sy.v)) AS best FROM c x JOIN c y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.side <> y.side JOIN s sx ON sx.token = x.token JOIN s sy ON sy.token = y.token GROUP BY ALL),
+o AS (SELECT conv_id, turn, side, sum(weight) AS total, sum(weight * coalesce(best, 0)) AS found FROM w LEFT JOIN m USING (conv_id, turn, side, token) GROUP BY ALL),
+f AS (SELECT conv_id, turn, coalesce(max(found / total) FILTER (side = 'b' AND total > 0), 0) AS p, coalesce(max(found / total) FILTER (side = 'a' AND total > 0), 0) AS r FROM o GROUP BY ALL)
+SELECT p.conv_id, p.turn, round(coalesce(f.p, 0), 6) AS precision, round(coalesce(f.r, 0), 6) AS recall, CASE WHEN coalesce(f.p + f.r, 0) = 0 THEN 0.0 ELSE round(2 * f.p * f.r / (f.p + f.r), 6) END AS f1 FROM p LEFT JOIN f USING (conv_id, turn)""")
+def bert_score_turns(spark, sf):
+    return similarity.bert_score(_turn_pairs(spark, sf), ["conv_id", "turn"])
 
 
 _META = "SELECT doc_id, 'doc_' || doc_id AS document_id, CASE WHEN doc_id % 5 = 0 THEN 'p1' ELSE '[PATIENT_' || doc_id || ']' END AS patient_id, CASE doc_id % 3 WHEN 0 THEN 'lab_report' WHEN 1 THEN 'progress_note' ELSE lang END AS document_type, CASE WHEN doc_id % 7 = 0 THEN 'soon' ELSE '2024-01-02' END AS document_date, text FROM documents"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import chunking, pii, retrieval
-from ..operators.index import shared_folder
+from ..session import shared_folder
 from ..sources import loaders
 from ..streaming import streams
 from .catalogue import _windows_sql, query, t

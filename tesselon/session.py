@@ -1,9 +1,10 @@
-"""Session factory and shipping of this package to executors."""
+"""Session factory, shipping of this package to executors, and the folder that all of a cluster shares."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,3 +39,33 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name under the folder that the driver and all executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process, a temporary one is set.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tesselon-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _store(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = _store(spark, path)
+    return store.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store, if it is there."""
+    store, place = _store(spark, path)
+    store.delete(place, True)
