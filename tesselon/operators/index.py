@@ -5,8 +5,9 @@ of documents of each term, ``gone/segment=<id>`` the doc_ids that later commits
 taken from.  ``manifest/version=<n>`` is the list of what is in force; it is written last, by one committed job, so a search
 sees the index as before or as after a commit, and a commit that failed leaves files that no manifest names.  One writer at a time.
 
-A document's tokens are counted where it is read.  Postings are dealt by ranges of (bucket, term, doc_id): tasks and files
-follow the bytes of text, and a term that a third of all documents hold is spread over as many ranges as its postings fill.
+Tokens are exchanged once, dealt by the bucket of the term and a share of the documents, and counted where they arrive;
+buckets and files follow the bytes of text, and a term that a third of all documents hold is spread over ``SPREAD`` tasks
+or more.  Within a file postings stand by term.
 ``append`` of doc_ids that are there takes the older ones away; ``delete`` takes them all.  What was taken away is
 subtracted from the statistics by a term table with negative counts, so searches merge sums and never read whole postings.
 ``compact`` writes what is alive into one new segment; scores after any of these equal those of a new index.
@@ -27,7 +28,7 @@ from ..functions.text import tokens
 from ..session import exists, remove, shared_folder
 
 FILE_BYTES = 64 << 20  # text whose postings fill a file; less where that gives fewer files than tasks run at once
-MOST_BUCKETS = 1024
+MOST_BUCKETS, SPREAD = 1024, 8
 ASKED = 100_000  # terms of a stated query set that may be broadcast
 _BUILT: dict[tuple[str, str], str] = {}
 
@@ -87,16 +88,19 @@ def _alive(spark: SparkSession, path: str, rows: list) -> DataFrame:
 # ---------------------------------------------------------------- commits
 
 
-def _write_segment(spark: SparkSession, path: str, post: DataFrame, size: int, seq: int) -> dict:
-    """post: term, doc_id, tf, dl.  Gives the segment's row of the manifest."""
-    name, files = f"s{seq}-{uuid.uuid4().hex[:8]}", max(math.ceil(size / FILE_BYTES), min(spark.sparkContext.defaultParallelism, math.ceil(size / (1 << 20))), 1)
-    buckets = min(MOST_BUCKETS, files)
-    dealt = post.withColumn("bucket", bucket(F.col("term"), F.lit(buckets)))
-    dealt.repartitionByRange(files, "bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings/segment={name}")
+def _write_segment(spark: SparkSession, path: str, rows: DataFrame, size: int, seq: int) -> dict:
+    """rows: term, doc_id, dl and n, to be summed up.  One exchange; gives the segment's row of the manifest."""
+    name = f"s{seq}-{uuid.uuid4().hex[:8]}"
+    files = max(math.ceil(size / FILE_BYTES), min(spark.sparkContext.defaultParallelism, math.ceil(size / (1 << 20))), 1)
+    buckets = min(MOST_BUCKETS, max(1, files // SPREAD))
+    spread = math.ceil(files / buckets)
+    dealt = rows.withColumns({"bucket": bucket(F.col("term"), F.lit(buckets)), "share": F.pmod(F.hash("doc_id"), F.lit(spread))}).repartition(files, "bucket", "share")
+    post = dealt.groupBy("bucket", "share", "term", "doc_id", "dl").agg(F.sum("n").cast("int").alias("tf")).select("term", "doc_id", "tf", "dl", "bucket")
+    post.sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings/segment={name}")
     saved = _files(spark, path, "postings", POSTINGS, [name])
     saved.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms/segment={name}")
     # every posting carries its share of a document, so no second pass over the documents is needed
-    total = saved.groupBy("doc_id").agg(F.sum("tf").alias("tokens")).agg(F.count("*").alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    total = saved.select("doc_id", "dl").distinct().agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
     return {"segment": name, "kind": "segment", "seq": seq, "buckets": buckets, "docs": total["docs"], "tokens": total["tokens"]}
 
 
@@ -112,10 +116,13 @@ def _take_away(spark: SparkSession, path: str, rows: list[dict], ids: DataFrame,
     return [{"segment": name, "kind": "gone", "seq": seq, "buckets": 1, "docs": -docs, "tokens": -total}] if docs else []
 
 
-def _counted(docs: DataFrame) -> DataFrame:
+def _counted(docs: DataFrame, repeated: bool) -> DataFrame:
+    """term, doc_id, dl, n; of doc_ids that come more than once the lengths are added first."""
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w"))
-    post = known.select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
-    return post.select("term", "doc_id", "tf", F.sum("tf").over(Window.partitionBy("doc_id")).cast("int").alias("dl"))
+    words = known.where(F.size("w") > 0).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"), F.lit(1).alias("n"))
+    if repeated:
+        words = words.groupBy("doc_id", "term").agg(F.sum("n").alias("n")).withColumn("dl", F.sum("n").over(Window.partitionBy("doc_id")).cast("int"))
+    return words
 
 
 def append(docs: DataFrame, path: str) -> str:
@@ -123,8 +130,8 @@ def append(docs: DataFrame, path: str) -> str:
     spark = docs.sparkSession
     rows = [r.asDict() for r in manifest(spark, path) if r["segment"]]
     seq = max((r["seq"] for r in rows), default=0) + 1
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    new = _write_segment(spark, path, _counted(docs), size, seq)
+    found = docs.agg(F.sum(F.octet_length("text")).alias("size"), F.count("doc_id").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    new = _write_segment(spark, path, _counted(docs, found["rows"] != found["ids"]), found["size"] or 0, seq)
     old = _take_away(spark, path, rows, docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), seq) if rows else []
     _commit(spark, path, [*rows, *old, new])
     return path
@@ -149,7 +156,7 @@ def compact(spark: SparkSession, path: str) -> str:
     if len(rows) > 1:
         seq = max(r["seq"] for r in rows) + 1
         size = 6 * sum(r["tokens"] for r in rows)  # a token and the space after it
-        _commit(spark, path, [_write_segment(spark, path, _alive(spark, path, rows).select("term", "doc_id", "tf", "dl"), size, seq)])
+        _commit(spark, path, [_write_segment(spark, path, _alive(spark, path, rows).select("term", "doc_id", "dl", F.col("tf").alias("n")), size, seq)])
     return path
 
 

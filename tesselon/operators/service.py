@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..session import shared_folder
+
+PIECES, PIECE = 100, 200_000  # ranges of a group's values, and different values that one task may sort
+KEYS = 10_000  # groups whose cuts or ranges may be broadcast
 
 
 # ---------------------------------------------------------------- cache
@@ -103,6 +107,13 @@ def trace_durations(spans: DataFrame) -> DataFrame:
     return spans.join(inner, "span_id", "left").select("trace_id", "span_id", "parent_id", "duration_ms", F.coalesce("children", F.lit(0)).alias("children"), F.round(F.col("duration_ms") - F.coalesce("inner_ms", F.lit(0.0)), 3).alias("own_ms"))
 
 
+def page(rows: DataFrame, order: list, number: int, per_page: int = 20) -> DataFrame:
+    """The rows of a page (from 1) with total, pages, has_next and has_prev; a page behind the last has none."""
+    total = rows.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / per_page))
+    some = rows.orderBy(*order).offset((number - 1) * per_page).limit(per_page)
+    return some.crossJoin(F.broadcast(total)).withColumns({"has_next": F.lit(number) < F.col("pages"), "has_prev": F.lit(number > 1)})  # one row
+
+
 # ---------------------------------------------------------------- metrics
 
 
@@ -110,13 +121,59 @@ def counters(increments: DataFrame) -> DataFrame:
     return increments.groupBy("name").agg(F.sum("value").alias("value"))
 
 
-def discrete_percentiles(rows: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
-    """sorted(x)[int(p * n)] for each share, from value counts: no group is ever held in one list."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(column)
-    seen = counts.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy(*keys))})
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(p * F.col("n")), F.col(column)))
-    return seen.groupBy(*keys).agg(*[at(p).alias(name) for name, p in shares.items()])
+def _held(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _pieces(values: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lo, hi, below, inside, distinct: about a hundred ranges of each key's values, with the rows below and inside each."""
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("value", [i / PIECES for i in range(1, PIECES)], 10 * PIECES).alias("cuts"))
+    cuts = F.broadcast(cuts) if cuts.count() <= KEYS else cuts
+    piece = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+    ranges = values.join(cuts, keys).groupBy(*keys, piece.alias("piece")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("inside"), F.count("*").alias("distinct"))
+    upto = F.sum("inside").over(Window.partitionBy(*keys).orderBy("piece"))
+    return ranges.withColumn("below", upto - F.col("inside"))
+
+
+def values_at(values: DataFrame, targets: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """keys, name, value: the value of rank k (from 0) of each target (keys, name, k), from value counts (keys, value, c).
+
+    Ranges are counted first, then only the range that holds the rank is looked into, until it has at most ``PIECE``
+    different values; so no task holds or sorts more than that of a group, whatever the group's size.
+    """
+    by, turn = keys, 0
+    most = values.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()["most"] or 0
+    while most > PIECE:
+        on = targets.join(_pieces(values, by), by).where("k >= below and k < below + inside")
+        targets = _held(on.select(*keys, "name", (F.col("k") - F.col("below")).alias("k"), "lo", "hi", "distinct"), f"{folder}/targets={turn}")
+        few = F.broadcast(targets) if targets.count() <= KEYS else targets
+        narrowed = values.join(few.select(*by, *(["name"] if "name" not in by else []), "lo", "hi"), by).where("value between lo and hi")
+        by, turn = [*keys, "name"], turn + 1
+        values = _held(narrowed.select(*by, "value", "c"), f"{folder}/values={turn}")
+        most = targets.agg(F.max("distinct").alias("most")).first()["most"]
+        targets = targets.select(*by, "k")
+    values = values if turn else values.join(F.broadcast(targets.select("name").distinct()))  # a row a share
+    by = [*keys, "name"]
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy("value"))
+    seen = values.withColumn("upto", upto).join(targets, by).where("upto > k")
+    return seen.groupBy(*by).agg(F.min("value").alias("value"))
+
+
+def percentiles(rows: DataFrame, keys: list[str], column: str, shares: dict[str, float], between: tuple[str, ...] = ()) -> DataFrame:
+    """Exact percentiles of a column that isn't null, by keys (none: of all rows): sorted(x)[int(p * n)], or for the names ``between`` on the line between the two neighbours of p * (n - 1)."""
+    folder = f"{shared_folder(rows.sparkSession)}-percentiles"
+    by = keys or ["every"]
+    base = rows if keys else rows.withColumn("every", F.lit(1))
+    values = _held(base.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("c")), f"{folder}/counts")
+    at = {name: F.lit(p) * (F.col("n") - 1) if name in between else F.lit(p) * F.col("n") for name, p in shares.items()}
+    wanted = {f"{name}|{side}": F.least(F.floor(at[name]) + side, F.col("n") - 1).cast("long") for name in shares for side in range(1 + (name in between))}
+    sizes = values.groupBy(*by).agg(F.sum("c").alias("n"))
+    targets = sizes.select(*by, F.explode(F.array(*[F.struct(F.lit(w).alias("name"), k.alias("k")) for w, k in wanted.items()])).alias("x")).select(*by, "x.*")
+    found = values_at(values, targets, by, folder).groupBy(*by).agg(*[F.max(F.when(F.col("name") == w, F.col("value"))).alias(w) for w in wanted]).join(sizes, by)
+    one = lambda name, side: F.col(f"`{name}|{side}`")
+    part = lambda name: (at[name] - F.floor(at[name])) * (one(name, 1) - one(name, 0)) + one(name, 0) if name in between else one(name, 0)
+    return found.select(*keys, *[part(name).alias(name) for name in shares])
 
 
 def alerts(metrics: DataFrame) -> DataFrame:

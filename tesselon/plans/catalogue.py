@@ -342,34 +342,6 @@ def confidence_feedback(spark, sf):
 
 # ---------------------------------------------------------------- structured data
 
-FHIR = [
-    '{"resourceType":"Patient","id":"p1","name":[{"given":["Ann","B"],"family":"Lee"}],"birthDate":"1960-01-02","gender":"female"}',
-    '{"resourceType":"MedicationRequest","id":"m1","status":"active","authoredOn":"2024-01-05","subject":{"reference":"Patient/p1"},"medicationCodeableConcept":{"coding":[{"display":"aspirin"}]},"dosageInstruction":[{"text":"81 mg daily"}]}',
-    '{"resourceType":"Observation","id":"o1","status":"final","effectiveDateTime":"2024-01-06","subject":{"reference":"Patient/p1"},"code":{"text":"glucose"},"valueQuantity":{"value":5.5,"unit":"mmol/L"}}',
-    '{"resourceType":"Condition","id":"c1","subject":{"reference":"Patient/p1"},"code":{"coding":[{"system":"http://hl7.org/ICD-10","code":"I10","display":"hypertension"}]},"clinicalStatus":{"coding":[{"code":"active"}]},"onsetDateTime":"2020-02-02"}',
-    '{"resourceType":"Condition","id":"c2","code":{"coding":[]}}',
-]
-
-
-@query("""SELECT * FROM (VALUES ('Patient','p1','p1','Ann B Lee',NULL,NULL,NULL,'1960-01-02'), ('MedicationRequest','m1','p1','aspirin','81 mg daily',NULL,'active','2024-01-05'),
-('Observation','o1','p1','glucose','5.5','mmol/L','final','2024-01-06'), ('Condition','c1','p1','hypertension','I10',NULL,'active','2020-02-02'), ('Condition','c2',NULL,'unknown',NULL,NULL,'unknown',NULL)) AS v(resource_type, resource_id, patient_id, name, value, unit, status, date)""")
-def fhir_resources(spark, sf):
-    return loaders.fhir(spark.createDataFrame([(x,) for x in FHIR], "json string"))
-
-
-HL7 = "MSH|^~\\&|A|B|C|D|20240101||ORU^R01\nPID|1||p7||Lee^Ann||19600102\nOBX|1|NM|GLU||5.5|mmol/L\nOBX|2|NM|NA||140|mmol/L"
-
-
-@query("SELECT 1 AS msg_id, * FROM (VALUES ('1','GLU','5.5','mmol/L'), ('2','NA','140','mmol/L')) AS v(set_id, code, value, units)")
-def hl7_obx(spark, sf):
-    return loaders.hl7_observations(spark.createDataFrame([(1, HL7)], "msg_id int, message string"))
-
-
-@query("SELECT 1 AS msg_id, '2' AS set_id, 'NA' AS code, '140' AS value, 'mmol/L' AS units")
-def hl7_last_segment(spark, sf):
-    return loaders.hl7_observations(spark.createDataFrame([(1, HL7)], "msg_id int, message string"), keep_all=False)
-
-
 @query("SELECT c.c_custkey, count(*) AS n, string_agg(o.o_orderpriority, ', ' ORDER BY o.o_orderkey) AS answer FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus = 'P' GROUP BY c.c_custkey")
 def structured_list(spark, sf):
     o = t(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]), ", ").alias("answer"))
@@ -437,9 +409,8 @@ def metrics_summary(spark, sf):
 
 @query("SELECT event_type, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS INT) + 1] AS p95, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf):
-    v, e = F.col("value"), t(spark, sf, "events")
-    p95 = service.discrete_percentiles(e, ["event_type"], "value", {"p95": 0.95})
-    return e.groupBy("event_type").agg(F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.99), 6).alias("p99")).join(p95, "event_type")
+    p = service.percentiles(t(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p99": 0.99, "p95": 0.95}, between=("p50", "p99"))
+    return p.select("event_type", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"), "p95")
 
 
 @query("WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), s AS (SELECT avg(n) AS m, stddev_samp(n) AS d FROM n) SELECT user_id, n, round((n - m) / d, 6) AS z FROM n, s WHERE (n - m) / d > 1.5")
@@ -498,8 +469,17 @@ SELECT conv_id, turn, round(CASE WHEN len(w) + len(x) = 0 THEN 0 ELSE 2.0 * comm
 def token_f1(spark, sf):
     c = t(spark, sf, "conversations").withColumn("x", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'user'")
     p = c.select("conv_id", "turn", text.tokens(F.col("text")).alias("w"), text.tokens(F.coalesce("x", F.lit(""))).alias("x"))
-    times = lambda a, v: F.size(F.filter(a, lambda y: y == v))
-    common = F.aggregate(F.array_distinct("w"), F.lit(0), lambda s, v: s + F.least(times(F.col("w"), v), times(F.col("x"), v)))
+    # words of both, sorted: what is left of an array after the other's words, each once, is what isn't common
+    merged = F.array_sort(F.concat(F.transform("w", lambda v: F.struct(v.alias("v"), F.lit(1).alias("side"))), F.transform("x", lambda v: F.struct(v.alias("v"), F.lit(-1).alias("side")))))
+    start = F.struct(F.lit("").alias("v"), F.lit(0).alias("mine"), F.lit(0).alias("other"), F.lit(0).alias("common"))
+
+    def step(s, e):
+        same = s["v"] == e["v"]
+        mine, other = F.when(same, s["mine"]).otherwise(0) + (e["side"] == 1).cast("int"), F.when(same, s["other"]).otherwise(0) + (e["side"] == -1).cast("int")
+        before = F.when(same, F.least(s["mine"], s["other"])).otherwise(0)
+        return F.struct(e["v"].alias("v"), mine.alias("mine"), other.alias("other"), (s["common"] + F.least(mine, other) - before).alias("common"))
+
+    common = F.aggregate(merged, start, step)["common"]
     n = F.size("w") + F.size("x")
     return p.select("conv_id", "turn", F.round(F.when(n == 0, 0.0).otherwise(2.0 * common / F.nullif(n, F.lit(0))), 6).alias("f1"))
 

@@ -111,12 +111,12 @@ def feedback_loop(spark, sf):
 
 # ---------------------------------------------------------------- evaluation variant
 
-_KEYWORDS = "keys AS (SELECT query_id, question, list_filter(list_distinct_in_order, lambda x: length(x) >= 4)[1:6] AS keywords FROM (SELECT query_id, question, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS list_distinct_in_order FROM (SELECT query_id, question, regexp_extract_all(lower(coalesce(question, '')), '[\\p{L}\\p{N}_]+') AS ws FROM ask)))"
+_KEYWORDS = "keys AS (SELECT query_id, question, list_filter(list_distinct_in_order, lambda x: length(x) >= 4) AS keywords FROM (SELECT query_id, question, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS list_distinct_in_order FROM (SELECT query_id, question, regexp_extract_all(lower(coalesce(question, '')), '[\\p{L}\\p{N}_]+') AS ws FROM ask)))"
 
 
 def _keywords(spark, sf):
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("question", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    return _questions(spark, sf).withColumn("keywords", F.slice(F.filter(words, lambda w: F.length(w) >= 4), 1, 6))
+    return _questions(spark, sf).withColumn("keywords", F.filter(words, lambda w: F.length(w) >= 4))
 
 
 _EVALUATION = f"""{_QUESTIONS}, {_CHUNKS}, {_KEYWORDS}, planted AS (SELECT query_id * 100000 + rank AS doc_id, text FROM chunks WHERE text IS NOT NULL), {_clean_sql()},
@@ -143,11 +143,11 @@ def keyword_answers(spark, sf):
     return a.select("query_id", F.sha2("full", 256).alias("answer"), F.round(answers.coverage(F.col("full"), F.col("keywords")), 6).alias("coverage"))
 
 
-@query(f"""WITH {_QUESTIONS}, {_CHUNKS}, {_KEYWORDS}, r AS (SELECT keys.query_id, keywords, list(lower(coalesce(text, ''))) FILTER (rank > 0) AS ts FROM keys LEFT JOIN chunks ON chunks.query_id = keys.query_id GROUP BY ALL)
+@query(f"""WITH {_QUESTIONS}, {_CHUNKS}, {_KEYWORDS}, r AS (SELECT keys.query_id, keywords, list(lower(coalesce(text, ''))) FILTER (rank IS NOT NULL) AS ts FROM keys LEFT JOIN chunks ON chunks.query_id = keys.query_id GROUP BY ALL)
 SELECT query_id, CASE WHEN len(keywords) = 0 THEN 1.0 ELSE round(len(list_filter(keywords, lambda k: len(list_filter(coalesce(ts, []), lambda x: contains(x, k))) > 0)) / len(keywords), 6) END AS recall,
  CASE WHEN len(keywords) = 0 OR ts IS NULL THEN 0.0 ELSE round(len(list_filter(ts, lambda x: len(list_filter(keywords, lambda k: contains(x, k))) > 0)) / len(ts), 6) END AS precision FROM r""")
 def keyword_recall_precision(spark, sf):
-    return answers.keyword_scores(_keywords(spark, sf).select("query_id", "keywords"), _chunks(spark, sf).where("rank > 0"))
+    return answers.keyword_scores(_keywords(spark, sf).select("query_id", "keywords"), _chunks(spark, sf))
 
 
 # ---------------------------------------------------------------- expansion

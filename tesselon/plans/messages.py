@@ -72,7 +72,7 @@ def fhir_to_text(spark, sf):
     return _resources(spark, sf).select(F.get_json_object("json", "$.id").alias("resource_id"), loaders.fhir_text(F.col("json")).alias("text"))
 
 
-@query(f"WITH {_FHIR}, m AS (SELECT resource_id AS source_resource_id, patient_id, date, name, dosage, route, frequency FROM f WHERE resource_type = 'MedicationRequest') SELECT m.*, f.status, f.resource_type FROM m LEFT JOIN f ON f.resource_id = m.source_resource_id")
+@query(f"WITH {_FHIR}, m AS (SELECT resource_id AS source_resource_id, patient_id, date, name, dosage, route, frequency FROM f WHERE resource_type = 'MedicationRequest') SELECT m.*, status, resource_type FROM m JOIN (SELECT resource_id AS source_resource_id, any_value(status) AS status, any_value(resource_type) AS resource_type FROM f WHERE resource_type = 'MedicationRequest' GROUP BY resource_id) USING (source_resource_id)")
 def fhir_flatten_medications(spark, sf):
     p = _parsed(spark, sf)
     m = structured.flatten(p, "MedicationRequest", "name", "dosage", "route", "frequency")

@@ -142,7 +142,7 @@ def counters(spark, sf):
 
 @query("SELECT event_type, list_sort(list(value))[CAST(floor(0.5 * count(value)) AS BIGINT) + 1] AS p50, list_sort(list(value))[CAST(floor(0.95 * count(value)) AS BIGINT) + 1] AS p95, list_sort(list(value))[CAST(floor(0.99 * count(value)) AS BIGINT) + 1] AS p99 FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def latency_from_value_counts(spark, sf):
-    return service.discrete_percentiles(t(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return service.percentiles(t(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS queries, round(count(*) / 86400.0, 8) AS per_second, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS failure_rate FROM events GROUP BY ALL")
@@ -159,7 +159,7 @@ def alerts(spark, sf):
     e = t(spark, sf, "events")
     share = lambda k: F.round(F.avg((F.col("event_type") == k).cast("double")), 6)
     one = e.agg(F.count(F.when(F.col("event_type") == "signup", 1)).cast("double").alias("pii_leakage_count"), share("view").alias("cache_hit_rate"), share("click").alias("retry_rate"), share("error").alias("validation_failure_rate"))
-    p95 = service.discrete_percentiles(e.withColumn("all", F.lit(1)), ["all"], "value", {"p": 0.95}).select(F.lit("p95_latency_ms").alias("metric"), (20 * F.col("p")).alias("value"))
+    p95 = service.percentiles(e, [], "value", {"p": 0.95}).select(F.lit("p95_latency_ms").alias("metric"), (20 * F.col("p")).alias("value"))
     return service.alerts(one.unpivot([], one.columns, "metric", "value").unionByName(p95))
 
 
@@ -182,12 +182,34 @@ def latest_first(spark, sf):
     return t(spark, sf, "orders").withColumn("place", place).where("place <= 3").select("o_custkey", "o_orderkey", "place")
 
 
-@query("SELECT o_orderkey, (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders) // 100 + 1 AS pages FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 100")
+def _page_sql(page: int, per_page: int) -> str:
+    last = f"(SELECT max((n - 1) // {per_page} + 1) FROM (SELECT row_number() OVER () AS n FROM orders))"
+    return f"SELECT o_orderkey, (SELECT count(*) FROM orders) AS total, {last} AS pages, {page} < {last} AS has_next, {page > 1} AS has_prev FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT {per_page} OFFSET {(page - 1) * per_page}"
+
+
+@query(_page_sql(2, 100))
 def page_with_total(spark, sf):
-    o = t(spark, sf, "orders")
-    total = o.agg(F.count("*").alias("total"))
-    page = o.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(100).limit(100)
-    return page.crossJoin(F.broadcast(total)).select("o_orderkey", "total", (F.floor(F.col("total") / 100) + 1).alias("pages"))
+    return service.page(t(spark, sf, "orders"), [F.desc("o_totalprice"), "o_orderkey"], 2, 100).select("o_orderkey", "total", "pages", "has_next", "has_prev")
+
+
+@query(_page_sql(5, 70))
+def page_of_another_size(spark, sf):
+    return service.page(t(spark, sf, "orders"), [F.desc("o_totalprice"), "o_orderkey"], 5, 70).select("o_orderkey", "total", "pages", "has_next", "has_prev")
+
+
+@query("""WITH m AS (SELECT user_id, count(*) AS total_queries, list_sort(list(value))[CAST(floor(0.95 * count(value)) AS BIGINT) + 1] AS p95, round(avg(value), 6) AS avg_latency, round(avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END), 6) AS cache_hit_rate,
+ round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END), 6) AS retry_rate, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS validation_failure_rate, round(avg(CASE WHEN event_type = 'purchase' THEN value / 1000.0 END), 6) AS avg_confidence FROM events GROUP BY user_id),
+k AS (SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY n DESC, event_type) AS top_types FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)) WHERE k <= 3 GROUP BY user_id)
+SELECT m.*, top_types FROM m JOIN k USING (user_id)""")
+def query_report(spark, sf):
+    """One row a user: latency, cache hits, retries, failed validations, confidence and the commonest kinds of query."""
+    e, kind = t(spark, sf, "events"), F.col("event_type")
+    share = lambda k, name: F.round(F.avg((kind == k).cast("double")), 6).alias(name)
+    rates = e.groupBy("user_id").agg(F.count("*").alias("total_queries"), F.round(F.avg("value"), 6).alias("avg_latency"), share("view", "cache_hit_rate"), share("click", "retry_rate"), share("error", "validation_failure_rate"), F.round(F.avg(F.when(kind == "purchase", F.col("value") / 1000)), 6).alias("avg_confidence"))
+    n = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    top = n.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))).where("k <= 3")
+    top = top.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "event_type", "n"))), lambda x: F.concat_ws(":", x["event_type"], x["n"].cast("string"))), ",").alias("top_types"))
+    return rates.join(service.percentiles(e, ["user_id"], "value", {"p95": 0.95}), "user_id", "left").join(top, "user_id")
 
 
 @query("SELECT conv_id, string_agg(turn || ':' || role, ' ' ORDER BY role, turn) AS ordered FROM conversations GROUP BY conv_id")
