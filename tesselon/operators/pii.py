@@ -55,9 +55,10 @@ def masked(text: str | None, entities: list[tuple[str, int, int, str]]) -> str |
     return "".join([*out, text[at:]])
 
 
-def detect(docs: DataFrame, key: str = "doc_id", column: str = "text", salt: str = "salt", enabled: bool = True) -> DataFrame:
-    """key, text (masked), entities.  Where detection is off, texts pass through without entities; null stays null."""
+def detect(docs: DataFrame, key: str = "doc_id", column: str = "text", salt: str = "salt", enabled: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, text (masked), entities, and the columns ``keep`` as they are.  Where detection is off, texts pass through without entities; null stays null."""
     kind = docs.schema[key].dataType.simpleString()
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         import pyarrow as pa
@@ -68,9 +69,9 @@ def detect(docs: DataFrame, key: str = "doc_id", column: str = "text", salt: str
             found = [find(x) if enabled else [] for x in texts]
             rows = [[{"kind": k, "start": a, "stop": z, "pseudonym": p} for k, a, z, p in e] for e in found]
             kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("pseudonym", pa.string())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(masked, texts, found), pa.string()), pa.array(rows, kinds)], [key, "text", "entities"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(masked, texts, found), pa.string()), pa.array(rows, kinds), *b.columns[2:]], [key, "text", "entities", *keep])
 
-    return docs.select(key, F.col(column).cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, text string, entities {ENTITY}")
+    return docs.select(key, F.col(column).cast("string").alias("text"), *keep).mapInArrow(run, f"{key} {kind}, text string, entities {ENTITY}{more}")
 
 
 def mapping(detected: DataFrame) -> DataFrame:

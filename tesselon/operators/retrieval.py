@@ -155,8 +155,9 @@ def hash_buckets(text: Column, dim: int) -> Column:
     return F.transform(whitespace_words(F.lower(text)), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
 
 
-def hash_vectors(docs: DataFrame, dim: int) -> DataFrame:
-    """doc_id, vector: the word counts of each document by bucket, over their L2 norm; zeros without words."""
+def hash_vectors(docs: DataFrame, dim: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, vector and the columns ``keep``: the word counts of each document by bucket, over their L2 norm; zeros without words."""
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def count(batches):
         import numpy as np
@@ -168,10 +169,10 @@ def hash_vectors(docs: DataFrame, dim: int) -> DataFrame:
             m = np.bincount(row * dim + lists.flatten().to_numpy(zero_copy_only=False), minlength=n * dim).reshape(n, dim).astype(np.float64)
             m = np.round(m / np.maximum(1.0, np.sqrt((m * m).sum(axis=1)))[:, None], 6)
             vector = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(m.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), vector], names=["doc_id", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), vector, *(batch.column(c) for c in keep)], names=["doc_id", "vector", *keep])
 
-    buckets = docs.select("doc_id", hash_buckets(F.coalesce("text", F.lit("")), dim).alias("b"))
-    return buckets.mapInArrow(count, "doc_id long, vector array<double>")
+    buckets = docs.select("doc_id", hash_buckets(F.coalesce("text", F.lit("")), dim).alias("b"), *keep)
+    return buckets.mapInArrow(count, f"doc_id long, vector array<double>{more}")
 
 
 def rrf(lists: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:

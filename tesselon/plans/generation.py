@@ -9,7 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.text import tokens
 from ..operators import answers, intent
+from ..operators import grounding as grounding_of
 from .catalogue import _TURNS, q, query, t
 from .notes import _clean_sql
 
@@ -192,3 +194,23 @@ def classification_reasons(spark, sf):
     tail = F.when(F.col("turn") % 4 == 0, " list all labs when was the last month trend").otherwise(" why, which and overall?")
     reasons = F.transform(intent.reasoning(F.concat("text", tail)), lambda x: F.concat(x["query_type"], F.lit("="), F.array_join(x["patterns"], " ")))
     return c.select("conv_id", "turn", F.array_join(reasons, ";").alias("reasons"))
+
+
+# ---------------------------------------------------------------- grounding: numbers and terms of a turn that the turn before lacks
+
+_GROUND = r"""p AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM conversations),
+a AS (SELECT *, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS mine, ' ' || array_to_string(regexp_extract_all(lower(before), '[\p{L}\p{N}_]+'), ' ') || ' ' AS other FROM p WHERE role = 'assistant'),
+w AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+terms AS (SELECT DISTINCT term FROM (SELECT unnest(list_filter(w, lambda x: length(x) >= 6)) AS term FROM w UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)))"""
+
+
+@query(rf"""WITH {_GROUND}, f AS (SELECT conv_id, turn, string_agg(term, ',' ORDER BY term) AS terms FROM a JOIN terms ON contains(mine, ' ' || term || ' ') AND NOT contains(other, ' ' || term || ' ') GROUP BY ALL),
+n AS (SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?')), lambda x: NOT list_contains(regexp_extract_all(before, '[0-9]+(?:[.][0-9]+)?'), x))), ',') AS numbers FROM a)
+SELECT conv_id, turn, numbers, coalesce(terms, '') AS terms, numbers = '' AND terms IS NULL AS grounded FROM n LEFT JOIN f USING (conv_id, turn)""")
+def grounding(spark, sf):
+    """Terms: the longer words and all word pairs of the benchmark."""
+    c = t(spark, sf, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")).alias("before")).where("role = 'assistant'")
+    w = t(spark, sf, "benchmark").select(tokens(F.col("text")).alias("w"))
+    pairs = w.select(F.explode(F.transform(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b")), lambda x: F.when(x["b"].isNotNull(), F.concat_ws(" ", x["a"], x["b"])))).alias("term"))
+    terms = w.select(F.explode(F.filter("w", lambda x: F.length(x) >= 6)).alias("term")).union(pairs.where("term is not null")).distinct()
+    return grounding_of.ungrounded(c, ["conv_id", "turn"], terms).select("conv_id", "turn", F.array_join("numbers", ",").alias("numbers"), F.array_join("terms", ",").alias("terms"), "grounded")

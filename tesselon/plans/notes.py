@@ -148,9 +148,9 @@ SELECT doc_id, CASE WHEN ts <> '' THEN {not block} WHEN starts_with(text, '[LLM
 
 
 def _validated(spark, sf, block):
-    a = _answers(spark, sf)
-    both = a if block else a.join(pii.detect(a).select("doc_id", F.col("text").alias("safe")), "doc_id")
-    v = both.select("doc_id", pii.validate(F.col("text"), F.lit("") if block else F.col("safe"), block).alias("v")).select("doc_id", "v.*")
+    a = _answers(spark, sf).withColumn("original", F.col("text"))
+    both = a if block else pii.detect(a, keep=("original",))
+    v = both.select("doc_id", pii.validate(F.col("original"), F.lit("") if block else F.col("text"), block).alias("v")).select("doc_id", "v.*")
     return v.withColumn("answer", F.sha2("answer", 256))
 
 
@@ -164,14 +164,6 @@ def validate_sanitising(spark, sf):
     return _validated(spark, sf, False)
 
 
-@query(f"WITH {_spans_sql()} SELECT doc_id % 50 AS query_id, bool_or(es IS NOT NULL) AS guard, array_to_string(list_sort(list_distinct(flatten(list(list_transform(coalesce(es, []), lambda x: x.kind))))), ',') AS types, sha256(string_agg({_MASK_SQL}, chr(10) ORDER BY doc_id)) AS context FROM planted LEFT JOIN e USING (doc_id) GROUP BY ALL")
-def prompt_guard(spark, sf):
-    d = pii.detect(_planted(spark, sf)).withColumn("query_id", F.col("doc_id") % 50)
-    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities.kind"))))
-    safe = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
-    return d.groupBy("query_id").agg(F.max(F.size("entities") > 0).alias("guard"), F.array_join(kinds, ",").alias("types"), F.sha2(safe, 256).alias("context"))
-
-
 def _clean_sql() -> str:
     sql = "text"
     steps = [f"c0 AS (SELECT doc_id, {sql} AS text FROM planted)"]

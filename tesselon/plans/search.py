@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import hops, index, intent, ivf, pq, retrieval
+from ..operators import hops, index, intent, ivf, pii, pq, retrieval
 from ..session import shared_folder
 from .catalogue import TOK, _asking, query, t
+from .notes import _MASK_SQL, _planted, _spans_sql
 from .service import _VERSIONS, _versions
 
 _POSTINGS = f"""pt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY ALL),
@@ -283,3 +284,23 @@ h{n} AS (SELECT query_id, {n} AS hop, doc_id, via, path || '>' || doc_id AS path
 def multi_hop_retrieval(spark, sf):
     docs = t(spark, sf, "documents")
     return hops.multi_hop(docs, index.built(docs, f"{sf}/documents"), _asked(spark, sf))
+
+
+@query(f"""WITH {_scored_sql()}, {_ranked_sql('bm', 10, 'r')}, {_spans_sql()} SELECT query_id, bool_or(es IS NOT NULL) AS guard, array_to_string(list_sort(list_distinct(flatten(list(list_transform(coalesce(es, []), lambda x: x.kind))))), ',') AS types,
+sha256(string_agg({_MASK_SQL}, chr(10) ORDER BY rank)) AS context FROM r JOIN planted USING (doc_id) LEFT JOIN e USING (doc_id) GROUP BY query_id""")
+def prompt_guard(spark, sf):
+    """The ten best documents of each query as one context, masked; only these are read for personal data."""
+    hits = _sparse(spark, sf, 10).select("query_id", "doc_id", "rank")
+    wanted = hits.select("doc_id").distinct()
+    d = pii.detect(_planted(spark, sf).join(wanted, "doc_id", "left_semi")).join(hits, "doc_id")
+    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities.kind"))))
+    safe = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n")
+    return d.groupBy("query_id").agg(F.max(F.size("entities") > 0).alias("guard"), F.array_join(kinds, ",").alias("types"), F.sha2(safe, 256).alias("context"))
+
+
+@query(f"""WITH {_scored_sql()}, {_ranked_sql('bm', 50, 'rs')} SELECT query_id, source, max(score) AS score, count(*) AS chunks, string_agg(doc_id, ',' ORDER BY n_chars, doc_id) AS in_order FROM rs JOIN documents USING (doc_id) GROUP BY query_id, source""")
+def document_level_in_order(spark, sf):
+    """Document-level results with their chunks in the order of time; lengths stand for dates here."""
+    of = t(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_chars", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",")
+    return _sparse(spark, sf, 50).join(of, "doc_id").groupBy("query_id", "source").agg(F.max("score").alias("score"), F.count("*").alias("chunks"), listed.alias("in_order"))

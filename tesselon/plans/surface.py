@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import chunking, pii, retrieval
 from ..session import shared_folder
-from ..sources import loaders
-from ..streaming import streams
+from ..sources import bulk, loaders
+from ..streaming import lifetimes, streams
 from .catalogue import _windows_sql, query, t
 from .notes import _PLANTED_SQL, _planted, _spans_sql
 
@@ -49,16 +50,37 @@ def vector_append(spark, sf):
     d = t(spark, sf, "documents")
     for half in (0, 1):
         some = d.where(F.col("doc_id") % 2 == half)
-        retrieval.hash_vectors(some, 64).join(some.select("doc_id", "lang"), "doc_id").write.mode("append").partitionBy("lang").parquet(path)
+        retrieval.hash_vectors(some, 64, ("lang",)).write.mode("append").partitionBy("lang").parquet(path)
     return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("vectors"), F.count_distinct("doc_id").alias("documents"), F.max(F.size("vector")).alias("dimensions"))
 
 
-@query("SELECT 'summary' AS part, event_type AS name, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY event_type")
+@query("""SELECT 'summary' AS part, event_type AS name, CAST(NULL AS BIGINT) AS event_id, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY event_type
+UNION ALL SELECT 'question', event_type, event_id, 1, round(value, 4) FROM events""")
 def evaluation_results_json(spark, sf):
+    """A report of both kinds of rows: a summary a group, and each question with its score."""
     path = f"{shared_folder(spark)}-results"
-    rows = t(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")).select(F.lit("summary").alias("part"), "*")
-    rows.coalesce(1).write.json(path)  # a report: a row a group
-    return spark.read.schema(rows.schema).json(path)
+    e = t(spark, sf, "events").withColumn("name", F.col("event_type"))
+    summary = e.groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")).select(F.lit("summary").alias("part"), "name", F.lit(None).cast("long").alias("event_id"), "n", "mean")
+    each = e.select(F.lit("question").alias("part"), "name", "event_id", F.lit(1).cast("long").alias("n"), F.round("value", 4).alias("mean"))
+    summary.unionByName(each).write.json(path)
+    return spark.read.schema(summary.schema).json(path)
+
+
+@query("SELECT doc_id, lang, n_chars, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS source FROM documents")
+def bulk_sink(spark, sf):
+    """Two committed writes of a store's own format, a third that fails in a task and leaves nothing, then all read back."""
+    bulk.register(spark)
+    path = f"{shared_folder(spark)}-bulk"
+    d = t(spark, sf, "documents").select("doc_id", "lang", "n_chars", F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("source"))
+    store = lambda rows: rows.write.format(bulk.NAME).option("path", path).mode("append").save()
+    store(d.where("doc_id % 2 = 0"))
+    store(d.where("doc_id % 2 = 1"))
+    try:
+        store(d.withColumn("lang", F.when(F.col("doc_id") % 10 == 9, F.raise_error(F.lit("a task that fails"))).otherwise(F.col("lang"))))
+    except Exception as e:
+        if "a task that fails" not in str(e):
+            raise
+    return spark.read.format(bulk.NAME).schema(d.schema).option("path", path).load()
 
 
 @query("SELECT count(*) AS before, CAST(0 AS BIGINT) AS after FROM documents")
@@ -90,6 +112,43 @@ def stream_state_with_lifetime(spark, sf):
     return done.groupBy("user_id").agg(F.max("n").alias("n"))  # a key may come in several batches
 
 
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_id % 50 <> 7), l AS (SELECT *, lag(ms) OVER (PARTITION BY user_id ORDER BY ms) AS before FROM e),
+s AS (SELECT *, sum(CASE WHEN ms - before <= 43200000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS run FROM l),
+r AS (SELECT user_id, run, count(*) AS n, min(ms) AS first_ms, max(ms) AS last_ms FROM s GROUP BY user_id, run)
+SELECT user_id, n, first_ms, last_ms, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first_ms) AS INTEGER) AS life FROM r WHERE last_ms + 43200001 <= (SELECT max(ms) - 600000 FROM e)""")
+def stream_lifetimes(spark, sf):
+    """Batches of ten days each; every fiftieth event comes two batches late and is dropped; users are forgotten after twelve hours and return."""
+    e = t(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    late = F.when(F.col("event_id") % 50 == 7, 2).otherwise(0)
+    arriving = e.withColumn("slice", (F.floor(F.unix_millis("ts") / 864000000) + late).cast("int"))
+    path = f"{shared_folder(spark)}-lifetimes"
+    span = arriving.agg(F.min("slice").alias("a"), F.max("slice").alias("b")).first()
+    done = None
+    with lifetimes.rocks_state(spark):
+        for n in range(span["a"], span["b"] + 1) if span["a"] is not None else ():
+            arriving.where(F.col("slice") == n).select("user_id", "ts").write.mode("append").parquet(f"{path}/in")
+            stream = streams.event_stream(spark, f"{path}/in", "user_id long, ts timestamp")
+            done = streams.run_to_end(lifetimes.lifetimes(stream, "user_id", 43_200_000), path)
+    life = F.row_number().over(Window.partitionBy("user_id").orderBy("first_ms")).cast("int").alias("life")
+    return done.select("user_id", "n", "first_ms", "last_ms", life)
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events WHERE event_id % 50 <> 7 AND time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_id % 50 <> 7) - INTERVAL 10 MINUTE GROUP BY ALL")
+def stream_daily_counts_without_late_rows(spark, sf):
+    """Append mode: a day is told once the watermark has passed it, and late rows of told days change nothing."""
+    e = t(spark, sf, "events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    late = F.when(F.col("event_id") % 50 == 7, 2).otherwise(0)
+    arriving = e.withColumn("slice", (F.floor(F.unix_millis("ts") / 864000000) + late).cast("int"))
+    path = f"{shared_folder(spark)}-daily"
+    span = arriving.agg(F.min("slice").alias("a"), F.max("slice").alias("b")).first()
+    done = None
+    for n in range(span["a"], span["b"] + 1) if span["a"] is not None else ():
+        arriving.where(F.col("slice") == n).drop("event_id", "slice").write.mode("append").parquet(f"{path}/in")
+        stream = streams.event_stream(spark, f"{path}/in", "event_type string, value double, ts timestamp")
+        done = streams.run_to_end(streams.tumbling_metrics(stream, "1 day"), path)
+    return done.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
 @query(_windows_sql(300, 250, 15) + " SELECT doc_id, count(*) AS chunks FROM i GROUP BY doc_id")
 def stream_ingestion(spark, sf):
     chunks = lambda batch: chunking.sliding_windows(batch, 300, 250, 15)

@@ -52,14 +52,31 @@ def seen_counts(events: DataFrame, key: str, ttl_ms: int, late: str = "10 minute
     return timed.groupBy(key).applyInPandasWithState(count, f"{key} long, n long", "n long", "update", "EventTimeTimeout")
 
 
+def write_once(made: DataFrame, path: str, batch_id: int) -> None:
+    """The rows of a micro-batch in the folder of its number: a batch that is run again replaces what it wrote, so each counts once."""
+    made.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def ingest_once(docs: DataFrame, out: str, checkpoint: str, make=None):
+    """A started stream whose batches, through ``make``, are each in ``out`` exactly once, however often they are run."""
+    return ingest(docs, checkpoint, lambda df, n: write_once(df if make is None else make(df), out, n))
+
+
 def run_to_end(stream: DataFrame, path: str, mode: str = "append", write=None) -> DataFrame:
-    """Runs a stream over what is there, into parquet below ``path``, and reads it; ``write`` may change each batch first."""
+    """Runs a stream over what is there, into parquet below ``path``, and reads it; ``write`` may change each batch first.
+
+    Batches are written once each; in complete mode the last one is all there is.  Called again with the same path, it goes on.
+    """
     spark, out = stream.sparkSession, f"{path}/out"
 
     def batch(df, n):
         made = df if write is None else write(df)
-        made.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        if mode == "complete":
+            made.write.mode("overwrite").parquet(out)
+        else:
+            write_once(made, out, n)
 
     q = stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    found = spark.read.parquet(out)
+    return found if mode == "complete" else found.drop("batch")
