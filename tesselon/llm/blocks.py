@@ -33,16 +33,22 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: bool = False
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), total
 
 
-def grouped(df: DataFrame, key: str):
-    return df.groupBy(key)
+def shard_of(keys, shards: int):
+    """The shard of each unsigned 64-bit key: shards are equal ranges of keys."""
+    import numpy as np
+
+    n = np.uint64(shards)
+    high, low = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+    return ((high * n + (low * n >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
 
 
-def shard_cuts(keys, shards: int):
-    """Limits of each shard's slice in sorted unsigned 64-bit keys: shards are equal ranges of keys."""
+def shard_slices(keys, shards: int):
+    """The shards that sorted keys go to, and where the keys of each begin (one more at the end); work follows the keys, not the shards."""
     import numpy as np
 
-    edges = np.array([(s << 64) // shards for s in range(1, shards)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+    to = shard_of(keys, shards)
+    begin = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
+    return to[begin], np.append(begin, len(to))
 
 
 def contains(sorted_keys, keys):
@@ -83,13 +89,14 @@ def shared_keys(texts: DataFrame, keys_of, shards: int, most: int | None = None)
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         uniq = keys[first]
         several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first) if len(first) else np.zeros(0, bool)
-        cut = shard_cuts(uniq, shards)
-        used = [s for s in range(shards) if cut[s] < cut[s + 1]]
+        used, cut = shard_slices(uniq, shards)
+        parts = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
         more = {}
         if most is not None:
-            part = shard_cuts(heavy[0], shards)
-            more = {c: pa.array([x[part[s] : part[s + 1]].tobytes() for s in used], pa.binary()) for c, x in zip(("heavy", "weight"), heavy)}
-        return pa.table(more | {"shard": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "keys": pa.array([uniq[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary()), "several": pa.array([np.packbits(several[cut[s] : cut[s + 1]]).tobytes() for s in used], pa.binary())})
+            to = shard_of(heavy[0], shards)  # heavy keys are among the block's keys
+            ends = list(zip(np.searchsorted(to, used).tolist(), np.searchsorted(to, used, "right").tolist()))
+            more = {c: pa.array([x[a:b].tobytes() for a, b in ends], pa.binary()) for c, x in zip(("heavy", "weight"), heavy)}
+        return pa.table(more | {"shard": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "keys": pa.array([uniq[a:b].tobytes() for a, b in parts], pa.binary()), "several": pa.array([np.packbits(several[a:b]).tobytes() for a, b in parts], pa.binary())})
 
     def answer(table):
         import numpy as np

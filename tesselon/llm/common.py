@@ -3,24 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the shared folder of the session.
 
-    The cluster names the folder in ``spark.checkpoint.dir``.  Only where that
-    is unset (single-machine tests) a temporary folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tesselon-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name under the folder that the cluster names in ``spark.checkpoint.dir``; only on one machine a temporary one is set where there is none."""
+    return shared_folder(spark)
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

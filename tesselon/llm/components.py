@@ -2,7 +2,8 @@
 
 Edges stay in DataFrames; each round is written to the shared folder, so lineage stays
 short.  A node's neighbourhood is only ever reduced to its minimum, by aggregates with
-map-side combination, so a node with very many neighbours is no bottleneck.
+map-side combination; minima are written before edges meet them, so the join has a plain
+exchange on either side and adaptive execution splits the edges of a hub over tasks.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from .common import materialise
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "minima")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    down = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "down")
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "minima")
     pairs = down.join(least, "u")
     return pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 

@@ -9,9 +9,9 @@ own.  ``text_media`` stores texts so and reads them back through the composed fr
 time, disposal and histogram of each frame.
 
 Streams are decoded and composed ``GROUP`` frames at a time, so a long text needs little
-more memory than itself.  A null or unreadable GIF, or one whose canvas has over
-``MOST_PIXELS`` pixels, gives no frame row and an ``error``; a null text is stored as an
-empty one.  Rows without doc_id are left out; equal rows give equal results, each its own;
+more memory than itself.  A null or unreadable GIF, one with a stream that is bad or ends early
+in any frame, or one whose canvas has over ``most_pixels`` (a parameter), gives no frame row
+and an ``error``; a null text is stored as an empty one.  Rows without doc_id are left out; equal rows give equal results, each its own;
 other columns play no part, whatever their names; an empty table gives an empty result.
 """
 
@@ -31,7 +31,9 @@ from .common import texts_of
 SIDE = 24
 FRAME = SIDE * SIDE
 GROUP = 256
-MOST_PIXELS = 1 << 26
+MOST_PIXELS = 1 << 26  # of a canvas, by default: a task holds four bytes a pixel
+CHANNELS = ("hist_red", "hist_green", "hist_blue")
+HELD = 8 << 20  # bytes of pixels that a batch of frames holds
 
 
 # ---------------------------------------------------------------- LZW
@@ -195,8 +197,9 @@ def _pack_codes(codes: list[list[int]]) -> list[bytes]:
 # ---------------------------------------------------------------- container
 
 
-_GREY = bytes(x for i in range(256) for x in (i, i, i))
-_TURNED = bytes(x for i in range(255, -1, -1) for x in (i, i, i))
+#: Red counts up, green down, blue in steps of seven; the other palette has the same colours from its end.
+_COLOURS = bytes(x for i in range(256) for x in (i, 255 - i, i * 7 & 255))
+_TURNED = bytes(x for i in range(255, -1, -1) for x in (i, 255 - i, i * 7 & 255))
 _TURN = bytes(range(255, -1, -1))
 
 
@@ -234,7 +237,7 @@ def encode_samples(payload: bytes, delay: int = 4) -> bytes:
     """An animation whose composed frames show the payload (a positive multiple of 576 bytes) in their red channel."""
     if not payload or len(payload) % FRAME:
         raise ValueError(f"the payload must be a positive multiple of {FRAME} bytes")
-    out = [b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + _GREY]
+    out = [b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + _COLOURS]
     group = GROUP // 4 * 4
     for at in range(0, len(payload), group * FRAME):
         plan = _plan(payload[at : at + group * FRAME])
@@ -297,18 +300,28 @@ def _samples(frames: list[dict]) -> Iterator[bytes]:
         yield from fast or (lzw_decode(f["data"], f["min_size"], n) for f, n in zip(some, sizes))
 
 
-def _composed(data: bytes) -> Iterator[tuple]:
+def check_streams(data: bytes) -> None:
+    """Raises ValueError where any frame's code stream is bad or ends before its last sample."""
+    _, frames = _parse(data)
+    for f, raw in zip(frames, _samples(frames)):
+        if len(raw) < f["box"][2] * f["box"][3]:
+            raise ValueError("a code stream that ends early")
+
+
+def _composed(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[tuple]:
     """(canvas as shown, indexes, frame, start in ms) of each frame."""
     import numpy as np
 
     (w, h), frames = _parse(data)
-    if w * h > MOST_PIXELS:
+    if w * h > most_pixels:
         raise ValueError(f"a canvas of {w} x {h} pixels")
     palettes: dict[bytes, object] = {}
     canvas, clock = np.zeros((h, w), dtype="<u4"), 0  # a pixel: red, green, blue, alpha from the lowest byte up
     for f, raw in zip(frames, _samples(frames)):
         x, y, fw, fh = f["box"]
-        index = np.frombuffer(raw.ljust(fw * fh, b"\0"), dtype=np.uint8).reshape(fh, fw)
+        if len(raw) < fw * fh:
+            raise ValueError("a code stream that ends early")
+        index = np.frombuffer(raw, dtype=np.uint8).reshape(fh, fw)
         if f["interlaced"]:
             order = [*range(0, fh, 8), *range(4, fh, 8), *range(2, fh, 4), *range(1, fh, 2)]
             rows = np.empty_like(index)
@@ -336,57 +349,70 @@ def _composed(data: bytes) -> Iterator[tuple]:
             canvas = before
 
 
-def decode_gif(data: bytes) -> Iterator[dict]:
+def decode_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[dict]:
     """Composed frames: ``rgba`` (height, width, 4), ``indexes``, ``delay_ms``, ``start_ms``, ``disposal``, ``transparent``."""
-    for canvas, index, f, clock in _composed(data):
+    for canvas, index, f, clock in _composed(data, most_pixels):
         yield {"rgba": canvas.view("u1").reshape(*canvas.shape, 4), "indexes": index, "delay_ms": f["delay"] * 10, "start_ms": clock, "disposal": f["disposal"], "transparent": f["clear"]}
 
 
 def read_frames(data: bytes) -> tuple[bytes, list[dict]]:
-    """Payload (the red channel of all composed frames) and start_ms, delay_ms, disposal and 8-bin grey histogram of each frame."""
+    """Payload (the red channel of all composed frames) and start_ms, delay_ms, disposal and histograms of 8 bins a channel of each frame."""
     import numpy as np
 
     parts, notes, shown = [], [], _composed(data)
     while some := list(islice(shown, GROUP)):
-        red = np.stack([x.ravel() for x, *_ in some]).astype(np.uint8)  # the lowest byte
-        bins = np.bincount((np.arange(len(some))[:, None] * 8 + (red >> 5)).ravel(), minlength=8 * len(some)).reshape(-1, 8).tolist()
-        parts.append(red.tobytes())
-        notes += [{"start_ms": clock, "delay_ms": f["delay"] * 10, "disposal": f["disposal"], "hist_grey": b} for (_, _, f, clock), b in zip(some, bins)]
+        shown_now = np.stack([x.ravel() for x, *_ in some]).view(np.uint8).reshape(len(some), -1, 4)
+        turn = np.arange(len(some))[:, None] * 8
+        bins = [np.bincount((turn + (shown_now[..., c] >> 5)).ravel(), minlength=8 * len(some)).reshape(-1, 8).tolist() for c in range(3)]
+        parts.append(shown_now[..., 0].tobytes())
+        notes += [{"start_ms": clock, "delay_ms": f["delay"] * 10, "disposal": f["disposal"], **dict(zip(CHANNELS, b))} for (_, _, f, clock), *b in zip(some, *bins)]
     return b"".join(parts), notes
 
 
 def read_samples(data: bytes) -> tuple[bytes, list[int], int]:
-    """Payload, 8-bin grey histogram over all frames, and duration in ms."""
+    """Payload, 8-bin histogram of red over all frames, and duration in ms."""
     payload, notes = read_frames(data)
-    return payload, [sum(x) for x in zip(*(n["hist_grey"] for n in notes))], sum(n["delay_ms"] for n in notes)
+    return payload, [sum(x) for x in zip(*(n["hist_red"] for n in notes))], sum(n["delay_ms"] for n in notes)
 
 
 # ---------------------------------------------------------------- DataFrames
 
 
-def gif_frames(media: DataFrame, key: str, column: str) -> DataFrame:
-    """A row a frame: key, frame, start_ms, delay_ms, disposal, width, height, rgba and histograms of 8 bins a channel."""
+def gif_frames(media: DataFrame, key: str, column: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """A row a frame: key, frame, start_ms, delay_ms, disposal, width, height, rgba and histograms of 8 bins a channel.
+
+    A file that is null or broken anywhere, a stream that ends early too, or whose canvas has more than ``most_pixels``,
+    gives no frame row and one with its error.  Batches end when their pixels pass ``HELD`` bytes.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = [key, "frame", "start_ms", "delay_ms", "disposal", "width", "height", "rgba", "hist_red", "hist_green", "hist_blue", "error"]
+        names = [key, "frame", "start_ms", "delay_ms", "disposal", "width", "height", "rgba", *CHANNELS, "error"]
         hist = pa.list_(pa.int64())
         for b in batches:
-            rows = []
-            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), hist, hist, hist, pa.string()]
+            told = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)  # noqa: E731, B023
+            rows, held = [], 0
+            for k, data in zip(b.column(0).to_pylist(), b.column(1)):
                 try:
+                    data = data.as_py()
                     if data is None:
                         raise ValueError("null")
-                    for i, f in enumerate(decode_gif(data)):
+                    check_streams(data)
+                    for i, f in enumerate(decode_gif(data, most_pixels)):
                         p = f["rgba"]
                         seen = p[..., 3] > 0
                         rows.append((k, i, f["start_ms"], f["delay_ms"], f["disposal"], p.shape[1], p.shape[0], p.tobytes(), *[np.bincount(p[..., c][seen] >> 5, minlength=8).tolist() for c in range(3)], None))
+                        held += p.nbytes
+                        if held > HELD:
+                            yield told(rows)
+                            rows, held = [], 0
                 except (ValueError, IndexError, struct.error, MemoryError) as e:
-                    rows.append((k, None, None, None, None, None, None, None, None, None, None, str(e)))
-            kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), hist, hist, hist, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 12, kinds)], names)
+                    rows.append((k, *[None] * 10, str(e)))
+            if rows:
+                yield told(rows)
 
     kind = media.schema[key].dataType.simpleString()
     return media.select(key, F.col(column).cast("binary").alias(column)).mapInArrow(run, f"{key} {kind}, frame int, start_ms long, delay_ms long, disposal int, width int, height int, rgba binary, hist_red array<long>, hist_green array<long>, hist_blue array<long>, error string")
@@ -398,7 +424,7 @@ def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        frames = pa.list_(pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("hist_grey", pa.list_(pa.int32()))]))
+        frames = pa.list_(pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), *((c, pa.list_(pa.int32())) for c in CHANNELS)]))
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "frames", *["media"] * keep_media]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), frames, pa.binary()]
         for b in batches:
@@ -408,10 +434,10 @@ def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                     raw = (text or "").encode()
                     media = encode_samples(raw + b"\xff" * (-len(raw) % FRAME if raw else FRAME))
                     payload, notes = read_frames(media)
-                    hist = [sum(x) for x in zip(*(n["hist_grey"] for n in notes))]
-                    feature = f"ms={sum(n['delay_ms'] for n in notes)};grey={','.join(map(str, hist))}"
+                    sums = [f"{c[5:]}={','.join(str(sum(x)) for x in zip(*(n[c] for n in notes)))}" for c in CHANNELS]
+                    feature = ";".join([f"ms={sum(n['delay_ms'] for n in notes)}", *sums])
                     rows.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(notes), notes, media))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t, _ in zip(zip(*rows), kinds, names)], names)
 
     rows = texts_of(docs)
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, frames array<struct<start_ms:long,delay_ms:int,disposal:int,hist_grey:array<int>>>" + ", media binary" * keep_media)
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, frames array<struct<start_ms:long,delay_ms:int,disposal:int,hist_red:array<int>,hist_green:array<int>,hist_blue:array<int>>>" + ", media binary" * keep_media)

@@ -5,15 +5,19 @@ ranges of each shard are narrow in all of them and files can be pruned on any.
 All work is done by built-in expressions.  The order is total (curve index, then the
 doc_id, then the text's crc32), hence shards are the same in every run.
 
-Strings are quantised by their hash modulo the number of cells, which keeps equal values
-together (values may share a cell; more ``bits`` part them); sizes by the base-2
-logarithm; null counts as the lowest cell.  An empty table gives an empty result; repeated
+Values are quantised in their order, so that a shard's least and greatest lie close: a string
+by the seven bytes behind the prefix that all its column's values share, as a number, a size
+as it is.  A sketch of the quantiles gives the limits of the cells (values may share a cell;
+more ``bits`` part them), which are spread over the axis; null counts as the lowest cell.  An empty table gives an empty result; repeated
 rows get slots of their own, as equal neighbours; rows without doc_id are left out; texts
 count by their bytes, whatever their length; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,12 +70,26 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return F.transform(F.array(state), interleave)[0]
 
 
-def string_cell(c: Column, bits: int) -> Column:
-    return F.when(c.isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int"))
+def _number(c: Column, skip: int) -> Column:
+    """Seven bytes of a string from byte ``skip`` on, as a number in the strings' order."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), skip + 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def cells(docs: DataFrame, strings: list[str], size: Column, bits: int) -> list[Column]:
+    """A cell for each string column and for the size: by the quantiles of its number, spread over all of 1 .. 2**bits - 1; 0 for null."""
+    text = [F.col(c).cast("string") for c in strings]
+    ends = docs.agg(*[f(c).alias(f"{f.__name__}_{i}") for i, c in enumerate(text) for f in (F.min, F.max)]).first()
+    skip = [len(os.path.commonprefix([(ends[f"{f}_{i}"] or "").encode() for f in ("min", "max")])) for i in range(len(text))]
+    numbers = [*(_number(c, n) for c, n in zip(text, skip)), size]
+    parts = (1 << bits) - 1
+    shares = [k / parts for k in range(1, parts)]
+    cuts = docs.agg(*[F.percentile_approx(x, shares, 50 * parts).alias(f"cuts_{i}") for i, x in enumerate(numbers)]).first()
 
+    def cell(x: Column, limits: list[int]) -> Column:
+        place = F.size(F.filter(F.array(*map(F.lit, limits)).cast("array<bigint>"), lambda y: y < x))
+        return F.when(x.isNull(), 0).otherwise(1 + F.floor(place * (parts - 1) / max(len(limits), 1))).cast("int")
 
-def size_cell(c: Column, bits: int) -> Column:
-    return F.when(c.isNull() | (c < 1), 0).otherwise(F.least(F.floor(F.log2(c.cast("double"))), F.lit((1 << bits) - 1)).cast("int"))
+    return [cell(x, sorted(set(cuts[f"cuts_{i}"] or []))) for i, x in enumerate(numbers)]
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 5) -> DataFrame:
@@ -81,9 +99,10 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 5) -> DataFram
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
-    curve = hilbert_index([string_cell(F.col("source"), bits), string_cell(F.col("lang"), bits), size_cell(size, bits)], bits)
-    cells = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), curve.alias("curve"))
-    ordered = cells.repartitionByRange("curve", "doc_id", "text_crc32").sortWithinPartitions("curve", "doc_id", "text_crc32", "size")
+    known = docs.where("doc_id is not null")
+    curve = hilbert_index(cells(known, ["source", "lang"], size, bits), bits)
+    rows = known.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), curve.alias("curve"))
+    ordered = rows.repartitionByRange("curve", "doc_id", "text_crc32").sortWithinPartitions("curve", "doc_id", "text_crc32", "size")
     mono = F.monotonically_increasing_id()
     placed = materialise(ordered.withColumns({"part": F.shiftright(mono, 33).cast("int"), "nth": mono.bitwiseAND(F.lit((1 << 33) - 1))}), "curve")
     starts, n = [], 0
@@ -96,14 +115,17 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 5) -> DataFram
     return ranks.withColumn("shard", shard).withColumn("slot", (F.col("rank") - first).cast("long")).drop("part", "nth", "before", "rank")
 
 
-def write_shards(docs: DataFrame, out: str, shards: int = 16) -> None:
-    """The documents themselves, one folder a shard, ordered by slot; no column of docs may be named ``shard``."""
+def write_shards(docs: DataFrame, out: str, shards: int = 16, file_bytes: int = 256 << 20) -> None:
+    """The documents themselves, one folder a shard, in files of consecutive slots, about ``file_bytes`` of text each; no column of docs may be named ``shard``."""
+    total = docs.agg(F.count("doc_id").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    files = max(1, math.ceil((total["size"] or 0) / file_bytes))  # over all shards
+    rows = max(1, math.ceil(total["n"] / max(shards, files)))
     placed = hilbert_shards(docs, shards).select("doc_id", "text_crc32", "shard", "slot")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc, crc, nth, shard, slot = free_names(5, docs.columns)
+    doc, crc, nth, shard, slot, run = free_names(6, docs.columns)
     # repeated rows are equal in both tables: the n-th of one takes the n-th place of the other
     order = lambda *by: F.row_number().over(Window.partitionBy(doc, crc).orderBy(*by))
     keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), crc: F.crc32(F.encode(text, "UTF-8"))}).withColumn(nth, order(F.xxhash64("text")))
     named = placed.select(F.col("doc_id").alias(doc), F.col("text_crc32").alias(crc), F.col("shard").alias(shard), F.col("slot").alias(slot)).withColumn(nth, order(slot))
     both = keyed.join(named, [doc, crc, nth]).drop(doc, crc, nth)
-    both.repartition(shard).sortWithinPartitions(shard, slot).drop(slot).withColumnRenamed(shard, "shard").write.partitionBy("shard").parquet(out)
+    both.withColumn(run, F.floor(F.col(slot) / rows)).repartition(max(shards, files), shard, run).sortWithinPartitions(shard, slot).drop(slot, run).withColumnRenamed(shard, "shard").write.partitionBy("shard").parquet(out)

@@ -21,8 +21,8 @@ import math
 
 from pyspark.sql import DataFrame
 
-from .blocks import SHARD_BYTES, blocked, contains, in_order, joined_keys, shard_cuts, shared_keys
-from .words import WordHashes, hash_words, split_words, windows
+from .blocks import SHARD_BYTES, blocked, contains, in_order, joined_keys, shard_slices, shared_keys
+from .words import WordHashes, hash_words, split_words, windows, windows_at
 
 PERIOD, COVER = 7, (1, 2, 4)
 _WORDS = WordHashes()
@@ -57,10 +57,9 @@ def dedup_windows(docs: DataFrame, span: int = 13, shard_bytes: int = SHARD_BYTE
     def anchors(ids, flat, starts):
         import numpy as np
 
-        h = windows(flat, anchor)
-        ok, owner, at = _inside(starts, anchor, len(h))
+        ok, owner, at = _inside(starts, anchor, max(len(flat) - anchor + 1, 0))
         on = np.flatnonzero(ok & np.isin(at % PERIOD, COVER))
-        return h[on], owner[on], on
+        return windows_at(flat, on, anchor), owner[on], on
 
     def keys_of(table):
         import numpy as np
@@ -83,11 +82,10 @@ def dedup_windows(docs: DataFrame, span: int = 13, shard_bytes: int = SHARD_BYTE
         hit = np.zeros(len(flat) + 1, dtype=np.int64)
         hit[place[contains(joined_keys(shared), keys)]] = 1
         seen = np.concatenate(([0], np.cumsum(hit)))
-        one, two = windows(flat, span, 0), windows(flat, span, 1)
-        ok, owner, _ = _inside(starts, span, len(one))
+        ok, owner, _ = _inside(starts, span, max(len(flat) - span + 1, 0))
         i = np.flatnonzero(ok)
         i = i[seen[i + span - anchor + 1] > seen[i]]  # an anchor that begins in the window's first places is shared
-        one, two, doc = one[i], two[i], np.array(ids, dtype=np.int64)[owner[i]]
+        one, two, doc = windows_at(flat, i, span, 0), windows_at(flat, i, span, 1), np.array(ids, dtype=np.int64)[owner[i]]
         order = np.lexsort((doc, two, one))
         one, two, doc = one[order], two[order], doc[order]
         new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if len(one) else np.zeros(0, bool)
@@ -95,11 +93,11 @@ def dedup_windows(docs: DataFrame, span: int = 13, shard_bytes: int = SHARD_BYTE
         last = np.append(first[1:], len(one))[: len(first)] - 1
         several = doc[first] != doc[last]
         one, two, low = one[first], two[first], doc[first]
-        cut = shard_cuts(one, shards)
-        used = [s for s in range(shards) if cut[s] < cut[s + 1]]
-        part = lambda a: pa.array([a[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary())
+        used, cut = shard_slices(one, shards)
+        ends = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+        part = lambda a: pa.array([a[x:y].tobytes() for x, y in ends], pa.binary())
         zipper = zstandard.ZstdCompressor(level=3)
-        packed = lambda a: pa.array([zipper.compress(a[cut[s] : cut[s + 1]].tobytes()) for s in used], pa.binary())
+        packed = lambda a: pa.array([zipper.compress(a[x:y].tobytes()) for x, y in ends], pa.binary())
         return pa.table({"shard": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "one": part(one), "two": part(two), "low": packed(low), "several": packed(several)})
 
     def answer(table):
@@ -146,7 +144,7 @@ def dedup_windows(docs: DataFrame, span: int = 13, shard_bytes: int = SHARD_BYTE
             ok, owner, _ = _inside(starts, span, len(one))
             i = np.flatnonzero(ok)
             i = i[contains(f_one, one[i])]
-            two, doc = windows(flat, span, 1)[i], np.array(ids, dtype=np.int64)[owner[i]]
+            two, doc = windows_at(flat, i, span, 1), np.array(ids, dtype=np.int64)[owner[i]]
             at = np.searchsorted(f_one, one[i])
             bad = np.zeros(len(i), dtype=bool)
             more = np.ones(len(i), dtype=bool)

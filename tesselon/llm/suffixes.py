@@ -33,7 +33,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
-from .blocks import LIGHT, blocked, contains, in_order, joined_keys, shard_cuts, shared_keys
+from .blocks import LIGHT, blocked, contains, in_order, joined_keys, shard_slices, shared_keys
 from .common import tidy
 from .induced import suffix_array
 from .words import mix
@@ -259,11 +259,9 @@ def _plan(texts: DataFrame, total: int, span: int, keep_text: bool, like: DataFr
         name = np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], dtype=np.uint64)
         low = np.array([seen[p][1] for p in pieces], dtype=np.int64)
         several = low < np.array([seen[p][2] for p in pieces], dtype=np.int64)
-        cut = shard_cuts(key, shards)
-        for i in range(shards):
-            a, b = cut[i : i + 2]
-            if a < b:
-                row(i, False, key[a:b], name[a:b], low[a:b], several[a:b], pieces[a:b])
+        used, cut = shard_slices(key, shards)
+        for i, a, b in zip(used.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+            row(i, False, key[a:b], name[a:b], low[a:b], several[a:b], pieces[a:b])
         deal()
         return pa.table({c: pa.array(rows[c], k) for c, k in kinds.items()})
 

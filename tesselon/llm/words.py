@@ -72,3 +72,16 @@ def windows(flat, width: int, which: int = 0):
         h *= c
         h += x[j : j + n]
     return mix(h)
+
+
+def windows_at(flat, places, width: int, which: int = 0):
+    """The hashes of ``windows`` at some places only."""
+    import numpy as np
+
+    c = np.uint64(ROLL[which])
+    x = mix(flat + np.uint64(which * 0x632BE59BD9B4E019))
+    h = x[places]
+    for j in range(1, width):
+        h *= c
+        h += x[places + j]
+    return mix(h)

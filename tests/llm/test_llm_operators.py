@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesselon.llm import blocks, decontam, gif, induced, minhash, packing, queries, shards, substrings, suffixes, token_files, toxicity, urls
 
@@ -421,7 +422,10 @@ def test_gif_query_stores_timed_frames(spark):
         shown = list(gif.decode_gif(bytes(r.media)))
         assert b"".join(f["rgba"][..., 0].tobytes() for f in shown) == payload and r.n_frames == len(payload) // 576 == len(r.frames)
         assert [f.start_ms for f in r.frames] == [40 * i for i in range(r.n_frames)]
-        assert all(f.hist_grey == np.bincount(np.frombuffer(payload[576 * i : 576 * i + 576], np.uint8) >> 5, minlength=8).tolist() for i, f in enumerate(r.frames))
+        for i, f in enumerate(r.frames):
+            red = np.frombuffer(payload[576 * i : 576 * i + 576], np.uint8).astype(int)
+            for have, channel in ((f.hist_red, red), (f.hist_green, 255 - red), (f.hist_blue, red * 7 & 255)):
+                assert have == np.bincount(channel >> 5, minlength=8).tolist()
     _, frames = gif._parse(bytes(next(r.media for r in got if r.doc_id == 2)))
     assert {f["disposal"] for f in frames} == {1, 2, 3} and any(f["clear"] is not None for f in frames) and len({f["palette"] for f in frames}) == 2
     _, frames = gif._parse(bytes(next(r.media for r in got if r.doc_id == 3)))
@@ -436,6 +440,138 @@ def test_gif_frames_of_a_column(spark):
     assert all(r.error and r.frame is None for r in got if r.key > 1) and {r.key for r in got} == {1, 2, 3, 4, 5, 6}
 
 
+def test_gif_streams_that_end_early_give_no_frames(spark):
+    """One code for a whole frame, and a bad code in a later frame: an error row and nothing else."""
+    media = gif.encode_samples(bytes(range(256)) * 9)
+    short = gif._pack_codes([[256, 7, 257]])[0]
+    at = media.rindex(b"\x2c")  # the last frame's descriptor may hold this byte too: build the file anew
+    head = media[: 13 + 768]
+    frame = lambda data: b"\x2c" + b"\0\0\0\0\x18\0\x18\0\0\x08" + bytes([len(data)]) + data + b"\0"
+    whole = gif._pack_codes([gif._lzw_codes(bytes(576))])[0]
+    bad = gif._pack_codes([[256, 7, 300, 257]])[0]
+    odd = [(1, head + frame(whole) + b"\x3b"), (2, head + frame(short) + b"\x3b"), (3, head + frame(whole) + frame(short) + b"\x3b"), (4, head + frame(whole) + frame(bad) + b"\x3b")]
+    got = gif.gif_frames(spark.createDataFrame(odd, "key long, media binary"), "key", "media").collect()
+    assert at > 0 and sorted((r.key, r.frame, bool(r.error)) for r in got if r.key == 1) == [(1, 0, False)]
+    assert sorted((r.key, r.frame, bool(r.error)) for r in got if r.key > 1) == [(2, None, True), (3, None, True), (4, None, True)]
+    small = gif.gif_frames(spark.createDataFrame(odd[:1], "key long, media binary"), "key", "media", most_pixels=100).collect()
+    assert len(small) == 1 and "24 x 24" in small[0].error
+
+
+def test_frames_of_a_column_come_in_batches_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(gif, "HELD", 5_000)
+    media = gif.encode_samples(os.urandom(576 * 40))
+    got = gif.gif_frames(spark.createDataFrame([(1, media), (2, None), (3, media)], "key long, media binary"), "key", "media").collect()
+    assert sorted((r.key, r.frame) for r in got if r.frame is not None) == [(k, i) for k in (1, 3) for i in range(40)] and len(got) == 81
+
+
+def test_slices_of_keys_follow_the_keys():
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 5, 1000):
+        keys = np.sort(rnd.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rnd.integers(0, 2, n, dtype=np.uint64))
+        for shards in (1, 2, 7, 10, 1000, 50_000_000):
+            used, cut = blocks.shard_slices(keys, shards)
+            assert [(int(k) * shards) >> 64 for k in keys] == np.repeat(used, np.diff(cut)).tolist() and len(used) <= max(n, 1) and len(cut) == len(used) + 1
+
+
+def test_a_hub_of_many_neighbours(spark):
+    from tesselon.llm import components
+
+    n = 100_000
+    star = spark.range(1, n + 1).selectExpr("id as u", "0L as v")
+    chain = spark.range(n + 1, n + 41).selectExpr("id as u", "id + 1 as v")
+    got = components.components(star.union(chain)).groupBy("component").count().collect()
+    assert {r.component: r["count"] for r in got} == {0: n, n + 1: 40}
+
+
+# ---------------------------------------------------------------- shards and packs against plain Python
+
+
+def hilbert(axes, bits):
+    """Skilling's transform of coordinates to the curve's index."""
+    x, n = list(axes), len(axes)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    out = 0
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            out = out << 1 | ((v ^ t) >> b & 1)
+    return out
+
+
+def test_hilbert_shards_equal_brute_force(spark):
+    random.seed(31)
+    rows = [(random.randint(0, 300), random.choice([None, "", "é" * 9, prose(random.randint(1, 60))]), random.choice([None, "en", "de", "fr"]), random.choice([f"src{i}" for i in range(9)])) for _ in range(200)]
+    docs = spark.createDataFrame([*rows, (None, "x", "en", "src1")], "doc_id long, text string, lang string, source string").repartition(4)
+
+    def cells(values):
+        known = sorted(x for x in values if x is not None)
+        rank = {v: i for i, v in enumerate(sorted(set(known)))}
+        table = spark.createDataFrame([(rank[v],) for v in known], "x long")
+        limits = sorted({sorted(rank)[i] for i in table.agg(F.percentile_approx("x", [k / 31 for k in range(1, 31)], 1550)).first()[0]})
+        return {v: 1 + sum(y < v for y in limits) * 30 // len(limits) for v in known} | {None: 0}
+
+    size = lambda t: len((t or "").encode()) + 1
+    lang, source, sizes_ = cells([r[2] for r in rows]), cells([r[3] for r in rows]), cells([size(r[1]) for r in rows])
+    keyed = []
+    for d, t, a, s in rows:
+        raw = (t or "").encode()
+        keyed.append((hilbert((source[s], lang[a], sizes_[len(raw) + 1]), 5), d, zlib.crc32(raw), len(raw) + 1))
+    keyed.sort()
+    got = sorted(((r.shard, r.slot), (r.curve, r.doc_id, r.text_crc32, r.size)) for r in shards.hilbert_shards(docs, 16).collect())
+    assert [x for _, x in got] == keyed
+    sizes = collections.Counter(s for (s, _), _ in got)
+    assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all([slot for (x, slot), _ in got if x == s] == list(range(n)) for s, n in sizes.items())
+
+
+def test_shards_are_narrow_in_every_dimension(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    placed = shards.hilbert_shards(docs, 16).select("doc_id", "shard").join(docs.select("doc_id", "lang", "source"), "doc_id")
+    ends = placed.groupBy("shard").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("lang", "source") for f in (F.min, F.max)]).collect()
+    read = lambda c, v: sum(r[f"min_{c}"] <= v <= r[f"max_{c}"] for r in ends)
+    mean = {c: np.mean([read(c, r[0]) for r in docs.select(c).distinct().collect()]) for c in ("lang", "source")}
+    print(mean)
+    assert mean["lang"] < 8.5 and mean["source"] < 8
+
+
+def plain_packs(lengths, size):
+    """Longest first, each piece into the emptiest pack that is open and has room for it."""
+    packs = []
+    for x in sorted(lengths, reverse=True):
+        room, k = max(((size - sum(p), i) for i, p in enumerate(packs)), default=(0, 0))
+        if room >= x:
+            packs[k].append(x)
+        else:
+            packs.append([x])
+    return packs
+
+
+def test_packs_equal_plain_placement():
+    random.seed(5)
+    for size in (8, 50, 64):
+        for _ in range(60):
+            lengths = [random.randint(1, size) for _ in range(random.randint(1, 120))]
+            have = packing.pack_histogram(dict(collections.Counter(lengths)), size)
+            want = plain_packs(lengths, size)
+            assert collections.Counter(x for c, xs in have for x in xs * c) == collections.Counter(lengths)
+            assert sum(c for c, _ in have) <= 1.05 * len(want) + 1 and all(sum(xs) <= size for _, xs in have)
+
+
 def test_suffix_sort_spills_and_recurses(spark, docs, monkeypatch):
     """A shard larger than the sort's memory: queues go to disk, recursion goes on until all ranks differ, results stay the same."""
     spilled, sizes = [], []
