@@ -128,12 +128,12 @@ def _held(df: DataFrame, path: str) -> DataFrame:
 
 def _pieces(values: DataFrame, keys: list[str]) -> DataFrame:
     """keys, lo, hi, below, inside, distinct: about a hundred ranges of each key's values, with the rows below and inside each."""
-    cuts = values.groupBy(*keys).agg(F.percentile_approx("value", [i / PIECES for i in range(1, PIECES)], 10 * PIECES).alias("cuts"))
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("q_value", [i / PIECES for i in range(1, PIECES)], 10 * PIECES).alias("q_cuts"))
     cuts = F.broadcast(cuts) if cuts.count() <= KEYS else cuts
-    piece = F.size(F.filter("cuts", lambda c: c < F.col("value")))
-    ranges = values.join(cuts, keys).groupBy(*keys, piece.alias("piece")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("inside"), F.count("*").alias("distinct"))
-    upto = F.sum("inside").over(Window.partitionBy(*keys).orderBy("piece"))
-    return ranges.withColumn("below", upto - F.col("inside"))
+    piece = F.size(F.filter("q_cuts", lambda c: c < F.col("q_value")))
+    ranges = values.join(cuts, keys).groupBy(*keys, piece.alias("q_piece")).agg(F.min("q_value").alias("q_lo"), F.max("q_value").alias("q_hi"), F.sum("q_count").alias("q_inside"), F.count("*").alias("q_distinct"))
+    upto = F.sum("q_inside").over(Window.partitionBy(*keys).orderBy("q_piece"))
+    return ranges.withColumn("q_below", upto - F.col("q_inside"))
 
 
 def values_at(values: DataFrame, targets: DataFrame, keys: list[str], folder: str) -> DataFrame:
@@ -143,34 +143,34 @@ def values_at(values: DataFrame, targets: DataFrame, keys: list[str], folder: st
     different values; so no task holds or sorts more than that of a group, whatever the group's size.
     """
     by, turn = keys, 0
-    most = values.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()["most"] or 0
+    most = values.groupBy(*by).agg(F.count("*").alias("q_n")).agg(F.max("q_n").alias("most")).first()["most"] or 0
     while most > PIECE:
-        on = targets.join(_pieces(values, by), by).where("k >= below and k < below + inside")
-        targets = _held(on.select(*keys, "name", (F.col("k") - F.col("below")).alias("k"), "lo", "hi", "distinct"), f"{folder}/targets={turn}")
+        on = targets.join(_pieces(values, by), by).where("q_rank >= q_below and q_rank < q_below + q_inside")
+        targets = _held(on.select(*keys, "q_name", (F.col("q_rank") - F.col("q_below")).alias("q_rank"), "q_lo", "q_hi", "q_distinct"), f"{folder}/targets={turn}")
         few = F.broadcast(targets) if targets.count() <= KEYS else targets
-        narrowed = values.join(few.select(*by, *(["name"] if "name" not in by else []), "lo", "hi"), by).where("value between lo and hi")
-        by, turn = [*keys, "name"], turn + 1
-        values = _held(narrowed.select(*by, "value", "c"), f"{folder}/values={turn}")
-        most = targets.agg(F.max("distinct").alias("most")).first()["most"]
-        targets = targets.select(*by, "k")
-    values = values if turn else values.join(F.broadcast(targets.select("name").distinct()))  # a row a share
-    by = [*keys, "name"]
-    upto = F.sum("c").over(Window.partitionBy(*by).orderBy("value"))
-    seen = values.withColumn("upto", upto).join(targets, by).where("upto > k")
-    return seen.groupBy(*by).agg(F.min("value").alias("value"))
+        narrowed = values.join(few.select(*by, *(["q_name"] if "q_name" not in by else []), "q_lo", "q_hi"), by).where("q_value between q_lo and q_hi")
+        by, turn = [*keys, "q_name"], turn + 1
+        values = _held(narrowed.select(*by, "q_value", "q_count"), f"{folder}/values={turn}")
+        most = targets.agg(F.max("q_distinct").alias("most")).first()["most"]
+        targets = targets.select(*by, "q_rank")
+    values = values if turn else values.join(F.broadcast(targets.select("q_name").distinct()))  # a row a share
+    by = [*keys, "q_name"]
+    upto = F.sum("q_count").over(Window.partitionBy(*by).orderBy("q_value"))
+    seen = values.withColumn("q_upto", upto).join(targets, by).where("q_upto > q_rank")
+    return seen.groupBy(*by).agg(F.min("q_value").alias("q_value"))
 
 
 def percentiles(rows: DataFrame, keys: list[str], column: str, shares: dict[str, float], between: tuple[str, ...] = ()) -> DataFrame:
     """Exact percentiles of a column that isn't null, by keys (none: of all rows): sorted(x)[int(p * n)], or for the names ``between`` on the line between the two neighbours of p * (n - 1)."""
     folder = f"{shared_folder(rows.sparkSession)}-percentiles"
-    by = keys or ["every"]
-    base = rows if keys else rows.withColumn("every", F.lit(1))
-    values = _held(base.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("c")), f"{folder}/counts")
-    at = {name: F.lit(p) * (F.col("n") - 1) if name in between else F.lit(p) * F.col("n") for name, p in shares.items()}
-    wanted = {f"{name}|{side}": F.least(F.floor(at[name]) + side, F.col("n") - 1).cast("long") for name in shares for side in range(1 + (name in between))}
-    sizes = values.groupBy(*by).agg(F.sum("c").alias("n"))
-    targets = sizes.select(*by, F.explode(F.array(*[F.struct(F.lit(w).alias("name"), k.alias("k")) for w, k in wanted.items()])).alias("x")).select(*by, "x.*")
-    found = values_at(values, targets, by, folder).groupBy(*by).agg(*[F.max(F.when(F.col("name") == w, F.col("value"))).alias(w) for w in wanted]).join(sizes, by)
+    by = keys or ["q_every"]
+    base = rows if keys else rows.withColumn("q_every", F.lit(1))
+    values = _held(base.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("q_value")).agg(F.count("*").alias("q_count")), f"{folder}/counts")
+    at = {name: F.lit(p) * (F.col("q_n") - 1) if name in between else F.lit(p) * F.col("q_n") for name, p in shares.items()}
+    wanted = {f"{name}|{side}": F.least(F.floor(at[name]) + side, F.col("q_n") - 1).cast("long") for name in shares for side in range(1 + (name in between))}
+    sizes = values.groupBy(*by).agg(F.sum("q_count").alias("q_n"))
+    targets = sizes.select(*by, F.explode(F.array(*[F.struct(F.lit(w).alias("q_name"), k.alias("q_rank")) for w, k in wanted.items()])).alias("x")).select(*by, "x.*")
+    found = values_at(values, targets, by, folder).groupBy(*by).agg(*[F.max(F.when(F.col("q_name") == w, F.col("q_value"))).alias(w) for w in wanted]).join(sizes, by)
     one = lambda name, side: F.col(f"`{name}|{side}`")
     part = lambda name: (at[name] - F.floor(at[name])) * (one(name, 1) - one(name, 0)) + one(name, 0) if name in between else one(name, 0)
     return found.select(*keys, *[part(name).alias(name) for name in shares])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import chunking, pii, retrieval
 from ..session import shared_folder
-from ..sources import bulk, loaders
+from ..sources import bulk, dicom, loaders
 from ..streaming import lifetimes, streams
 from .catalogue import _windows_sql, query, t
 from .notes import _PLANTED_SQL, _planted, _spans_sql
@@ -32,6 +32,32 @@ def evaluation_set_scan(spark, sf):
     return loaders.evaluation_set(files).select("id", "difficulty", "query", F.size("expected_keywords").alias("keywords"))
 
 
+_SYNTAXES = (dicom.IMPLICIT, "1.2.840.10008.1.2.1", dicom.BIG, dicom.DEFLATED)
+
+
+def _report_files(docs):
+    """(path, content): a structured report of each document, a line an item, in four transfer syntaxes and both kinds of lengths; null texts have no items."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            paths, files = [], []
+            for doc, source, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "text"))):
+                header = {"patient_id": f"p{doc}", "modality": "SR", "study_description": source or ""}
+                files.append(dicom.report(header, None if text is None else text.split("\n"), _SYNTAXES[doc % 4], doc // 4 % 2 == 1))
+                paths.append(f"/reports/{doc}.dcm")
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(files, pa.binary())], ["path", "content"])
+
+    return docs.select("doc_id", "source", "text").mapInArrow(run, "path string, content binary")
+
+
+@query(r"""SELECT '/reports/' || doc_id || '.dcm' AS path, 'p' || doc_id AS patient_id, source AS study, sha256(CASE WHEN text IS NULL THEN '[DICOM study: ' || source || ']' ELSE array_to_string(list_transform(string_split(text, chr(10)), lambda x: rtrim(x, ' ')), chr(10)) || chr(10) END) AS text, CAST(NULL AS VARCHAR) AS load_error FROM documents""")
+def dicom_reports(spark, sf):
+    read = loaders.binary_contents(_report_files(t(spark, sf, "documents").where("doc_id is not null")))
+    return read.select("path", F.col("header")["patient_id"].alias("patient_id"), F.col("header")["study_description"].alias("study"), F.sha2("text_content", 256).alias("text"), "load_error")
+
+
 # ---------------------------------------------------------------- sinks: written, then read back
 
 

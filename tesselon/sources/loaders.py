@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clinical_type
+from . import dicom
 
 
 def document_id(path: Column) -> Column:
@@ -214,35 +215,14 @@ def pdf_text(content: bytes, name: str) -> str:
     return f"[PDF content of {name}: no reader installed]"
 
 
-#: Tags of the header fields that are read.
-DICOM_TAGS = {(0x0010, 0x0020): "patient_id", (0x0008, 0x0020): "study_date", (0x0008, 0x0060): "modality", (0x0008, 0x1030): "study_description", (0x0018, 0x0015): "body_part", (0x0008, 0x0080): "institution"}
-
-
-def dicom_header(content: bytes) -> dict[str, str]:
-    """Header fields of an explicit little-endian file, up to the pixels; other encodings give none."""
-    import struct
-
-    if content[128:132] != b"DICM":
-        raise ValueError("not a DICOM file")
-    at, out = 132, {}
-    while at + 8 <= len(content):
-        group, element, kind = *struct.unpack_from("<HH", content, at), content[at + 4 : at + 6]
-        if (group, element) == (0x7FE0, 0x0010) or not kind.isalpha():
-            break
-        if kind in (b"OB", b"OW", b"OF", b"SQ", b"UN", b"UT"):
-            size, head = struct.unpack_from("<I", content, at + 8)[0], 12
-        else:
-            size, head = struct.unpack_from("<H", content, at + 6)[0], 8
-        if size == 0xFFFFFFFF:
-            break
-        if (group, element) in DICOM_TAGS:
-            out[DICOM_TAGS[group, element]] = content[at + head : at + head + size].decode("latin-1").rstrip("\0 ")
-        at += head + size
-    return out
-
-
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     """path, text_content, header, load_error of PDF and DICOM files; one that can't be read is a row with its error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,dcm}").load(path).select("path", "content")
+    return binary_contents(files)
+
+
+def binary_contents(files: DataFrame) -> DataFrame:
+    """``binary_files`` of (path, content), the kind by the path's end."""
 
     def read(batches):
         import pandas as pd
@@ -251,11 +231,10 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for p, content in zip(b["path"], b["content"]):
                 try:
-                    header = dicom_header(content) if p.endswith(".dcm") else {}
-                    rows.append((p, pdf_text(content, p.rsplit("/", 1)[-1]) if p.endswith(".pdf") else "", header, None))
+                    header, text = dicom.read(content) if p.endswith(".dcm") else ({}, pdf_text(content, p.rsplit("/", 1)[-1]))
+                    rows.append((p, text, header, None))
                 except Exception as e:  # a broken file never ends the scan
                     rows.append((p, "", {}, str(e)))
             yield pd.DataFrame(rows, columns=["path", "text_content", "header", "load_error"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,dcm}").load(path).select("path", "content")
     return files.mapInPandas(read, "path string, text_content string, header map<string,string>, load_error string")
