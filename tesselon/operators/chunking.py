@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,92 +32,99 @@ def overlap_flags(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"overlap_prev": F.lag("chunk_index").over(w).isNotNull(), "overlap_next": F.lead("chunk_index").over(w).isNotNull()})
 
 
-def sections(docs: DataFrame, headers: str, keep_header: bool = True, default: str = "PREAMBLE") -> DataFrame:
-    """doc_id, section_no, section, text: a header stands alone on its line."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("line_no", "line"))
-    is_header = F.col("line").rlike(rf"(?i)^(?:{headers})[:\s]*$")
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    marked = lines.withColumn("h", is_header).withColumn("section_no", F.sum(F.col("h").cast("int")).over(w))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.lit(keep_header) | ~F.col("h"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
-    name = F.max(F.when(F.col("h"), F.upper(F.regexp_replace("line", r"[:\s]+$", ""))))
-    out = marked.groupBy("doc_id", "section_no").agg(F.coalesce(name, F.lit(default)).alias("section"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("text"))
-    return out.where("text != ''").withColumn("section_no", F.col("section_no").cast("int"))
-
-
-def word_windows(text: Column, size: int, step: int, keep_short: bool = True) -> Column:
-    """Overlapping windows of words; with ``keep_short``, a text of up to ``size`` words stays as it is."""
+# ---------------------------------------------------------------- sections and paragraphs: one pass over a text, in Arrow batches
+#
+# A fold over array columns copies its result at each step, so texts with many headers or paragraphs would cost their square.
 
-    def cut(w):
-        n = F.size(w)
-        windows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
-        return F.when(F.lit(keep_short) & (n <= size), F.array(text)).otherwise(windows)
+WHITE = " \t\n\x0b\f\r"
+_LINE, _GAP, _WORD = re.compile(r"\r\n|[\n\r]"), re.compile(r"\n\s*\n", re.A), re.compile(rf"[^{WHITE}]+")
 
-    return let(whitespace_words(text), cut)
 
+def _tokens(text: str) -> int:
+    return max(1, len(text) // 4)
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
 
+def split_sections(text: str, header: re.Pattern, keep_header: bool, default: str, loose: bool = True) -> list[tuple[int, str, int, str]]:
+    """(number, section, char_start, text) of each section with a text; a header stands alone on its line, blanks around it if ``loose``.
 
-def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    The number counts headers; ``char_start`` is where the section's first line begins, a line end counting as one.
+    """
+    out, number, name, start, at, body = [], 0, default, 0, 0, []
 
+    def close():
+        if told := "\n".join(body).strip(WHITE):
+            out.append((number, name, start, told))
 
-def pack_paragraphs(text: Column, max_tokens: int, size: int = 1600, step: int = 1400, evaluation: bool = False) -> Column:
-    """Paragraphs packed greedily up to max_tokens; a new chunk begins with the last paragraph of the one before.
+    for line in _LINE.split(text):
+        if header.match(line.strip(WHITE) if loose else line):
+            close()
+            number, start, body = number + 1, at, [line] if keep_header else []
+            name = (line.strip(WHITE).rstrip(":").strip(WHITE) if loose else line.rstrip(f":{WHITE}")).upper()
+        else:
+            body.append(line)
+        at += len(line) + 1
+    close()
+    return out
 
-    A paragraph over max_tokens goes in windows of ``size`` words, and so does a single one; the chunk after it has no
-    overlap.  A chunk's size is the estimate of its joined text when it begins with an overlap.  The ``evaluation``
-    variant has no rule for single paragraphs, cuts white space in windows always, and sums estimates.
-    """
-    paras = F.filter(F.transform(F.split(text, r"\n\s*\n"), trimmed), lambda p: p != "")
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), none.alias("now"), F.lit(0).alias("n"))
-    join = lambda xs: F.array_join(xs, "\n\n")
-    windows = lambda p: word_windows(p, size, step, not evaluation)
 
-    def step_to(a, p):
-        tokens = token_estimate(p)
-        closed = F.when(F.size(a["now"]) > 0, F.array_append(a["done"], join(a["now"]))).otherwise(a["done"])
-        again = F.array(F.element_at(a["now"], -1), p)
-        both = token_estimate(F.element_at(a["now"], -1)) + tokens if evaluation else token_estimate(join(again))
-        alone = F.struct(F.concat(closed, windows(p)).alias("done"), none.alias("now"), F.lit(0).alias("n"))
-        new = F.struct(closed.alias("done"), again.alias("now"), both.alias("n"))
-        more = F.struct(a["done"].alias("done"), F.array_append(a["now"], p).alias("now"), (a["n"] + tokens).alias("n"))
-        return F.when(tokens > max_tokens, alone).when((F.size(a["now"]) > 0) & (a["n"] + tokens > max_tokens), new).otherwise(more)
+def cut_words(text: str, size: int, step: int, keep_short: bool = True) -> list[str]:
+    """Overlapping windows of words; with ``keep_short``, a text of up to ``size`` words stays as it is."""
+    words = _WORD.findall(text)
+    if keep_short and len(words) <= size:
+        return [text]
+    return [" ".join(words[i * step : i * step + size]) for i in range(max(0, -(-(len(words) - size) // step)) + 1)]
+
+
+def pack(text: str, max_tokens: int, size: int, step: int, evaluation: bool) -> list[str]:
+    """The chunks of ``pack_paragraphs``."""
+    paragraphs = [p for p in (x.strip(WHITE) for x in _GAP.split(text)) if p]
+    if len(paragraphs) == 1 and not evaluation:
+        return cut_words(text.strip(WHITE), size, step)
+    done, now, n = [], [], 0
+    for p in paragraphs:
+        tokens = _tokens(p)
+        if tokens > max_tokens:
+            done += ["\n\n".join(now)] * bool(now) + cut_words(p, size, step, not evaluation)
+            now, n = [], 0
+        elif now and n + tokens > max_tokens:
+            done.append("\n\n".join(now))
+            now = [now[-1], p]
+            n = _tokens(now[0]) + tokens if evaluation else _tokens("\n\n".join(now))
+        else:
+            now.append(p)
+            n += tokens
+    return done + ["\n\n".join(now)] * bool(now)
+
+
+def _header(headers: str) -> re.Pattern:
+    return re.compile(rf"(?:{headers})[:\s]*\Z", re.I | re.A)
 
-    def pack(ps):
-        packed = F.aggregate(ps, start, step_to, lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["done"], join(a["now"]))).otherwise(a["done"]))
-        return packed if evaluation else F.when(F.size(ps) == 1, windows(trimmed(text))).otherwise(packed)
 
-    return let(paras, pack)
+def sections(docs: DataFrame, headers: str, keep_header: bool = True, default: str = "PREAMBLE") -> DataFrame:
+    """doc_id, section_no, section, text: a header stands alone on its line; no shuffle."""
+    header = _header(headers)
+    cut = F.udf(lambda x: [(n, name, told) for n, name, _, told in split_sections(x, header, keep_header, default, False)] if x else [], "array<struct<section_no:int,section:string,text:string>>", useArrow=True)
+    return docs.select("doc_id", F.inline(cut(F.col("text").cast("string"))))
 
 
 def section_list(text: Column, headers: str, keep_header: bool, default: str) -> Column:
-    """array<struct(section, char_start, text)> of a text, without a shuffle; the whole text as DOCUMENT if there is none.
+    """array<struct(section, char_start, text)> of a text; the whole text as DOCUMENT if there is none, null for null."""
+    header = _header(headers)
 
-    A header stands alone on its line; ``char_start`` is where its line begins.
-    """
-    header = lambda line: trimmed(line).rlike(rf"(?i)^(?:{headers})[:\s]*$")
-    name = lambda line: F.upper(trimmed(F.regexp_replace(trimmed(line), ":+$", "")))
+    def cut(x):
+        return None if x is None else [s[1:] for s in split_sections(x, header, keep_header, default)] or [("DOCUMENT", 0, x)]
 
-    def cut(lines):
-        def build(heads):
-            def one(h, k):
-                end = F.coalesce(F.get(heads, k + 1), F.size(lines))
-                first = h + F.when(F.lit(not keep_header) & header(lines[h]), 1).otherwise(0)
-                body = trimmed(F.array_join(F.slice(lines, first + 1, end - first), "\n"))
-                before = F.length(F.array_join(F.slice(lines, 1, h), "\n")) + F.when(h > 0, 1).otherwise(0)
-                return F.struct(F.when(header(lines[h]), name(lines[h])).otherwise(default).alias("section"), before.alias("char_start"), body.alias("text"))
+    return F.udf(cut, "array<struct<section:string,char_start:int,text:string>>", useArrow=True)(text)
 
-            return F.filter(F.transform(heads, one), lambda s: s["text"] != "")
 
-        heads = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | header(lines[i]))
-        return let(heads, build)
+def pack_paragraphs(text: Column, max_tokens: int, size: int = 1600, step: int = 1400, evaluation: bool = False) -> Column:
+    """Paragraphs packed greedily up to max_tokens; a new chunk begins with the last paragraph of the one before.
 
-    whole = F.array(F.struct(F.lit("DOCUMENT").alias("section"), F.lit(0).alias("char_start"), text.alias("text")))
-    return let(let(F.split(text, r"\r\n|[\n\r]"), cut), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
+    A paragraph over max_tokens goes in windows of ``size`` words, and so does a single one; the chunk after it has no
+    overlap.  A chunk's size is the estimate of its joined text when it begins with an overlap.  The ``evaluation``
+    variant has no rule for single paragraphs, cuts white space in windows always, and sums estimates.
+    """
+    return F.udf(lambda x: None if x is None else pack(x, max_tokens, size, step, evaluation), "array<string>", useArrow=True)(text)
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -129,27 +138,34 @@ def chunk_documents(docs: DataFrame, headers: str, max_tokens: int = 800, size:
 
     Blank and null texts give no chunk.
     """
-    text = F.col("text")
-    pieces = lambda s: F.transform(pack_paragraphs(s["text"], max_tokens, size, step), lambda p: F.struct(s["section"].alias("section"), token_estimate(p).alias("n_tokens"), p.alias("text")))
-    every = F.filter(F.flatten(F.transform(section_list(text, headers, True, "PREAMBLE"), pieces)), lambda c: c["n_tokens"] >= least_tokens)
-    return _numbered(docs.where(trimmed(text) != "").select("doc_id", every.alias("chunks")))
+    header = _header(headers)
 
+    def cut(x):
+        if not x or not x.strip(WHITE):
+            return []
+        found = split_sections(x, header, True, "PREAMBLE") or [(0, "DOCUMENT", 0, x)]
+        return [(name, _tokens(p), p) for _, name, _, told in found for p in pack(told, max_tokens, size, step, False) if _tokens(p) >= least_tokens]
 
-def chunk_for_evaluation(docs: DataFrame, headers: str, max_tokens: int = 600, size: int = 300, step: int = 250, least_tokens: int = 15, overlap: int = 50) -> DataFrame:
-    """doc_id, chunk_index, section, char_start, n_tokens, text, overlap_prev: each piece after the last words of the one before in its section."""
-    text = F.col("text")
-    piece = "struct<section:string,char_start:int,n_tokens:int,text:string,overlapped:boolean>"
-
-    def overlapped(s):
-        start = F.struct(F.lit(None).cast("string").alias("before"), F.array().cast(f"array<{piece}>").alias("out"))
+    chunks = F.udf(cut, "array<struct<section:string,n_tokens:int,text:string>>", useArrow=True)
+    return _numbered(docs.select("doc_id", chunks(F.col("text").cast("string")).alias("chunks")))
 
-        def step_to(a, p):
-            tail = let(whitespace_words(a["before"]), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - overlap + 1, F.lit(1)), overlap), " "))
-            full = F.when(a["before"].isNotNull() & (a["before"] != ""), F.concat(tail, F.lit("\n"), p)).otherwise(p)
-            made = F.struct(s["section"].alias("section"), s["char_start"].alias("char_start"), token_estimate(full).alias("n_tokens"), trimmed(full).alias("text"), a["before"].isNotNull().alias("overlapped"))
-            return F.when(token_estimate(p) < least_tokens, F.struct(p.alias("before"), a["out"].alias("out"))).otherwise(F.struct(full.alias("before"), F.array_append(a["out"], made).alias("out")))
 
-        return F.aggregate(pack_paragraphs(s["text"], max_tokens, size, step, True), start, step_to, lambda a: a["out"])
-
-    every = F.flatten(F.transform(section_list(text, headers, False, "HEADER"), overlapped))
-    return _numbered(docs.where(text.isNotNull()).select("doc_id", every.alias("chunks"))).drop("overlap_prev", "overlap_next").withColumnRenamed("overlapped", "overlap_prev")
+def chunk_for_evaluation(docs: DataFrame, headers: str, max_tokens: int = 600, size: int = 300, step: int = 250, least_tokens: int = 15, overlap: int = 50) -> DataFrame:
+    """doc_id, chunk_index, section, char_start, n_tokens, text, overlap_prev: each piece after the last words of the one before in its section."""
+    header = _header(headers)
+
+    def cut(x):
+        out = []
+        for _, name, start, told in (split_sections(x, header, False, "HEADER") or [(0, "DOCUMENT", 0, x)]) if x is not None else ():
+            before = None
+            for p in pack(told, max_tokens, size, step, True):
+                if _tokens(p) < least_tokens:
+                    before = p
+                    continue
+                full = " ".join(_WORD.findall(before)[-overlap:]) + "\n" + p if before else p
+                out.append((name, start, _tokens(full), full.strip(WHITE), before is not None))
+                before = full
+        return out
+
+    chunks = F.udf(cut, "array<struct<section:string,char_start:int,n_tokens:int,text:string,overlapped:boolean>>", useArrow=True)
+    return _numbered(docs.select("doc_id", chunks(F.col("text").cast("string")).alias("chunks"))).drop("overlap_prev", "overlap_next").withColumnRenamed("overlapped", "overlap_prev")
