@@ -154,3 +154,20 @@ def keyword_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     recall = F.when(F.col("n") == 0, 1.0).otherwise(F.round(F.col("hits") / F.col("n"), 6))
     precision = F.when((F.col("n") == 0) | F.col("m").isNull(), 0.0).otherwise(F.round(F.col("relevant") / F.col("m"), 6))
     return words.join(chunks_, "query_id", "left").select("query_id", recall.alias("recall"), precision.alias("precision"))
+
+
+def context_by_document(chunks: DataFrame, overlap: int, budget: int) -> DataFrame:
+    """query_id, context, chunks, documents, tokens from (query_id, rank, doc_id, chunk_index, text), a rank a document.
+
+    Grouped by document in the order of rank, chunks in their own order, without the ``overlap`` words that a chunk repeats
+    of the one before; those that no longer fit into the budget are left out, as all after them.
+    """
+    words = F.split("text", " ")
+    part = F.when(F.col("chunk_index") == 0, F.col("text")).otherwise(F.array_join(F.slice(words, overlap + 1, F.greatest(F.size(words), F.lit(1))), " "))
+    own = chunks.select("query_id", "rank", "doc_id", "chunk_index", part.alias("part")).where("part <> ''")
+    used = F.sum(token_estimate(F.col("part"))).over(Window.partitionBy("query_id").orderBy("rank", "chunk_index"))
+    kept = own.withColumn("used", used).where(F.col("used") <= budget)
+    in_order = lambda c, k, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(c).alias("c")))), lambda x: x["c"]), sep)
+    told = F.concat(F.lit("=== Document "), F.col("doc_id").cast("string"), F.lit(" ===\n"), in_order("part", "chunk_index", "\n"))
+    of = kept.groupBy("query_id", "rank", "doc_id").agg(told.alias("told"), F.count("*").alias("n"), F.max("used").alias("used"))
+    return of.groupBy("query_id").agg(in_order("told", "rank", "\n\n").alias("context"), F.sum("n").alias("chunks"), F.count("*").alias("documents"), F.max("used").alias("tokens"))

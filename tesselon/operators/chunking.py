@@ -169,3 +169,12 @@ def chunk_for_evaluation(docs: DataFrame, headers: str, max_tokens: int = 600, s
 
     chunks = F.udf(cut, "array<struct<section:string,char_start:int,n_tokens:int,text:string,overlapped:boolean>>", useArrow=True)
     return _numbered(docs.select("doc_id", chunks(F.col("text").cast("string")).alias("chunks"))).drop("overlap_prev", "overlap_next").withColumnRenamed("overlapped", "overlap_prev")
+
+
+def whole_lists(lines: DataFrame, key: str, order: str, line: str, most: int) -> DataFrame:
+    """key, chunk_index, entries, text: the lines of a key in one chunk if they have at most ``most`` characters, else cut every ``most`` between lines."""
+    size = F.length(line) + 1
+    before = F.sum(size).over(Window.partitionBy(key).orderBy(order)) - size
+    placed = lines.withColumn("chunk_index", F.floor(before / most).cast("int"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))), lambda x: x["l"]), "\n")
+    return placed.groupBy(key, "chunk_index").agg(F.count("*").alias("entries"), text.alias("text"))

@@ -65,6 +65,15 @@ def cache_statistics(cache: DataFrame, lookups: DataFrame, now: Column) -> DataF
     return store.crossJoin(rate)  # one row each
 
 
+def cache_rates(cache: DataFrame, lookups: DataFrame, invalidations: DataFrame, now: Column) -> DataFrame:
+    """One row: entries, hit_rate, miss_rate, avg_age_seconds, and the entries (entry_id, at) invalidated within the last hour."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    store = cache.agg(F.count("*").alias("entries"), F.round(F.avg((micros(now) - micros(F.col("created_at"))) / 1_000_000), 3).alias("avg_age_seconds"))
+    rate = lookups.agg(F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"), F.round(F.avg((~F.col("hit")).cast("double")), 6).alias("miss_rate"))
+    recent = invalidations.where((micros(F.col("at")) > micros(now) - 3_600_000_000) & (micros(F.col("at")) <= micros(now)))
+    return store.crossJoin(rate).crossJoin(recent.agg(F.count_distinct("entry_id").alias("invalidations_last_hour")))  # one row each
+
+
 # ---------------------------------------------------------------- versions
 
 
@@ -107,8 +116,9 @@ def trace_durations(spans: DataFrame) -> DataFrame:
     return spans.join(inner, "span_id", "left").select("trace_id", "span_id", "parent_id", "duration_ms", F.coalesce("children", F.lit(0)).alias("children"), F.round(F.col("duration_ms") - F.coalesce("inner_ms", F.lit(0.0)), 3).alias("own_ms"))
 
 
-def page(rows: DataFrame, order: list, number: int, per_page: int = 20) -> DataFrame:
-    """The rows of a page (from 1) with total, pages, has_next and has_prev; a page behind the last has none."""
+def page(rows: DataFrame, order: list, number: int, per_page: int = 20, max_results: int = 100) -> DataFrame:
+    """The rows of a page (from 1) with total, pages, has_next and has_prev; a page behind the last has none.  No page has more than ``max_results`` rows."""
+    per_page = min(per_page, max_results)
     total = rows.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / per_page))
     some = rows.orderBy(*order).offset((number - 1) * per_page).limit(per_page)
     return some.crossJoin(F.broadcast(total)).withColumns({"has_next": F.lit(number) < F.col("pages"), "has_prev": F.lit(number > 1)})  # one row

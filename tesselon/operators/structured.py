@@ -34,3 +34,11 @@ def any_records(parsed: DataFrame, patients: DataFrame) -> DataFrame:
 def flatten(parsed: DataFrame, kind: str, *columns: str) -> DataFrame:
     """A table of one kind of resource with the id of its source."""
     return parsed.where(F.col("resource_type") == kind).select(F.col("resource_id").alias("source_resource_id"), "patient_id", "date", *columns)
+
+
+def conditions_with_procedures(parsed: DataFrame) -> DataFrame:
+    """Each condition with each procedure of its patient; resources without a patient have no partner."""
+    known = parsed.where("patient_id <> ''")
+    c = known.where("resource_type = 'Condition'").select("patient_id", F.col("resource_id").alias("condition_id"), F.col("name").alias("condition"), "icd10", "status", "severity", F.col("date").alias("onset"))
+    p = known.where("resource_type = 'Procedure'").select("patient_id", F.col("resource_id").alias("procedure_id"), F.col("date").alias("performed"), "raw_summary")
+    return c.join(p, "patient_id")

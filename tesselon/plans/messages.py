@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import structured
+from ..operators import chunking, structured
 from ..sources import loaders
 from .catalogue import query, t
 
@@ -129,6 +129,21 @@ def answer_all_kinds(spark, sf):
     return structured.any_records(p, _patients(p))
 
 
+@query(f"WITH {_FHIR} SELECT c.patient_id, c.resource_id AS condition_id, c.name AS condition, c.icd10, p.resource_id AS procedure_id, p.date AS performed FROM f c JOIN f p ON p.patient_id = c.patient_id WHERE c.resource_type = 'Condition' AND p.resource_type = 'Procedure' AND c.patient_id <> ''")
+def conditions_with_procedures(spark, sf):
+    return structured.conditions_with_procedures(_parsed(spark, sf)).select("patient_id", "condition_id", "condition", "icd10", "procedure_id", "performed")
+
+
+@query("""WITH l AS (SELECT o_custkey, o_orderkey, '- ' || o_orderpriority || ', ' || o_orderstatus || ', since ' || strftime(o_orderdate, '%Y-%m-%d') AS line FROM orders),
+w AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - length(line) - 1 AS before FROM l)
+SELECT o_custkey AS patient, CAST(before // 400 AS INTEGER) AS chunk_index, count(*) AS medications, sha256(string_agg(line, chr(10) ORDER BY o_orderkey)) AS list FROM w GROUP BY ALL""")
+def medication_lists(spark, sf):
+    """A patient's whole list of medications in one chunk, or in as many of 400 characters as it takes."""
+    line = F.concat(F.lit("- "), "o_orderpriority", F.lit(", "), "o_orderstatus", F.lit(", since "), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    d = t(spark, sf, "orders").select(F.col("o_custkey").alias("patient"), "o_orderkey", line.alias("line"))
+    return chunking.whole_lists(d, "patient", "o_orderkey", "line", 400).select("patient", "chunk_index", F.col("entries").alias("medications"), F.sha2("text", 256).alias("list"))
+
+
 # ---------------------------------------------------------------- HL7: a message an order, a result segment a line item
 
 

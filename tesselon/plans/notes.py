@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import chunking, pii
-from .catalogue import _TYPES, PII, q, query, t
+from .catalogue import _TYPES, PII, SQL, q, query, t
 
 # Documents as notes: every fifth line begins a section of medications, every other fifth a plan; blank lines between.
 _NOTE_SQL = "array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN i % 5 = 2 THEN 'MEDICATIONS:' || chr(10) || l WHEN i % 5 = 4 THEN 'Plan ' || chr(10) || chr(10) || l WHEN i % 2 = 1 THEN l || chr(10) ELSE l END), chr(10))"
@@ -65,6 +65,13 @@ def chunk_document(spark, sf):
     return c.withColumn("hash", F.sha2("text", 256)).drop("text")
 
 
+@query(f"SELECT section, count(*) AS chunks, round(avg(n_tokens), 6) AS avg_tokens, count(DISTINCT doc_id) AS docs, arg_min(hash, (doc_id, chunk_index)) AS first FROM ({SQL['chunk_document']}) GROUP BY section")
+def chunk_report(spark, sf):
+    """Each section that occurs: its chunks, their size, its documents and the hash of its first chunk."""
+    c = chunking.chunk_documents(_notes(spark, sf), rules.HEADERS, 150, 160, 140, 20)
+    return c.groupBy("section").agg(F.count("*").alias("chunks"), F.round(F.avg("n_tokens"), 6).alias("avg_tokens"), F.count_distinct("doc_id").alias("docs"), F.sha2(F.min_by("text", F.struct("doc_id", "chunk_index")), 256).alias("first"))
+
+
 _OVER = "array_to_string(w[greatest(len(w) - 49, 1) : len(w)], ' ')"
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import hops, index, intent, ivf, pii, pq, retrieval
+from ..operators import answers, chunking, hops, index, intent, ivf, pii, pq, retrieval
 from ..session import shared_folder
-from .catalogue import TOK, _asking, query, t
+from .catalogue import TOK, _asking, _windows_sql, query, t
 from .notes import _MASK_SQL, _planted, _spans_sql
 from .service import _VERSIONS, _versions
 
@@ -304,3 +304,19 @@ def document_level_in_order(spark, sf):
     of = t(spark, sf, "documents").select("doc_id", "source", "n_chars")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_chars", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",")
     return _sparse(spark, sf, 50).join(of, "doc_id").groupBy("query_id", "source").agg(F.max("score").alias("score"), F.count("*").alias("chunks"), listed.alias("in_order"))
+
+
+_CHUNK_CTE = _windows_sql(300, 250, 15).removeprefix("WITH ")
+
+
+@query(f"""WITH {_scored_sql()}, {_ranked_sql('bm', 10, 'r')}, {_CHUNK_CTE},
+x AS (SELECT query_id, rank, i.doc_id, chunk_index, CASE WHEN chunk_index = 0 THEN s ELSE array_to_string(string_split(s, ' ')[51:], ' ') END AS part FROM r JOIN i USING (doc_id)),
+u AS (SELECT *, sum(greatest(1, length(part) // 4)) OVER (PARTITION BY query_id ORDER BY rank, chunk_index) AS used FROM x WHERE part <> ''),
+b AS (SELECT * FROM u WHERE used <= 3000),
+g AS (SELECT query_id, rank, doc_id, '=== Document ' || doc_id || ' ===' || chr(10) || string_agg(part, chr(10) ORDER BY chunk_index) AS told, count(*) AS n, max(used) AS used FROM b GROUP BY query_id, rank, doc_id)
+SELECT query_id, sha256(string_agg(told, chr(10) || chr(10) ORDER BY rank)) AS context, CAST(sum(n) AS BIGINT) AS chunks, count(*) AS documents, CAST(max(used) AS BIGINT) AS tokens FROM g GROUP BY query_id""")
+def context_by_document(spark, sf):
+    """The chunks of the best documents: documents by rank, chunks in their order, what a chunk repeats of the one before left out, within a budget."""
+    hits = _sparse(spark, sf, 10).select("query_id", "doc_id", "rank")
+    chunks = chunking.sliding_windows(t(spark, sf, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), 300, 250, 15)
+    return answers.context_by_document(hits.join(chunks, "doc_id"), 50, 3000).withColumn("context", F.sha2("context", 256))

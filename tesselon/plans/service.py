@@ -64,6 +64,18 @@ def cache_statistics(spark, sf):
     return service.cache_statistics(service.hits(look.where("hit"), _cache(spark, sf)), look, _now())
 
 
+@query(f"""WITH {_CACHE}, {_DEPS}, gone AS (SELECT entry_id, {_NOW} - to_seconds(p_partkey % 7200) AS gone_at FROM deps JOIN part ON p_partkey = doc_id WHERE p_size <= 5),
+look AS (SELECT event_type <> 'error' AS hit FROM events)
+SELECT (SELECT count(*) FROM cache) AS entries, (SELECT round(avg((epoch_us({_NOW}) - epoch_us(created_at)) / 1000000), 3) FROM cache) AS avg_age_seconds, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(CASE WHEN hit THEN 0.0 ELSE 1.0 END), 6) AS miss_rate,
+ (SELECT count(DISTINCT entry_id) FROM gone WHERE gone_at > {_NOW} - INTERVAL 1 HOUR) AS invalidations_last_hour FROM look""")
+def cache_rates(spark, sf):
+    """Changes of parts, at times that follow from their keys, take answers away that used them."""
+    at = F.timestamp_seconds(F.lit(902016000 + 1200) - F.col("p_partkey") % 7200)
+    changed = t(spark, sf, "part").where("p_size <= 5").select(F.col("p_partkey").alias("doc_id"), at.alias("at"))
+    gone = _deps(spark, sf).join(changed, "doc_id").select("entry_id", "at")
+    return service.cache_rates(_cache(spark, sf), t(spark, sf, "events").select((F.col("event_type") != "error").alias("hit")), gone, _now())
+
+
 # ---------------------------------------------------------------- versions: the shipments of an order are versions of a document
 
 _VERSIONS = "v AS (SELECT l_orderkey AS document_id, l_partkey, l_shipdate, row_number() OVER w AS version, lead(l_shipdate) OVER w AS valid_to FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_extendedprice))"
@@ -197,6 +209,12 @@ def page_of_another_size(spark, sf):
     return service.page(t(spark, sf, "orders"), [F.desc("o_totalprice"), "o_orderkey"], 5, 70).select("o_orderkey", "total", "pages", "has_next", "has_prev")
 
 
+@query(_page_sql(3, 100))
+def page_within_the_ceiling(spark, sf):
+    """250 rows a page are asked for; no page has more than the ceiling."""
+    return service.page(t(spark, sf, "orders"), [F.desc("o_totalprice"), "o_orderkey"], 3, 250).select("o_orderkey", "total", "pages", "has_next", "has_prev")
+
+
 @query("""WITH m AS (SELECT user_id, count(*) AS total_queries, list_sort(list(value))[CAST(floor(0.95 * count(value)) AS BIGINT) + 1] AS p95, round(avg(value), 6) AS avg_latency, round(avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END), 6) AS cache_hit_rate,
  round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END), 6) AS retry_rate, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS validation_failure_rate, round(avg(CASE WHEN event_type = 'purchase' THEN value / 1000.0 END), 6) AS avg_confidence FROM events GROUP BY user_id),
 k AS (SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY n DESC, event_type) AS top_types FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)) WHERE k <= 3 GROUP BY user_id)
