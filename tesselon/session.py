@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -13,6 +15,7 @@ from pyspark.sql import SparkSession
 ARROW_ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
+_HELD: set[str] = set()
 
 
 def session(app: str = "tesselon", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -45,14 +48,31 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder name under the folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process, a temporary one is set.
+    All that an application writes there lies in one folder, which goes when the driver's process ends or ``clear`` is called.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tesselon-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    held = f"{root.rstrip('/')}/tesselon-{sc.applicationId}"
+    if held not in _HELD:
+        _HELD.add(held)
+        atexit.register(_forget, *_store(spark, held))
+    return f"{held}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application has written to the shared folder; results that aren't read yet are lost with it."""
+    mine = [h for h in _HELD if h.endswith(f"/tesselon-{spark.sparkContext.applicationId}")]
+    for h in mine:
+        remove(spark, h)
+
+
+def _forget(store, place) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone before
+        store.delete(place, True)
 
 
 def _store(spark: SparkSession, path: str):
