@@ -234,5 +234,26 @@ HEADERS = "CHIEF COMPLAINT|HISTORY OF PRESENT ILLNESS|HPI|PAST MEDICAL HISTORY|P
 EVALUATION_HEADERS = "CHIEF COMPLAINT|HISTORY OF PRESENT ILLNESS|HPI|PAST MEDICAL HISTORY|MEDICATIONS?(?: ON ADMISSION| AT DISCHARGE)?|ALLERGIES|PHYSICAL EXAMINATION(?: ON ADMISSION)?|VITAL SIGNS?|INVESTIGATIONS?|LABORATORY|LAB(ORATORY)? RESULTS?|HAEMATOLOGY|BIOCHEMISTRY|COAGULATION|HOSPITAL COURSE|ASSESSMENT AND PLAN|ASSESSMENT|PLAN|DISCHARGE CONDITION|DISCHARGE MEDICATIONS?|FOLLOW.UP(?: PLAN)?|DIAGNOS[EI]S|FINDINGS|IMPRESSION|RECOMMENDATION|SUBJECTIVE|OBJECTIVE|NOTES?|EDUCATION TODAY"
 
 
+# Sentences of prompts, answers, warnings and guards.
+NO_CONTEXT = "No relevant context found."
+NO_CONTEXT_EVALUATION = "No relevant context retrieved."
+ONLY_CONTEXT = "Please answer based solely on the context above."
+ONLY_CONTEXT_EVALUATION = "Answer based solely on the context above. Cite source sections."
+NOT_AVAILABLE = "The information is not available in the provided records."
+NOT_FOUND = "Not found in the provided records."
+FROM_RECORDS = "Based on the clinical records: "
+LOW_CONFIDENCE = "The retrieved records may not fully address this query. Please verify with the original clinical records."
+FAIR_CONFIDENCE = "Consider reviewing source records for complete information."
+BLOCKED = "[RESPONSE BLOCKED: PII detected in generated output. Please rephrase your query without requesting personally identifiable information.]"
+FAILED = "An error occurred generating the response. Please try again."
+GENERATION_ERROR = "LLM generation error"
+PII_REASON = "PII types detected: "
+PII_WARNING = "PII was sanitized from output: "
+ANSWER_TEXTS = {
+    "medications": ("medication", "No medication records found for this patient."),
+    "observations": ("observation", "No lab/observation records found for this patient."),
+    "conditions": ("condition", "No condition/diagnosis records found for this patient."),
+}
+
 def rows(table: str) -> list[tuple[str, str]]:
     return [tuple(x.split(" ~ ", 1)) for x in table.strip().splitlines()]

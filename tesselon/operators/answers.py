@@ -42,8 +42,7 @@ def validated(answer: Column) -> Column:
     return F.when(F.size(types) > 0, F.struct(F.lit(True).alias("blocked"), types.alias("types"))).otherwise(F.struct(F.lit(False).alias("blocked"), types.alias("types")))
 
 
-NO_CONTEXT = "No relevant context found."
-NOT_AVAILABLE = "The information is not available in the provided records."
+NO_CONTEXT, NOT_AVAILABLE = rules.NO_CONTEXT, rules.NOT_AVAILABLE
 
 
 def source_label(kind: Column, section: Column, score: Column) -> Column:
@@ -66,7 +65,7 @@ def prompts(questions: DataFrame, chunks: DataFrame, budget: int = 6000) -> Data
     part = F.concat(F.lit("--- Context "), F.col("place"), F.lit(" "), source_label(F.col("kind"), F.col("section"), F.col("score")), F.lit(" ---\n"), F.col("text"))
     made = fit.withColumn("place", place).groupBy("query_id").agg(ordered_text(part, "\n\n").alias("context"), F.count("*").cast("int").alias("n_context"), F.max("running_tokens").alias("used"))
     question = F.coalesce("question", F.lit(""))
-    body = F.concat(F.lit("PATIENT CONTEXT:\n"), F.coalesce("context", F.lit(NO_CONTEXT)), F.lit("\n\nQUESTION: "), question, F.lit("\n\nPlease answer based solely on the context above."))
+    body = F.concat(F.lit("PATIENT CONTEXT:\n"), F.coalesce("context", F.lit(NO_CONTEXT)), F.lit("\n\nQUESTION: "), question, F.lit(f"\n\n{rules.ONLY_CONTEXT}"))
     head = F.when(F.col("patient_id").isNotNull(), F.concat(F.lit("Patient ID: "), "patient_id", F.lit("\n\n"))).otherwise("")
     return questions.join(made, "query_id", "left").select("query_id", F.concat(head, body).alias("user_message"), F.coalesce("n_context", F.lit(0)).alias("n_context"), (F.coalesce("used", F.lit(0)) + F.floor(F.length(question) / 4)).cast("int").alias("tokens"))
 
@@ -76,7 +75,7 @@ def template_answer(message: Column) -> Column:
     context, question = F.instr(message, "--- Context"), F.instr(message, "QUESTION:")
     until = F.when(question > 1, F.greatest(question - context, F.lit(0))).otherwise(F.length(message))
     snippet = F.regexp_replace(F.substring(F.substr(message, context, until), 1, 300), r"^\s+|\s+$", "")
-    answer = F.when(context == 0, NOT_AVAILABLE).otherwise(F.concat(F.lit("Based on the clinical records: "), F.substring(snippet, 1, 200), F.lit("...\n\n[Mock response]")))
+    answer = F.when(context == 0, NOT_AVAILABLE).otherwise(F.concat(F.lit(rules.FROM_RECORDS), F.substring(snippet, 1, 200), F.lit("...\n\n[Mock response]")))
     quarter = lambda c: F.floor(F.length(c) / 4).cast("int")
     return F.struct(answer.alias("answer"), quarter(message).alias("input_tokens"), quarter(answer).alias("output_tokens"))
 
@@ -89,8 +88,8 @@ def broader(query: Column) -> Column:
 
 def with_warning(answer: Column, score: Column) -> Column:
     share = F.concat(F.round(score * 100).cast("int").cast("string"), F.lit("%"))
-    low = F.concat(answer, F.lit("\n\n[Note: Low confidence ("), share, F.lit("). The retrieved records may not fully address this query. Please verify with the original clinical records.]"))
-    fair = F.concat(answer, F.lit("\n\n[Note: Moderate confidence ("), share, F.lit("). Consider reviewing source records for complete information.]"))
+    low = F.concat(answer, F.lit("\n\n[Note: Low confidence ("), share, F.lit(f"). {rules.LOW_CONFIDENCE}]"))
+    fair = F.concat(answer, F.lit("\n\n[Note: Moderate confidence ("), share, F.lit(f"). {rules.FAIR_CONFIDENCE}]"))
     return F.when(score < 0.5, low).when(score < 0.7, fair).otherwise(answer)
 
 
@@ -117,7 +116,7 @@ def evaluation_prompts(questions: DataFrame, chunks: DataFrame, budget: int = 74
     used = F.sum(tokens).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     label = F.concat(F.lit("[Source: "), F.coalesce("kind", F.lit("record")), F.lit(" | Section: "), F.coalesce("section", F.lit("None")), F.lit(" | RRF score: "), F.format_string("%.4f", F.col("score").cast("double")), F.lit("]\n"), "text")
     made = cleaned.withColumn("used", used).where(F.col("used") <= budget).groupBy("query_id").agg(ordered_text(label, "\n\n---\n\n").alias("context"), F.count("*").cast("int").alias("n_context"), F.max("used").alias("context_tokens"))
-    body = F.concat(F.lit("CLINICAL RECORDS CONTEXT:\n\n"), F.coalesce("context", F.lit("No relevant context retrieved.")), F.lit("\n\n---\n\nQUESTION: "), F.coalesce("question", F.lit("")), F.lit("\n\nAnswer based solely on the context above. Cite source sections."))
+    body = F.concat(F.lit("CLINICAL RECORDS CONTEXT:\n\n"), F.coalesce("context", F.lit(rules.NO_CONTEXT_EVALUATION)), F.lit("\n\n---\n\nQUESTION: "), F.coalesce("question", F.lit("")), F.lit(f"\n\n{rules.ONLY_CONTEXT_EVALUATION}"))
     n = F.coalesce("context_tokens", F.lit(0)).cast("int")
     return questions.join(made, "query_id", "left").select("query_id", body.alias("user_message"), F.coalesce("n_context", F.lit(0)).alias("n_context"), n.alias("context_tokens"), F.round(n / budget, 6).alias("utilisation"))
 
@@ -134,7 +133,7 @@ def keyword_answer(message: Column, section: Column, keywords: Column) -> Column
         full = F.array_join(F.concat(F.array(F.concat(F.lit("Based on ["), section, F.lit("]:"))), hits), "\n")
         return F.when(F.size(hits) > 0, full).otherwise(F.concat(F.lit("Found: "), F.array_join(found, ", ")))
 
-    return F.when(F.size(found) == 0, "Not found in the provided records.").otherwise(F.transform(F.array(F.split(message, "\n")), made)[0])
+    return F.when(F.size(found) == 0, rules.NOT_FOUND).otherwise(F.transform(F.array(F.split(message, "\n")), made)[0])
 
 
 def coverage(text: Column, keywords: Column) -> Column:

@@ -16,8 +16,7 @@ from ..functions import rules
 from ..functions.text import pii_types
 
 ENTITY = "array<struct<kind:string,start:int,stop:int,pseudonym:string>>"
-BLOCKED = "[RESPONSE BLOCKED: PII detected in generated output. Please rephrase your query without requesting personally identifiable information.]"
-FAILED = "An error occurred generating the response. Please try again."
+BLOCKED, FAILED = rules.BLOCKED, rules.FAILED
 
 
 class Detector:
@@ -87,8 +86,8 @@ def validate(answer: Column, sanitised: Column, block: bool = True) -> Column:
         return F.struct(F.lit(valid).alias("is_valid"), text.alias("answer"), F.lit(blocked).alias("blocked"), reason.alias("reason"), warning.alias("warning"))
 
     none = F.lit(None).cast("string")
-    found = result(False, F.lit(BLOCKED), True, F.concat(F.lit("PII types detected: "), types), none) if block else result(True, sanitised, False, none, F.concat(F.lit("PII was sanitized from output: "), types))
-    failed = result(False, F.lit(FAILED), False, none, F.lit("LLM generation error"))
+    found = result(False, F.lit(BLOCKED), True, F.concat(F.lit(rules.PII_REASON), types), none) if block else result(True, sanitised, False, none, F.concat(F.lit(rules.PII_WARNING), types))
+    failed = result(False, F.lit(FAILED), False, none, F.lit(rules.GENERATION_ERROR))
     return F.when(types != "", found).when(answer.startswith("[LLM Error"), failed).otherwise(result(True, answer, False, none, none))
 
 

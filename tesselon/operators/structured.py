@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 KINDS = {"medications": ("MedicationRequest", "MedicationAdministration"), "observations": ("Observation",), "conditions": ("Condition",)}
-TEXTS = {"medications": ("medication", "No medication records found for this patient."), "observations": ("observation", "No lab/observation records found for this patient."), "conditions": ("condition", "No condition/diagnosis records found for this patient.")}
+TEXTS = rules.ANSWER_TEXTS
 NAMED, LISTED = 5, 10
 
 
