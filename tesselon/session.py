@@ -28,7 +28,8 @@ def session(app: str = "tesselon", cpus: str | int = "*", **conf: str) -> SparkS
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once for each application.
 
-    Rows hold whole documents: Arrow batches are kept at ARROW_ROWS rows where the session says nothing else.
+    Rows hold whole documents: Arrow batches are kept at ARROW_ROWS rows where the session says nothing else; Spark also ends
+    them at spark.sql.execution.arrow.maxBytesPerBatch (64 MB where it is unset).
     """
     sc = spark.sparkContext
     if sc.getConf().get(_BATCH) is None and spark.conf.get(_BATCH) == "10000":
