@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import whitespace_words
-from ..operators import service, similarity
+from ..operators import service, similarity, webhooks
 from .catalogue import query, t
 
 _NOW = "TIMESTAMP '1998-08-02 00:20:00'"
@@ -277,6 +277,24 @@ def bert_score_turns(spark, sf):
     return similarity.bert_score(_turn_pairs(spark, sf), ["conv_id", "turn"])
 
 
+# ---------------------------------------------------------------- webhooks
+
+_HOOKS = [("https://one.example.com/hook", ["document.ingested", "pii.detected"], "first secret"), ("https://two.example.com/hook", ["pii.detected", "query.low_confidence"], "k" * 90)]
+_HOOK_ROWS = ", ".join(f"('{webhooks.webhook_id(u, es)}', '{u}', '{e}', '{webhooks.pads(k)[0].hex()}', '{webhooks.pads(k)[1].hex()}')" for u, es, k in _HOOKS for e in es)
+
+
+@query(f"""WITH h(webhook_id, url, event, inner_pad, outer_pad) AS (VALUES {_HOOK_ROWS}),
+e AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'signup' THEN 'document.ingested' WHEN 'error' THEN 'pii.detected' WHEN 'purchase' THEN 'query.low_confidence' END AS event FROM events),
+b AS (SELECT webhook_id, url, event_id, inner_pad, outer_pad, '{{"event":"' || event || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","data":{{"severity":"' || CASE event WHEN 'pii.detected' THEN 'critical' ELSE 'info' END || '","query_id":"qry_' || user_id || '"}}}}' AS body FROM e JOIN h USING (event)),
+i AS (SELECT *, sha256(from_hex(inner_pad) || encode(body)) AS mid FROM b)
+SELECT sha256(webhook_id || '|' || event_id) AS delivery_id, webhook_id, url, event_id, sha256(body) AS body, sha256(from_hex(outer_pad) || from_hex(mid)) AS signature FROM i""")
+def webhook_payloads(spark, sf):
+    kind = F.when(F.col("event_type") == "signup", "document.ingested").when(F.col("event_type") == "error", "pii.detected").when(F.col("event_type") == "purchase", "query.low_confidence")
+    data = F.struct(F.when(kind == "pii.detected", "critical").otherwise("info").alias("severity"), F.concat(F.lit("qry_"), "user_id").alias("query_id"))
+    e = t(spark, sf, "events").select("event_id", kind.alias("event"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), data.alias("data")).where("event is not null")
+    return webhooks.payloads(e, webhooks.configure(spark, _HOOKS)).withColumn("body", F.sha2("body", 256))
+
+
 _META = "SELECT doc_id, 'doc_' || doc_id AS document_id, CASE WHEN doc_id % 5 = 0 THEN 'p1' ELSE '[PATIENT_' || doc_id || ']' END AS patient_id, CASE doc_id % 3 WHEN 0 THEN 'lab_report' WHEN 1 THEN 'progress_note' ELSE lang END AS document_type, CASE WHEN doc_id % 7 = 0 THEN 'soon' ELSE '2024-01-02' END AS document_date, text FROM documents"
 _CHECKS = r"""array_to_string(list_filter([CASE WHEN NOT regexp_matches(document_id, '^doc_[a-zA-Z0-9]+$') THEN 'document_id' END, CASE WHEN NOT regexp_matches(patient_id, '^\[PATIENT_[a-zA-Z0-9]+\]$') THEN 'patient_id' END,
  CASE WHEN document_type NOT IN ('discharge_summary','progress_note','lab_report','radiology_report','operative_note','consult_note') THEN 'document_type' END, CASE WHEN NOT regexp_matches(document_date, '^\d{4}-\d{2}-\d{2}$') THEN 'document_date' END, CASE WHEN length(text) NOT BETWEEN 3 AND 1000 THEN 'query' END], lambda x: x IS NOT NULL), ',')"""

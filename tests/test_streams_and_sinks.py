@@ -7,7 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tesselon.operators import grounding, service
+from tesselon.operators import grounding, service, webhooks
 from tesselon.sources import bulk, dicom, loaders
 from tesselon.streaming import lifetimes, streams
 
@@ -95,6 +95,42 @@ def test_a_task_that_is_run_twice_counts_once(tmp_path):
     assert sorted(x for x in os.listdir(tmp_path) if not x.startswith("version")) == [second.file]
 
 
+# ---------------------------------------------------------------- webhooks
+
+
+def test_signatures_equal_the_library(spark):
+    import hmac
+
+    for secret in ("", "s", "é" * 20, "k" * 64, "k" * 65, "long " * 50):
+        hooks = webhooks.configure(spark, [("https://a.example/x", ["b", "a", "a"], secret)])
+        events = spark.createDataFrame([(1, "a", "t", {"k": "é\"x"}), (2, "c", "t", {}), (3, "b", None, None)], "event_id long, event string, timestamp string, data map<string,string>")
+        got = webhooks.payloads(events, hooks).collect()
+        assert sorted(r.event_id for r in got) == [1, 3] and len({r.delivery_id for r in got}) == 2
+        assert all(r.signature == hmac.new(secret.encode(), r.body.encode(), "sha256").hexdigest() for r in got)
+    with pytest.raises(ValueError):
+        webhooks.configure(spark, [("ftp://a", ["a"], "s")])
+
+
+def test_deliveries_are_tried_again(spark):
+    def make():
+        seen = {}
+
+        def client(url, body, headers):
+            seen[headers["X-Delivery"]] = n = seen.get(headers["X-Delivery"], 0) + 1
+            if "down" in url:
+                raise OSError("no route")
+            return 500 if "slow" in url and n < 3 else 404 if "gone" in url else 204
+
+        return client
+
+    hooks = webhooks.configure(spark, [(f"https://{n}.example", ["a"], "s") for n in ("down", "slow", "gone", "fine")])
+    events = spark.createDataFrame([(1, "a", "t", {"k": "v"})], "event_id long, event string, timestamp string, data map<string,string>")
+    sent = webhooks.payloads(events, hooks)
+    names = {r.delivery_id: r.url.split("/")[2].split(".")[0] for r in sent.collect()}
+    got = {names[r.delivery_id]: (r.attempts, r.status, r.error) for r in webhooks.deliver(sent, make, wait=0.0).collect()}
+    assert got == {"down": (3, None, "no route"), "slow": (3, 204, None), "gone": (3, 404, None), "fine": (1, 204, None)}
+
+
 # ---------------------------------------------------------------- percentiles
 
 
