@@ -9,6 +9,11 @@ pack           packs what is left into sequences of 1024 tokens; a row a piece
 All stages but the last return the columns of ``documents``.  A cut may fall inside a
 character; the bytes of such a broken character go too.  A document whose text is cut
 away entirely stays as a row with an empty text, as filters keep what they don't reject.
+
+Null and empty texts are no one's copy and hold nothing toxic or leaked: they stay, and pack as the end id alone.  Rows
+without doc_id pass the filters on their own text, are no one's copy or source, and aren't packed.  Of repeated rows of one
+doc_id near_dedup keeps all or none; of equal texts the smallest doc_id stays.  Columns of any other name come through the
+filters as they are.  An empty table gives an empty result, missing labels reject nothing.
 """
 
 from __future__ import annotations
