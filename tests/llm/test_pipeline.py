@@ -90,3 +90,26 @@ def test_run_equals_brute_force(spark):
             assert offset == at
             at += length
         assert at <= 1024
+
+
+def test_run_on_odd_and_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 500, n))
+    copy, passage = prose(80), prose(40)
+    rows = [(1, copy, "a"), (2, copy, "b"), (3, None, "c"), (4, "", "d"), (5, prose(20) + " " + passage, "e"), (6, prose(20) + " " + passage, "f"), (None, copy, "g"), (None, None, "h"), (7, prose(30_000), "i")]
+    schema = "doc_id long, text string, score string"
+    labels = "doc_id long, quality int, toxic int"
+    for name, some in (("odd", rows), ("none", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], labels).write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, prose(15))] if some else [], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        got = cp.run(spark, at).collect()
+        lengths = defaultdict(int)
+        for r in got:
+            lengths[r.doc_id] += r.length
+        assert set(lengths) == ({1, 3, 4, 5, 6, 7} if some else set())
+        if some:
+            assert lengths[3] == lengths[4] == 1 and lengths[6] < lengths[5] and all(lengths[r.doc_id] == r.doc_tokens for r in got)
