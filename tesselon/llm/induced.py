@@ -164,27 +164,41 @@ def _ranked(symbol, parents, is_seed):
     import numpy as np
 
     child = parents >= 0
-    some = np.flatnonzero(child)
-    if not len(some) and (symbol == symbol[0]).all():  # start, then seeds
+    if not child.any() and (symbol == symbol[0]).all():  # start, then seeds
         return None
     symbol = symbol.astype(np.int64)
     group = (symbol - symbol.min()) * 3 + np.where(is_seed, 2, child)
     order = _stable(group)
-    if not len(some):
+    if not child.any():
         return order
-    every = np.arange(len(group))
-    place = np.empty(len(group), dtype=np.int64)
-    place[order] = every
-    sub = every.copy()
-    while True:  # one round settles entries one step further from their origin
-        sub[some] = place[parents[some]]
-        order = _stable(sub)
-        order = order[_stable(group[order])]
-        new = np.empty_like(place)
-        new[order] = every
-        if (new == place).all():
-            return order
-        place = new
+    # a child's key is the groups of its ancestors up to its origin: ties are settled over twice as many of them in each round
+    n = len(group)
+    new = ~child[order]
+    new[1:] |= group[order[1:]] != group[order[:-1]]
+    new[0] = True
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, n))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.repeat(first, size)
+    live = order[np.repeat(size > 1, size)]
+    jump = np.where(child, parents, np.arange(n))
+    while len(live):
+        key = rank[live] * n + rank[jump[live]]
+        by = np.argsort(key, kind="stable")
+        live, key = live[by], key[by]
+        old = rank[live]
+        new = np.ones(len(live), dtype=bool)
+        new[1:] = old[1:] != old[:-1]
+        begin = np.flatnonzero(new)
+        place = old + np.arange(len(live)) - np.repeat(begin, np.diff(np.append(begin, len(live))))
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(live)))
+        rank[live] = np.repeat(place[first], size)
+        live = live[np.repeat(size > 1, size)]
+        jump = jump[jump]
+    order[rank] = np.arange(n)
+    return order
 
 
 def _induce(key, counts, seeds, first, memory: int):

@@ -8,7 +8,8 @@ key also occurs in another document are sent, as text, to the key's shard, each
 text once a block.  A shard sorts the suffixes of its texts (see ``induced``); suffixes
 next to each other whose common prefix reaches ``span`` bytes are equal windows, and each
 such group learns the smallest doc_id that holds it.  A text that is alone with its key in
-the shard has no window in common with another and is not sorted.
+the shard has no window in common with another and is not sorted; neither is a text none of
+whose windows has its hash a second time in the shard (equal windows have equal hashes).
 
 A key may be hot: a frequent phrase has one key in all its contexts.  If the distinct
 texts of a key pass ``HOT_TEXT`` bytes, its windows are sent one by one and dealt over
@@ -118,6 +119,28 @@ def runs_of_many(raws: list[bytes], span: int) -> list[tuple]:
     return out
 
 
+def _with_twins(texts: list[bytes], span: int):
+    """The numbers of texts that hold a window whose hash occurs a second time among all windows."""
+    import numpy as np
+
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    joined, count = b"".join(texts), size - span + 1
+    m = len(joined) - span + 1
+    u = np.ndarray((len(joined) - 7,), dtype="<u8", buffer=joined, strides=(1,))
+    h = u[:m].copy()
+    for k in [*range(8, span - 7, 8), span - 8]:
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += u[k : k + m]
+    owner = np.repeat(np.arange(len(texts)), count)
+    h = h[np.arange(len(owner)) + (owner * (span - 1))]  # windows within one text
+    order = np.argsort(h)
+    h = h[order]
+    twin = np.zeros(len(h) + 1, dtype=bool)
+    twin[1:-1] = h[1:] == h[:-1]
+    return np.unique(owner[order[twin[1:] | twin[:-1]]])
+
+
 def window_minima(texts: list[bytes], low, span: int, memory: int = 4_000_000):
     """For distinct texts and the smallest doc_id of each: (text number, first window, windows, smallest doc_id), run by run."""
     import numpy as np
@@ -270,7 +293,10 @@ def _plan(texts: DataFrame, total: int, span: int, keep_text: bool, like: DataFr
         import numpy as np
 
         _, at, count = np.unique(key, return_inverse=True, return_counts=True)
-        together, alone = np.flatnonzero(count[at] > 1), np.flatnonzero(count[at] == 1)
+        together = np.flatnonzero(count[at] > 1)
+        if len(together):
+            together = together[_with_twins([distinct[i] for i in together.tolist()], span)]
+        alone = np.setdiff1d(np.arange(len(distinct)), together)
         size = np.fromiter((len(distinct[i]) for i in alone.tolist()), np.int64, len(alone))
         parts = [(alone, np.zeros(len(alone), np.int64), size - span + 1, low[alone])]
         if len(together):

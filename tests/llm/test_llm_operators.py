@@ -589,6 +589,26 @@ def test_suffix_sort_spills_and_recurses(spark, docs, monkeypatch):
     assert rows(500) == rows(None)
 
 
+def test_long_chains_of_induced_suffixes_are_ranked_in_few_rounds(monkeypatch):
+    """Two chains with the same symbols, whose order is that of their origins."""
+    n = 2000
+    symbol = np.array([5, 3] + [7 + i % 11 for i in range(n) for _ in range(2)])
+    parents = np.array([-1, -1] + list(range(2 * n)), dtype=np.int32)
+    sort, entries = np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: (entries.append(len(x)), sort(x, *a, **k))[1])
+    got = induced._ranked(symbol, parents, np.zeros(len(symbol), dtype=bool))
+    assert sum(entries) < 40 * len(symbol)
+    place = {e: i for i, e in enumerate(got.tolist())}
+    assert [place[1], place[0]] == [0, 1] and all(place[e] > place[e + 1] for e in range(2, len(symbol), 2))
+    assert (np.diff(symbol[got]) >= 0).all()
+
+
+def test_only_texts_with_a_repeated_window_are_sorted():
+    one, two = bytes(range(60)), bytes(range(100, 160))
+    texts = [one, two, b"xy" + two[:52], one[5:54] + b"z", b"q" * 50, b"r" * 51]
+    assert suffixes._with_twins(texts, 50).tolist() == [1, 2, 5]
+
+
 def test_suffix_array_of_large_alphabets_and_runs():
     rnd = random.Random(4)
     for kinds, n in ((2, 3000), (700, 5000), (50_000, 30_000)):
