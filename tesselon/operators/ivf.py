@@ -10,10 +10,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import dot, top_k
+from .retrieval import STREAM_ROWS, dense_search
 
 SAMPLE, ROUNDS = 4096, 12
-ASKED = 100_000  # rows of a stated query set (times probed cells) that may be broadcast
 
 
 def fit(vectors: DataFrame, cells: int | None = None):
@@ -60,7 +59,7 @@ def build(vectors: DataFrame, centroids, path: str) -> DataFrame:
 
 def search(queries: DataFrame, index: DataFrame, centroids, k: int, probes: int) -> DataFrame:
     """query_id, vec_id, score, rank (0-based) of the k best in the ``probes`` cells nearest to each query (query_id, q)."""
-    asked = nearest(queries.select("query_id", "q"), "q", centroids, probes).select("query_id", "q", F.explode("cells").alias("cell"))
-    asked = F.broadcast(asked) if queries.count() * probes <= ASKED else asked
-    scored = index.join(asked, "cell").select("query_id", "vec_id", dot(F.col("embedding"), F.col("q")).alias("score"))
-    return top_k(scored, "query_id", k, F.desc("score"), F.col("vec_id"))
+    asked = nearest(queries.select("query_id", "q"), "q", centroids, probes).select("query_id", "q", F.lit(0).alias("ql"), F.explode("cells").alias("cell"))
+    filed = index.withColumn("label", F.lit(0))
+    most = index.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+    return dense_search(asked, filed, k, parts=max(1, -(-most // STREAM_ROWS)), cells=max(1, len(centroids))).drop("rel")

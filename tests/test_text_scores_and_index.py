@@ -80,6 +80,31 @@ def test_index_of_a_changed_table_is_built_anew(spark, tmp_path):
     assert [r.doc_id for r in index.search(spark, index.built(spark.read.parquet(at), at), asked).collect()] == [2]
 
 
+def test_each_share_of_documents_has_a_file_of_its_own(spark, tmp_path, monkeypatch):
+    """No task sorts two shares by the chance of a hash."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(index, "TASK_BYTES", 100, raising=False)
+    path = index.append(frame(spark, {i: f"w{i} w{i % 7} common" for i in range(90)}), f"file://{tmp_path}/index")
+    shares = -(-sum(len(f"w{i} w{i % 7} common") for i in range(90)) // 100)
+    held = spark.read.parquet(f"{path}/postings").select(F.input_file_name().alias("file"), F.pmod(F.hash("doc_id"), F.lit(shares)).alias("share")).distinct().collect()
+    assert len(held) == len({r.file for r in held}) == len({r.share for r in held}) > shares // 2
+
+
+def test_inverted_file_search_of_all_cells_is_exact(spark, tmp_path, monkeypatch):
+    from tesselon.operators import ivf, retrieval
+
+    monkeypatch.setattr(ivf, "STREAM_ROWS", 16, raising=False)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    rows = [(i, [random.gauss(0, 1) for _ in range(4)], 0) for i in range(120)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    q = v.where("vec_id % 10 = 0").selectExpr("vec_id as query_id", "embedding as q", "0 as ql")
+    c = ivf.fit(v, 6)
+    key = lambda d: sorted((r.query_id, r.rank, r.vec_id, round(r.score, 5)) for r in d.collect())
+    got = ivf.search(q, ivf.build(v, c, f"file://{tmp_path}/ivf"), c, 4, 6)
+    assert key(got) == key(retrieval.dense_search(q, v, 4)) and "lambdafunction" not in got._jdf.queryExecution().toString()
+
+
 # ---------------------------------------------------------------- hops
 
 
