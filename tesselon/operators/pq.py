@@ -16,6 +16,7 @@ from .retrieval import dot, in_blocks, streams_for, top_k
 
 SAMPLE, ROUNDS, WORDS, SLICES = 16_384, 10, 256, 16
 CANDIDATES = 200
+BLOCK = 1024  # queries that meet a stream at once, each with a table of SLICES x WORDS products
 
 
 def fit(vectors: DataFrame, slices: int = SLICES):
@@ -101,7 +102,7 @@ def candidates(queries: DataFrame, codes: DataFrame, books, most: int) -> DataFr
 
     asked = packed.mapInArrow(pack, "query_id long, q binary, ql int")
     held = codes.select("vec_id", F.col("code").alias("embedding"), F.lit(0).alias("label"))
-    best = in_blocks(asked, held, start, fold, finish, "query_id long, vec_id long, coded double", streams_for(codes.count()))
+    best = in_blocks(asked, held, start, fold, finish, "query_id long, vec_id long, coded double", streams_for(codes.count()), BLOCK)
     return top_k(best, "query_id", most, F.desc("coded"), F.col("vec_id")).select("query_id", "vec_id")
 
 
