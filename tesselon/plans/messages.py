@@ -53,8 +53,8 @@ _FHIR = "f AS (" + " UNION ALL ".join([
 ]) + ")"
 
 
-def _parsed(spark, sf):
-    return loaders.fhir_parsed(_resources(spark, sf))
+def _parsed(spark, sf, *kinds):
+    return loaders.fhir_parsed(_resources(spark, sf), kinds=kinds)
 
 
 @query(f"WITH {_FHIR} SELECT * FROM f")
@@ -74,20 +74,20 @@ def fhir_to_text(spark, sf):
 
 @query(f"WITH {_FHIR}, m AS (SELECT resource_id AS source_resource_id, patient_id, date, name, dosage, route, frequency FROM f WHERE resource_type = 'MedicationRequest') SELECT m.*, status, resource_type FROM m JOIN (SELECT resource_id AS source_resource_id, any_value(status) AS status, any_value(resource_type) AS resource_type FROM f WHERE resource_type = 'MedicationRequest' GROUP BY resource_id) USING (source_resource_id)")
 def fhir_flatten_medications(spark, sf):
-    p = _parsed(spark, sf)
+    p = _parsed(spark, sf, "MedicationRequest")
     m = structured.flatten(p, "MedicationRequest", "name", "dosage", "route", "frequency")
     return m.join(p.select(F.col("resource_id").alias("source_resource_id"), "status", "resource_type"), "source_resource_id", "left")
 
 
 @query(f"WITH {_FHIR} SELECT resource_type, count(*) AS n, count(DISTINCT patient_id) AS patients, min(date) AS first_date FROM f WHERE resource_type IN ('Observation', 'Condition', 'Procedure') GROUP BY resource_type")
 def fhir_flatten_counts(spark, sf):
-    p = _parsed(spark, sf).where(F.col("resource_type").isin("Observation", "Condition", "Procedure"))
+    p = _parsed(spark, sf, "Observation", "Condition", "Procedure")
     return p.groupBy("resource_type").agg(F.count("*").alias("n"), F.count_distinct("patient_id").alias("patients"), F.min("date").alias("first_date"))
 
 
 @query(f"""WITH {_FHIR} SELECT resource_id, CASE WHEN CAST(resource_id[2:] AS BIGINT) % 2 = 0 THEN '{{"name":"' || name || '","status":"' || status || '"}}' ELSE name END AS body FROM f WHERE resource_type = 'MedicationRequest' AND status = 'F' AND date BETWEEN '1995-01-01' AND '1996-12-31'""")
 def structured_projection(spark, sf):
-    m = _parsed(spark, sf).where("resource_type = 'MedicationRequest' and status = 'F' and date between '1995-01-01' and '1996-12-31'")
+    m = _parsed(spark, sf, "MedicationRequest").where("status = 'F' and date between '1995-01-01' and '1996-12-31'")
     even = F.substring("resource_id", 2, 20).cast("long") % 2 == 0
     return m.select("resource_id", F.when(even, F.to_json(F.struct("name", "status"))).otherwise(F.col("name")).alias("body"))
 
@@ -100,38 +100,38 @@ def _answer_sql(kind: str) -> str:
 SELECT p.resource_id AS patient_id, CAST(coalesce(len(ns), 0) AS INTEGER) AS total_count, CASE WHEN len(ns) > 0 THEN 'Found ' || len(ns) || ' {what}(s): ' || array_to_string({names}, ', ') ELSE '{none}' END AS answer_text FROM f p LEFT JOIN g ON g.patient_id = p.resource_id WHERE p.resource_type = 'Patient'"""
 
 
-def _patients(p):
-    return p.where("resource_type = 'Patient'").select("patient_id")
+def _patients(spark, sf):
+    return _parsed(spark, sf, "Patient").select("patient_id")
+
+
+def _answered(spark, sf, kind):
+    return structured.answers(_parsed(spark, sf, *structured.KINDS[kind]), _patients(spark, sf), kind)
 
 
 @query(_answer_sql("medications"))
 def answer_medications(spark, sf):
-    p = _parsed(spark, sf)
-    return structured.answers(p, _patients(p), "medications")
+    return _answered(spark, sf, "medications")
 
 
 @query(_answer_sql("observations"))
 def answer_observations(spark, sf):
-    p = _parsed(spark, sf)
-    return structured.answers(p, _patients(p), "observations")
+    return _answered(spark, sf, "observations")
 
 
 @query(_answer_sql("conditions"))
 def answer_conditions(spark, sf):
-    p = _parsed(spark, sf)
-    return structured.answers(p, _patients(p), "conditions")
+    return _answered(spark, sf, "conditions")
 
 
 @query(f"""WITH {_FHIR}, g AS (SELECT patient_id, list(resource_id ORDER BY resource_id) AS ids FROM f GROUP BY patient_id)
 SELECT p.resource_id AS patient_id, CAST(least(len(ids), 10) AS INTEGER) AS total_count, 'Found ' || least(len(ids), 10) || ' structured records.' AS answer_text, array_to_string(ids[:5], ',') AS first FROM f p JOIN g ON g.patient_id = p.resource_id WHERE p.resource_type = 'Patient'""")
 def answer_all_kinds(spark, sf):
-    p = _parsed(spark, sf)
-    return structured.any_records(p, _patients(p))
+    return structured.any_records(_parsed(spark, sf), _patients(spark, sf))
 
 
 @query(f"WITH {_FHIR} SELECT c.patient_id, c.resource_id AS condition_id, c.name AS condition, c.icd10, p.resource_id AS procedure_id, p.date AS performed FROM f c JOIN f p ON p.patient_id = c.patient_id WHERE c.resource_type = 'Condition' AND p.resource_type = 'Procedure' AND c.patient_id <> ''")
 def conditions_with_procedures(spark, sf):
-    return structured.conditions_with_procedures(_parsed(spark, sf)).select("patient_id", "condition_id", "condition", "icd10", "procedure_id", "performed")
+    return structured.conditions_with_procedures(_parsed(spark, sf, "Condition", "Procedure")).select("patient_id", "condition_id", "condition", "icd10", "procedure_id", "performed")
 
 
 @query("""WITH l AS (SELECT o_custkey, o_orderkey, '- ' || o_orderpriority || ', ' || o_orderstatus || ', since ' || strftime(o_orderdate, '%Y-%m-%d') AS line FROM orders),
@@ -189,6 +189,6 @@ def hl7_to_fhir(spark, sf):
 
 @query(f"""WITH {_FHIR} SELECT resource_id AS id, name, value, unit, NULL AS set_id FROM f WHERE resource_type = 'Observation' UNION ALL SELECT CAST(o_orderkey AS VARCHAR), {_OBX}, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 'mg', CAST(l_linenumber AS VARCHAR) FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
 def observations_union(spark, sf):
-    f = _parsed(spark, sf).where("resource_type = 'Observation'").select(F.col("resource_id").alias("id"), "name", "value", "unit")
-    h = loaders.hl7_full(_messages(spark, sf), keep_all=True).select(F.col("msg_id").cast("string").alias("id"), F.explode("observations").alias("o")).select("id", F.col("o.type").alias("name"), "o.value", F.col("o.units").alias("unit"), "o.set_id")
+    f = _parsed(spark, sf, "Observation").select(F.col("resource_id").alias("id"), "name", "value", "unit")
+    h = loaders.hl7_full(_messages(spark, sf), keep_all=True).select(F.col("msg_id").cast("string").alias("id"), F.explode_outer("observations").alias("o")).where("o is not null").select("id", F.col("o.type").alias("name"), "o.value", F.col("o.units").alias("unit"), "o.set_id")
     return f.unionByName(h, allowMissingColumns=True)

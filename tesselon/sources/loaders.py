@@ -30,9 +30,14 @@ def _named(c: str) -> Column:
     return F.coalesce(F.nullif(F.col(f"{c}.text"), F.lit("")), F.get(F.col(f"{c}.coding"), 0)["display"], F.lit("unknown"))
 
 
+def _once(x: Column) -> Column:
+    """``x`` as a row of its own: a filter on what is made of it stays behind it, where else ``x`` would be made for each filter and once more."""
+    return F.explode(F.array(x))
+
+
 def fhir(resources: DataFrame, column: str = "json") -> DataFrame:
     """resource_type, resource_id, patient_id, name, value, unit, status, date for the four main kinds of resource."""
-    r = resources.select(F.from_json(column, FHIR).alias("r")).select("r.*")
+    r = resources.select(_once(F.from_json(column, FHIR)).alias("r")).select("r.*")
     kind = F.col("resourceType")
     person = F.concat_ws(" ", F.concat_ws(" ", F.get("name", 0)["given"]), F.get("name", 0)["family"])
     icd = F.get(F.filter("code.coding", lambda c: F.lower(c["system"]).contains("icd")), 0)["code"]
@@ -67,12 +72,24 @@ def _person() -> Column:
     return F.trim(F.concat(given, F.lit(" "), F.coalesce(F.get("r.name", 0)["family"], F.lit(""))))
 
 
-def fhir_parsed(resources: DataFrame, column: str = "json") -> DataFrame:
+def _may_be(json: Column, kinds: tuple[str, ...]) -> Column:
+    """Whether a text can be a resource of these kinds: it holds a kind's name in quotes, or an escape that may spell it."""
+    may = json.contains("\\")
+    for k in kinds:
+        may = may | json.contains(f'"{k}"') | json.contains(f"'{k}'")
+    return may
+
+
+def fhir_parsed(resources: DataFrame, column: str = "json", kinds: tuple[str, ...] = ()) -> DataFrame:
     """resource_type, resource_id, patient_id, date, and the fields of each kind of resource; raw_summary for any other kind.
 
-    Broken JSON gives a row of nulls.  ``value`` is text, ``value_numeric`` the number where there is one.
+    Broken JSON gives a row of nulls.  ``value`` is text, ``value_numeric`` the number where there is one.  With ``kinds``,
+    the rows of these kinds only; texts that can't be one aren't parsed.
     """
-    r = resources.select(F.col(column).alias("raw"), F.from_json(column, FHIR_ALL).alias("r"))
+    json = F.from_json(column, FHIR_ALL)
+    made = F.explode(F.when(_may_be(F.col(column), kinds), F.array(json))) if kinds else _once(json)
+    r = resources.select(F.col(column).alias("raw"), made.alias("r"))
+    r = r.where(F.col("r.resourceType").isin(*kinds)) if kinds else r
     kind, of = F.col("r.resourceType"), lambda k: F.col("r.resourceType") == k
     patient = lambda c: F.replace(F.col(f"r.{c}.reference"), F.lit("Patient/"), F.lit(""))
     named = lambda c: _named(f"r.{c}")
@@ -128,7 +145,7 @@ def _path(r: Column, path: tuple[str, ...]) -> Column:
 def hl7_segments(messages: DataFrame, column: str = "message") -> DataFrame:
     """msg_id, segments: array of field arrays, in order; blank lines left out."""
     lines = F.filter(F.transform(F.split(column, r"\r\n|[\n\r]"), F.trim), lambda x: x != "")
-    return messages.select("msg_id", F.transform(lines, lambda x: F.split(x, r"\|")).alias("segments"))
+    return messages.select("msg_id", _once(F.transform(lines, lambda x: F.split(x, r"\|"))).alias("segments"))
 
 
 def _last(kind: str) -> Column:

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tesselon.functions import rules
 from tesselon.operators import pii
-from tesselon.plans import notes
+from tesselon.plans import messages, notes
+from tesselon.sources import loaders
 
 
 def plan(df):
@@ -23,3 +24,18 @@ def test_cleaning_passes_once_a_rule(spark):
     con.executemany("insert into planted values (?, ?)", list(enumerate(texts)))
     want = dict(con.sql(f"WITH {notes._clean_sql()} SELECT doc_id, text FROM c10").fetchall())
     assert {r.doc_id: r.text for r in out.collect()} == want and want[0] == "é[SSN_REDACTED]"
+
+
+def test_resources_are_parsed_once(spark):
+    """A filter on parsed columns held the parser up to seven times more, and each use of a kind parsed all kinds."""
+    d = "/root/testdata/sf0.001"
+    assert plan(messages.observations_union(spark, d)).count("from_json") == 1 and plan(messages.answer_observations(spark, d)).count("from_json") == 2
+    assert plan(messages.conditions_with_procedures(spark, d)).count("from_json") == 2 and plan(messages.observations_union(spark, d)).count("split(") == 2
+
+
+def test_kinds_of_odd_resources(spark):
+    texts = ['{"resourceType":"Patient","id":"1"}', "{'resourceType':'Patient','id':'2'}", '{"resourceType":"\\u0050atient","id":"3"}', '{"resourceType":"Observation","subject":{"reference":"Patient/1"}}', '{"resourceType":"Observation","id":"Patient"}', '{"id":"Patient"}', "{broken", None]
+    r = spark.createDataFrame([(x,) for x in texts], "json string")
+    every = [x for x in loaders.fhir_parsed(r).collect()]
+    assert len(every) == len(texts)
+    assert loaders.fhir_parsed(r, kinds=("Patient",)).collect() == [x for x in every if x.resource_type == "Patient"] and [x.resource_id for x in loaders.fhir_parsed(r, kinds=("Patient",)).collect()] == ["1", "2", "3"]
