@@ -127,10 +127,41 @@ def pack_paragraphs(text: Column, max_tokens: int, size: int = 1600, step: int =
     return F.udf(lambda x: None if x is None else pack(x, max_tokens, size, step, evaluation), "array<string>", useArrow=True)(text)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """A row a chunk with its index and neighbour flags, from an array a document: no shuffle."""
-    out = rows.select("doc_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("chunk_index", "c")).select("doc_id", "n", "chunk_index", "c.*")
-    return out.withColumns({"overlap_prev": F.col("chunk_index") > 0, "overlap_next": F.col("chunk_index") < F.col("n") - 1}).drop("n")
+#: Characters of text in one batch of chunks, as far as whole documents allow.
+BATCH_CHARS = 1 << 20
+
+
+def _chunked(docs: DataFrame, cut, columns: dict[str, str]) -> DataFrame:
+    """doc_id, chunk_index, n and ``columns`` (Spark types by name, the text last): the rows that ``cut`` makes of a text, n of them; no shuffle.
+
+    One text at a time is held as Python text, with up to BATCH_CHARS of chunks.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+
+        def batch(keys, at, rows):
+            cells = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), pa.int32(), *(kinds[k] for k in columns.values())])]
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *cells], ["doc_id", "chunk_index", "n", *columns])
+
+        for b in batches:
+            at, rows, size = [], [], 0
+            for i, text in enumerate(b.column(1)):
+                found = cut(text.as_py())
+                at += [i] * len(found)
+                rows += [(k, len(found), *x) for k, x in enumerate(found)]
+                size += sum(len(x[-1]) for x in found)
+                if size > BATCH_CHARS:
+                    yield batch(b.column(0), at, rows)
+                    at, rows, size = [], [], 0
+            if rows:
+                yield batch(b.column(0), at, rows)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = ", ".join(f"{c} {k}" for c, k in columns.items())
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, chunk_index int, n int, {schema}")
 
 
 def chunk_documents(docs: DataFrame, headers: str, max_tokens: int = 800, size: int = 1600, step: int = 1400, least_tokens: int = 20) -> DataFrame:
@@ -146,8 +177,8 @@ def chunk_documents(docs: DataFrame, headers: str, max_tokens: int = 800, size:
         found = split_sections(x, header, True, "PREAMBLE") or [(0, "DOCUMENT", 0, x)]
         return [(name, _tokens(p), p) for _, name, _, told in found for p in pack(told, max_tokens, size, step, False) if _tokens(p) >= least_tokens]
 
-    chunks = F.udf(cut, "array<struct<section:string,n_tokens:int,text:string>>", useArrow=True)
-    return _numbered(docs.select("doc_id", chunks(F.col("text").cast("string")).alias("chunks")))
+    out = _chunked(docs, cut, {"section": "string", "n_tokens": "int", "text": "string"})
+    return out.withColumns({"overlap_prev": F.col("chunk_index") > 0, "overlap_next": F.col("chunk_index") < F.col("n") - 1}).drop("n")
 
 
 def chunk_for_evaluation(docs: DataFrame, headers: str, max_tokens: int = 600, size: int = 300, step: int = 250, least_tokens: int = 15, overlap: int = 50) -> DataFrame:
@@ -163,12 +194,12 @@ def chunk_for_evaluation(docs: DataFrame, headers: str, max_tokens: int = 600, s
                     before = p
                     continue
                 full = " ".join(_WORD.findall(before)[-overlap:]) + "\n" + p if before else p
-                out.append((name, start, _tokens(full), full.strip(WHITE), before is not None))
+                out.append((name, start, _tokens(full), before is not None, full.strip(WHITE)))
                 before = full
         return out
 
-    chunks = F.udf(cut, "array<struct<section:string,char_start:int,n_tokens:int,text:string,overlapped:boolean>>", useArrow=True)
-    return _numbered(docs.select("doc_id", chunks(F.col("text").cast("string")).alias("chunks"))).drop("overlap_prev", "overlap_next").withColumnRenamed("overlapped", "overlap_prev")
+    out = _chunked(docs, cut, {"section": "string", "char_start": "int", "n_tokens": "int", "overlap_prev": "boolean", "text": "string"})
+    return out.select("doc_id", "chunk_index", "section", "char_start", "n_tokens", "text", "overlap_prev")
 
 
 def whole_lists(lines: DataFrame, key: str, order: str, line: str, most: int) -> DataFrame:

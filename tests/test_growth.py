@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tesselon.functions import rules
-from tesselon.operators import pii
+from tesselon.operators import chunking, pii
 from tesselon.plans import messages, notes
 from tesselon.sources import loaders
 
@@ -39,3 +39,15 @@ def test_kinds_of_odd_resources(spark):
     every = [x for x in loaders.fhir_parsed(r).collect()]
     assert len(every) == len(texts)
     assert loaders.fhir_parsed(r, kinds=("Patient",)).collect() == [x for x in every if x.resource_type == "Patient"] and [x.resource_id for x in loaders.fhir_parsed(r, kinds=("Patient",)).collect()] == ["1", "2", "3"]
+
+
+def test_chunks_leave_python_in_bounded_batches(spark):
+    """The chunks of a whole batch of documents lay in Python as objects before they were sent."""
+    text = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(60)) for i in range(4000))
+    d = spark.createDataFrame([(i, text if i != 2 else None) for i in range(4)], "doc_id long, text string").coalesce(1)
+    assert len(text) > chunking.BATCH_CHARS
+    for out in (chunking.chunk_documents(d, rules.HEADERS, 150, 160, 140, 20), chunking.chunk_for_evaluation(d, rules.EVALUATION_HEADERS, 150, 90, 60, 15, 50)):
+        assert "MapInArrow" in plan(out) and "ArrowEvalPython" not in plan(out)
+        got = {i: sorted((r.chunk_index, r.text, r.overlap_prev) for r in out.where(F.col("doc_id") == i).collect()) for i in range(4)}
+        assert not got[2] and got[0] == got[1] == got[3] and [k for k, *_ in got[0]] == list(range(len(got[0])))
+        assert all(any(f"w{i}x59" in t for _, t, _ in got[0]) for i in range(0, 4000, 500))
