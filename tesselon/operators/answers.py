@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import pii
 from ..functions import rules
 from ..functions.text import pii_types, token_estimate
+from ..session import shared_folder
 
 
 def within_budget(ranked: DataFrame, key: str, budget: int) -> DataFrame:
@@ -97,11 +98,16 @@ def feedback_loop(questions: DataFrame, attempt_at, k: int, more: int = 20, pass
     """query_id, answer, score, attempts, action: answered again with a broader query or more chunks as long as that may help.
 
     ``attempt_at(open)`` takes (query_id, question, k) and adds answer and score.  Each pass runs over the questions
-    still open, all at once; there are at most ``passes``.
+    still open, all at once; there are at most ``passes``.  Each is written to the shared folder, else one task would hold
+    the sorts and joins of all passes, and the first ones would run again for each later one.
     """
+    spark = questions.sparkSession
     open_, done = questions.withColumn("k", F.lit(k)), None
     for attempt in range(passes):
         tried = attempt_at(open_).withColumns({"attempts": F.lit(attempt), "action": feedback(F.col("score"), F.lit(attempt))})
+        path = shared_folder(spark)
+        tried.write.parquet(path)
+        tried = spark.read.parquet(path)
         ended = tried.where("action = 'stop'").select("query_id", "answer", "score", "attempts", "action")
         done = ended if done is None else done.unionByName(ended)
         again = F.col("action") == "expand_query"

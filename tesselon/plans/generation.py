@@ -12,6 +12,7 @@ from ..functions import rules
 from ..functions.text import tokens
 from ..operators import answers, intent
 from ..operators import grounding as grounding_of
+from ..session import shared_folder
 from .catalogue import _TURNS, q, query, t
 from .notes import _clean_sql
 
@@ -79,7 +80,9 @@ def confidence_warnings(spark, sf):
 
 
 def _attempt(spark, sf):
-    chunks = _chunks(spark, sf)
+    path = shared_folder(spark)
+    _chunks(spark, sf).write.parquet(path)
+    chunks = spark.read.parquet(path)
 
     def run(open_):
         top = chunks.join(open_.select("query_id", "k"), "query_id").where("rank < k")

@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tesselon.functions import rules
-from tesselon.operators import chunking, pii
+from tesselon.operators import answers, chunking, pii
 from tesselon.plans import messages, notes
 from tesselon.sources import loaders
 
@@ -51,3 +51,22 @@ def test_chunks_leave_python_in_bounded_batches(spark):
         got = {i: sorted((r.chunk_index, r.text, r.overlap_prev) for r in out.where(F.col("doc_id") == i).collect()) for i in range(4)}
         assert not got[2] and got[0] == got[1] == got[3] and [k for k, *_ in got[0]] == list(range(len(got[0])))
         assert all(any(f"w{i}x59" in t for _, t, _ in got[0]) for i in range(0, 4000, 500))
+
+
+def test_passes_of_the_feedback_loop_stand_alone(spark):
+    """One task held the sorts and joins of all passes."""
+    scores = spark.createDataFrame([(1, 0.9, 0.9, 0.9), (2, 0.6, 0.8, 0.8), (3, 0.1, 0.2, 0.3)], "query_id int, a double, b double, c double")
+    calls = []
+
+    def attempt(open_):
+        calls.append(1)
+        return open_.join(scores, "query_id").withColumn("score", F.col("abc"[len(calls) - 1])).withColumn("answer", F.col("question")).drop("a", "b", "c")
+
+    ask = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "query_id int, question string")
+    out = answers.feedback_loop(ask, attempt, 1)
+    assert "Join" not in plan(out)
+    assert sorted((r.query_id, r.answer, r.score, r.attempts) for r in out.collect()) == [(1, "one", 0.9, 0), (2, "two related information", 0.8, 1), (3, "three", 0.3, 2)]
+    calls.clear()
+    assert [r.attempts for r in answers.feedback_loop(ask.where("query_id = 1"), attempt, 1).collect()] == [0]
+    calls.clear()
+    assert answers.feedback_loop(ask.where("false"), attempt, 1).count() == 0
